@@ -44,3 +44,22 @@ def tokenizer_path(name: str) -> str:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit("")).alias(name)
+
+
+class Known:
+    """What a worker keeps of words that it has met: a generation that fills, and the one before it, so memory is bounded."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def turn(self) -> None:
+        """To be called before each batch of texts."""
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Those not known; after this the others are in `now`."""
+        rest = words.difference(self.now)
+        again = rest.intersection(self.old)
+        self.now.update((w, self.old[w]) for w in again)
+        return list(rest.difference(again))

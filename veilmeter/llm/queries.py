@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from veilmeter.llm import audio, chat, warc
+from veilmeter.llm import audio, bpe, chat, packing, warc
 from veilmeter.llm.common import table
 
 QUERIES = {
     "op3_media_audio": lambda spark, d: audio.op3(table(spark, d, "documents")),
+    "op5_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
+    "op6_bpe": lambda spark, d: bpe.round_trip(table(spark, d, "documents")),
     "op8_chat_format": lambda spark, d: chat.op8(table(spark, d, "conversations")),
     "op10_warc": lambda spark, d: warc.op10(table(spark, d, "pages")),
 }
