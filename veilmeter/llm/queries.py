@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from veilmeter.llm import audio, bpe, chat, packing, warc
+from veilmeter.llm import ann, audio, bpe, chat, langid, packing, quality, simhash, warc
 from veilmeter.llm.common import table
 
 QUERIES = {
+    "op1_ann": lambda spark, d: ann.search(table(spark, d, "embeddings")),
+    "op2_language_id": lambda spark, d: langid.identify(table(spark, d, "documents")),
     "op3_media_audio": lambda spark, d: audio.op3(table(spark, d, "documents")),
+    "op4_quality": lambda spark, d: quality.classify(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op6_bpe": lambda spark, d: bpe.round_trip(table(spark, d, "documents")),
+    "op7_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op8_chat_format": lambda spark, d: chat.op8(table(spark, d, "conversations")),
     "op10_warc": lambda spark, d: warc.op10(table(spark, d, "pages")),
 }
