@@ -3,8 +3,11 @@
 Writing: a task writes one file of WARC/1.1 records under a name of its own and notes where every few megabytes a record
 begins; the commit writes these notes as a manifest, so files of failed or repeated attempts are never read. Reading: the
 manifest's pieces become partitions. Headers are parsed first. Filters on record_type and on the other header columns are
-pushed to the reader, which then skips the payload of a record by its Content-Length without reading it; so it does when no
-payload is asked for.
+pushed to the reader, which then does not inflate or read the payload of a record; so it does when no payload is asked for.
+
+A record is a gzip member of its own, as is usual for WARC; its header's `sl` field holds the member's length, so a reader can
+inflate just the record's head and go on to the next member. Without a manifest, all files *.warc and *.warc.gz of the folder
+are read, a file a partition, whoever wrote them.
 
 Files are opened through pyarrow.fs, so local, HDFS and object stores work alike.
 
@@ -16,7 +19,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +42,7 @@ HEADERS = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "
 PIECE = 16 << 20
 MANIFEST = "_manifest.json"
 MIN_REVISIT = 1000
+HEAD = 24  # bytes before a member's packed data
 
 
 def _open(path: str):
@@ -70,6 +74,28 @@ def record(row) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def member(data: bytes) -> bytes:
+    """data as a gzip member whose extra field `sl` holds the lengths, packed and plain."""
+    import struct
+    import zlib
+
+    pack = zlib.compressobj(1, zlib.DEFLATED, -15)
+    packed = pack.compress(data) + pack.flush()
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, HEAD + len(packed) + 8, len(data))
+    return head + packed + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def members(stream, end: int) -> Iterator[tuple[bytes, Callable[[], bytes]]]:
+    """Of each member up to `end`: the first bytes, inflated, and a function that inflates all. Members that aren't asked for stay packed."""
+    import struct
+    import zlib
+
+    while stream.tell() < end:
+        size = struct.unpack("<2sHII", stream.read(HEAD)[12:])[2]
+        packed = stream.read(size - HEAD)
+        yield zlib.decompressobj(-15).decompress(packed, 4096), lambda: zlib.decompress(packed, -15)
+
+
 class Piece(InputPartition):
     def __init__(self, file: str, start: int, end: int):
         super().__init__((file, start, end))
@@ -88,12 +114,12 @@ class WarcWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         system, root = _open(self.path)
         system.create_dir(root, recursive=True)
-        name, size, starts = f"{uuid.uuid4().hex}.warc", 0, []
+        name, size, starts = f"{uuid.uuid4().hex}.warc.gz", 0, []
         with system.open_output_stream(f"{root}/{name}", compression=None, buffer_size=1 << 20) as out:
             for row in rows:
                 if not starts or size - starts[-1] >= PIECE:
                     starts.append(size)
-                size += out.write(record(row))
+                size += out.write(member(record(row)))
         return Written(name, starts, size)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -127,6 +153,11 @@ def parse_head(stream) -> dict | None:
     }
 
 
+def payload_in(block: bytes) -> bytes:
+    """What follows an HTTP head; a block without one is a payload as it is."""
+    return block[block.index(b"\r\n\r\n") + 4 :] if block.startswith(b"HTTP/") else block
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, path: str, names: list[str]):
         self.path, self.names, self.tests = path, names, []
@@ -139,7 +170,12 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Piece]:
+        from pyarrow import fs
+
         system, root = _open(self.path)
+        if system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.NotFound:
+            found = system.get_file_info(fs.FileSelector(root, recursive=True))
+            return [Piece(x.path.removeprefix(f"{root}/"), 0, -1) for x in found if x.path.endswith((".warc", ".warc.gz"))] or [Piece("", 0, 0)]
         with system.open_input_stream(f"{root}/{MANIFEST}") as f:
             files = json.loads(f.read())
         return [Piece(x["file"], a, b) for x in files for a, b in zip(x["starts"], [*x["starts"][1:], x["size"]])] or [Piece("", 0, 0)]
@@ -154,20 +190,37 @@ class WarcReader(DataSourceReader):
     def read(self, piece: Piece) -> Iterator[tuple]:
         if not piece.file:
             return
+        import gzip
         import io
 
         system, root = _open(self.path)
-        raw = system.open_input_file(f"{root}/{piece.file}")
-        stream = io.BufferedReader(raw, 1 << 20)
+        stream = io.BufferedReader(system.open_input_file(f"{root}/{piece.file}"), 1 << 20)
+        if piece.end < 0:
+            yield from self.read_all(gzip.GzipFile(fileobj=stream) if piece.file.endswith(".gz") else stream)
+            return
         stream.seek(piece.start)
-        while stream.tell() < piece.end and (head := parse_head(stream)):
-            after = head["length"] + 4
+        for first, whole in members(stream, piece.end):
+            if b"\r\n\r\n" not in first:
+                first = whole()
+            head = parse_head(io.BytesIO(first))
+            if self.wanted(head):
+                if self.payload_of(head):
+                    block = whole()[: -4]
+                    head["payload"] = payload_in(block[block.index(b"\r\n\r\n") + 4 :])
+                yield tuple(head.get(n) for n in self.names)
+
+    def payload_of(self, head: dict) -> bool:
+        return "payload" in self.names and head["record_type"] != "revisit"
+
+    def read_all(self, stream) -> Iterator[tuple]:
+        """The records of a file of any writer, from one end to the other."""
+        while head := parse_head(stream):
+            skip = head["length"] + 4
             if self.wanted(head):
-                if "payload" in self.names and head["record_type"] != "revisit":
-                    block = stream.read(head["length"])
-                    head["payload"], after = block[block.index(b"\r\n\r\n") + 4 :], 4
+                if self.payload_of(head):
+                    head["payload"], skip = payload_in(stream.read(head["length"])), 4
                 yield tuple(head.get(n) for n in self.names)
-            stream.seek(after, 1)
+            stream.seek(skip, 1)
 
 
 class WarcSource(DataSource):
