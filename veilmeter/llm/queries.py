@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilmeter.llm import ann, audio, bpe, chat, langid, packing, quality, simhash, warc
+from veilmeter.llm import ann, audio, bpe, chat, langid, linededup, packing, quality, simhash, warc
 from veilmeter.llm.common import table
 
 QUERIES = {
@@ -14,10 +14,20 @@ QUERIES = {
     "op6_bpe": lambda spark, d: bpe.round_trip(table(spark, d, "documents")),
     "op7_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op8_chat_format": lambda spark, d: chat.op8(table(spark, d, "conversations")),
+    "op9_line_dedup": lambda spark, d: linededup.line_report(table(spark, d, "documents")),
     "op10_warc": lambda spark, d: warc.op10(table(spark, d, "pages")),
 }
 
 ORACLE_SQL = {
+    "op9_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT doc_id, pos, line, list_distinct(list_filter(string_split(translate(lower(line), chr(9) || chr(13) || chr(11) || chr(12), '    '), ' '), lambda x: x <> '')) AS s FROM l),
+        gone AS (SELECT DISTINCT y.doc_id, y.pos FROM w x JOIN w y ON (x.doc_id < y.doc_id OR (x.doc_id = y.doc_id AND x.pos < y.pos)) AND len(x.s) > 0
+                 AND len(x.s) * 5 >= len(y.s) * 4 AND len(y.s) * 5 >= len(x.s) * 4 AND len(list_intersect(x.s, y.s)) * 9 >= (len(x.s) + len(y.s)) * 4),
+        k AS (SELECT w.doc_id, w.pos, w.line, gone.pos IS NULL AS kept FROM w LEFT JOIN gone USING (doc_id, pos)),
+        d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (kept) AS n_kept, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '') AS text FROM k GROUP BY doc_id)
+        SELECT o.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_kept, 0)::BIGINT AS n_kept, d.text FROM documents o LEFT JOIN d USING (doc_id)""",
+    "op9_line_dedup": lambda spark, d: linededup.line_report(table(spark, d, "documents")),
     "op10_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         q AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
