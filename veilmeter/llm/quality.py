@@ -153,8 +153,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, whole rows, that are kept."""
+    columns = list(range(len(docs.columns)))
 
     def out(b: pa.RecordBatch, _: np.ndarray, good: np.ndarray) -> pa.RecordBatch:
-        return b.select(list(range(len(docs.columns)))).filter(pa.array(good >= KEEP))
+        return b.select(columns).filter(pa.array(good >= KEEP))
 
     return _map(docs, labels, docs.columns, docs.schema, out)

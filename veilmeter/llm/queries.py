@@ -27,7 +27,6 @@ ORACLE_SQL = {
         k AS (SELECT w.doc_id, w.pos, w.line, gone.pos IS NULL AS kept FROM w LEFT JOIN gone USING (doc_id, pos)),
         d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (kept) AS n_kept, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '') AS text FROM k GROUP BY doc_id)
         SELECT o.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_kept, 0)::BIGINT AS n_kept, d.text FROM documents o LEFT JOIN d USING (doc_id)""",
-    "op9_line_dedup": lambda spark, d: linededup.line_report(table(spark, d, "documents")),
     "op10_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         q AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
