@@ -23,11 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veilmeter.llm.common import Known, text_or_empty, tokenizer_path
+from veilmeter.llm.common import Known, slices, text_or_empty, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 LARGEST = 64  # bytes of a piece that shares an array
-KEPT = 300_000  # pieces in each of the two generations that a worker keeps
+KEPT = 150_000  # pieces in each of the two generations that a worker keeps
 NONE = np.int64(1) << 40
 #: White space of the Unicode standard; a piece never reaches over the border before a run of it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -201,8 +201,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
+            for b in slices(big, 1):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.int64) for x in load(path).encode_batch(b.column(1).to_pylist())], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", text_or_empty()).mapInArrow(run, "doc_id long, ids array<long>")
@@ -215,8 +214,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
+            for b in slices(big, 1):
                 ids = bpe.encode_batch(b.column(1).to_pylist())
                 digests = [[hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, ids), pa.int64()), *(pa.array(x, pa.string()) for x in digests)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilmeter.llm.common import slices
+
 ROWS = 64
 LONGEST = 20_000
 SAMPLE = 24_000
@@ -107,7 +109,7 @@ class Model:
         for t in texts:
             codes = self.code[np.frombuffer(t.encode("utf-32-le"), np.uint32)]
             after = suffix_automaton([int(c) if c else -1 for c in codes])
-            table = np.full((len(after), WIDTH), -1, dtype=np.int64)
+            table = np.full((len(after), WIDTH), -1, dtype=np.int32)
             for s, edges in enumerate(after):
                 for c, to in edges.items():
                     if c > 0:
@@ -116,18 +118,18 @@ class Model:
             missing = table < 0
             start = np.where(root < 0, 0, root)  # a character unknown to the sample is a phrase of its own
             table = np.where(missing, start[None, :], table)
-            value = 2 * (table + at) * WIDTH + missing
+            value = 2 * (table + np.int32(at)) * WIDTH + missing
             value[:, WIDTH - 1] = 2 * at * WIDTH
             tables.append(value)
             self.roots.append(at * WIDTH)
             at += len(after)
-        self.table = np.concatenate(tables).ravel().astype(np.int32) if tables else None
+        self.table = np.concatenate(tables).ravel() if tables else None
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text by language, and its number of characters; 0 of a text without a letter."""
         raw = np.frombuffer("\n".join([t.lower() for t in texts] + [""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = self.code[raw]
-        owner = np.repeat(np.arange(len(texts)), [len(t.lower()) + 1 for t in texts])
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t.lower()) + 1 for t in texts])
         space = codes == 1
         keep = ~space
         keep[1:] |= ~space[:-1]
@@ -168,7 +170,7 @@ class Model:
         return [self.names[b] if s else "und" for b, s in zip(best.tolist(), size.tolist())], score
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def model(samples: tuple) -> Model:
     return Model(samples)
 
@@ -179,8 +181,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
+            for b in slices(big, 2):
                 lang, score = model(samples).predict(b.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -195,8 +196,7 @@ def keep_identified(docs: DataFrame, reject: float = REJECT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
+            for b in slices(big, where):
                 lang, score = model(samples).predict([t or "" for t in b.column(where).to_pylist()])
                 yield b.filter(pa.array([x != "und" and s >= reject for x, s in zip(lang, score)], pa.bool_()))
 

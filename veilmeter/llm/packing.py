@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmeter.llm.common import Known, text_or_empty, tokenizer_path
+from veilmeter.llm.common import Known, slices, text_or_empty, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 CLOSING = 1
 GROUP = 8192
-KEPT = 400_000
+KEPT = 150_000
 #: Characters that Python takes for white space and the vocabulary's rules do not.
 ODD = re.compile("[\x1c-\x1f]")
 #: Letters that are composed and have one lower-case letter, then marks that join no contraction: two words to the vocabulary.
@@ -100,8 +100,7 @@ def cut(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
+            for b in slices(big, 1):
                 out = []
                 for doc, ids in zip(b.column(0).to_pylist(), encoder(path).encode_batch(b.column(1).to_pylist())):
                     view = memoryview(ids + last)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmeter.llm.common import Known
+from veilmeter.llm.common import Known, slices
 
 MOST = 2500
 LONGEST = 40_000
@@ -48,7 +48,7 @@ def features_of(word: str) -> tuple[int, ...]:
 
 @functools.lru_cache(maxsize=1)
 def known_words() -> Known:
-    return Known(300_000)
+    return Known(80_000)
 
 
 def features(texts: list[str]) -> list[np.ndarray]:
@@ -57,7 +57,7 @@ def features(texts: list[str]) -> list[np.ndarray]:
     known.turn()
     known.now.update((w, features_of(w)) for w in known.missing(set().union(*words)))
     now = known.now
-    return [np.unique(np.fromiter((f for w in own for f in now[w]), np.int64)) for own in words]
+    return [np.unique(np.fromiter((f for w in own for f in now[w]), np.int32)) for own in words]
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -77,11 +77,11 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(features(b.column(2).to_pylist()), pa.list_(pa.int64()))], ["doc_id", "grade", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(features(b.column(2).to_pylist()), pa.list_(pa.int32()))], ["doc_id", "grade", "f"])
 
     # picked holds about MOST rows a grade at any size of the tables.
     texts = docs.select("doc_id", "text").filter(F.length("text").between(1, LONGEST)).join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text")
-    got = texts.mapInArrow(run, "doc_id long, grade int, f array<long>").toPandas().sort_values(["doc_id", "grade"], kind="stable")
+    got = texts.mapInArrow(run, "doc_id long, grade int, f array<int>").toPandas().sort_values(["doc_id", "grade"], kind="stable")
     return got["grade"].to_numpy(), list(got["f"]), np.array([counts.get(k, 0) for k in range(GRADES)], dtype=float)
 
 
@@ -135,8 +135,7 @@ def _map(docs: DataFrame, labels: DataFrame, columns: list, schema, out) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
+            for b in slices(big, where):
                 yield out(b, *grade_texts(b.column(where).to_pylist(), *shared.value))
 
     return docs.select(*columns, F.coalesce("text", F.lit("")).alias("_whole_text")).mapInArrow(run, schema)
