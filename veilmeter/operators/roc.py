@@ -8,15 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_RUN = Window.partitionBy("run_id")
-_DOWN = _RUN.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-
 
 def curve(scores: DataFrame) -> DataFrame:
     """run_id, score, p, n, tp, fp, pos, neg: the counts at and from each different score down to it. Null scores are left out."""
     count = lambda c: F.sum(c.cast("long"))
     by = scores.filter("score IS NOT NULL").groupBy("run_id", "score").agg(count(F.col("is_member")).alias("p"), count(~F.col("is_member")).alias("n"))
-    return by.select("*", F.sum("p").over(_DOWN).alias("tp"), F.sum("n").over(_DOWN).alias("fp"), F.sum("p").over(_RUN).alias("pos"), F.sum("n").over(_RUN).alias("neg"))
+    run = Window.partitionBy("run_id")
+    down = run.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return by.select("*", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(run).alias("pos"), F.sum("n").over(run).alias("neg"))
 
 
 def _rate(a: str, b: str) -> Column:
