@@ -195,5 +195,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One document, a whole row, of each class: that with the smallest doc_id; of rows that repeat it, one."""
     found = near_duplicates(docs)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    same = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = kept.distinct()
+    same = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     return same.dropDuplicates(["doc_id"])
