@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmeter.llm.common import written
+from veilmeter.llm.common import dropped, written
 
 BUCKETS = 1 << 20
 BITMAP = 1 << 22
@@ -33,9 +33,16 @@ FIRST = -(2**63)
 NUM, DEN = 4, 5
 
 
+def _split(text: Column) -> Column:
+    """The words of a text in lower case, repeats included. Only texts that hold other white space than blanks pay for its translation."""
+    low = F.lower(text)
+    odd = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
+    return F.array_remove(F.split(F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low), " "), "")
+
+
 def words(line: Column) -> Column:
     """The different words of a line, in lower case."""
-    return F.array_distinct(F.array_remove(F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " "), ""))
+    return F.array_distinct(_split(line))
 
 
 def _ident() -> Column:
@@ -48,8 +55,8 @@ def _literal(packed: list[int]) -> Column:
 
 def rarity(docs: DataFrame, buckets: int = BUCKETS) -> Column:
     """Orders of magnitude of the counters, 16 to a number: level 0 for none, 1 for one word, then one more for each doubling."""
-    word = F.explode(F.split(F.translate(F.lower("text"), "\n\t\r\x0b\x0c", "     "), " ")).alias("w")
-    counted = docs.select(word).filter("w <> ''").groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b")).count()
+    word = F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")
+    counted = docs.select(word).groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b")).count()
     level = F.least(F.lit(15), F.ceil(F.log2("count")).cast("int") + 1).cast("long")
     # Shifts by a column: level * 2 ** (4 * place), where the last place may reach the sign bit.
     at = F.expr("cast((b % 16) * 4 as int)")
@@ -70,13 +77,15 @@ def line_rows(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     levels = rarity(docs, buckets)
     mask = F.lit(buckets - 1)
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def code(h: Column) -> Column:
         b = h.bitwiseAND(mask)
         level = F.call_function("shiftrightunsigned", levels[F.shiftright(b, 4).cast("int")], (b.bitwiseAND(F.lit(15)) * 4).cast("int")).bitwiseAND(F.lit(15))
         return F.shiftleft(level, 59).bitwiseOR(F.shiftrightunsigned(h, 5))
 
-    coded = lines(docs).select("doc", "pos", F.sort_array(F.transform(words(F.col("line")), code)).alias("c")).filter("size(c) > 0")
+    # The blank lines are told by a pattern: a filter on the codes would be pushed down and compute them twice.
+    some = lines(docs).filter(F.col("line").rlike(r"[^ \t\r\x0b\x0c]"))
+    codes = F.transform(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)), code)
+    coded = some.select("doc", "pos", F.sort_array(F.array_distinct(codes)).alias("c"))
     n = F.size("c")
     sig = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     own = F.slice("c", F.lit(1), n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1)
@@ -132,7 +141,9 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     found = written(found.dropDuplicates(["doc", "pos"]), "sets")
     both = pairs.join(found.select(F.col("doc").alias("xdoc"), F.col("pos").alias("xpos"), F.col("w").alias("xw")), ["xdoc", "xpos"]).join(found, ["doc", "pos"])
     alike = F.size(F.array_intersect("w", "xw")) * (NUM + DEN) >= (F.size("w") + F.size("xw")) * NUM
-    return both.filter(alike).select("doc", "pos").distinct()
+    out = written(both.filter(alike).select("doc", "pos").distinct(), "alike")
+    dropped(pairs, found)
+    return out
 
 
 def removed_lines(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -140,6 +151,7 @@ def removed_lines(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     rows = written(line_rows(docs, buckets), "lines", compression="zstd")
     first = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc", "pos")).alias("f"))
     marked = written(rows.join(first, ["k1", "k2"]).select("doc", "pos", "n", "sig", (F.struct("doc", "pos") == F.col("f")).alias("first"), F.when(F.struct("doc", "pos") == F.col("f"), F.col("prefix")).alias("prefix")), "marked", compression="zstd")
+    dropped(rows)
     same = marked.filter(~F.col("first")).select("doc", "pos")
     heads = marked.filter("first")
 
@@ -150,7 +162,7 @@ def removed_lines(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     lead = F.first(F.struct("doc", "pos", "n", "sig", "at")).over(Window.partitionBy("code").orderBy("doc", "pos"))
     led = dealt.select("*", lead.alias("x")).select("*", *[F.col(f"x.{c}").alias(f"x{c}") for c in ("doc", "pos", "n", "sig", "at")])
     near = led.filter(_before("x", "") & _filters("x", "")).select("xdoc", "xpos", "doc", "pos")
-    settled = written(verified(docs, near), "settled")
+    settled = verified(docs, near)
     # Lines that may be settled are told by the bitmap; those it takes for settled by mistake are dealt out again.
     may = _told(settled, _place())
     mistaken = entries(heads.filter(may(_place())).join(settled, ["doc", "pos"], "left_anti"))
@@ -160,7 +172,10 @@ def removed_lines(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     for y in others:
         one = y.join(x, "code").filter(_before("x", "") & _filters("x", "")).select("xdoc", "xpos", "doc", "pos")
         rest = one if rest is None else rest.union(one)
-    return written(same.union(settled).union(verified(docs, rest)).distinct(), "removed")
+    others = verified(docs, rest)
+    out = written(same.union(settled).union(others).distinct(), "removed")
+    dropped(marked, dealt, settled, others)
+    return out
 
 
 def dedup_lines(docs: DataFrame, buckets: int = BUCKETS, counted: bool = False) -> DataFrame:
