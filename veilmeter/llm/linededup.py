@@ -1,4 +1,7 @@
-"""Near-duplicate lines, by DataFrame functions alone: an exact set-similarity join with prefix, positional and length filters.
+"""Near-duplicate lines: an exact set-similarity join with prefix, positional and length filters.
+
+Words are counted and coded by numpy on Arrow batches, as DataFrame functions alone took more than the whole budget for that
+(figures in the README); the join, its filters and the verification are DataFrame functions.
 
 A line is the set of its lower-case words. A line goes if an earlier line, by (doc_id, place in the text), has the same words or
 a Jaccard similarity of at least 4/5. Lines without a word stay.
@@ -22,13 +25,22 @@ not read. Working columns begin with `_ld_`.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmeter.llm.common import dropped, written
+from veilmeter.llm.common import Known, dropped, written
 
 BUCKETS = 1 << 20
 BITMAP = 1 << 22
+WORDS = 1 << 18  # different words that a worker keeps
+HELD = 1 << 18  # words of lines that a worker holds at once; a longer line is held whole
+MIXERS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd factors
 FIRST = -(2**63)
 NUM, DEN = 4, 5
 
@@ -53,18 +65,47 @@ def _literal(packed: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, packed))), ",").cast("array<bigint>")
 
 
-def rarity(docs: DataFrame, buckets: int = BUCKETS) -> Column:
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc and the text in lower case, as bytes: `bytes.split` then parts words exactly where `_split` does."""
+    return docs.filter("text IS NOT NULL").select(_ident(), F.lower("text").cast("binary").alias("t"))
+
+
+def _hash(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word, 42)
+
+
+def rarity(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Orders of magnitude of the counters, 16 to a number: level 0 for none, 1 for one word, then one more for each doubling."""
-    word = F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")
-    counted = docs.select(word).groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b")).count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, dtype=np.int64)  # of this task, so that little is shuffled
+
+        def add(met: Counter) -> None:
+            at = np.fromiter((_hash(w) & (buckets - 1) for w in met), np.int64, len(met))
+            np.add.at(total, at, np.fromiter(met.values(), np.int64, len(met)))
+
+        met = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                met.update(text.as_py().split())
+                if len(met) > WORDS:
+                    add(met)
+                    met = Counter()
+        add(met)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["b", "n"])
+
+    counted = _texts(docs).select("t").mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("count"))
     level = F.least(F.lit(15), F.ceil(F.log2("count")).cast("int") + 1).cast("long")
     # Shifts by a column: level * 2 ** (4 * place), where the last place may reach the sign bit.
     at = F.expr("cast((b % 16) * 4 as int)")
     packed = counted.select((F.col("b") / 16).cast("long").alias("i"), F.call_function("shiftleft", level, at).alias("v")).groupBy("i").agg(F.bit_or("v").alias("v"))
-    out = [0] * (buckets // 16)
+    out = np.zeros(buckets // 16, dtype=np.int64)
     for r in packed.collect():  # buckets / 16 numbers at any size
         out[r["i"]] = r["v"]
-    return _literal(out)
+    return out
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -72,25 +113,67 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select(_ident(), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
+def _mixed(codes: np.ndarray, factor: int) -> np.ndarray:
+    """Codes mixed so that their sums tell sets apart."""
+    x = codes * np.uint64(factor)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(29))
+
+
+def sets_of(doc: list[int], pos: list[int], found: list[list[bytes]], code: dict[bytes, int]) -> pa.RecordBatch:
+    """The rows of lines, none of them blank, whose words are given."""
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    codes = np.fromiter(map(code.__getitem__, chain.from_iterable(found)), np.uint64, int(size.sum()))
+    line = np.repeat(np.arange(len(found)), size)
+    order = np.lexsort((codes, line))
+    codes = codes[order]  # the lines keep their places
+    new = np.r_[True, (codes[1:] != codes[:-1]) | (line[1:] != line[:-1])]
+    codes, line = codes[new], line[new]
+    n = np.bincount(line)
+    start = np.cumsum(n) - n
+    k1, k2 = (np.add.reduceat(_mixed(codes, f), start).view(np.int64) for f in MIXERS)
+    sig = np.bitwise_xor.reduceat(np.uint64(1) << (codes & np.uint64(63)), start).view(np.int64)
+    own = n - (n * NUM + DEN - 1) // DEN + 1
+    first = codes[np.arange(len(codes)) - start[line] < own[line]]
+    alone = (first >> np.uint64(59)) <= 1
+    prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(own)], pa.int32()), pa.array(first.astype(np.uint32).view(np.int32), mask=alone))
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(k1), pa.array(k2), pa.array(n, pa.int32()), pa.array(sig), prefix], ["doc", "pos", "k1", "k2", "n", "sig", "prefix"])
+
+
 def line_rows(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """doc, pos, k1, k2 (key of the set), n, sig, prefix (32 bits of each prefix word that may have a partner, null else)."""
     levels = rarity(docs, buckets)
-    mask = F.lit(buckets - 1)
-
-    def code(h: Column) -> Column:
-        b = h.bitwiseAND(mask)
-        level = F.call_function("shiftrightunsigned", levels[F.shiftright(b, 4).cast("int")], (b.bitwiseAND(F.lit(15)) * 4).cast("int")).bitwiseAND(F.lit(15))
-        return F.shiftleft(level, 59).bitwiseOR(F.shiftrightunsigned(h, 5))
-
-    # The blank lines are told by a pattern: a filter on the codes would be pushed down and compute them twice.
-    some = lines(docs).filter(F.col("line").rlike(r"[^ \t\r\x0b\x0c]"))
-    codes = F.transform(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)), code)
-    coded = some.select("doc", "pos", F.sort_array(F.array_distinct(codes)).alias("c"))
-    n = F.size("c")
-    sig = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    own = F.slice("c", F.lit(1), n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1)
-    prefix = F.transform(own, lambda x: F.when(F.shiftrightunsigned(x, 59).bitwiseAND(F.lit(15)) > 1, F.shiftright(F.shiftleft(x, 32), 32).cast("int")))
-    return coded.select("doc", "pos", F.xxhash64("c").alias("k1"), F.xxhash64(F.lit(7), "c").alias("k2"), n.alias("n"), sig.alias("sig"), prefix.alias("prefix"))
+
+    def code(word: bytes) -> int:
+        h = _hash(word)
+        b = h & (buckets - 1)
+        return ((int(levels[b >> 4]) >> ((b & 15) * 4)) & 15) << 59 | h >> 5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(WORDS)
+        doc, pos, found, held = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            known.turn()
+            known.now.update((w, code(w)) for w in known.missing(set(chain.from_iterable(found))))
+            return sets_of(doc, pos, found, known.now)
+
+        for batch in batches:
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for k, line in enumerate(text.as_py().split(b"\n")):
+                    split = line.split()
+                    if split:
+                        doc.append(ident)
+                        pos.append(k)
+                        found.append(split)
+                        held += len(split)
+                        if held >= HELD:
+                            yield flush()
+                            doc, pos, found, held = [], [], [], 0
+        if found:
+            yield flush()
+
+    return _texts(docs).mapInArrow(run, "doc long, pos int, k1 long, k2 long, n int, sig long, prefix array<int>")
 
 
 def _before(a: str, b: str) -> Column:
