@@ -261,6 +261,31 @@ def test_simhash_cut_cells(spark):
     assert {p: got.get(p, p) for p in points} == want
 
 
+def test_simhash_cells_that_end_with_a_tile(spark):
+    rng = np.random.default_rng(6)
+    # Cells by the lowest 12 bits: of one, two and almost two tiles, and small ones between them.
+    points = []
+    for low, size in enumerate((simhash.TILE, 2, 2 * simhash.TILE, 3, simhash.TILE + 500, 1, simhash.TILE)):
+        high = rng.integers(0, 1 << 51, size - size // 4).tolist()
+        high += [h ^ (1 << int(rng.integers(0, 51))) for h in high[: size // 4]]
+        points += [h << 12 | low for h in high]
+    points = np.array(sorted(set(points)), dtype=np.uint64)
+    df = spark.createDataFrame([(int(p),) for p in points], "fp long")
+    far = np.concatenate([np.bitwise_count(points[k : k + 256, None] ^ points[None, :]) for k in range(0, len(points), 256)])
+    want = {int(p): int(p) for p in points}
+    for i, j in np.argwhere(far <= 4):  # classes here are pairs
+        want[int(points[i])] = min(want[int(points[i])], int(points[j]))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for rows in ("10000", "900"):  # of batches: 900 rows cut every large cell
+            spark.conf.set(name, rows)
+            got = {r["point"]: r["root"] for r in simhash.classes(simhash.links(df)).collect()}
+            assert {p: got.get(p, p) for p in want} == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_chat(spark, sf_dir):
     rows, turns = table(spark, sf_dir, "conversations").collect(), defaultdict(list)
     for r in rows:

@@ -131,7 +131,7 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
             xs, ys = [], []
 
             def take() -> None:
-                if len(fresh) + sum(map(len, held)) > 1:
+                if fresh and len(fresh) + sum(map(len, held)) > 1:
                     x, y = close()
                     xs.extend(x)
                     ys.extend(y)
