@@ -286,6 +286,16 @@ def test_simhash_cells_that_end_with_a_tile(spark):
         spark.conf.set(name, before)
 
 
+def test_keep_first_keeps_one_row_of_each_class(spark):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{k}" for k in rng.integers(0, 5000, 60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    # Unlike texts without an id and under one id; copies of a text under an id and without one; rows that repeat.
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, c), (None, c), (3, e), (None, e), (4, f), (4, f), (None, None), (None, "")]
+    got = sorted(((r["doc_id"], r["text"] or "") for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (1, c), (1, d), (3, e), (4, f), (None, "")], key=str)
+
+
 def test_chat(spark, sf_dir):
     rows, turns = table(spark, sf_dir, "conversations").collect(), defaultdict(list)
     for r in rows:

@@ -50,14 +50,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > count).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed long) of every whole text."""
+def fingerprints(docs: DataFrame, kind: str = "long") -> DataFrame:
+    """doc_id, fp (signed long) of every whole text; kind: the type of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", text_or_empty()).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", text_or_empty()).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def bands(width: int, parts: int) -> list[tuple[int, int]]:
@@ -179,12 +179,17 @@ def classes(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def _classed(points: DataFrame, radius: int) -> DataFrame:
+    """points (fp, least), with the root fingerprint of each one's class."""
+    root = classes(links(points.select("fp"), radius))
+    return points.join(root, points["fp"] == root["point"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the class) of every document."""
     prints = written(fingerprints(docs), "fingerprints")
     points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    root = classes(links(points.select("fp"), radius))
-    named = points.join(root, points["fp"] == root["point"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = _classed(points, radius)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = named.join(ids, "root").select("fp", "component_id")
     out = prints.join(by_print, "fp")
@@ -192,9 +197,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document, a whole row, of each class: that with the smallest doc_id; of rows that repeat it, one."""
-    found = near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    kept = kept.distinct()
-    same = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return same.dropDuplicates(["doc_id"])
+    """One document, a whole row, of each class: the smallest by doc_id, null last, and the text's hash; of rows that repeat it, one."""
+    digest = lambda text: F.sha2(F.coalesce(text, F.lit("")), 256)
+    prints = fingerprints(docs.select(F.struct("doc_id", digest(F.col("text")).alias("h")).alias("doc_id"), "text"), "struct<doc_id: long, h: string>")
+    row = F.struct(F.col("doc_id.doc_id").isNull().alias("none"), F.col("doc_id.doc_id").alias("kept_id"), F.col("doc_id.h").alias("kept_h"))
+    points = written(prints.groupBy("fp").agg(F.min(row).alias("least")), "points")
+    kept = _classed(points, RADIUS).groupBy("root").agg(F.min("least").alias("least")).select("least.kept_id", "least.kept_h")
+    kept = written(kept, "kept")
+    same = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (digest(docs["text"]) == kept["kept_h"]), "left_semi")
+    return same.withColumn("_sh_h", digest(F.col("text"))).dropDuplicates(["doc_id", "_sh_h"]).drop("_sh_h")
