@@ -343,6 +343,16 @@ def test_lines_against_all_pairs(spark):
         assert {(r["doc"], r["pos"]) for r in gone.collect()} == want
 
 
+def test_lines_of_rows_without_an_id_of_their_own(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(8)) for x in "abcde")
+    near = " ".join(b.split()[:7])
+    # Places that go in one row stay in others; matches in every version are found; of equal rows one keeps its lines.
+    rows = [(None, f"{a}\n{a}"), (None, f"{c}\n{d}"), (5, e), (5, f"{b}\nown line of the second version"), (6, f"{e}\n{near}\nlast words"), (7, "twice here\n\nand here"), (7, "twice here\n\nand here"), (8, None), (8, None)]
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_kept"], r["text"]) for r in linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [(None, 2, 1, a), (None, 2, 2, f"{c}\n{d}"), (5, 1, 1, e), (5, 2, 2, f"{b}\nown line of the second version"), (6, 3, 1, "last words"), (7, 3, 3, "twice here\n\nand here"), (7, 3, 1, ""), (8, 0, 0, None), (8, 0, 0, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a", "x" * 2000), (2, "http://b", "x" * 2000), (3, None, None), (4, "http://c\r\nd", "short"), (5, "u", "short"), (None, "v", "y" * 1200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS kept", "2 AS n")

@@ -3,8 +3,8 @@
 Words are counted and coded by numpy on Arrow batches, as DataFrame functions alone took more than the whole budget for that
 (figures in the README); the join, its filters and the verification are DataFrame functions.
 
-A line is the set of its lower-case words. A line goes if an earlier line, by (doc_id, place in the text), has the same words or
-a Jaccard similarity of at least 4/5. Lines without a word stay.
+A line is the set of its lower-case words. A line goes if an earlier line, by (doc_id, the text's hash where
+rows share the doc_id, place in the text), has the same words or a Jaccard similarity of at least 4/5. Lines without a word stay.
 
 1. Word frequencies over all lines go into a table of BUCKETS counters by hash, so it is small at any size; a word's rarity is
    its counter's order of magnitude. With its hash this orders words, rare ones first; any fixed order gives exact results.
@@ -18,7 +18,8 @@ a Jaccard similarity of at least 4/5. Lines without a word stay.
 Which texts hold wanted lines is told by a bitmap of fixed size before the join that decides exactly, so few texts are shuffled.
 
 Defined cases: null text stays null and has no lines; an empty text is one blank line; null doc_id sorts first; rows that share
-a doc_id are versions of one document, and a place that goes in one goes in each; ties of equal lines are settled by place;
+a doc_id, or have none, are told apart by their text's hash; of rows equal in both, all but one lose every line that has a word;
+ties of equal lines are settled by place;
 very long lines are sets like others; an empty table gives an empty table; further columns are kept by `dedup_lines` and
 not read. Working columns begin with `_ld_`.
 """
@@ -43,6 +44,8 @@ HELD = 1 << 18  # words of lines that a worker holds at once; a longer line is h
 MIXERS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd factors
 FIRST = -(2**63)
 NUM, DEN = 4, 5
+ROW = ["doc", "h", "pos"]  # a line's key, by which lines are ordered
+XROW = [f"x{c}" for c in ROW]
 
 
 def _split(text: Column) -> Column:
@@ -61,13 +64,20 @@ def _ident() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """What tells rows of one doc_id, or of none, apart: the text's hash; 0 where no other row has the doc_id, so it costs nothing there."""
+    shared = docs.select(_ident()).groupBy("doc").count().filter("count > 1")
+    may = _told(shared, F.xxhash64("doc"))
+    return F.when(may(F.xxhash64(_ident())), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")
+
+
 def _literal(packed: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, packed))), ",").cast("array<bigint>")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """doc and the text in lower case, as bytes: `bytes.split` then parts words exactly where `_split` does."""
-    return docs.filter("text IS NOT NULL").select(_ident(), F.lower("text").cast("binary").alias("t"))
+def _texts(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc, more, and the text in lower case, as bytes: `bytes.split` then parts words exactly where `_split` does."""
+    return docs.filter("text IS NOT NULL").select(_ident(), *more, F.lower("text").cast("binary").alias("t"))
 
 
 def _hash(word: bytes) -> int:
@@ -108,9 +118,9 @@ def rarity(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return out
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc, pos, line of every line."""
-    return docs.select(_ident(), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+def lines(docs: DataFrame, h: Column) -> DataFrame:
+    """doc, h, pos, line of every line."""
+    return docs.select(_ident(), h.alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
 def _mixed(codes: np.ndarray, factor: int) -> np.ndarray:
@@ -120,7 +130,7 @@ def _mixed(codes: np.ndarray, factor: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sets_of(doc: list[int], pos: list[int], found: list[list[bytes]], code: dict[bytes, int]) -> pa.RecordBatch:
+def sets_of(doc: list[int], h: list[int], pos: list[int], found: list[list[bytes]], code: dict[bytes, int]) -> pa.RecordBatch:
     """The rows of lines, none of them blank, whose words are given."""
     size = np.fromiter(map(len, found), np.int64, len(found))
     codes = np.fromiter(map(code.__getitem__, chain.from_iterable(found)), np.uint64, int(size.sum()))
@@ -137,11 +147,11 @@ def sets_of(doc: list[int], pos: list[int], found: list[list[bytes]], code: dict
     first = codes[np.arange(len(codes)) - start[line] < own[line]]
     alone = (first >> np.uint64(59)) <= 1
     prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(own)], pa.int32()), pa.array(first.astype(np.uint32).view(np.int32), mask=alone))
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(k1), pa.array(k2), pa.array(n, pa.int32()), pa.array(sig), prefix], ["doc", "pos", "k1", "k2", "n", "sig", "prefix"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(pos, pa.int32()), pa.array(k1), pa.array(k2), pa.array(n, pa.int32()), pa.array(sig), prefix], ["doc", "h", "pos", "k1", "k2", "n", "sig", "prefix"])
 
 
-def line_rows(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """doc, pos, k1, k2 (key of the set), n, sig, prefix (32 bits of each prefix word that may have a partner, null else)."""
+def line_rows(docs: DataFrame, h: Column, buckets: int = BUCKETS) -> DataFrame:
+    """doc, h, pos, k1, k2 (key of the set), n, sig, prefix (32 bits of each prefix word that may have a partner, null else)."""
     levels = rarity(docs, buckets)
 
     def code(word: bytes) -> int:
@@ -151,33 +161,34 @@ def line_rows(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(WORDS)
-        doc, pos, found, held = [], [], [], 0
+        doc, own, pos, found, held = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             known.turn()
             known.now.update((w, code(w)) for w in known.missing(set(chain.from_iterable(found))))
-            return sets_of(doc, pos, found, known.now)
+            return sets_of(doc, own, pos, found, known.now)
 
         for batch in batches:
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for ident, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 for k, line in enumerate(text.as_py().split(b"\n")):
                     split = line.split()
                     if split:
                         doc.append(ident)
+                        own.append(mark)
                         pos.append(k)
                         found.append(split)
                         held += len(split)
                         if held >= HELD:
                             yield flush()
-                            doc, pos, found, held = [], [], [], 0
+                            doc, own, pos, found, held = [], [], [], [], 0
         if found:
             yield flush()
 
-    return _texts(docs).mapInArrow(run, "doc long, pos int, k1 long, k2 long, n int, sig long, prefix array<int>")
+    return _texts(docs, h.alias("h")).mapInArrow(run, "doc long, h long, pos int, k1 long, k2 long, n int, sig long, prefix array<int>")
 
 
 def _before(a: str, b: str) -> Column:
-    return F.expr(f"{a}doc < {b}doc OR ({a}doc = {b}doc AND {a}pos < {b}pos)")
+    return F.expr(f"{a}doc < {b}doc OR ({a}doc = {b}doc AND ({a}h < {b}h OR ({a}h = {b}h AND {a}pos < {b}pos)))")
 
 
 def _filters(a: str, b: str) -> Column:
@@ -212,50 +223,51 @@ def _told(rows: DataFrame, key: Column, size: int = BITMAP):
 
 
 def _place(prefix: str = "") -> Column:
-    return F.xxhash64(f"{prefix}doc", f"{prefix}pos")
+    return F.xxhash64(*[f"{prefix}{c}" for c in ROW])
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (xdoc, xpos, doc, pos) whose lines are similar; one row a later line (doc, pos)."""
+def verified(docs: DataFrame, h: Column, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (xdoc, xh, xpos, doc, h, pos) whose lines are similar; one row a later line (doc, h, pos)."""
     pairs = written(pairs.distinct(), "pairs")
-    wanted = pairs.select("doc", "pos").union(pairs.select(F.col("xdoc"), F.col("xpos"))).distinct()
+    wanted = pairs.select(*ROW).union(pairs.select(*XROW)).distinct()
     may = _told(wanted, _place())
-    found = lines(docs).filter(may(_place())).join(wanted, ["doc", "pos"], "left_semi").select("doc", "pos", words(F.col("line")).alias("w"))
-    found = written(found.dropDuplicates(["doc", "pos"]), "sets")
-    both = pairs.join(found.select(F.col("doc").alias("xdoc"), F.col("pos").alias("xpos"), F.col("w").alias("xw")), ["xdoc", "xpos"]).join(found, ["doc", "pos"])
+    found = lines(docs, h).filter(may(_place())).join(wanted, ROW, "left_semi").select(*ROW, words(F.col("line")).alias("w"))
+    found = written(found.dropDuplicates(ROW), "sets")
+    both = pairs.join(found.select(*[F.col(c).alias(f"x{c}") for c in (*ROW, "w")]), XROW).join(found, ROW)
     alike = F.size(F.array_intersect("w", "xw")) * (NUM + DEN) >= (F.size("w") + F.size("xw")) * NUM
-    out = written(both.filter(alike).select("doc", "pos").distinct(), "alike")
+    out = written(both.filter(alike).select(*ROW).distinct(), "alike")
     dropped(pairs, found)
     return out
 
 
-def removed_lines(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """doc, pos of the lines that go."""
-    rows = written(line_rows(docs, buckets), "lines", compression="zstd")
-    first = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc", "pos")).alias("f"))
-    marked = written(rows.join(first, ["k1", "k2"]).select("doc", "pos", "n", "sig", (F.struct("doc", "pos") == F.col("f")).alias("first"), F.when(F.struct("doc", "pos") == F.col("f"), F.col("prefix")).alias("prefix")), "marked", compression="zstd")
+def removed_lines(docs: DataFrame, buckets: int = BUCKETS, h: Column | None = None) -> DataFrame:
+    """doc, h (row_hash), pos of the lines that go. Rows equal in doc_id and text count as one here."""
+    h = row_hash(docs) if h is None else h
+    rows = written(line_rows(docs, h, buckets), "lines", compression="zstd")
+    first = rows.groupBy("k1", "k2").agg(F.min(F.struct(*ROW)).alias("f"))
+    marked = written(rows.join(first, ["k1", "k2"]).select(*ROW, "n", "sig", (F.struct(*ROW) == F.col("f")).alias("first"), F.when(F.struct(*ROW) == F.col("f"), F.col("prefix")).alias("prefix")), "marked", compression="zstd")
     dropped(rows)
-    same = marked.filter(~F.col("first")).select("doc", "pos")
+    same = marked.filter(~F.col("first")).select(*ROW)
     heads = marked.filter("first")
 
     def entries(own: DataFrame) -> DataFrame:
-        return own.select("doc", "pos", "n", "sig", F.posexplode("prefix").alias("at", "code")).filter("code IS NOT NULL")
+        return own.select(*ROW, "n", "sig", F.posexplode("prefix").alias("at", "code")).filter("code IS NOT NULL")
 
     dealt = written(entries(heads).repartition("code"), "entries", compression="zstd")
-    lead = F.first(F.struct("doc", "pos", "n", "sig", "at")).over(Window.partitionBy("code").orderBy("doc", "pos"))
-    led = dealt.select("*", lead.alias("x")).select("*", *[F.col(f"x.{c}").alias(f"x{c}") for c in ("doc", "pos", "n", "sig", "at")])
-    near = led.filter(_before("x", "") & _filters("x", "")).select("xdoc", "xpos", "doc", "pos")
-    settled = verified(docs, near)
+    lead = F.first(F.struct(*ROW, "n", "sig", "at")).over(Window.partitionBy("code").orderBy(*ROW))
+    led = dealt.select("*", lead.alias("x")).select("*", *[F.col(f"x.{c}").alias(f"x{c}") for c in (*ROW, "n", "sig", "at")])
+    near = led.filter(_before("x", "") & _filters("x", "")).select(*XROW, *ROW)
+    settled = verified(docs, h, near)
     # Lines that may be settled are told by the bitmap; those it takes for settled by mistake are dealt out again.
     may = _told(settled, _place())
-    mistaken = entries(heads.filter(may(_place())).join(settled, ["doc", "pos"], "left_anti"))
+    mistaken = entries(heads.filter(may(_place())).join(settled, ROW, "left_anti"))
     others = [dealt.filter(~may(_place())), mistaken]
-    x = dealt.select("code", *[F.col(c).alias(f"x{c}") for c in ("doc", "pos", "n", "sig", "at")])
+    x = dealt.select("code", *[F.col(c).alias(f"x{c}") for c in (*ROW, "n", "sig", "at")])
     rest = None
     for y in others:
-        one = y.join(x, "code").filter(_before("x", "") & _filters("x", "")).select("xdoc", "xpos", "doc", "pos")
+        one = y.join(x, "code").filter(_before("x", "") & _filters("x", "")).select(*XROW, *ROW)
         rest = one if rest is None else rest.union(one)
-    others = verified(docs, rest)
+    others = verified(docs, h, rest)
     out = written(same.union(settled).union(others).distinct(), "removed")
     dropped(marked, dealt, settled, others)
     return out
@@ -263,20 +275,32 @@ def removed_lines(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, buckets: int = BUCKETS, counted: bool = False) -> DataFrame:
     """The rows of docs, text without the lines that go; counted: a column n_kept is set from n_lines."""
-    gone = removed_lines(docs, buckets)
-    may = _told(gone, F.xxhash64("doc"))
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))
-    hit = may(F.xxhash64(ident))
-    by_doc = gone.groupBy(F.col("doc").alias("_ld_doc")).agg(F.collect_list("pos").alias("_ld_gone"))
-    touched = docs.filter(hit).withColumn("_ld_doc", ident).join(by_doc, "_ld_doc", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains("_ld_gone", k))
+    h, ident = row_hash(docs), _ident()
+    gone = removed_lines(docs, buckets, h)
+    may, twice = _told(gone, F.xxhash64("doc", "h")), _told(docs.select(ident, h.alias("h")).groupBy("doc", "h").count().filter("count > 1"), F.xxhash64("doc", "h"))
+    key = F.xxhash64(ident, h)
+    by_doc = gone.groupBy(F.col("doc").alias("_ld_doc"), F.col("h").alias("_ld_h")).agg(F.collect_list("pos").alias("_ld_gone"))
+    # Of rows equal in doc_id and text, told apart by a number that is written with them, the first is treated as others are.
+    copies = written(docs.filter(twice(key)).withColumns({"_ld_doc": ident, "_ld_h": h, "_ld_row": F.monotonically_increasing_id()}), "copies")
+    first = copies.groupBy("_ld_doc", "_ld_h").agg(F.min("_ld_row").alias("_ld_row")).select("_ld_row", F.lit(True).alias("_ld_first"))
+    copies = copies.join(first, "_ld_row", "left")
+    once = docs.filter(~twice(key))
+    hit = once.filter(may(key)).withColumns({"_ld_doc": ident, "_ld_h": h})
+    own = [*docs.columns, "_ld_doc", "_ld_h"]
+    own = [c for k, c in enumerate(own) if c not in own[:k]]
+    touched = hit.select(own).unionByName(copies.filter("_ld_first").select(own)).join(by_doc, ["_ld_doc", "_ld_h"], "left")
+    split = F.split("text", "\n", -1)
+    kept = F.filter(split, lambda line, k: ~F.array_contains("_ld_gone", k))
     none = F.col("_ld_gone").isNull() | F.col("text").isNull()
-    whole = docs.filter(~hit)
+    blank = F.filter(split, lambda line: F.size(words(line)) == 0)
+    whole, later = once.filter(~may(key)), copies.filter(F.col("_ld_first").isNull())
     if counted:
         whole = whole.withColumn("n_kept", F.col("n_lines"))
         touched = touched.withColumn("n_kept", F.when(none, F.col("n_lines")).otherwise(F.size(kept).cast("long")))
+        later = later.withColumn("n_kept", F.when(F.col("text").isNull(), F.col("n_lines")).otherwise(F.size(blank).cast("long")))
     touched = touched.withColumn("text", F.when(none, F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return whole.unionByName(touched.select(docs.columns))
+    later = later.withColumn("text", F.array_join(blank, "\n"))
+    return whole.unionByName(touched.select(docs.columns)).unionByName(later.select(docs.columns))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
