@@ -21,6 +21,15 @@ def test_dp_sgd_spends_less_with_more_noise(spark, sf_dir):
     assert all(0 <= r["accuracy"] <= 1 for r in rows.values())
 
 
+def test_early_stopping_holds_no_array_of_a_key(spark):
+    from veilmeter.operators import defenses
+
+    rows = spark.range(50_000).selectExpr("1 AS u", "id AS i", "double(50000 - id) AS v").unionByName(spark.createDataFrame([(2, 0, 5.0), (2, 1, 6.0), (2, 2, 4.0), (None, 0, 1.0)], "u int, i long, v double"))
+    out = defenses.early_stopping(rows, "u", ["i"], "v", patience=1)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 1.0, 0, False, 50_000), (2, 4.0, 0, True, 3), (None, 1.0, 0, False, 1)], key=str)
+
+
 def test_trained_models(spark, sf_dir):
     (extracted,) = QUERIES["extraction_mllib"](spark, sf_dir).collect()
     assert extracted["n"] > 0 and extracted["agreement"] > 0.7

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +45,43 @@ def smoothed_loss(logits: Column, label: Column, smoothing: float, classes: int)
 
 
 def early_stopping(rows: DataFrame, key: str, order: list[str], value: str, patience: int = 3, min_delta: float = 0.0) -> DataFrame:
-    """key, best, counter, stopped, n: each key's values folded in order; once stopped it stays so, and the state with it."""
-    series = F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda s: s[value])
-    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("counter"), F.lit(False).alias("stopped"))
-
-    def step(s: Column, v: Column) -> Column:
-        better = v < s["best"] - min_delta
-        counter = F.when(better, 0).otherwise(s["counter"] + 1)
-        return F.struct(F.when(better, v).otherwise(s["best"]).alias("best"), counter.alias("counter"), (s["stopped"] | (~better & (counter >= patience))).alias("stopped"))
-
-    by = rows.groupBy(key).agg(series.alias("v"))
-    return by.select(key, F.aggregate("v", start, step).alias("s"), F.size("v").cast("long").alias("n")).select(key, "s.best", F.col("s.counter").cast("long").alias("counter"), "s.stopped", "n")
+    """key, best, counter, stopped, n: each key's values folded in order; once stopped it stays so, and the state with it. The sorted
+    rows are a stream, of which a task holds one key's state."""
+    kind = rows.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, done = None, None, []
+
+        def out() -> pa.RecordBatch:
+            kinds = [own, pa.float64(), pa.int64(), pa.bool_(), pa.int64()]
+            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], ["k", "best", "counter", "stopped", "n"])
+            done.clear()
+            return batch
+
+        own = None
+        for b in batches:
+            own = b.schema.field(0).type
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if state is None or k != now:
+                    if state is not None:
+                        done.append((now, *state))
+                    now, state = k, [float("inf"), 0, False, 0]
+                # As in SQL: NaN is not less, and a null that uses up the patience leaves open whether it stopped.
+                if v is not None and v < state[0] - min_delta:
+                    state[0], state[1] = v, 0
+                else:
+                    state[1] += 1
+                    if state[1] >= patience and state[2] is not True:
+                        state[2] = None if v is None else True
+                state[3] += 1
+            if len(done) >= 1000:
+                yield out()
+        if state is not None:
+            done.append((now, *state))
+            yield out()
+
+    ordered = rows.repartition(key).sortWithinPartitions(key, *order, value).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    return ordered.mapInArrow(run, f"k {kind.simpleString()}, best double, counter long, stopped boolean, n long").withColumnRenamed("k", key)
 
 
 def clipped(gradient: Column, most: float) -> Column:
