@@ -5,7 +5,9 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from veilmeter.llm import ann, audio, bpe, chat, langid, linededup, packing, quality, simhash, warc
 from veilmeter.llm.common import table, tokenizer_path
@@ -67,6 +69,32 @@ def test_ann_odd_rows(spark):
     assert ann.search(df.filter("false")).count() == 0
 
 
+def test_ann_repeated_ids_take_one_place(spark):
+    rng = np.random.default_rng(9)
+    x = {k: rng.normal(size=4) for k in range(60)}
+    # Every row 12 times, and further off once more.
+    rows = [(k, v.tolist()) for k, v in x.items() for _ in range(12)] + [(k, (v * 1.5).tolist()) for k, v in x.items() if k]
+    found = sorted((r["rank"], r["vec_id"]) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), probes=512, reach=1e9).filter("query_id = 0").collect())
+    far = {k: min(np.linalg.norm(v - x[0]), np.linalg.norm(1.5 * v - x[0])) for k, v in x.items() if k}
+    assert [k for _, k in found] == sorted(far, key=far.get)[:10]
+
+
+def test_ann_recall_with_all_lists(spark):
+    rng = np.random.default_rng(10)
+    x = (rng.normal(size=(256, 16))[rng.integers(0, 256, 65_536)] + 0.5 * rng.normal(size=(65_536, 16))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}))
+    found = defaultdict(set)
+    for r in ann.search(df, F.pmod("vec_id", F.lit(1000)) == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 1000):
+        far = ((x.astype(float) - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(found[q] & set(np.argsort(far)[:10].tolist()))
+    print("recall", hits / (10 * len(found)))
+    assert len(found) == 66 and hits >= 0.9 * 10 * len(found)
+
+
 def test_language_held_out(spark, sf_dir, docs, odd):
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
     rows = [r for r in langid.identify(docs).collect() if r["held_out"] and r["lang_pred"] != "und" and lang[r["doc_id"]]]

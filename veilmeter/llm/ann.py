@@ -133,22 +133,28 @@ def _posted(vectors: DataFrame, index, dim: int, width: int, most: int, ratio: f
 
 
 def nearest_in(points: pd.DataFrame, queries: pd.DataFrame, dim: int, k: int) -> pd.DataFrame:
-    """The k nearest points of each query within one chunk, exactly."""
+    """The k nearest different ids of each query within one chunk, exactly; an id that repeats counts at its smallest distance."""
+    points = points.drop_duplicates(["id", "vec"])
     ids = points["id"].to_numpy()
     order = np.argsort(ids, kind="stable")
     ids, p = ids[order], np.frombuffer(b"".join(points["vec"]), "<f8").reshape(-1, dim)[order]
     square, out = (p**2).sum(axis=1), []
+    start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     asked, all_q = queries["id"].to_numpy(), np.frombuffer(b"".join(queries["vec"]), "<f8").reshape(-1, dim)
     for at in range(0, len(asked), 256):
         q, own = all_q[at : at + 256], asked[at : at + 256]
         rough = square[None, :] - 2 * q @ p.T + (q**2).sum(axis=1)[:, None]
         rough[own[:, None] == ids[None, :]] = np.inf
         slack = 1e-9 * (square.max() + (q**2).sum(axis=1))
-        limit = (np.partition(rough, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(q), np.inf)) + slack
+        least = rough if len(start) == len(ids) else np.minimum.reduceat(rough, start, axis=1)
+        limit = (np.partition(least, k - 1, axis=1)[:, k - 1] if len(start) > k else np.full(len(q), np.inf)) + slack
         for j, name in enumerate(own):
             near = np.flatnonzero((rough[j] <= limit[j]) & np.isfinite(rough[j]))
             score = np.sqrt(((p[near] - q[j]) ** 2).sum(axis=1))
-            best = np.argsort(score, kind="stable")[:k]
+            best = np.argsort(score, kind="stable")
+            if len(start) < len(ids):
+                best = best[np.sort(np.unique(ids[near[best]], return_index=True)[1])]
+            best = best[:k]
             out.append((np.full(len(best), name), ids[near[best]], score[best]))
     columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
     return pd.DataFrame(dict(zip(["query_id", "vec_id", "score"], columns)))
