@@ -105,13 +105,35 @@ def test_language_held_out(spark, sf_dir, docs, odd):
     assert langid.identify(odd.filter("false")).count() == 0 and langid.keep_identified(odd).columns == odd.columns
 
 
-def test_phrases_are_longest_matches():
-    sample, text = "the cat sat on the mat and the dog", "the dog sat on a cat"
-    model, at, phrases = langid.Model((("en", (sample,)),)), 0, 0
+def _plain_phrases(sample: str, text: str) -> int:
+    at = phrases = 0
     while at < len(text):
-        size = max((n for n in range(len(text) - at + 1) if text[at : at + n] in sample), default=0)
+        size = 0
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
         at, phrases = at + max(1, size), phrases + 1
-    assert model.phrases([text])[0][0, 0] == phrases
+    return phrases
+
+
+def test_phrases_are_longest_matches():
+    """Several languages and scripts, letters of no sample, texts of several pieces, and pieces that lie in the sample as a whole."""
+    rng = np.random.default_rng(3)
+    make = lambda letters, n: "".join(rng.choice(list(letters), n))
+    samples = {"aa": make("abcd ", 3000), "bb": make("bcdefgh ", 3000), "cc": make("".join(map(chr, range(0x4E00, 0x4E00 + 300))), 3000), "dd": "q"}
+    samples = {k: langid.letters(v) for k, v in samples.items()}
+    model = langid.Model([(k, [v]) for k, v in samples.items()])
+    texts = [make("abcdefgh ", n) for n in (1, 7, 511, 512, 513, 1024, 4000)] + [samples["aa"][100:2500] + "xyz" + samples["bb"][:1600], samples["cc"][5:1500], "q" * 1400, "\u0431" * 700 + "abcd" * 200, samples["aa"]]
+    texts = [langid.letters(t) for t in texts]
+    total, size = model.phrases(texts)
+    assert size.tolist() == list(map(len, texts))
+    for t, row in zip(texts, total.tolist()):
+        assert row == [_plain_phrases(s, t) for s in samples.values()]
+
+
+def test_language_sample_holds_whole_rows(spark):
+    rows = [(k, f"{x} text {x} of many words {x} number {k % 7}", x) for x in ("la", "lb", "lc") for k in range(40)]
+    learned = dict(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=30))
+    assert sorted(learned) == ["la", "lb", "lc"] and all(set(t) <= {r[1] for r in rows if r[2] == x} for x, t in learned.items())
 
 
 def test_audio_round_trip(spark, docs, texts, odd):
@@ -393,3 +415,78 @@ def test_warc(spark, tmp_path):
     heads = warc.read(spark, path, ["page_id", "payload_bytes"]).filter("payload_bytes >= 1000")
     assert sorted(r["page_id"] or 0 for r in heads.collect()) == [0, 1, 2]
     assert warc.op10(pages.filter("false")).count() == 0
+
+
+def test_warc_writes_add_up_and_overwriting_replaces(spark, tmp_path):
+    make = lambda *ids: spark.createDataFrame([(k, f"http://{k}", f"{k} " * 9000) for k in ids], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/twice"
+    ids = lambda **how: sorted(r["page_id"] for r in warc.read(spark, path, ["page_id", *how]).collect())
+    warc.write(make(1, 2), path)
+    warc.write(make(3), path)
+    assert ids() == [1, 2, 3]
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read(spark, path).collect()} == {k: f"{k} " * 9000 for k in (1, 2, 3)}
+    warc.records(make(4)).write.format("warc").option("path", path).mode("overwrite").save()
+    assert ids() == [4]
+
+
+def test_warc_of_another_writer(spark, tmp_path):
+    import gzip
+
+    def own(kind: str, more: str, block: bytes) -> bytes:
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    records = own("warcinfo", "", b"software: x") + own("response", "WARC-Target-URI: http://a\r\nWARC-Payload-Digest: sha1:ab\r\n", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody") + b"WARC/1.0\r\nWARC-Type: metadata\r\n\r\n\r\n\r\n"
+    (tmp_path / "foreign").mkdir()
+    (tmp_path / "foreign/a.warc.gz").write_bytes(gzip.compress(records))
+    (tmp_path / "foreign/b.warc").write_bytes(records)
+    got = [(r["record_type"], r["url"], r["payload"] and bytes(r["payload"])) for r in warc.read(spark, f"file://{tmp_path}/foreign").collect()]
+    assert sorted(got, key=str) == sorted(2 * [("warcinfo", None, b"software: x"), ("response", "http://a", b"body"), ("metadata", None, b"")], key=str)
+    heads = warc.read(spark, f"file://{tmp_path}/foreign", ["url", "record_type"]).filter("record_type = 'response'")
+    assert [r["url"] for r in heads.collect()] == ["http://a"] * 2
+
+
+def test_chat_long_runs(spark):
+    encode = chat.encoding(tokenizer_path(chat.VOCABULARY)).encode_ordinary
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        text = "".join(rng.choice(["ab", "don't ", " ", "  ", "\n", "\t", "12", " é", "!?", "\x1c", " "], 60))
+        for most in (5, 17):
+            found = list(chat.parts(text, most))
+            cuts = np.cumsum(list(map(len, found)))[:-1].tolist()
+            assert "".join(found) == text and all(map(len, found[:1]))
+            if all(text[k] == " " and not text[k - 1].isspace() for k in cuts):
+                assert [i for x in found for i in encode(x)] == encode(text)
+    long = [" " * 1_000_000, "a" * 1_000_000, "word " * 200_000, "</s>" * 100_000]
+    df = spark.createDataFrame([(9, k, "assistant", t) for k, t in enumerate(long)], "conv_id long, turn long, role string, text string")
+    (got,) = chat.op8(df).filter("conv_id = 9").collect()
+    assert (got["n_turns"], got["loss_chars"], got["loss_sha256"]) == (4, sum(map(len, long)), hashlib.sha256("".join(long).encode()).hexdigest())
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"assistant\n{t}\n" for t in long).encode()).hexdigest()
+
+
+def test_stored_pcm_of_each_format(spark):
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 256, 3 * 576).astype(np.uint8).tobytes()
+    clips = {6: audio.wav(codes, 6), 7: audio.wav(codes, 7), 17: audio.wav(codes, 17, 576), 0: None}
+    df = spark.createDataFrame([(k, v) for k, v in clips.items()], "k int, media binary")
+    got = {r["k"]: r["pcm_wav"] for r in audio.store_resampled(df, "k").collect()}
+    assert got.pop(0) is None
+    for tag, clip in got.items():
+        assert audio.parse_wav(bytes(clip))[0] == 1
+        pcm, want = audio.decode_wav(bytes(clip)), audio.decode_wav(clips[tag])
+        assert (pcm[::2] == want).all() and all(pcm[1 + 2 * k] == (int(want[k]) + int(want[k + 1])) >> 1 for k in range(0, len(want) - 1, 97))
+    # All codes of both laws against the rule of G.711, a segment and a place in it.
+    for c in range(256):
+        u, a = ~c & 255, c ^ 0x55
+        size = ((2 * (u & 15) + 33) << ((u >> 4) & 7)) - 33
+        assert audio.ULAW[c] == (-4 * size if u & 128 else 4 * size)
+        seg = (a >> 4) & 7
+        size = 2 * (a & 15) + 1 if seg == 0 else (2 * (a & 15) + 33) << (seg - 1)
+        assert audio.ALAW[c] == (8 * size if a & 128 else -8 * size)
+
+
+def test_packing_spreads_equal_pieces(spark):
+    df = spark.createDataFrame([(1, "la " * 2048 * 40)], "doc_id long, text string")
+    rows = packing.pack(df, group=1).collect()
+    assert len(rows) >= 40
+    pieces = packing.cut(df).select("doc_id", "start", "ids_crc32", "row").withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(8)))
+    assert pieces.select("g").distinct().count() == 8
