@@ -48,7 +48,6 @@ class WordEncoder:
         ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if t.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.ends[ends] = True
-        self.known = Known(KEPT)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,9 +65,10 @@ class WordEncoder:
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
+    def encode_batch(self, texts: list[str], known: Known | None = None) -> list[bytes]:
+        """known: what a task keeps of words between calls; it goes with the task."""
         words = [None if ODD.search(t) else t.split() for t in texts]
-        known, met = self.known, set()
+        known, met = Known(KEPT) if known is None else known, set()
         known.turn()
         for own in words:
             met.update(own or ())
@@ -98,11 +98,11 @@ def cut(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     last = np.array([CLOSING], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = 0
+        row, known = 0, Known(KEPT)
         for big in batches:
             for b in slices(big, 1):
                 out = []
-                for doc, ids in zip(b.column(0).to_pylist(), encoder(path).encode_batch(b.column(1).to_pylist())):
+                for doc, ids in zip(b.column(0).to_pylist(), encoder(path).encode_batch(b.column(1).to_pylist(), known)):
                     view = memoryview(ids + last)
                     n, row = len(view) // 4, row + 1
                     out += [(doc, s, min(LENGTH, n - s), zlib.crc32(view[4 * s : 4 * (s + LENGTH)]), n, row) for s in range(0, n, LENGTH)]
@@ -137,8 +137,8 @@ def first_fit(lengths: list[int], room: int = LENGTH) -> tuple[list[int], list[i
 def pack(docs: DataFrame, vocabulary: str | None = None, group: int = GROUP) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     groups = max(1, -(-docs.count() // group))
-    # The row number spreads copies of one document over the groups.
-    pieces = cut(docs, vocabulary).withColumn("grp", F.pmod(F.xxhash64("doc_id", "ids_crc32", "row"), F.lit(groups)))
+    # The row number spreads copies of one document over the groups, the start equal pieces of one text.
+    pieces = cut(docs, vocabulary).withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(groups)))
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

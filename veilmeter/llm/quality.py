@@ -10,12 +10,13 @@ features are made on the executors. Scoring covers all documents and whole texts
 
 Defined cases: a null or blank text has no features, and is not kept; contradicting labels of one document count as the lowest grade;
 null labels are left out; without labels of at least two grades all documents get probability 1; equal texts give equal
-results; an empty table gives an empty table; only doc_id and text of documents, and doc_id, quality, toxic of labels are read.
+results, so ties and repeated rows need no rule; rows that repeat a labelled doc_id are each in the sample; very long texts are
+scored whole; an empty table gives an empty table; only doc_id and text of documents, and doc_id, quality, toxic of labels are
+read, other columns of any name are kept as they are.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,7 @@ ROUNDS = 200
 SPARSE = 0.01
 RARE = 25  # rows in which a feature must be to get a weight
 KEEP = 0.4
+WORDS = 80_000
 WORD = re.compile(r"(\W*)(.*?)([\W_]*)", re.S)
 
 
@@ -46,14 +48,9 @@ def features_of(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(n.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for n in names if n)
 
 
-@functools.lru_cache(maxsize=1)
-def known_words() -> Known:
-    return Known(80_000)
-
-
-def features(texts: list[str]) -> list[np.ndarray]:
-    """Each text's different features in order."""
-    words, known = [set(t.split()) for t in texts], known_words()
+def features(texts: list[str], known: Known | None = None) -> list[np.ndarray]:
+    """Each text's different features in order. known: what a task keeps of words between calls; it goes with the task."""
+    words, known = [set(t.split()) for t in texts], Known(WORDS) if known is None else known
     known.turn()
     known.now.update((w, features_of(w)) for w in known.missing(set().union(*words)))
     now = known.now
@@ -76,8 +73,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[np.ndar
     picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1_000_000)) / 1e6 < share[F.col("grade")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(features(b.column(2).to_pylist()), pa.list_(pa.int32()))], ["doc_id", "grade", "f"])
+        known = Known(WORDS)
+        for big in batches:
+            for b in slices(big, 2):
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(features(b.column(2).to_pylist(), known), pa.list_(pa.int32()))], ["doc_id", "grade", "f"])
 
     # picked holds about MOST rows a grade at any size of the tables.
     texts = docs.select("doc_id", "text").filter(F.length("text").between(1, LONGEST)).join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text")
@@ -118,9 +117,9 @@ def fit(grades: np.ndarray, rows: list[np.ndarray], counts: np.ndarray, rounds:
     return weights, np.array([raw[0], raw[0] + np.exp(raw[1])])
 
 
-def grade_texts(texts: list[str], weights: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grade_texts(texts: list[str], weights: np.ndarray, cuts: np.ndarray, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Expected grade and probability of the best grade; both 0 for a blank text."""
-    rows = features(texts)
+    rows = features(texts, known)
     s = np.array([weights[f].sum() for f in rows])
     with np.errstate(over="ignore"):
         above = 1 / (1 + np.exp(cuts[None, :] - s[:, None]))
@@ -134,9 +133,10 @@ def _map(docs: DataFrame, labels: DataFrame, columns: list, schema, out) -> Data
     where = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(WORDS)
         for big in batches:
             for b in slices(big, where):
-                yield out(b, *grade_texts(b.column(where).to_pylist(), *shared.value))
+                yield out(b, *grade_texts(b.column(where).to_pylist(), *shared.value, known))
 
     return docs.select(*columns, F.coalesce("text", F.lit("")).alias("_whole_text")).mapInArrow(run, schema)
 
