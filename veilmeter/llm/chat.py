@@ -11,7 +11,8 @@ are sorted by (conversation, turn) and streamed, so a conversation that holds a
 
 Defined cases: null text and null role count as empty; equal turn numbers go by role, then text; a null conversation id is
 one conversation; repeated rows are repeated turns; an empty table gives an empty table; only the four columns are read, so
-further columns don't matter.
+further columns don't matter. The encoder gets a text in parts of at most PART characters, cut before a blank that follows a
+word, where its pattern never joins; only a longer run without such a blank is cut inside, as the library fails on long runs.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmeter.llm.common import tokenizer_path
+from veilmeter.llm.common import slices, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 FIRST_RESERVED = 50256
+PART = 50_000
 TURN, SEP, END = FIRST_RESERVED, FIRST_RESERVED + 1, FIRST_RESERVED + 2
 MARKS = {TURN: "<|turn|>", SEP: "<|sep|>", END: "<|end|>"}
 #: Strings that a chat template or tokenizer might take for control marks.
@@ -58,6 +60,22 @@ def encoding(path: str):
     return tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def parts(text: str, most: int = PART) -> Iterator[str]:
+    at = 0
+    while len(text) - at > most:
+        cut = text.rfind(" ", at + 1, at + most + 1)
+        while cut > at and text[cut - 1].isspace():
+            cut = text.rfind(" ", at + 1, cut)
+        cut = cut if cut > at else at + most
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def encoded(encode, text: str) -> list[int]:
+    return encode(text) if len(text) <= PART else [i for x in parts(text) for i in encode(x)]
+
+
 def assemble(segments: list[tuple[list[int], list[int], bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of turns (role ids, text ids, whether its loss counts): all ids, the mask over them, and where each turn begins."""
     sizes = np.array([[1, len(r), 1, len(t), 1] for r, t, _ in segments], dtype=np.int64).reshape(-1, 5)
@@ -82,10 +100,9 @@ def format_turns(conversations: DataFrame, vocabulary: str | None = None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path).encode_ordinary
         for big in batches:
-            for at in range(0, big.num_rows, 2000):
-                b = big.slice(at, 2000)
+            for b in slices(big, 3, 2000, 4 << 20):
                 roles, texts = b.column(2).to_pylist(), b.column(3).to_pylist()
-                ids, mask, starts = assemble([(encode(escape(r)), encode(escape(t)), r == "assistant") for r, t in zip(roles, texts)])
+                ids, mask, starts = assemble([(encoded(encode, escape(r)), encoded(encode, escape(t)), r == "assistant") for r, t in zip(roles, texts)])
                 cuts = [*starts.tolist(), len(ids)]
                 parts = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] for x in (ids, mask)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), *(pa.array(x, pa.binary()) for x in parts)], ["conv_id", "turn", "tie", "ids", "mask"])
