@@ -1,8 +1,9 @@
 """WARC archives as a PySpark data source, `warc`.
 
 Writing: a task writes one file of WARC/1.1 records under a name of its own and notes where every few megabytes a record
-begins; the commit writes these notes as a manifest, so files of failed or repeated attempts are never read. Reading: the
-manifest's pieces become partitions. Headers are parsed first. Filters on record_type and on the other header columns are
+begins; a commit writes these notes as a manifest, so files of failed or repeated attempts are never read. Each further write adds
+a manifest; overwriting removes the earlier ones with their files. Reading: the
+manifests' pieces become partitions. Headers are parsed first. Filters on record_type and on the other header columns are
 pushed to the reader, which then does not inflate or read the payload of a record; so it does when no payload is asked for.
 
 A record is a gzip member of its own, as is usual for WARC; its header's `sl` field holds the member's length, so a reader can
@@ -12,7 +13,10 @@ are read, a file a partition, whoever wrote them.
 Files are opened through pyarrow.fs, so local, HDFS and object stores work alike.
 
 Columns: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload. A null payload counts as empty; a null
-page_id or url is a record without that header; a revisit has headers only. Extra columns of the input are not written.
+page_id or url is a record without that header; a revisit has headers only. Extra columns of the input are not written. Of equal
+payloads the largest page_id is the response, null the smallest; rows that repeat that page_id are responses each, other repeated
+rows are revisits each; an empty table is an archive without records; a very long payload is one record. A CR or LF in a url is
+written as %0D or %0A and read back so, and blanks around a url are lost. A foreign record without a length has none.
 """
 
 from __future__ import annotations
@@ -35,13 +39,15 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from veilmeter.llm.common import shared_path
+from veilmeter.llm.common import shared_path, written
 
 SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 HEADERS = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
 PIECE = 16 << 20
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
 MIN_REVISIT = 1000
+FIRST = 2048  # packed bytes that are read of each member for its headers
+KEPT = 200_000  # rows of repeated digests, some 15 MB, up to which they are broadcast
 HEAD = 24  # bytes before a member's packed data
 
 
@@ -86,14 +92,22 @@ def member(data: bytes) -> bytes:
 
 
 def members(stream, end: int) -> Iterator[tuple[bytes, Callable[[], bytes]]]:
-    """Of each member up to `end`: the first bytes, inflated, and a function that inflates all. Members that aren't asked for stay packed."""
+    """Of each member up to `end`: the first bytes, inflated, and a function that reads and inflates all. What isn't asked for is neither read nor inflated."""
     import struct
     import zlib
 
-    while stream.tell() < end:
+    at = stream.tell()
+    while at < end:
         size = struct.unpack("<2sHII", stream.read(HEAD)[12:])[2]
-        packed = stream.read(size - HEAD)
-        yield zlib.decompressobj(-15).decompress(packed, 4096), lambda: zlib.decompress(packed, -15)
+        begin = stream.read(min(FIRST, size - HEAD))
+
+        def whole(at=at, size=size, begin=begin) -> bytes:
+            stream.seek(at + HEAD + len(begin))
+            return zlib.decompress(begin + stream.read(size - HEAD - len(begin)), -15)
+
+        yield zlib.decompressobj(-15).decompress(begin, 4096), whole
+        at += size
+        stream.seek(at)
 
 
 class Piece(InputPartition):
@@ -107,9 +121,17 @@ class Written(WriterCommitMessage):
         self.file, self.starts, self.size = file, starts, size
 
 
+def manifests(system, root: str) -> list[str]:
+    """One of each commit."""
+    from pyarrow import fs
+
+    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(x.path for x in found if x.path.rpartition("/")[2].startswith(MANIFEST))
+
+
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, rows: Iterator) -> Written:
         system, root = _open(self.path)
@@ -124,9 +146,17 @@ class WarcWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         system, root = _open(self.path)
+        system.create_dir(root, recursive=True)
+        before = manifests(system, root) if self.overwrite else []
         files = [{"file": m.file, "starts": m.starts, "size": m.size} for m in messages if m]
-        with system.open_output_stream(f"{root}/{MANIFEST}") as out:
+        with system.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(files).encode())
+        for manifest in before:
+            with system.open_input_stream(manifest) as f:
+                old = json.loads(f.read())
+            system.delete_file(manifest)
+            for x in old:
+                system.delete_file(f"{root}/{x['file']}")
 
     def abort(self, messages: list[Written | None]) -> None:
         system, root = _open(self.path)
@@ -173,11 +203,14 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         system, root = _open(self.path)
-        if system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.NotFound:
+        own = manifests(system, root)
+        if not own:
             found = system.get_file_info(fs.FileSelector(root, recursive=True))
             return [Piece(x.path.removeprefix(f"{root}/"), 0, -1) for x in found if x.path.endswith((".warc", ".warc.gz"))] or [Piece("", 0, 0)]
-        with system.open_input_stream(f"{root}/{MANIFEST}") as f:
-            files = json.loads(f.read())
+        files = []
+        for manifest in own:
+            with system.open_input_stream(manifest) as f:
+                files += json.loads(f.read())
         return [Piece(x["file"], a, b) for x in files for a, b in zip(x["starts"], [*x["starts"][1:], x["size"]])] or [Piece("", 0, 0)]
 
     def wanted(self, head: dict) -> bool:
@@ -215,6 +248,7 @@ class WarcReader(DataSourceReader):
     def read_all(self, stream) -> Iterator[tuple]:
         """The records of a file of any writer, from one end to the other."""
         while head := parse_head(stream):
+            head["length"] = head["length"] or 0
             skip = head["length"] + 4
             if self.wanted(head):
                 if self.payload_of(head):
@@ -237,7 +271,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], schema.names)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -256,6 +290,9 @@ def records(pages: DataFrame) -> DataFrame:
         pages.select("page_id", payload.alias("payload")).filter(F.octet_length("payload") >= MIN_REVISIT)
         .groupBy(F.sha1("payload").alias("payload_digest")).agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
     )
+    kept = written(kept, "repeated")
+    # Payloads stay where they lie while the repeated digests are few; else rows are dealt out by digest, where Spark splits a crowded one.
+    kept = F.broadcast(kept) if kept.count() <= KEPT else kept
     again = large & (F.col("kept") != F.coalesce("page_id", F.lit(-(2**63))))
     return rows.join(kept, "payload_digest", "left").select(
         "page_id", "url", F.when(again, "revisit").otherwise("response").alias("record_type"), "payload_bytes", "payload_digest",
