@@ -5,8 +5,8 @@ the data chunk is the payload itself. `decode_wav` reads a WAV file of format 6
 back into 16-bit PCM, and `store_resampled` keeps that PCM at twice the rate. G.711 codes are expanded by tables of 256
 entries; ADPCM blocks are independent, so numpy steps through the nibbles of many blocks at once.
 
-Defined cases: a null text counts as empty; an empty payload is padded to one frame; equal texts give equal values;
-clips of any length are decoded in slices of bounded size; an empty table gives an empty table; other columns of the
+Defined cases: a null text counts as empty; an empty payload is padded to one frame; equal texts give equal values, so ties
+and repeated rows need no rule, and each row has its result; clips of any length are decoded in slices of bounded size; an empty table gives an empty table; other columns of the
 input are not carried, so their names cannot clash.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmeter.llm.common import text_or_empty, written
+from veilmeter.llm.common import slices, text_or_empty, written
 
 FRAME = 576
 RATE = 8000
@@ -132,7 +132,7 @@ def store_resampled(df: DataFrame, key: str, media: str = "media") -> DataFrame:
     """key, pcm_wav: each clip as a PCM WAV file of twice the telephony rate; a null clip stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for big in batches for x in slices(big, 1)):
             clips = [None if x is None else wav(resample2(decode_wav(x)).tobytes(), 1, 2) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clips, pa.binary())], ["k", "pcm_wav"])
 
@@ -144,7 +144,7 @@ def pack_ulaw(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """key, n_bytes, media: the text's UTF-8 bytes, padded by 255 (mu-law silence) to whole frames, as a mu-law WAV file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for big in batches for x in slices(big, 1)):
             raw = [x.encode() for x in b.column(1).to_pylist()]
             media = [wav(x + b"\xff" * (-len(x) % FRAME or FRAME * (not x)), 7) for x in raw]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["k", "n_bytes", "media"])
@@ -193,8 +193,7 @@ def media_digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                b = big.slice(at, 1000)
+            for b in slices(big, 2, 1000, 4 << 20):
                 clips = b.column(2).to_pylist()
                 data = [parse_wav(x)[2] for x in clips]
                 columns = [

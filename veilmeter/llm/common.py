@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.veilmeter.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='veilmeter_')}"
         spark.conf.set("spark.veilmeter.shared.dir", where)
         spark.sparkContext.setCheckpointDir(where)
