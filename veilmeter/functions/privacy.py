@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import warnings
 from statistics import NormalDist
 
@@ -61,6 +60,18 @@ def gdp_epsilon(configs: DataFrame, delta: float) -> DataFrame:
     return configs.select("run_id", (mu * NormalDist().inv_cdf(1 - delta) + mu * mu / 2).alias("epsilon"))
 
 
+def steps_epsilon(steps: Column, q: float, sigma: float, delta: float, accountant: str = "gdp") -> Column:
+    """What is spent after a number of steps, by the accountant `gdp`, or `rdp`, which doesn't depend on the number."""
+    if accountant == "gdp":
+        mu = F.sqrt(steps.cast("double")) * q / sigma
+        return mu * NormalDist().inv_cdf(1 - delta) + mu * mu / 2
+    if accountant == "rdp":
+        a = F.array(*map(F.lit, SIMPLE_ORDERS))
+        half = lambda x: (x - 1) / (2 * sigma * sigma)
+        return F.array_min(F.transform(a, lambda x: half(x) + F.log(1 + q * (F.exp(half(x)) - 1)) - F.log(F.lit(delta)) / (x - 1)))
+    raise ValueError(f"unknown accountant: {accountant}")
+
+
 def accountant_epsilon(configs: DataFrame, accountant: str, delta: float = 1e-5) -> DataFrame:
     if accountant not in ("rdp", "gdp"):
         raise ValueError(f"unknown accountant: {accountant}")
@@ -79,14 +90,26 @@ def budget(configs: DataFrame) -> DataFrame:
     out = checked.withColumns({"q": q, "steps": steps})
     out = out.withColumn("epsilon", strong_epsilon(F.col("q"), F.col("steps"), F.col("delta"), F.col("sigma")))
     out = out.withColumns({"risk": risk.by_budget(F.col("epsilon")), "required_sigma": F.col("q") * F.sqrt(2 * F.col("steps") * F.log(1 / F.col("delta")))})
+    return out.withColumn("advice", advice())
+
+
+def advice() -> Column:
+    """What to do about a budget, with its figures. The texts are fixed values."""
+    e, need = F.format_string("%.2f", F.col("epsilon")), F.format_string("%.1f", F.col("required_sigma"))
     fewer = F.greatest(F.lit(1), F.floor(F.col("epochs") / 2)).cast("string")
-    advice = F.when(F.col("risk") == "LOW", "keep").when(F.col("risk") == "MEDIUM", "raise sigma").otherwise(F.concat(F.lit("raise sigma or reduce epochs to "), fewer))
-    return out.withColumn("advice", advice)
+    low = F.concat(F.lit("Epsilon = "), e, F.lit(" meets the recommended threshold of <= 1.0. Current sigma = "), F.format_string("%.1f", F.col("sigma")), F.lit(" provides strong differential privacy guarantees."))
+    medium = F.concat(F.lit("Epsilon = "), e, F.lit(" is acceptable for non-sensitive data. To reach epsilon <= 1.0 (LOW risk), increase sigma to >= "), need, F.lit(". Note: higher sigma reduces model utility."))
+    high = F.concat(
+        F.lit("Epsilon = "), e, F.lit(" provides weak privacy guarantees. To reach epsilon <= 1.0, increase sigma to >= "), need, F.lit(" or reduce epochs (current: "), F.col("epochs").cast("string"),
+        F.lit("). Consider reducing epochs to "), fewer, F.lit(" and re-evaluating."),
+    )
+    return F.when(F.col("risk") == "LOW", low).when(F.col("risk") == "MEDIUM", medium).otherwise(high)
 
 
-def log_floor(p: Column, floor: float = 1e-12) -> Column:
-    return F.log(F.greatest(F.lit(floor), F.least(F.lit(1.0), p)))
+def interpretation(epsilon: Column) -> Column:
+    """What an epsilon means for an adversary's odds; e counts as 2.718. The text is a fixed value."""
+    return F.concat(F.lit("an adversary gains at most e^"), epsilon.cast("string"), F.lit(" = "), F.format_string("%.2f", F.pow(F.lit(2.718), epsilon)), F.lit("x odds advantage"))
 
 
-def bound(delta: float) -> float:
-    return math.log(1 / delta)
+def log_floor(p: Column, floor: float = 1e-12) -> Column:
+    return F.log(F.greatest(F.lit(floor), F.least(F.lit(1.0), p)))

@@ -44,8 +44,8 @@ def smoothed_loss(logits: Column, label: Column, smoothing: float, classes: int)
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
 
-def early_stopping(rows: DataFrame, key: str, order: list[str], value: str, patience: int = 3, min_delta: float = 0.0) -> DataFrame:
-    """key, best, counter, stopped, n: each key's values folded in order; once stopped it stays so, and the state with it. The sorted
+def early_stopping(rows: DataFrame, key: str, order: list[str], value: str, patience: int = 5, min_delta: float = 1e-4) -> DataFrame:
+    """key, best, counter, stopped, n: each key's values folded in order; once stopped it stays so, while best and counter go on. The sorted
     rows are a stream, of which a task holds one key's state."""
     kind = rows.schema[key].dataType
 
@@ -97,6 +97,16 @@ def first_step(samples: DataFrame, most: float = 0.4) -> DataFrame:
     return g.groupBy("coordinate").agg(F.avg("g").alias("gradient")).withColumn("coordinate", F.col("coordinate").cast("long"))
 
 
+def batch_step(samples: DataFrame, most: float = 0.01, noise: float = 0.0, seed: int = 42) -> DataFrame:
+    """coordinate, gradient: the mean logistic gradient of one batch at weights 0, scaled as a whole where its norm is beyond `most`,
+    with Gaussian noise of deviation noise * most."""
+    y = F.when(F.col("label") == 0, 1.0).otherwise(0.0)
+    g = samples.select(F.posexplode(F.transform("features", lambda x: (0.5 - y) * x)).alias("coordinate", "g")).groupBy("coordinate").agg(F.avg("g").alias("g"))
+    scale = F.least(F.lit(1.0), most / (F.sqrt(g.agg(F.sum(F.col("g") * F.col("g"))).scalar()) + 1e-6))
+    out = F.col("g") * scale + (F.randn(seed) * noise * most if noise else F.lit(0.0))
+    return g.select(F.col("coordinate").cast("long").alias("coordinate"), out.alias("gradient"))
+
+
 def dp_sgd(samples: DataFrame, configs: DataFrame, epochs: int = 2, batch: int = 64, rate: float = 0.1, most: float = 1.0, seed: int = 42) -> DataFrame:
     """run_id, accuracy, steps, sigma, sample_rate, delta: a fit for each setting, in parallel. samples must be small enough for a task:
     a fit is sequential."""

@@ -27,7 +27,7 @@ def loss_evaluate(found: DataFrame, digits: int = 9) -> DataFrame:
     found = found.withColumn("loss", F.round("loss", digits))
     cut = found.groupBy("run_id").agg(F.round(F.avg(F.when(F.col("is_member"), F.col("loss"))), digits).alias("threshold"))
     said = (F.col("loss") <= F.col("threshold")).cast("double")
-    by = found.join(F.broadcast(cut), "run_id").groupBy("run_id").agg(
+    by = found.join(cut, "run_id").groupBy("run_id").agg(
         F.first("threshold").alias("threshold"), (F.avg(F.when(F.col("is_member"), said)) - F.avg(F.when(~F.col("is_member"), said))).alias("advantage")
     )
     auc = roc.summary(roc.curve(found.withColumn("score", -F.col("loss")))).select("run_id", "auc")
@@ -72,6 +72,38 @@ def shadow_attack(features: DataFrame, preds: DataFrame, labelled: bool = False)
     return seen.select(F.lit("run").alias("run_id"), "sample_id", "is_member", score.alias("score"))
 
 
+def at_half(scores: DataFrame) -> DataFrame:
+    """scores with is_member_pred: a score of at least one half."""
+    return scores.withColumn("is_member_pred", F.col("score") >= 0.5)
+
+
+def shadow_evaluate(scores: DataFrame, shadows: int) -> DataFrame:
+    """run_id, auc, accuracy (at one half), n_shadow, n_members, n_nonmembers."""
+    right = at_half(scores).groupBy("run_id").agg(F.avg((F.col("is_member_pred") == F.col("is_member")).cast("double")).alias("accuracy"))
+    found = roc.summary(roc.curve(scores)).select("run_id", "auc", "n_members", "n_nonmembers")
+    return found.join(right, "run_id").withColumn("n_shadow", F.lit(shadows).cast("long"))
+
+
+def direct_evaluate(scores: DataFrame) -> DataFrame:
+    """run_id, auc, threshold (the best), accuracy, n_members, n_nonmembers."""
+    c = roc.curve(scores)
+    at = roc.at_threshold(scores, roc.best_threshold(c)).select("run_id", "threshold", "accuracy")
+    return roc.summary(c).select("run_id", "auc", "n_members", "n_nonmembers").join(at, "run_id")
+
+
+def resistance(preds: DataFrame, attack=None) -> DataFrame:
+    """run_id, attack_auc, attack_accuracy, advantage (how far the accuracy is from one half), threshold, of an attack on a model's
+    predictions; attack: from predictions to run_id, auc, accuracy, threshold, by default the direct test."""
+    found = (attack or (lambda p: direct_evaluate(confidence_scores(p))))(preds)
+    return found.select("run_id", F.col("auc").alias("attack_auc"), F.col("accuracy").alias("attack_accuracy"), F.abs(F.col("accuracy") - 0.5).alias("advantage"), "threshold")
+
+
+def drawn(samples: DataFrame, seed: int = 42) -> DataFrame:
+    """Half of the samples, n // 2 exactly, without replacement: the first in a fixed hash order."""
+    half = samples.count() // 2
+    return samples.orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id").limit(half)
+
+
 def capped(samples: DataFrame, most: int) -> DataFrame:
     """The first `most` samples of each side: a bound on the targets of the likelihood-ratio test."""
     order = Window.partitionBy("is_member").orderBy("sample_id")
@@ -83,17 +115,21 @@ def logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def lira_scores(pool: DataFrame, targets: DataFrame, shadows: int = 16, classes: int = models.CLASSES) -> DataFrame:
+def lira_scores(pool: DataFrame, targets: DataFrame, shadows: int = 16, classes: int = models.CLASSES, pooled: bool = False) -> DataFrame:
     """run_id, sample_id, is_member, mean and deviation with and without the target, score. A count model with the target differs from
-    one without by one count, so nothing is fitted again; what is observed is the median without it."""
+    one without by one count, so nothing is fitted again; what is observed is the median without it. Deviations are rounded, so that
+    equal values have none. pooled: one deviation for all, that of all values without the target."""
     counts = shadow_counts(with_shadows(pool, shadows), classes)
     each = with_shadows(targets, shadows).join(counts, ["shadow", "k"])
     own = F.col("is_in").cast("long")
     c, n = F.col("counts")[F.col("label")] - own, F.col("total") - own
     each = each.withColumns({"out": logit((c + 1).cast("double") / (n + classes).cast("double")), "inn": logit((c + 2).cast("double") / (n + 1 + classes).cast("double"))})
     by = each.groupBy("sample_id", "is_member").agg(
-        F.avg("inn").alias("mean_in"), (F.stddev_pop("inn") + 1e-9).alias("sd_in"), F.avg("out").alias("mean_out"), (F.stddev_pop("out") + 1e-9).alias("sd_out"), F.percentile("out", 0.5).alias("seen")
+        F.avg("inn").alias("mean_in"), (F.round(F.stddev_pop("inn"), 9) + 1e-9).alias("sd_in"), F.avg("out").alias("mean_out"), (F.round(F.stddev_pop("out"), 9) + 1e-9).alias("sd_out"), F.percentile("out", 0.5).alias("seen")
     )
+    if pooled:
+        one = each.agg(F.stddev_pop("out") + 1e-9).scalar()
+        by = by.withColumns({"sd_in": one, "sd_out": one})
     log_of = lambda m, s: -0.5 * ((F.col("seen") - F.col(m)) / F.col(s)) ** 2 - F.log(s)
     return by.select(F.lit("run").alias("run_id"), "*", (log_of("mean_in", "sd_in") - log_of("mean_out", "sd_out")).alias("score"))
 
@@ -110,6 +146,18 @@ def min_k(log_probs: DataFrame, k: float = 0.2, min_tokens: int = 10) -> DataFra
     return by.select("doc_id", "n_tokens", F.col("n_min").cast("long").alias("n_min"), (total / F.col("n_min")).alias("score"))
 
 
+def min_k_sweep(log_probs: DataFrame, ks: tuple[float, ...], min_tokens: int = 10) -> DataFrame:
+    """k, n_docs, mean_score: the mean of min_k's scores for each k, from one pass over the tokens."""
+    by = log_probs.groupBy("doc_id").agg(F.array_sort(F.collect_list("logp")).alias("lp")).filter(F.size("lp") >= min_tokens)
+
+    def score(k: float) -> Column:
+        n = F.greatest(F.lit(1), F.ceil(F.lit(k) * F.size("lp"))).cast("int")
+        return F.aggregate(F.slice("lp", F.lit(1), n), F.lit(0.0), lambda a, x: a + x) / n
+
+    each = by.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), score(k).alias("score")) for k in ks])).alias("x")).select("x.*")
+    return each.groupBy("k").agg(F.count("*").alias("n_docs"), F.avg("score").alias("mean_score"))
+
+
 def min_k_array(values: list[float], k: float = 0.2, min_tokens: int = 10) -> float:
     if len(values) < min_tokens:
         raise ValueError(f"{len(values)} tokens, at least {min_tokens} are needed")

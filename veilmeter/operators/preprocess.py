@@ -33,3 +33,27 @@ def stratified_split(df: DataFrame, label: str, id_name: str, test_size: float,
     place = F.row_number().over(Window.partitionBy(label).orderBy(mixed, id_name))
     count = F.count("*").over(Window.partitionBy(label))
     return df.withColumn(out, place <= F.ceil(F.lit(test_size) * count))
+
+
+def median_impute_array(df: DataFrame, column: str, key: str) -> DataFrame:
+    """Null and NaN components of an array become their component's exact median over all rows."""
+    clean = F.nanvl(F.col("x"), F.lit(None).cast("double"))
+    each = df.select(key, F.posexplode(column).alias("i", "x")).withColumn("x", clean)
+    middle = each.groupBy("i").agg(F.percentile("x", 0.5).alias("m"))
+    whole = each.join(middle, "i").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("x", "m").alias("x")))).alias("s"))
+    return whole.select(key, F.transform("s", lambda x: x["x"]).alias(column))
+
+
+def target_encode(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Strings to the codes of label_encode; numbers cut to whole ones."""
+    return label_encode(df, column, out) if df.schema[column].dataType.simpleString() == "string" else df.withColumn(out, F.col(column).cast("long"))
+
+
+def binary_target(raw, positive: list[str]):
+    """1 where the text, without blanks and dots at its end, is one of `positive`, else 0."""
+    return F.regexp_replace(F.trim(raw), "[.]+$", "").isin(positive).cast("int")
+
+
+def class_balance(df: DataFrame, label: str) -> DataFrame:
+    """balance: the share of rows whose label is 1."""
+    return df.agg(F.avg((F.col(label) == 1).cast("double")).alias("balance"))

@@ -1,6 +1,7 @@
 """Ranking statistics over scores(run_id, is_member, score), all runs in one plan.
 
-Scores are grouped first, so windows hold one row a different score of a run. Sums are integers, which makes results exact.
+Scores are grouped first, then dealt out by run and bucket, a range of scores that is told by a score alone (256 to an octave). Windows
+run within buckets, and over a row a bucket, so no task holds a whole run. Sums are integers, which makes results exact.
 """
 
 from __future__ import annotations
@@ -9,13 +10,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bucket(score: Column, parts: int = 256) -> Column:
+    """A number that never falls as the score rises: `parts` of them to each power of two."""
+    size = F.least(F.abs(score), F.lit(1e300))
+    octave = F.floor(F.log2(size))
+    place = (octave + 2000) * parts + F.floor((size / F.pow(F.lit(2.0), octave) - 1) * parts)
+    return F.when(score == 0, F.lit(0)).otherwise(F.signum(score) * place).cast("long")
+
+
 def curve(scores: DataFrame) -> DataFrame:
-    """run_id, score, p, n, tp, fp, pos, neg: the counts at and from each different score down to it. Null scores are left out."""
+    """run_id, score, p, n, tp, fp, pos, neg: the counts at and from each different score down to it. Null and NaN scores are left out."""
     count = lambda c: F.sum(c.cast("long"))
-    by = scores.filter("score IS NOT NULL").groupBy("run_id", "score").agg(count(F.col("is_member")).alias("p"), count(~F.col("is_member")).alias("n"))
-    run = Window.partitionBy("run_id")
-    down = run.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return by.select("*", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(run).alias("pos"), F.sum("n").over(run).alias("neg"))
+    by = scores.filter("score IS NOT NULL AND NOT isnan(score)").groupBy("run_id", "score").agg(count(F.col("is_member")).alias("p"), count(~F.col("is_member")).alias("n"))
+    by = by.withColumn("bucket", bucket(F.col("score")))
+    run, part = Window.partitionBy("run_id"), Window.partitionBy("run_id", "bucket")
+    above = run.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = by.groupBy("run_id", "bucket").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    sums = sums.select("run_id", "bucket", zero(F.sum("bp").over(above)).alias("bp"), zero(F.sum("bn").over(above)).alias("bn"), F.sum("bp").over(run).alias("pos"), F.sum("bn").over(run).alias("neg"))
+    down = part.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return by.join(sums, ["run_id", "bucket"]).select(
+        "run_id", "score", "p", "n", (F.col("bp") + F.sum("p").over(down)).alias("tp"), (F.col("bn") + F.sum("n").over(down)).alias("fp"), "pos", "neg"
+    )
+
+
+def quantile(roc: DataFrame, q: float, side: str = "all") -> DataFrame:
+    """run_id, threshold: the linear quantile of the scores of members (`p`), non-members (`n`) or all, from their counts."""
+    own, down, total = {"p": ("p", "tp", "pos"), "n": ("n", "fp", "neg"), "all": ("p + n", "tp + fp", "pos + neg")}[side]
+    place = F.expr(f"({total} - 1) * {q}D")
+    low, high = F.floor(place), F.ceil(place)
+    holds = lambda k: (F.expr(f"{total} - ({down})") <= k) & (F.expr(f"{total} - ({down}) + ({own})") > k)
+    ends = roc.filter(holds(low) | holds(high)).groupBy("run_id").agg(F.min("score").alias("a"), F.max("score").alias("b"), F.first(place - low).alias("part"))
+    return ends.select("run_id", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("threshold"))
 
 
 def _rate(a: str, b: str) -> Column:
@@ -23,7 +49,12 @@ def _rate(a: str, b: str) -> Column:
 
 
 def points(roc: DataFrame) -> DataFrame:
-    """run_id, threshold, tpr, fpr at each different score."""
+    """run_id, threshold, tpr, fpr at each different score, and the start at (0, 0) under an infinite threshold."""
+    start = roc.select("run_id").distinct().select("run_id", F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
+    return start.unionByName(_points(roc))
+
+
+def _points(roc: DataFrame) -> DataFrame:
     return roc.select("run_id", F.col("score").alias("threshold"), _rate("tp", "pos").alias("tpr"), _rate("fp", "neg").alias("fpr"))
 
 
@@ -52,17 +83,17 @@ def best_threshold(roc: DataFrame) -> DataFrame:
 
 def at_threshold(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """run_id, threshold, accuracy, tpr, fpr, advantage of `score >= threshold`."""
-    said = scores.join(F.broadcast(thresholds.select("run_id", "threshold")), "run_id").withColumn("said", F.col("score") >= F.col("threshold"))
+    said = scores.join(thresholds.select("run_id", "threshold"), "run_id").withColumn("said", F.col("score") >= F.col("threshold"))
     rate = lambda c: F.avg(F.when(c, F.col("said").cast("double")))
     by = said.groupBy("run_id").agg(F.first("threshold").alias("threshold"), F.avg((F.col("said") == F.col("is_member")).cast("double")).alias("accuracy"), rate(F.col("is_member")).alias("tpr"), rate(~F.col("is_member")).alias("fpr"))
     return by.withColumn("advantage", F.col("tpr") - F.col("fpr"))
 
 
-def tpr_by_quantile(scores: DataFrame, fpr: float) -> DataFrame:
+def tpr_by_quantile(roc: DataFrame, fpr: float) -> DataFrame:
     """run_id, threshold (linear quantile 1 - fpr of non-member scores), tpr: members at or above it; 0 if a side is empty."""
-    cut = scores.groupBy("run_id").agg(F.percentile(F.when(~F.col("is_member"), F.col("score")), 1 - fpr).alias("threshold"))
-    hit = F.avg(F.when(F.col("is_member"), (F.col("score") >= F.col("threshold")).cast("double")))
-    return scores.join(F.broadcast(cut), "run_id").groupBy("run_id").agg(F.first("threshold").alias("threshold"), F.coalesce(hit, F.lit(0.0)).alias("tpr"))
+    cut = quantile(roc, 1 - fpr, "n")
+    hit = F.coalesce(F.try_divide(F.sum(F.when(F.col("score") >= F.col("threshold"), F.col("p")).otherwise(0)).cast("double"), F.max("pos").cast("double")), F.lit(0.0))
+    return roc.join(cut, "run_id").groupBy("run_id").agg(F.first("threshold").alias("threshold"), hit.alias("tpr"))
 
 
 def tpr_by_order(roc: DataFrame, fpr: float = 0.001) -> DataFrame:
@@ -72,6 +103,5 @@ def tpr_by_order(roc: DataFrame, fpr: float = 0.001) -> DataFrame:
     return cut.select("run_id", F.col("score").alias("threshold"), F.coalesce(_rate("tp", "pos"), F.lit(0.0)).alias("tpr"))
 
 
-def median_threshold(scores: DataFrame, members_only: bool) -> DataFrame:
-    value = F.when(F.col("is_member"), F.col("score")) if members_only else F.col("score")
-    return scores.groupBy("run_id").agg(F.percentile(value, 0.5).alias("threshold"))
+def median_threshold(roc: DataFrame, members_only: bool) -> DataFrame:
+    return quantile(roc, 0.5, "p" if members_only else "all")

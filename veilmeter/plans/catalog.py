@@ -78,7 +78,7 @@ def direct_scores_maxclass(spark, d):
 
 @query("direct_threshold_median", f"{W} SELECT quantile_cont(score, 0.5) AS threshold FROM pp WHERE mem")
 def direct_threshold_median(spark, d):
-    return roc.median_threshold(scores(spark, d), True).select("threshold")
+    return roc.median_threshold(curve(spark, d), True).select("threshold")
 
 
 @query("direct_threshold_best", f"{WR} SELECT score AS threshold, (tp*neg+(neg-fp)*pos)::DOUBLE/(2*pos::DOUBLE*neg::DOUBLE) AS balanced_accuracy FROM roc ORDER BY tp*neg+(neg-fp)*pos DESC, score LIMIT 1")
@@ -89,13 +89,16 @@ def direct_threshold_best(spark, d):
 @query("direct_evaluate", f"""{WR}, t AS ({BEST}) SELECT (SELECT sum(n*(2*(tp-p)+p))::DOUBLE/(2*max(pos)::DOUBLE*max(neg)::DOUBLE) FROM roc) AS auc,
     (SELECT score FROM t) AS threshold, round(avg(((pp.score >= (SELECT score FROM t)) = mem)::INT::DOUBLE), 9) AS accuracy, count(*) FILTER (mem) AS n_members, count(*) FILTER (NOT mem) AS n_nonmembers FROM pp""")
 def direct_evaluate(spark, d):
-    s = scores(spark, d)
-    c = roc.curve(s)
-    at = roc.at_threshold(s, roc.best_threshold(c)).select("run_id", "threshold", F.round("accuracy", 9).alias("accuracy"))
-    return roc.summary(c).select("run_id", "auc", "n_members", "n_nonmembers").join(at, "run_id").drop("run_id")
+    return membership.direct_evaluate(scores(spark, d)).withColumn("accuracy", F.bround("accuracy", 9)).drop("run_id")
+
+
+@query("mi_resistance", f"""{WR}, t AS ({BEST}), a AS (SELECT round(avg(((pp.score >= (SELECT score FROM t)) = mem)::INT::DOUBLE), 9) AS acc FROM pp)
+    SELECT (SELECT sum(n*(2*(tp-p)+p))::DOUBLE/(2*max(pos)::DOUBLE*max(neg)::DOUBLE) FROM roc) AS attack_auc, acc AS attack_accuracy, round(abs(acc-0.5e0), 9) AS advantage, (SELECT score FROM t) AS threshold FROM a""")
+def mi_resistance(spark, d):
+    return membership.resistance(preds(spark, d)).select("attack_auc", F.bround("attack_accuracy", 9).alias("attack_accuracy"), F.bround("advantage", 9).alias("advantage"), "threshold")
 
 
-@query("roc_points", f"{WR} SELECT score AS threshold, tp/pos::DOUBLE AS tpr, fp/neg::DOUBLE AS fpr FROM roc")
+@query("roc_points", f"{WR} SELECT score AS threshold, tp/pos::DOUBLE AS tpr, fp/neg::DOUBLE AS fpr FROM roc UNION ALL SELECT 'inf'::DOUBLE, 0::DOUBLE, 0::DOUBLE")
 def roc_points(spark, d):
     return roc.points(curve(spark, d)).drop("run_id")
 
@@ -107,7 +110,7 @@ def roc_summary(spark, d):
 
 @query("tpr_quantile_rule", f"{W}, t AS (SELECT quantile_cont(score, 0.99) AS threshold FROM pp WHERE NOT mem) SELECT threshold, round(avg((score >= threshold)::INT::DOUBLE), 9) AS tpr FROM pp, t WHERE mem GROUP BY threshold")
 def tpr_quantile_rule(spark, d):
-    return roc.tpr_by_quantile(scores(spark, d), 0.01).select("threshold", F.round("tpr", 9).alias("tpr"))
+    return roc.tpr_by_quantile(curve(spark, d), 0.01).select("threshold", F.round("tpr", 9).alias("tpr"))
 
 
 @query("tpr_orderstat_rule", f"""{W}, o AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS i, count(*) OVER () AS c FROM pp WHERE NOT mem),
@@ -119,7 +122,7 @@ def tpr_orderstat_rule(spark, d):
 @query("advantage_median", f"{W}, t AS (SELECT quantile_cont(score, 0.5) AS threshold FROM pp) SELECT threshold, round(avg(CASE WHEN mem THEN (score>=threshold)::INT::DOUBLE END) - avg(CASE WHEN NOT mem THEN (score>=threshold)::INT::DOUBLE END), 9) AS advantage FROM pp, t GROUP BY threshold")
 def advantage_median(spark, d):
     s = scores(spark, d)
-    return roc.at_threshold(s, roc.median_threshold(s, False)).select("threshold", F.round("advantage", 9).alias("advantage"))
+    return roc.at_threshold(s, roc.median_threshold(roc.curve(s), False)).select("threshold", F.round("advantage", 9).alias("advantage"))
 
 
 @query("advantage_threshold", f"{WR}, t AS ({BEST}) SELECT t.score AS threshold, round(avg(CASE WHEN mem THEN (pp.score>=t.score)::INT::DOUBLE END) - avg(CASE WHEN NOT mem THEN (pp.score>=t.score)::INT::DOUBLE END), 9) AS advantage FROM pp, t GROUP BY t.score")
@@ -142,11 +145,14 @@ def yeom_evaluate(spark, d):
     return membership.loss_evaluate(membership.losses(preds(spark, d))).select(*[F.round(c, 6).alias(c) for c in ("threshold", "advantage", "auc")])
 
 
+def _sliced(spark, d):
+    return models.fit_predict(tables.order_samples(spark, d, FINE, F.col("o_orderpriority").alias("slice")))
+
+
 # --- slices and many models --------------------------------------------------------------------------------------------
 @query("generalization_gap", f"{W} SELECT o_orderpriority AS slice, round(avg(CASE WHEN mem THEN (pred=y)::INT::DOUBLE END), 9) AS train_accuracy, round(avg(CASE WHEN NOT mem THEN (pred=y)::INT::DOUBLE END), 9) AS test_accuracy FROM pp GROUP BY 1")
 def generalization_gap(spark, d):
-    slices = tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderpriority").alias("slice"))
-    return reports.generalization_gap(preds(spark, d).join(slices, "sample_id"), "slice").select("slice", F.round("train_accuracy", 9).alias("train_accuracy"), F.round("test_accuracy", 9).alias("test_accuracy"))
+    return reports.generalization_gap(_sliced(spark, d), "slice").select("slice", F.round("train_accuracy", 9).alias("train_accuracy"), F.round("test_accuracy", 9).alias("test_accuracy"))
 
 
 def _roc_by(group: str) -> str:
@@ -157,8 +163,8 @@ def _roc_by(group: str) -> str:
 @query("leakage_by_slice", f"""WITH {sql_preds()}, px AS (SELECT o_orderpriority AS slice, * FROM pp UNION ALL SELECT 'all' AS slice, * FROM pp),
     {_roc_by('slice').replace('FROM pp', 'FROM px')} SELECT run_id AS slice, {SQL_SUMMARY} FROM roc GROUP BY run_id""")
 def leakage_by_slice(spark, d):
-    slices = tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.explode(F.array(F.col("o_orderpriority"), F.lit("all"))).alias("slice"))
-    found = membership.confidence_scores(preds(spark, d).join(slices, "sample_id"), F.col("slice"))
+    each = _sliced(spark, d).withColumn("slice", F.explode(F.array("slice", F.lit("all"))))
+    found = membership.confidence_scores(each, F.col("slice"))
     return roc.summary(roc.curve(found)).withColumnRenamed("run_id", "slice")
 
 
@@ -226,29 +232,52 @@ def shadow_attack_eval_labelled(spark, d):
     return _attack(spark, d, True)
 
 
+@query("shadow_evaluate", _sql_attack("[]::DOUBLE[]", "[]::DOUBLE[]").split(f"SELECT {SQL_SUMMARY}")[0] + """, ev AS (SELECT sum(n*(2*(tp-p)+p))::DOUBLE/(2*max(pos)::DOUBLE*max(neg)::DOUBLE) AS auc FROM roc)
+    SELECT (SELECT auc FROM ev) AS auc, round(avg(((score >= 0.5e0) = mem)::INT::DOUBLE), 9) AS accuracy, 4::BIGINT AS n_shadow, count(*) FILTER (mem) AS n_members, count(*) FILTER (NOT mem) AS n_nonmembers FROM sco""")
+def shadow_evaluate(spark, d):
+    target = preds(spark, d).filter("sample_id % 4 <> 1")
+    return membership.shadow_evaluate(membership.shadow_attack(_shadows(spark, d), target), 4).withColumn("accuracy", F.bround("accuracy", 9)).drop("run_id")
+
+
 SQL_LIRA = f"""WITH {sql_samples()}, e AS (SELECT s.*, shadow, {IN_SHADOW} AS isin FROM s, (SELECT unnest(range(16)) AS shadow)),
     sc AS (SELECT shadow, k, count(*) FILTER (isin AND y=0) n0, count(*) FILTER (isin AND y=1) n1, count(*) FILTER (isin AND y=2) n2, count(*) FILTER (isin) n FROM e GROUP BY ALL),
-    t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mem ORDER BY id) AS i FROM s) WHERE i <= 200),
-    j AS (SELECT id, mem, CASE y WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END - isin::INT AS c, n - isin::INT AS n FROM e JOIN t USING (id, mem, k, y) JOIN sc USING (shadow, k)),
+    j AS (SELECT id, mem, CASE y WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END - isin::INT AS c, n - isin::INT AS n FROM e JOIN sc USING (shadow, k)),
     p AS (SELECT id, mem, (c+1)::DOUBLE/(n+3)::DOUBLE AS po, (c+2)::DOUBLE/(n+4)::DOUBLE AS pi FROM j),
-    z AS (SELECT id, mem, avg(ln(pi/(1-pi))) mi, stddev_pop(ln(pi/(1-pi)))+1e-9 si, avg(ln(po/(1-po))) mo, stddev_pop(ln(po/(1-po)))+1e-9 so, quantile_cont(ln(po/(1-po)), 0.5) ob FROM p GROUP BY ALL),
-    l AS (SELECT id, mem, si, so, round((-0.5*((ob-mi)/si)**2 - ln(si)) - (-0.5*((ob-mo)/so)**2 - ln(so)), 5) AS score FROM z)"""
+    z AS (SELECT id, mem, avg(ln(pi/(1-pi))) mi, round(stddev_pop(ln(pi/(1-pi))), 9)+1e-9 si, avg(ln(po/(1-po))) mo, round(stddev_pop(ln(po/(1-po))), 9)+1e-9 so, quantile_cont(ln(po/(1-po)), 0.5) ob FROM p GROUP BY ALL),
+    lr AS (SELECT id, mem, (-0.5*((ob-mi)/si)**2 - ln(si)) - (-0.5*((ob-mo)/so)**2 - ln(so)) AS score FROM z), l AS (SELECT id, mem, CASE WHEN abs(score) < 1e6 THEN round(score, 5) ELSE sign(score)*1e6 END AS score FROM lr)"""
+
+
+def _shown(score):
+    """Scores beyond a million, of samples whose deviation is none, as a million: their digits are noise."""
+    return F.when(F.abs(score) < 1e6, F.round(score, 5)).otherwise(F.signum(score) * 1e6)
 
 
 def _lira(spark, d):
     pool = tables.order_samples(spark, d)
-    found = membership.lira_scores(pool, membership.capped(pool, 200))
-    return found.filter("sd_in > 1e-6 AND sd_out > 1e-6").withColumn("score", F.round("score", 5))
+    return membership.lira_scores(pool, pool).withColumn("score", _shown(F.col("score")))
 
 
-@query("lira_scores", f"{SQL_LIRA} SELECT id AS sample_id, mem AS is_member, score FROM l WHERE si > 1e-6 AND so > 1e-6")
+@query("lira_scores", f"{SQL_LIRA} SELECT id AS sample_id, mem AS is_member, score FROM l")
 def lira_scores(spark, d):
     return _lira(spark, d).select("sample_id", "is_member", "score")
 
 
-@query("lira_metrics", f"{SQL_LIRA}, pp AS (SELECT mem, score FROM l WHERE si > 1e-6 AND so > 1e-6), {SQL_ROC} SELECT {SQL_SUMMARY} FROM roc")
+@query("lira_scores_pooled", f"{SQL_LIRA}, g AS (SELECT stddev_pop(ln(po/(1-po)))+1e-9 AS s FROM p) SELECT id AS sample_id, mem AS is_member, round(-0.5*((ob-mi)/s)**2 + 0.5*((ob-mo)/s)**2, 5) AS score FROM z, g")
+def lira_scores_pooled(spark, d):
+    pool = tables.order_samples(spark, d)
+    return membership.lira_scores(pool, pool, pooled=True).select("sample_id", "is_member", F.round("score", 5).alias("score"))
+
+
+@query("lira_metrics", f"""{SQL_LIRA}, pp AS (SELECT mem, score FROM l), {SQL_ROC}, md AS (SELECT quantile_cont(score, 0.5) AS m FROM pp),
+    o AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS i, count(*) OVER () AS c FROM pp WHERE NOT mem), th AS (SELECT score AS s FROM o WHERE i = greatest(0, floor(c*0.001)-1)+1)
+    SELECT (SELECT sum(n*(2*(tp-p)+p))::DOUBLE/(2*max(pos)::DOUBLE*max(neg)::DOUBLE) FROM roc) AS auc, round(avg(CASE WHEN mem THEN (score>=m)::INT::DOUBLE END) - avg(CASE WHEN NOT mem THEN (score>=m)::INT::DOUBLE END), 9) AS advantage,
+    round(avg(CASE WHEN mem THEN (score>=s)::INT::DOUBLE END), 9) AS tpr_at_01pct, count(*) FILTER (mem) AS n_members, count(*) FILTER (NOT mem) AS n_nonmembers FROM pp, md, th""")
 def lira_metrics(spark, d):
-    return roc.summary(roc.curve(_lira(spark, d))).drop("run_id")
+    found = _lira(spark, d)
+    c = roc.curve(found)
+    at = roc.at_threshold(found, roc.median_threshold(c, False)).select("run_id", F.round("advantage", 9).alias("advantage"))
+    low = roc.tpr_by_order(c).select("run_id", F.round("tpr", 9).alias("tpr_at_01pct"))
+    return roc.summary(c).select("run_id", "auc", "n_members", "n_nonmembers").join(at, "run_id").join(low, "run_id").drop("run_id")
 
 
 # --- extraction and inversion ------------------------------------------------------------------------------------------
@@ -289,10 +318,14 @@ def _sql_mink(k: str = "0.2E0", source: str = "documents", ident: str = "doc_id"
     mk AS (SELECT id, n AS n_tokens, greatest(1, ceil({k}*n))::BIGINT AS n_min, avg(lp) AS score FROM o WHERE n >= 10 AND i <= greatest(1, ceil({k}*n)) GROUP BY id, n)"""
 
 
-def _mink(spark, d, k=0.2, docs=None, id_name="doc_id"):
+def _token_log_probs(spark, d, docs=None, id_name="doc_id"):
     own = tables.read(spark, d, "documents")
     model = models.unigram(models.tokens(own.filter("doc_id % 2 = 0")))
-    return membership.min_k(models.token_log_probs(models.tokens(own if docs is None else docs, id_name), model), k)
+    return models.token_log_probs(models.tokens(own if docs is None else docs, id_name), model)
+
+
+def _mink(spark, d, k=0.2, docs=None, id_name="doc_id"):
+    return membership.min_k(_token_log_probs(spark, d, docs, id_name), k)
 
 
 def _mink_scores(found):
@@ -304,9 +337,12 @@ def mink_scores(spark, d):
     return _mink(spark, d).withColumn("score", F.round("score", 6))
 
 
-@query("mink_evaluate", f"WITH {_sql_mink()}, pp AS (SELECT id % 2 = 0 AS mem, round(score, 6) AS score FROM mk), {SQL_ROC} SELECT {SQL_SUMMARY} FROM roc")
+@query("mink_evaluate", f"WITH {_sql_mink()}, pp AS (SELECT id % 2 = 0 AS mem, round(score, 6) AS score FROM mk), {SQL_ROC}, t AS (SELECT quantile_cont(score, 0.99) AS thr FROM pp WHERE NOT mem) SELECT (SELECT sum(n*(2*(tp-p)+p))::DOUBLE/(2*max(pos)::DOUBLE*max(neg)::DOUBLE) FROM roc) AS auc, round(avg(CASE WHEN mem THEN (score >= thr)::INT::DOUBLE END), 9) AS tpr_at_1pct, count(*) FILTER (mem) AS n_members, count(*) FILTER (NOT mem) AS n_nonmembers, 'min_k_prob' AS method, 'documents' AS dataset FROM pp, t")
 def mink_evaluate(spark, d):
-    return roc.summary(roc.curve(_mink_scores(_mink(spark, d)))).drop("run_id")
+    c = roc.curve(_mink_scores(_mink(spark, d)))
+    at = roc.tpr_by_quantile(c, 0.01).select("run_id", F.round("tpr", 9).alias("tpr_at_1pct"))
+    found = roc.summary(c).select("run_id", "auc", "n_members", "n_nonmembers").join(at, "run_id").drop("run_id")
+    return found.withColumns({"method": F.lit("min_k_prob"), "dataset": F.lit("documents")})
 
 
 KS = (0.1, 0.2, 0.3, 0.5)
@@ -314,11 +350,7 @@ KS = (0.1, 0.2, 0.3, 0.5)
 
 @query("mink_k_sweep", " UNION ALL ".join(f"SELECT * FROM (WITH {_sql_mink(f'{k}E0')} SELECT {k}::DOUBLE AS k, count(*) AS n_docs, round(avg(score), 6) AS mean_score FROM mk)" for k in KS))
 def mink_k_sweep(spark, d):
-    out = None
-    for k in KS:
-        one = _mink(spark, d, k).agg(F.count("*").alias("n_docs"), F.round(F.avg("score"), 6).alias("mean_score")).select(F.lit(k).alias("k"), "n_docs", "mean_score")
-        out = one if out is None else out.union(one)
-    return out
+    return membership.min_k_sweep(_token_log_probs(spark, d), KS).withColumn("mean_score", F.round("mean_score", 6))
 
 
 @query("mink_members_vs_benchmark", f"WITH {_sql_mink(source='benchmark', ident='item_id')} SELECT id AS item_id, n_tokens, round(score, 6) AS score FROM mk")
@@ -344,6 +376,13 @@ def rdp_epsilon_sweep(spark, d):
     return privacy.compute_epsilon(tables.configs(spark)).withColumn("epsilon", F.round("epsilon", 4))
 
 
+@query("epsilon_report", f"""{SQL_CURVE}, b AS (SELECT run_id, round(min(eps), 4) AS epsilon, arg_min(alpha, eps) AS alpha FROM c GROUP BY run_id)
+    SELECT *, printf('an adversary gains at most e^%s = %.2fx odds advantage', epsilon::VARCHAR, 2.718e0**epsilon) AS interpretation FROM b""")
+def epsilon_report(spark, d):
+    found = privacy.compute_epsilon(tables.configs(spark)).withColumn("epsilon", F.bround("epsilon", 4))
+    return found.withColumn("interpretation", privacy.interpretation(F.col("epsilon")))
+
+
 @query("simple_rdp_epsilon", f"""WITH {CONFIGS}, al AS (SELECT 1 + unnest(range(1, 100))/10e0 AS a UNION ALL SELECT unnest(range(12, 64))::DOUBLE)
     SELECT run_id, round(min((a-1)/(2*sigma*sigma) + ln(1+q*(exp((a-1)/(2*sigma*sigma))-1)) - ln(delta)/(a-1)), 6) AS epsilon FROM cf, al GROUP BY run_id""")
 def simple_rdp_epsilon(spark, d):
@@ -358,11 +397,14 @@ def gdp_epsilon(spark, d):
 @query("budget_table", """WITH c AS (SELECT n, e, b, s, 1e-5 AS d, b/n::DOUBLE AS q, ceil(e*n/b::DOUBLE) AS t FROM (SELECT unnest([10000, 50000]) AS n), (SELECT unnest([1, 10]) AS e), (SELECT unnest([64, 256]) AS b), (SELECT unnest([0.5e0, 1e0, 2e0]) AS s)),
     x AS (SELECT *, greatest(0, q*sqrt(2*t*ln(1/d))/s) AS eps FROM c)
     SELECT n::BIGINT AS n, e::BIGINT AS epochs, b::BIGINT AS batch, s AS sigma, t::BIGINT AS steps, round(eps, 6) AS epsilon, round(q*sqrt(2*t*ln(1/d)), 6) AS required_sigma,
-    CASE WHEN eps<=1 THEN 'LOW' WHEN eps<=3 THEN 'MEDIUM' WHEN eps<=10 THEN 'HIGH' ELSE 'CRITICAL' END AS risk FROM x""")
+    CASE WHEN eps<=1 THEN 'LOW' WHEN eps<=3 THEN 'MEDIUM' WHEN eps<=10 THEN 'HIGH' ELSE 'CRITICAL' END AS risk,
+    CASE WHEN eps<=1 THEN printf('Epsilon = %.2f meets the recommended threshold of <= 1.0. Current sigma = %.1f provides strong differential privacy guarantees.', eps, s)
+    WHEN eps<=3 THEN printf('Epsilon = %.2f is acceptable for non-sensitive data. To reach epsilon <= 1.0 (LOW risk), increase sigma to >= %.1f. Note: higher sigma reduces model utility.', eps, q*sqrt(2*t*ln(1/d)))
+    ELSE printf('Epsilon = %.2f provides weak privacy guarantees. To reach epsilon <= 1.0, increase sigma to >= %.1f or reduce epochs (current: %d). Consider reducing epochs to %d and re-evaluating.', eps, q*sqrt(2*t*ln(1/d)), e, greatest(1, e//2)) END AS advice FROM x""")
 def budget_table(spark, d):
     rows = [(n, e, b, s, 1e-5) for n in (10000, 50000) for e in (1, 10) for b in (64, 256) for s in (0.5, 1.0, 2.0)]
     out = privacy.budget(spark.createDataFrame(rows, "n long, epochs long, batch long, sigma double, delta double"))
-    return out.select("n", "epochs", "batch", "sigma", "steps", F.round("epsilon", 6).alias("epsilon"), F.round("required_sigma", 6).alias("required_sigma"), "risk")
+    return out.select("n", "epochs", "batch", "sigma", "steps", F.round("epsilon", 6).alias("epsilon"), F.round("required_sigma", 6).alias("required_sigma"), "risk", "advice")
 
 
 # --- defenses ----------------------------------------------------------------------------------------------------------
@@ -412,12 +454,18 @@ def label_smoothing_loss(spark, d):
       UNION ALL SELECT f.user_id, v.i, CASE WHEN value < best-0.5 THEN value ELSE best END, CASE WHEN value < best-0.5 THEN 0 ELSE counter+1 END, stopped OR (NOT value < best-0.5 AND counter+1 >= 3) FROM f JOIN v ON v.user_id=f.user_id AND v.i=f.i+1)
     SELECT user_id, best, counter::BIGINT AS counter, stopped, i AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS r FROM f) WHERE r=1""")
 def early_stopping(spark, d):
-    return defenses.early_stopping(tables.read(spark, d, "events"), "user_id", ["ts", "event_id"], "value", min_delta=0.5)
+    return defenses.early_stopping(tables.read(spark, d, "events"), "user_id", ["ts", "event_id"], "value", patience=3, min_delta=0.5)
 
 
-@query("accountant_running", """SELECT user_id, event_id, step, round(0.01e0*sqrt(2*step*ln(1e5))/2e0, 6) AS epsilon FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)""")
+@query("accountant_running", """SELECT user_id, event_id, step, round(sqrt(step)*0.01e0/2e0*4.264890793922825e0 + (sqrt(step)*0.01e0/2e0)**2/2, 6) AS epsilon FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)""")
 def accountant_running(spark, d):
-    return state.running_accountant(tables.read(spark, d, "events"), 2.0, 0.01, 1e-5).withColumn("epsilon", F.round("epsilon", 6))
+    return state.running_accountant(tables.read(spark, d, "events"), 2.0, 500, 1e-5).withColumn("epsilon", F.round("epsilon", 6))
+
+
+@query("batch_clip_step", """WITH e AS (SELECT embedding::DOUBLE[] AS v, CASE WHEN label=0 THEN 1e0 ELSE 0e0 END AS y FROM embeddings), u AS (SELECT unnest(range(len(v))) AS j, unnest(list_transform(v, lambda x: (0.5e0-y)*x)) AS x FROM e),
+    g AS (SELECT j, avg(x) AS g FROM u GROUP BY j) SELECT j::BIGINT AS coordinate, round(g*least(1e0, 0.01e0/(sqrt((SELECT sum(g*g) FROM g))+1e-6)), 6) AS gradient FROM g""")
+def batch_clip_step(spark, d):
+    return defenses.batch_step(tables.embedding_samples(spark, d)).withColumn("gradient", F.round("gradient", 6))
 
 
 # --- scales, reports, mapping ------------------------------------------------------------------------------------------
@@ -430,19 +478,40 @@ def risk_scales_grid(spark, d):
     return spark.range(101).select(F.col("id").alias("i")).select("i", risk.by_auc(a).alias("k1"), risk.by_ratio(a, F.lit(0.1)).alias("k2"), risk.by_excess(a - F.lit(0.1)).alias("k3"), risk.by_epsilon(e).alias("k4"), risk.by_budget(e).alias("k5"), risk.by_epsilon_report(e).alias("k6"), risk.colour(i).alias("k8"))
 
 
-CASES = [("a", 0.42, 0.10, 0.10, 1.16, False), ("b", 0.05, 0.10, 0.0, None, False), ("c", 0.3, 0.1, 0.05, 4.0, True), ("d", 0.25, 0.2, 0.0, 12.0, True), ("e", 0.9, 0.1, 0.1, None, True)]
+CASES = [
+    ("a", 0.42, 0.10, 0.10, 1.16, False, 4.0), ("b", 0.05, 0.10, 0.0, None, False, None), ("c", 0.3, 0.1, 0.05, 4.0, True, None), ("d", 0.25, 0.2, 0.0, 12.0, True, 0.5),
+    ("e", 0.9, 0.1, 0.1, None, True, None), ("f", 0.35, 0.1, 0.2, 0.8, False, 6.0),
+]
 
 
 def _cases(spark):
-    return spark.createDataFrame(CASES, "model_id string, advantage double, threshold double, baseline double, epsilon double, inversion boolean")
+    return spark.createDataFrame(CASES, "model_id string, advantage double, threshold double, baseline double, epsilon double, inversion boolean, sigma double")
+
+
+def _value(x) -> str:
+    return "NULL::DOUBLE" if x is None else f"{x}::DOUBLE"
 
 
-SQL_CASES = "cs(model_id, advantage, threshold, baseline, epsilon, inversion) AS (VALUES " + ", ".join(f"('{m}', {a}::DOUBLE, {t}::DOUBLE, {b}::DOUBLE, {'NULL' if e is None else e}::DOUBLE, {i})" for m, a, t, b, e, i in CASES) + ")"
+MORE = [("b", "attribute_inference", "CRITICAL", "Art. 9", "MAP 1.1", "Remove the attribute."), ("e", "own_test", None, None, None, reports.EPOCHS)]
+SQL_CASES = "cs(model_id, advantage, threshold, baseline, epsilon, inversion, sigma) AS (VALUES " + ", ".join(f"('{m}', {a}::DOUBLE, {t}::DOUBLE, {b}::DOUBLE, {_value(e)}, {i}, {_value(s)})" for m, a, t, b, e, i, s in CASES) + ")"
 SQL_FIND = f"""WITH {SQL_CASES}, l AS (SELECT *, CASE WHEN advantage/threshold<2 THEN 'LOW' WHEN advantage/threshold<3 THEN 'MEDIUM' WHEN advantage/threshold<5 THEN 'HIGH' ELSE 'CRITICAL' END AS lv,
-    concat_ws(',', CASE WHEN advantage>threshold THEN 'Art. 10' END, CASE WHEN inversion THEN 'Art. 15' END) AS articles FROM cs),
-    h AS (SELECT *, concat_ws('; ', CASE WHEN lv IN ('HIGH','CRITICAL') THEN 'train with differential privacy' END, CASE WHEN epsilon IS NULL THEN 'account for epsilon' END, CASE WHEN inversion THEN 'limit output confidence' END) AS hint FROM l),
-    fi AS (SELECT model_id, 'membership_inference' AS attack, lv AS severity, articles, hint FROM h UNION ALL SELECT model_id, 'privacy_budget', CASE WHEN epsilon<=1 THEN 'LOW' WHEN epsilon<=3 THEN 'MEDIUM' ELSE 'HIGH' END, articles, hint FROM h WHERE epsilon IS NOT NULL
-    UNION ALL SELECT model_id, 'model_inversion', 'HIGH', articles, hint FROM h WHERE inversion)"""
+    concat_ws(',', CASE WHEN advantage>threshold THEN 'Art. 10' END, CASE WHEN inversion THEN 'Art. 15' END) AS art FROM cs),
+    fi AS (SELECT model_id, 'membership_inference' AS attack, lv AS severity, art AS articles, 'MANAGE 2.2' AS function, CASE WHEN advantage <= threshold THEN '{reports.IN_RANGE}' ELSE concat_ws('; ',
+        CASE WHEN epsilon IS NULL OR epsilon > 3 THEN '{reports.APPLY}' WHEN epsilon > 1 THEN printf('Current epsilon %.2f exceeds target 1.0  --  increase sigma', epsilon) END, '{reports.EPOCHS}', '{reports.PERTURB}') END AS hint FROM l
+    UNION ALL SELECT model_id, 'dp_sgd_defense_assessment', CASE WHEN epsilon<=1 THEN 'LOW' WHEN epsilon<=3 THEN 'MEDIUM' ELSE 'HIGH' END, 'Art. 10', 'GOVERN 1.1',
+        CASE WHEN epsilon>1 THEN printf('Epsilon = %.2f. Target epsilon <= 1.0 for strong privacy guarantees. Increase sigma (current: %s) or reduce training epochs.', epsilon, coalesce(sigma::VARCHAR, 'None'))
+        ELSE printf('Epsilon = %.2f meets the recommended threshold of <= 1.0.', epsilon) END FROM l WHERE epsilon IS NOT NULL
+    UNION ALL SELECT model_id, 'model_inversion', 'HIGH', 'Art. 15', 'MANAGE 4.1', '{reports.INVERTED}' FROM l WHERE inversion)"""
+
+
+@query("report_document", SQL_FIND + ", af AS (SELECT * FROM fi UNION ALL VALUES " + ", ".join("(" + ", ".join("NULL::VARCHAR" if x is None else f"'{x}'" for x in r) + ")" for r in MORE) + """),
+    su AS (SELECT model_id, count(*) AS n_findings, string_agg(DISTINCT hint, ' | ' ORDER BY hint) AS hints, count(*) FILTER (coalesce(severity, 'LOW')='LOW') AS low, count(*) FILTER (severity='MEDIUM') AS medium, count(*) FILTER (severity='HIGH') AS high, count(*) FILTER (severity='CRITICAL') AS critical FROM af GROUP BY 1)
+    SELECT model_id, advantage, epsilon, lv AS risk_level, art AS articles, CASE WHEN advantage <= threshold THEN 'No defense required  --  MIA advantage within acceptable range' WHEN epsilon IS NULL THEN 'DP-SGD with epsilon <= 1.0 (not currently applied)'
+    WHEN epsilon > 3 THEN printf('Increase DP-SGD sigma to achieve epsilon <= 1.0 (current epsilon: %.2f)', epsilon) WHEN epsilon > 1 THEN printf('Tune DP-SGD: increase sigma to reach epsilon <= 1.0 (current: %.2f)', epsilon)
+    ELSE printf('DP-SGD applied with epsilon = %.2f  --  meets target', epsilon) END AS recommended_defense, n_findings, hints, low, medium, high, critical FROM l JOIN su USING (model_id)""")
+def report_document(spark, d):
+    more = spark.createDataFrame(MORE, reports.FINDING)
+    return reports.report(_cases(spark), more).drop("findings").withColumn("hints", F.array_join("hints", " | "))
 
 
 @query("report_findings", f"{SQL_FIND} SELECT * FROM fi")
@@ -466,27 +535,32 @@ def compliance_rows(spark, d):
     return reports.compliance(_cases(spark))
 
 
-@query("mitigations", f"{SQL_COMPLY} SELECT model_id, (2 + CASE WHEN overall IN ('HIGH','CRITICAL') THEN 4 ELSE 0 END + CASE WHEN overall='CRITICAL' THEN 2 ELSE 0 END + CASE WHEN dp_strength='none' THEN 1 ELSE 0 END)::BIGINT AS n_mitigations FROM cm")
+def _sql_mitigations() -> str:
+    rows = [(part, k, text.replace("'", "''")) for part, texts in reports.MITIGATE.items() for k, text in enumerate(texts)]
+    place = {"base": 0, "high": 1, "critical": 2, "no_epsilon": 3}
+    return "mt(part, k, mitigation) AS (VALUES " + ", ".join(f"({place[p]}, {k}, '{t}')" for p, k, t in rows) + ")"
+
+
+@query("mitigations", f"""{SQL_COMPLY}, {_sql_mitigations()} SELECT model_id, (row_number() OVER (PARTITION BY model_id ORDER BY part, k) - 1)::BIGINT AS place, mitigation FROM cm, mt
+    WHERE part = 0 OR (part = 1 AND overall IN ('HIGH','CRITICAL')) OR (part = 2 AND overall = 'CRITICAL') OR (part = 3 AND dp_strength = 'none')""")
 def mitigations(spark, d):
     return reports.mitigations(reports.compliance(_cases(spark)))
 
 
-#: A caller's index of techniques by finding type.
-INDEX = {"membership_inference": ["T1", "T2"], "model_extraction": ["T3", "T4"], "model_inversion": ["T1", "T5"]}
-FOUND = [(1, "membership_inference", 0.29), (2, "model_inversion", None), (3, "unknown", 0.9), (4, "model_extraction", 0.75)]
+FOUND = [(1, "membership_inference_success", 0.29), (2, "model_inversion_pii", None), (3, "unknown", 0.9), (4, "model_stealing_detected", 0.75), (5, "attribute_inference", 0.1), (6, "gradient_leakage", 1.0),
+         (7, "differential_privacy_bypass", 0.5), (8, "federated_learning_poisoning", 0.61), (9, "api_probing_extraction", 0.33)]
 
 
 def _enriched(spark):
-    index = spark.createDataFrame(list(INDEX.items()), "finding_type string, techniques array<string>")
-    return reports.enrich(spark.createDataFrame(FOUND, "finding_id long, finding_type string, confidence double"), index)
+    return reports.enrich(spark.createDataFrame(FOUND, "finding_id long, finding_type string, confidence double"), reports.techniques(spark))
 
 
-SQL_TECH = """WITH ix(ft, t) AS (VALUES """ + ", ".join(f"('{k}', '{t}')" for k, v in INDEX.items() for t in v) + "), fd(id, ft, c) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{t}', {'NULL' if c is None else c}::DOUBLE)" for i, t, c in FOUND) + "), en AS (SELECT id, t, coalesce(c, 0.5e0) AS c FROM fd JOIN ix USING (ft))"
+SQL_TECH = """WITH ix(ft, k, t) AS (VALUES """ + ", ".join(f"('{x}', {k}, '{t}')" for x, v in reports.TECHNIQUES.items() for k, t in enumerate(v)) + "), fd(id, ft, c) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{t}', {'NULL' if c is None else c}::DOUBLE)" for i, t, c in FOUND) + "), en AS (SELECT id, k, t, coalesce(c, 0.5e0) AS c FROM fd JOIN ix USING (ft))"
 
 
 @query("technique_map", f"{SQL_TECH} SELECT id AS finding_id, t AS technique, c AS confidence FROM en")
 def technique_map(spark, d):
-    return _enriched(spark)
+    return _enriched(spark).drop("place")
 
 
 @query("navigator_techniques", f"{SQL_TECH} SELECT t AS technique, floor(arg_min(c, id)*100)::BIGINT AS score FROM en GROUP BY t")
@@ -494,6 +568,13 @@ def navigator_techniques(spark, d):
     return reports.navigator(_enriched(spark))
 
 
+@query("navigator_layer", f"""{SQL_TECH}, ft AS (SELECT t, floor(arg_min(c, id*10+k)*100)::BIGINT AS s, min(id*10+k) AS o FROM en GROUP BY t)
+    SELECT '{{"name":"audit ATT&CK Coverage","versions":{{"attack":"19","navigator":"4.9","layer":"4.5"}},"domain":"enterprise-attack","techniques":[' ||
+    string_agg('{{"techniqueID":"' || t || '","score":' || s || ',"comment":"audit detection","enabled":true}}', ',' ORDER BY o) || ']}}' AS layer FROM ft""")
+def navigator_layer(spark, d):
+    return reports.layer(_enriched(spark), "audit")
+
+
 # --- preprocessing and data quality ------------------------------------------------------------------------------------
 @query("label_encode", "SELECT o_orderkey, o_orderpriority, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::BIGINT AS code FROM orders")
 def label_encode(spark, d):
@@ -523,6 +604,31 @@ def member_overlap_check(spark, d):
     return reports.member_overlap(tables.read(spark, d, "documents"))
 
 
+@query("impute_components", """WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), n AS (SELECT vec_id, i, CASE WHEN (vec_id + i) % 5 <> 0 THEN x END AS x FROM e)
+    SELECT vec_id AS sample_id, i::BIGINT AS i, round(coalesce(x, (SELECT quantile_cont(m.x, 0.5) FROM n m WHERE m.i = n.i)), 9) AS x FROM n""")
+def impute_components(spark, d):
+    gaps = F.transform("features", lambda x, i: F.when((F.col("sample_id") + i) % 5 != 0, x))
+    out = preprocess.median_impute_array(tables.embedding_samples(spark, d).withColumn("features", gaps), "features", "sample_id")
+    return out.select("sample_id", F.posexplode("features").alias("i", "x")).select("sample_id", F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x"))
+
+
+@query("target_derivation", """SELECT c_custkey, rtrim(trim(' ' || c_mktsegment || '. '), '.') IN ('BUILDING', 'MACHINERY') AS y FROM customer""")
+def target_derivation(spark, d):
+    raw = F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(". "))
+    return tables.read(spark, d, "customer").select("c_custkey", (preprocess.binary_target(raw, ["BUILDING", "MACHINERY"]) == 1).alias("y"))
+
+
+@query("target_encode", "SELECT c_custkey, trunc(c_acctbal)::BIGINT AS whole, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::BIGINT AS code FROM customer")
+def target_encode(spark, d):
+    own = preprocess.target_encode(tables.read(spark, d, "customer"), "c_acctbal", "whole")
+    return preprocess.target_encode(own, "c_mktsegment", "code").select("c_custkey", "whole", "code")
+
+
+@query("class_balance", "SELECT round(avg((o_orderstatus = 'O')::INT::DOUBLE), 9) AS balance FROM orders")
+def class_balance(spark, d):
+    return preprocess.class_balance(tables.order_samples(spark, d), "label").withColumn("balance", F.round("balance", 9))
+
+
 # --- trained models ----------------------------------------------------------------------------------------------------
 def _vectors(spark, d):
     from pyspark.ml.functions import array_to_vector

@@ -12,11 +12,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_samples(spark: SparkSession, sf_dir: str, key: str = "o_custkey") -> DataFrame:
-    """Orders as samples: label 0, 1, 2 from the status, members have even ids, and a key of any granularity."""
+def order_samples(spark: SparkSession, sf_dir: str, key: str = "o_custkey", *more) -> DataFrame:
+    """Orders as samples: label 0, 1, 2 from the status, members have even ids, and a key of any granularity; more: further columns."""
     orders = read(spark, sf_dir, "orders")
     label = F.array_position(F.array(*map(F.lit, STATUS)), F.col("o_orderstatus")).cast("int") - 1
-    return orders.select(F.col("o_orderkey").alias("sample_id"), F.expr(key).alias("k"), label.alias("label"), (F.col("o_orderkey") % 2 == 0).alias("is_member"))
+    return orders.select(F.col("o_orderkey").alias("sample_id"), F.expr(key).alias("k"), label.alias("label"), (F.col("o_orderkey") % 2 == 0).alias("is_member"), *more)
 
 
 def embedding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,3 +33,9 @@ def configs(spark: SparkSession) -> DataFrame:
 def write_json(df: DataFrame, path: str) -> None:
     """A report sink: one JSON document a row."""
     df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+
+
+def log_probs(spark: SparkSession, docs: int, tokens: int, mean: float, deviation: float, seed: int = 42) -> DataFrame:
+    """doc_id, pos, logp: made-up token log-probabilities, normal and at most -1e-6."""
+    each = spark.range(docs).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(tokens - 1))).alias("pos"))
+    return each.withColumn("logp", F.least(F.randn(seed) * deviation + mean, F.lit(-1e-6)))

@@ -8,14 +8,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilmeter.functions import privacy
 
-def running_accountant(events: DataFrame, sigma: float, q: float, delta: float) -> DataFrame:
-    """user_id, event_id, step, epsilon: strong-composition epsilon after each of a user's events."""
+
+def running_accountant(events: DataFrame, sigma: float, batch: int, delta: float, accountant: str = "gdp", size: int = 50_000) -> DataFrame:
+    """user_id, event_id, step, epsilon: what is spent after each of a user's steps, at a sample rate of batch / size."""
     step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return events.select("user_id", "event_id", step.alias("step")).withColumn("epsilon", q * F.sqrt(2 * F.col("step") * F.log(F.lit(1 / delta))) / sigma)
+    return events.select("user_id", "event_id", step.alias("step")).withColumn("epsilon", privacy.steps_epsilon(F.col("step"), batch / size, sigma, delta, accountant))
 
 
-def early_stopping_stream(stream: DataFrame, patience: int = 3, min_delta: float = 0.0) -> DataFrame:
+def early_stopping_stream(stream: DataFrame, patience: int = 5, min_delta: float = 1e-4) -> DataFrame:
     """(user_id, ts, event_id, value) of a stream -> user_id, best, counter, stopped whenever new values come."""
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
