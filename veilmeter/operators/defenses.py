@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,25 +106,48 @@ def batch_step(samples: DataFrame, most: float = 0.01, noise: float = 0.0, seed:
     return g.select(F.col("coordinate").cast("long").alias("coordinate"), out.alias("gradient"))
 
 
-def dp_sgd(samples: DataFrame, configs: DataFrame, epochs: int = 2, batch: int = 64, rate: float = 0.1, most: float = 1.0, seed: int = 42) -> DataFrame:
-    """run_id, accuracy, steps, sigma, sample_rate, delta: a fit for each setting, in parallel. samples must be small enough for a task:
-    a fit is sequential."""
-    joined = samples.select("sample_id", "features", "label").withColumn("one", F.lit(1)).join(F.broadcast(configs.select("run_id", "sigma", "delta").withColumn("one", F.lit(1))), "one")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_id")
-        x, y = np.stack(pdf["features"]), (pdf["label"] == 0).to_numpy(float)
-        sigma, rng, w, steps = float(pdf["sigma"].iloc[0]), np.random.default_rng(seed), np.zeros(len(pdf["features"].iloc[0])), 0
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), batch):
-                own = order[at : at + batch]
-                p = 1 / (1 + np.exp(-np.clip(x[own] @ w, -500, 500)))
-                g = (p - y[own])[:, None] * x[own]
-                g *= np.minimum(1, most / np.maximum(np.linalg.norm(g, axis=1), 1e-12))[:, None]
-                w -= rate * (g.sum(axis=0) + rng.normal(0, sigma * most, len(w))) / len(own)
-                steps += 1
-        accuracy = float(((x @ w > 0) == (y == 1)).mean())
-        return pd.DataFrame([(pdf["run_id"].iloc[0], accuracy, steps, sigma, min(1.0, batch / len(x)), float(pdf["delta"].iloc[0]))], columns=["run_id", "accuracy", "steps", "sigma", "sample_rate", "delta"])
-
-    return joined.groupBy("run_id").applyInPandas(run, "run_id string, accuracy double, steps long, sigma double, sample_rate double, delta double")
+def dp_sgd(samples: DataFrame, configs: DataFrame, epochs: int = 2, batch: int = 64, rate: float = 0.1, most: float = 1.0, seed: int = 42, batches: int = 16) -> DataFrame:
+    """run_id, accuracy, steps, sigma, sample_rate, delta: a logistic fit for each setting, all in one pass a step. Weights and noise stay on
+    the driver; clipped gradients are summed where the samples lie. An epoch has at most `batches` steps, so a batch grows with the table
+    beyond `batch` rows and the number of passes does not."""
+    spark, rows = samples.sparkSession, [r.asDict() for r in configs.select("run_id", "sigma", "delta").collect()]
+    own = samples.select("sample_id", "features", (F.col("label") == 0).cast("double").alias("y"))
+    n, dim = own.agg(F.count("*"), F.max(F.size("features"))).first()
+    parts = max(1, min(batches, (n or 0) // batch))
+    rng, weights = np.random.default_rng(seed), np.zeros((len(rows), dim or 0))
+
+    def sums(each: DataFrame, f, width: int) -> np.ndarray:
+        """f(x, y) -> a row of numbers for each setting, summed over all samples."""
+
+        def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(rows), width))
+            for b in found:
+                if b.num_rows:
+                    total += f(b.column(0).flatten().to_numpy().reshape(b.num_rows, -1), b.column(1).to_numpy())
+            k, j = np.divmod(np.arange(total.size), max(1, width))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(j), pa.array(total.ravel())], ["k", "j", "x"])
+
+        out = np.zeros((len(rows), width))
+        for r in each.select("features", "y").mapInArrow(run, "k long, j long, x double").groupBy("k", "j").agg(F.sum("x").alias("x")).collect():  # settings x width numbers
+            out[r["k"], r["j"]] = r["x"]
+        return out
+
+    steps = 0
+    for epoch in range(epochs if n else 0):
+        part = F.pmod(F.xxhash64("sample_id", F.lit(epoch), F.lit(seed)), F.lit(parts))
+        for k in range(parts):
+
+            def clipped_sums(x: np.ndarray, y: np.ndarray, w=weights.copy()) -> np.ndarray:
+                p = 1 / (1 + np.exp(-np.clip(x @ w.T, -500, 500)))
+                g = p - y[:, None]
+                size = np.abs(g) * np.linalg.norm(x, axis=1)[:, None]
+                g = g * np.minimum(1, most / np.maximum(size, 1e-12))
+                return np.concatenate([g.T @ x, np.full((len(w), 1), len(x))], axis=1)
+
+            got = sums(own.filter(part == k), clipped_sums, dim + 1)
+            noise = np.stack([rng.normal(0, r["sigma"] * most, dim) for r in rows])
+            weights -= rate * (got[:, :dim] + noise) / np.maximum(got[:, dim:], 1)
+            steps += 1
+    hits = sums(own, lambda x, y, w=weights.copy(): ((x @ w.T > 0) == (y[:, None] == 1)).sum(axis=0)[:, None].astype(float), 1) if n else np.zeros((len(rows), 1))
+    out = [(r["run_id"], float(h / n) if n else None, steps, r["sigma"], 1.0 / parts, r["delta"]) for r, h in zip(rows, hits[:, 0])]
+    return spark.createDataFrame(out, "run_id string, accuracy double, steps long, sigma double, sample_rate double, delta double")

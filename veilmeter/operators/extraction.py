@@ -30,7 +30,7 @@ def invert_argmax(model: DataFrame, classes: int = models.CLASSES) -> DataFrame:
     return each.groupBy("label").agg(best).select(F.col("label").cast("long").alias("label"), (-F.col("b.low")).alias("k"), F.col("b.p").alias("confidence"))
 
 
-def hill_climb(centroids: DataFrame, target: int, restarts: int = 5, steps: int = 500, step: float = 0.05, seed: int = 42) -> DataFrame:
+def hill_climb(centroids: DataFrame, target: int, restarts: int = 5, steps: int = 500, step: float = 0.01, seed: int = 42, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """restart, confidence, x: climbs for each restart in parallel; the model is softmax of -distance to class centroids (a row a class)."""
     rows = sorted((r["label"], r["centre"]) for r in centroids.collect())
     labels, means = [r[0] for r in rows], np.array([r[1] for r in rows])
@@ -46,12 +46,12 @@ def hill_climb(centroids: DataFrame, target: int, restarts: int = 5, steps: int
             out = []
             for restart in pdf["id"]:
                 rng = np.random.default_rng([seed, int(restart)])
-                x = rng.uniform(-1, 1, means.shape[1])
+                x = rng.uniform(low, high, means.shape[1])
                 best = confidence(x)
                 for _ in range(steps):
                     y = x.copy()
                     j = rng.integers(len(y))
-                    y[j] = np.clip(y[j] + rng.uniform(-step, step), -1, 1)
+                    y[j] = np.clip(y[j] + rng.uniform(-step, step), low, high)
                     if (c := confidence(y)) > best:
                         x, best = y, c
                 out.append((int(restart), best, x.tolist()))
@@ -59,3 +59,9 @@ def hill_climb(centroids: DataFrame, target: int, restarts: int = 5, steps: int
 
     spark = centroids.sparkSession
     return spark.range(restarts).repartition(restarts).mapInPandas(run, "restart long, confidence double, x array<double>")
+
+
+def best_restart(climbs: DataFrame) -> DataFrame:
+    """restart, confidence, x: the surest of all restarts, the first of equal ones."""
+    best = F.max(F.struct("confidence", (-F.col("restart")).alias("low"), "x")).alias("b")
+    return climbs.agg(best).select((-F.col("b.low")).alias("restart"), F.col("b.confidence").alias("confidence"), F.col("b.x").alias("x"))

@@ -302,7 +302,12 @@ def inversion_hillclimb(spark, d):
     own = tables.embedding_samples(spark, d)
     one = own.select("label", F.posexplode("features").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     centroids = one.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
-    return extraction.hill_climb(centroids, 0).select("restart", F.round("confidence", 4).alias("confidence"))
+    return extraction.hill_climb(centroids, 0)
+
+
+@query("inversion_best")
+def inversion_best(spark, d):
+    return extraction.best_restart(inversion_hillclimb(spark, d))
 
 
 # --- least likely tokens -----------------------------------------------------------------------------------------------
@@ -638,19 +643,52 @@ def _vectors(spark, d):
 
 @query("extraction_mllib")
 def extraction_mllib(spark, d):
-    from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+    from veilmeter.operators import trained
 
     rows = _vectors(spark, d).withColumn("label", (F.col("label") == 0).cast("int"))
-    target = RandomForestClassifier(numTrees=20, maxDepth=10, seed=42).fit(rows.filter("is_member"))
+    target = trained.shadow("random_forest").setMaxDepth(10).fit(rows.filter("is_member"))
     asked = target.transform(rows).select("sample_id", "features", F.col("prediction").alias("target"))
-    substitute = DecisionTreeClassifier(maxDepth=10, seed=42, labelCol="target").fit(asked.filter("sample_id % 4 = 1"))
+    substitute = trained.substitute("decision_tree", labelCol="target").fit(asked.filter("sample_id % 4 = 1"))
     said = substitute.transform(asked.filter("sample_id % 4 = 3"))
     return said.agg(F.count("*").alias("n"), F.avg((F.col("target") == F.col("prediction")).cast("double")).alias("agreement"))
 
 
+@query("extraction_mlp")
+def extraction_mlp(spark, d):
+    """A perceptron copies a logistic target."""
+    from veilmeter.operators import trained
+
+    rows = _vectors(spark, d).withColumn("label", (F.col("label") == 0).cast("int"))
+    asked = trained.shadow("logistic_regression").fit(rows.filter("is_member")).transform(rows).select("sample_id", "features", F.col("prediction").alias("target"))
+    size = len(rows.first()["features"])
+    said = trained.substitute("mlp", size, 2, labelCol="target").setMaxIter(50).fit(asked.filter("sample_id % 4 = 1")).transform(asked.filter("sample_id % 4 = 3"))
+    return said.agg(F.count("*").alias("n"), F.avg((F.col("target") == F.col("prediction")).cast("double")).alias("agreement"))
+
+
+@query("boosted_benchmark")
+def boosted_benchmark(spark, d):
+    """run_id, train and test accuracy, gap, AUC, threshold, accuracy and seconds of the direct test on boosted targets, from one that generalises on."""
+    import time
+
+    from pyspark.ml.functions import vector_to_array
+
+    from veilmeter.operators import trained
+
+    rows, out = _vectors(spark, d).withColumn("label", (F.col("label") == 0).cast("int")), None
+    for name in ("generalised", "default"):
+        fitted = trained.boosted(name).setMaxIter(10).fit(rows.filter("is_member"))
+        began = time.perf_counter()
+        seen = fitted.transform(rows).select("sample_id", "is_member", "label", F.transform(vector_to_array("probability"), lambda p: F.round(p, 9)).alias("proba"), F.col("prediction").cast("int").alias("pred"))
+        gap = reports.generalization_gap(seen.withColumn("run_id", F.lit(name)), "run_id")
+        one = membership.direct_evaluate(membership.confidence_scores(seen, name)).join(gap, "run_id").collect()
+        one = spark.createDataFrame([(*r, time.perf_counter() - began) for r in one], "run_id string, auc double, n_members long, n_nonmembers long, threshold double, accuracy double, train_accuracy double, test_accuracy double, gap double, seconds double")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("shadow_mllib_eval")
 def shadow_mllib_eval(spark, d):
-    """Forests as target and shadows: the shadows' sorted probabilities train the attack, which ranks the target's samples."""
+    """Single trees as target and shadows: the shadows' sorted probabilities train the attack, which ranks the target's samples."""
     from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
