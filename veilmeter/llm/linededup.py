@@ -231,11 +231,12 @@ def signed(heads: DataFrame, settled: DataFrame) -> DataFrame:
 
 
 def near_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Candidate pairs of entries, of an earlier head and a later one that isn't settled."""
-    x = x.select("code", *[F.col(c).alias(f"x{c}") for c in (*ROW, "n", "sig", "odd", "at")])
-    size = "abs(xn)"
-    near = x.join(y, "code").filter(F.expr(f"{_placed('x', '', size, 'n')} AND {_alike('x', '', size, 'n')} AND {_before('x', '')}"))
-    return written(near.select(*XROW, F.expr(size).alias("xn"), *ROW, "n"), "near", compression="zstd")
+    """Candidate pairs of entries, of an earlier head and a later one that isn't settled. Both sides keep their columns' names, so where they
+    are one table they read one shuffle."""
+    size = "abs(a.n)"
+    near = F.expr(f"a.code = b.code AND {_placed('a.', 'b.', size, 'b.n')} AND {_alike('a.', 'b.', size, 'b.n')} AND {_before('a.', 'b.')}")
+    pairs = x.alias("a").join(y.alias("b"), near)
+    return written(pairs.select(*[F.col(f"a.{c}").alias(f"x{c}") for c in ROW], F.expr(size).alias("xn"), *[F.col(f"b.{c}").alias(c) for c in (*ROW, "n")]), "near", compression="zstd")
 
 
 def crowded_pairs(heads: DataFrame) -> DataFrame:
@@ -265,10 +266,13 @@ def removed_lines(docs: DataFrame, buckets: int = BUCKETS, h: Column | None = No
     own = heads.drop("k1", "k2", "m")
     few = crowded_pairs(signed(own, settled))
     more = verified(docs, h, few)
-    rest = joined(signed(own, settled.union(more)))
+    last = written(signed(own, settled.union(more)), "signed", compression="zstd")
+    dropped(heads, few)
+    rest = joined(last)
+    dropped(last)
     others = verified(docs, h, rest)
     out = written(same.union(settled).union(more).union(others).distinct(), "removed")
-    dropped(heads, same, settled, few, more, rest, others)
+    dropped(same, settled, more, rest, others)
     return out
 
 
