@@ -95,6 +95,29 @@ def test_ann_recall_with_all_lists(spark):
     assert len(found) == 66 and hits >= 0.9 * 10 * len(found)
 
 
+def test_ann_exact_setting(spark):
+    x = np.random.default_rng(11).normal(size=(3000, 8))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}))
+    found = defaultdict(dict)
+    for r in ann.search(df, probes=ann.MOST_LISTS, reach=float("inf")).collect():
+        found[r["query_id"]][r["rank"]] = r["vec_id"]
+    for q in range(0, len(x), 100):
+        far = ((x - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        assert [found[q][k] for k in range(1, 11)] == np.argsort(far)[:10].tolist()
+
+
+def test_ann_walk_over_many_lists():
+    x = np.random.default_rng(12).normal(size=(8000, 6))
+    index = ann.Index(x, 2000)
+    held, far = index.search(x[:50], len(index.means))
+    exact = np.sqrt(((index.means[None] - x[:50, None]) ** 2).sum(axis=2))
+    assert len(index.means) >= 2000 and (np.sort(held, axis=1) == np.arange(len(index.means))).all()
+    assert np.allclose(far, np.sort(exact, axis=1))
+    few = index.search(x[:50], 64)[0]
+    assert np.mean([len(set(a[:8]) & set(b[:8])) / 8 for a, b in zip(few, np.argsort(exact, axis=1))]) > 0.95
+
+
 def test_language_held_out(spark, sf_dir, docs, odd):
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
     rows = [r for r in langid.identify(docs).collect() if r["held_out"] and r["lang_pred"] != "und" and lang[r["doc_id"]]]
@@ -191,6 +214,46 @@ def test_thresholds_are_ordered():
     assert means[0] < means[1] < means[2]
 
 
+def test_fit_is_the_maximum_of_a_plain_likelihood():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 6, 3)) for _ in range(400)]
+    grades = np.array([min(2, int((r.sum() + rng.integers(0, 6)) // 6)) for r in rows])
+    counts = np.array([1000.0, 400.0, 700.0])
+    weights, cuts = quality.fit(grades, rows, counts, rounds=3000, sparse=0, rare=0)
+
+    def plain(w, t) -> float:
+        total = 0.0
+        for g, r in zip(grades, rows):
+            below = [0.0, *(1 / (1 + np.exp(sum(w[f] for f in r) - x)) for x in t), 1.0]
+            total += counts[g] / (grades == g).sum() * np.log(below[g + 1] - below[g])
+        return total / counts.sum() - 0.5e-4 * float((w**2).sum())
+
+    w = weights[:6]
+    best = plain(w, cuts)
+    for k in range(8):
+        for d in (-0.05, 0.05):
+            v, t = w.copy(), cuts.copy()
+            (v if k < 6 else t)[k if k < 6 else k - 6] += d
+            assert plain(v, t) < best + 1e-5
+    grade, good = quality.grade_texts(["some words here", ""], weights, cuts)
+    s = sum(weights[f] for f in quality.features(["some words here"])[0])
+    tails = [1 / (1 + np.exp(x - s)) for x in cuts]
+    assert np.allclose([grade[0], good[0]], [sum(tails), tails[1]]) and grade[1] == good[1] == 0
+
+
+def test_quality_of_rows_not_fitted_on(spark, sf_dir):
+    # sf0.001 has 43 rows to judge by, of which 8 aren't good: too few (0.61 there, 0.74 of 208 rows at sf0.01).
+    large = f"{sf_dir}/../sf0.1"
+    docs, labels = table(spark, large, "documents"), table(spark, large, "labels")
+    part = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)) == 0
+    grade = {r["doc_id"]: r["grade"] for r in quality.graded(labels.filter(~part)).collect()}
+    rows = [(r["p_good"], grade[r["doc_id"]] == 2) for r in quality.classify(docs, labels.filter(part)).collect() if r["doc_id"] in grade]
+    good, bad = np.array([p for p, g in rows if g]), np.array([p for p, g in rows if not g])
+    auc = np.mean([(good > b).mean() + 0.5 * (good == b).mean() for b in bad])
+    print("held-out AUC", auc, len(good), len(bad))
+    assert auc > 0.85
+
+
 def test_packing(docs, texts, odd):
     from tokenizers import Tokenizer
 

@@ -3,12 +3,14 @@
 Fitting takes a bounded sample and halves it by the median along the line between two means, again and again, so lists come out
 of equal size; a list is known by its mean. A graph that links each mean to its nearest others is searched in memory, best
 first. Every vector is posted to its nearest list and, near a border, to up to REPLICAS lists whose distance is within a ratio
-of the nearest's. A query reads the lists whose distance is within a ratio of its nearest list's (at most PROBES of them), and
-distances to what is posted there are exact.
+of the nearest's. A query reads the lists whose distance is within a ratio of its nearest list's (at most PROBES of them, or
+a SHARE-th of the lists where that is more; the ratio is REACH, and wider where lists are many, so small), and distances to what is posted there are exact. With probes=MOST_LISTS and an
+infinite reach a query reads every list, which gives the exact neighbours.
 
-The number of lists is bounded, so the means and their graph are small at any size of the table. A list that holds more than
+The number of lists grows with the table up to MOST_LISTS, so the means and their graph stay small. A list that holds more than
 CHUNK vectors, or is asked by more than CHUNK queries, is cut into chunks by a hash, each a group of its own, so copies of one
-vector don't meet in one task. A chunk passes on K neighbours a query.
+vector don't meet in one task. A chunk passes on K neighbours a query. Fitting takes about SAMPLE rows, by a hash of the id, and
+no more than twice as many where ids repeat.
 
 Defined cases: vectors that are null, empty, zero, of another length than the sample's, or with null or non-finite components
 take no part; ties go to the smaller vec_id; rows that repeat a vec_id count once, at the smaller distance, and a query's own
@@ -30,9 +32,9 @@ from veilmeter.llm.common import written
 K = 10
 SAMPLE = 20_000
 PER_LIST = 128
-MOST_LISTS = 512
+MOST_LISTS = 4096
 REPLICAS, BORDER = 4, 1.1
-PROBES, REACH = 96, 1.15
+PROBES, SHARE, REACH = 96, 16, 1.15
 DEGREE = 24
 CHUNK = 4096
 
@@ -45,10 +47,13 @@ class Index:
         size = -(-len(sample) // max(1, lists))
         self.means = np.stack([sample[own].mean(axis=0) for own in self._halved(sample, np.arange(len(sample)), max(1, size), rng)])
         square = (self.means**2).sum(axis=1)
-        far = square[:, None] - 2 * self.means @ self.means.T + square[None, :]
-        np.fill_diagonal(far, np.inf)
         n = len(self.means)
-        near = np.argsort(far, axis=1, kind="stable")[:, : max(1, min(DEGREE, n - 1))] if n > 1 else np.zeros((1, 1), int)
+        near = np.zeros((n, max(1, min(DEGREE, n - 1))), int)
+        for at in range(0, n if n > 1 else 0, 256):
+            own = np.arange(at, min(at + 256, n))
+            far = square[own, None] - 2 * self.means[own] @ self.means.T + square[None, :]
+            far[own - at, own] = np.inf
+            near[own] = np.argsort(far, axis=1, kind="stable")[:, : near.shape[1]]
         # A ring besides the nearest links keeps the graph in one part.
         self.after = np.concatenate([near, (np.arange(n)[:, None] + [1, n - 1]) % n], axis=1)
         self.entry = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(int))
@@ -91,21 +96,22 @@ class Index:
             done[np.broadcast_to(rows, now.shape)[go], now[go]] = True
             fresh = self.after[now].reshape(n, -1)
             fresh_far = np.where(np.repeat(go, self.after.shape[1], axis=1) & ~met[rows, fresh], distance(fresh), np.inf)
-            # A node may be reached from two others: the first place takes it, with the least of the distances.
-            least = np.full((n, lists), np.inf)
-            np.minimum.at(least, (np.broadcast_to(rows, fresh.shape), fresh), fresh_far)
-            order = np.argsort(fresh, axis=1, kind="stable")
+            # A node may be reached from two others: it takes one place, with the least of the distances.
+            order = np.lexsort((fresh_far, fresh), axis=1)
             ordered = np.take_along_axis(fresh, order, 1)
             again = np.zeros(fresh.shape, bool)
             np.put_along_axis(again, order, np.concatenate([np.zeros((n, 1), bool), ordered[:, 1:] == ordered[:, :-1]], axis=1), 1)
-            fresh_far = np.where(again, np.inf, least[rows, fresh])
+            fresh_far = np.where(again, np.inf, fresh_far)
             met[np.broadcast_to(rows, fresh.shape)[np.isfinite(fresh_far)], fresh[np.isfinite(fresh_far)]] = True
             held, far = np.concatenate([held, fresh], axis=1), np.concatenate([far, fresh_far], axis=1)
 
     def pick(self, x: np.ndarray, width: int, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs: the lists within `ratio` of each row's nearest, at most `most`."""
         lists, far = self.search(x, width)
-        row, place = np.nonzero(np.isfinite(far[:, :most]) & (far[:, :most] <= ratio * far[:, :1] + 1e-12))
+        near = np.isfinite(far[:, :most])
+        if np.isfinite(ratio):
+            near &= far[:, :most] <= ratio * far[:, :1] + 1e-12
+        row, place = np.nonzero(near)
         return row, lists[row, place]
 
 
@@ -160,20 +166,24 @@ def nearest_in(points: pd.DataFrame, queries: pd.DataFrame, dim: int, k: int) ->
     return pd.DataFrame(dict(zip(["query_id", "vec_id", "score"], columns)))
 
 
-def search(vectors: DataFrame, query_ids=None, k: int = K, probes: int = PROBES, reach: float = REACH) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query; query_ids: a condition on vec_id, by default divisible by 100."""
+def search(vectors: DataFrame, query_ids=None, k: int = K, probes: int | None = None, reach: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query; query_ids: a condition on vec_id, by default divisible by 100; probes: how many lists
+    one reads at most; reach: the ratio of distances within which lists are read."""
     spark = vectors.sparkSession
     ready = usable(vectors)
     schema = "query_id long, rank int, vec_id long, score double"
     total = ready.count()
     share = min(1.0, SAMPLE / max(1, total))
-    picked = ready.filter(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1_000_000)) / 1e6 < share).toPandas()
+    picked = ready.filter(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1_000_000)) / 1e6 < share).limit(2 * SAMPLE).toPandas()
     if not len(picked):
         return spark.createDataFrame([], schema)
     picked = picked.sort_values("vec_id", kind="stable")
     dim = int(picked["v"].map(len).mode()[0])
     sample = np.stack([v for v in picked["v"] if len(v) == dim])
     index = spark.sparkContext.broadcast(Index(sample, max(1, min(MOST_LISTS, total // PER_LIST, len(sample) // 4))))
+    lists = len(index.value.means)
+    probes = max(PROBES, lists // SHARE) if probes is None else probes
+    reach = REACH + 0.05 * max(0.0, np.log2(lists / 512)) if reach is None else reach
     points = written(_posted(ready, index, dim, 2 * REPLICAS + 8, REPLICAS, BORDER), "postings")
     asked = F.pmod("vec_id", F.lit(100)) == 0 if query_ids is None else query_ids
     queries = written(_posted(ready.filter(asked), index, dim, probes, probes, reach), "probes")
