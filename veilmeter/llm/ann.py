@@ -46,7 +46,7 @@ class Index:
         rng = np.random.default_rng(seed)
         size = -(-len(sample) // max(1, lists))
         self.means = np.stack([sample[own].mean(axis=0) for own in self._halved(sample, np.arange(len(sample)), max(1, size), rng)])
-        square = (self.means**2).sum(axis=1)
+        square = self.square = (self.means**2).sum(axis=1)
         n = len(self.means)
         near = np.zeros((n, max(1, min(DEGREE, n - 1))), int)
         for at in range(0, n if n > 1 else 0, 256):
@@ -76,11 +76,11 @@ class Index:
         """The nearest lists of each row of x that a best-first walk with `width` places finds, nearest first, and their distances; -1 and infinite past the last."""
         n, lists = len(x), len(self.means)
         width = min(width, lists)
-        rows = np.arange(n)[:, None]
+        rows, own_square = np.arange(n)[:, None], (x**2).sum(axis=1)[:, None]
         met, done = np.zeros((n, lists), bool), np.zeros((n, lists), bool)
 
         def distance(at: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(((self.means[at] - x[:, None, :]) ** 2).sum(axis=2), 0))
+            return np.sqrt(np.maximum(self.square[at] - 2 * np.matmul(self.means[at], x[:, :, None])[:, :, 0] + own_square, 0))
 
         held = np.tile(self.entry, (n, 1))
         far = distance(held)
@@ -97,7 +97,7 @@ class Index:
             fresh = self.after[now].reshape(n, -1)
             fresh_far = np.where(np.repeat(go, self.after.shape[1], axis=1) & ~met[rows, fresh], distance(fresh), np.inf)
             # A node may be reached from two others: it takes one place, with the least of the distances.
-            order = np.lexsort((fresh_far, fresh), axis=1)
+            order = np.argsort(2 * fresh + np.isinf(fresh_far), axis=1, kind="stable")
             ordered = np.take_along_axis(fresh, order, 1)
             again = np.zeros(fresh.shape, bool)
             np.put_along_axis(again, order, np.concatenate([np.zeros((n, 1), bool), ordered[:, 1:] == ordered[:, :-1]], axis=1), 1)
