@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,47 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from veilmeter.sources.shared import dropped, shared_dir, shared_path, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine), a temporary one."""
-    conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.veilmeter.shared.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='veilmeter_')}"
-        spark.conf.set("spark.veilmeter.shared.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/veilmeter/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. Its shuffle files go once it is written."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Removes tables made by `written` that nothing will read again."""
-    from pyarrow import fs
-
-    for t in tables:
-        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            system, path = fs.FileSystem.from_uri(folder)
-            system.delete_dir(path)
+__all__ = ["Known", "dropped", "shared_dir", "shared_path", "slices", "table", "text_or_empty", "tokenizer_path", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

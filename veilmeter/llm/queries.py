@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilmeter.llm import ann, audio, bpe, chat, langid, linededup, packing, quality, simhash, warc
+from veilmeter.llm import ann, audio, bpe, chat, langid, linededup, packing, quality, resample, simhash, warc
 from veilmeter.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_chat_format": lambda spark, d: chat.op8(table(spark, d, "conversations")),
     "op9_line_dedup": lambda spark, d: linededup.line_report(table(spark, d, "documents")),
     "op10_warc": lambda spark, d: warc.op10(table(spark, d, "pages")),
+    "op13_resample": lambda spark, d: resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
 ORACLE_SQL = {
