@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from veilmeter.llm import resample, words
+from veilmeter.llm import ngramjoin, phrases, resample, words
 from veilmeter.llm.common import table
 from veilmeter.llm.queries import QUERIES
 
@@ -96,3 +96,133 @@ def test_resample_of_many_equal_scores(spark):
     got = resample.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(text,)], "text string"), 50)
     assert rows_of(got) == plain_resample(rows, [text], 50)
     assert sorted(r["rank"] for r in got.collect() if r["rank"]) == list(range(1, 247))
+
+
+def plain_phrases(rows, least, top):
+    n, f = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + k])) for k in range(1, 6) for i in range(len(w) - k + 1))
+    f = {k: v for k, v in f.items() if v >= least}
+    kept = {}
+    for (lang, p), a in f.items():
+        if len(p) > 1:
+            cuts = [(1000 * a * n[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            inside = any(g >= a and lang == x and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q))) for (x, q), g in f.items())
+            if not inside:
+                kept.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+    return sorted((lang, r + 1, x[2].decode(), -x[1], x[3], x[4], n[lang], -x[0]) for lang, own in kept.items() for r, x in enumerate(sorted(own)[:top]))
+
+
+def test_phrases_of_a_small_corpus_in_every_setting(spark, odd):
+    rng = np.random.default_rng(1)
+    rows = [(k, "".join(rng.choice(["a b", " c", " a", "  b c d", ". ", ", A", "\té", "\n", " ab"], 60)), ["en", "de", None][k % 3]) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = plain_phrases([(r[2], r[1]) for r in rows], 10, 50)
+    assert len(want) > 30
+    assert sorted(map(tuple, phrases.mine(df, 10, 50).collect())) == want
+    # More automata than one, and a sketch so full that all runs pass in rounds.
+    assert sorted(map(tuple, phrases.mine(df, 10, 50, most=40).collect())) == want
+    own = [(r[2], r[1]) for r in ODD]
+    assert sorted(map(tuple, phrases.mine(odd, 3, 7).collect())) == plain_phrases(own, 3, 7)
+    assert phrases.mine(odd.filter("false")).count() == 0
+
+
+def test_phrases_in_rounds_and_long_texts_in_spans(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(None, " ".join(rng.choice(list("abc.,"), 3000))) for _ in range(4)] + [("x", "a b " * 5000), ("x", "a b. " * 5000)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    want = plain_phrases(rows, 100, 2000)
+    w = words.Words(pa.array([t for _, t in rows]), phrases.KINDS)
+    monkeypatch.setattr(phrases, "SCAN", 200)
+    spans = list(phrases._spans(w, w.pieces()))
+    assert len(spans) > 20 and sum(z - a for _, a, z in spans) == len(w.starts)
+    monkeypatch.setattr(phrases, "FEWEST", 12)
+    assert sorted(map(tuple, phrases.mine(df, widest=12).collect())) == want
+    monkeypatch.setattr(phrases, "FILL", 1)
+    assert sorted(map(tuple, phrases.mine(df, widest=14).collect())) == want
+
+
+def plain_components(rows, num=80, den=100):
+    sets = []
+    for d, t in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(LOWER)) if x]
+        sets.append((d, {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}))
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    holders = {}
+    for i, (_, s) in enumerate(sets):
+        met = Counter(j for x in s for j in holders.get(x, ()))
+        for j, common in met.items():
+            if den * common >= num * (len(s) + len(sets[j][1]) - common):
+                parent[root(j)] = root(i)
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return sorted(((d, len(s), least.get(root(i))) for i, (d, s) in enumerate(sets)), key=repr)
+
+
+def test_ngram_join_of_odd_rows(spark, odd):
+    assert rows_of(ngramjoin.components(odd)) == plain_components([(r[0], r[1]) for r in ODD])
+    assert ngramjoin.components(odd.filter("false")).count() == 0
+
+
+def near_texts(seed, n=500):
+    """Texts around the threshold: chains of edits, shared passages of many lengths, crowds, short ones, copies."""
+    rng = np.random.default_rng(seed)
+    word = lambda k: [f"w{x}" for x in rng.integers(0, 4000, k)]
+    passages, out = [word(int(k)) for k in (30, 60, 100, 200)], []
+    bases = [word(int(k)) for k in rng.integers(1, 300, 40)]
+    for _ in range(n):
+        own = list(bases[int(rng.integers(len(bases)))])
+        for _ in range(int(rng.integers(0, 1 + len(own) // 15))):
+            own[int(rng.integers(len(own)))] = f"x{rng.integers(10**6)}"
+        if rng.random() < 0.3:
+            own = passages[int(rng.integers(4))] + own[: int(rng.integers(1, 60))]
+        out.append(" ".join(own))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("classes", [(4, 64), (1, 1.5), (1.2, 10**9)])
+def test_ngram_join_equals_all_pairs(spark, monkeypatch, classes):
+    monkeypatch.setattr(ngramjoin, "CLASSES", classes)
+    if classes[0] < 4:  # so that the prefix join finds what stars would settle
+        monkeypatch.setattr(ngramjoin, "stars", lambda nodes: nodes.sparkSession.createDataFrame([], "a long, b long"))
+    rows = near_texts(int(classes[0] * 10))
+    assert rows_of(ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string"))) == plain_components(rows)
+
+
+def test_signatures_of_similar_sets_meet():
+    rng = np.random.default_rng(3)
+    for trial in range(400):
+        level = rng.choice(np.array([0, 1, 2], np.uint8), 1 << 10, p=[0.2, 0.5, 0.3] if trial % 2 else [0, 0.5, 0.5])
+        n = int(rng.choice([1, 2, 5, 7, 8, 9, 12, 20, 33, 64, 90, 300, 1000]))
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        y = np.unique(np.r_[rng.permutation(x)[: int(np.ceil(n * rng.uniform(0.8, 1)))], rng.integers(0, 2**64, int(rng.integers(0, n // 8 + 2)), dtype=np.uint64)])
+        assert ngramjoin.may_overlap(ngramjoin.histogram(x), ngramjoin.histogram(y)) or not ngramjoin.similar(x.tobytes(), y.tobytes())
+        if ngramjoin.similar(x.tobytes(), y.tobytes()):
+            a, b = (dict(zip(*ngramjoin.signatures(s, level))) for s in (x, y))
+            met = [k for k in a if k in b]
+            assert met, (trial, n)
+            entry = [np.array([[k, k, len(s), d[c]] for c in met]) for k, (s, d) in enumerate(((x, a), (y, b)))]
+            assert any(len(ngramjoin._crossed(entry[0][i : i + 1], entry[1][i : i + 1])) for i in range(len(met)))
+
+
+def test_ngram_join_compares_lists_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "TILE", 4)
+    rows = [(7, c, n, 10, 0) for n, c in enumerate([1] * 9 + [2] * 3 + [3] * 5 + [4])] + [(8, 1, 1, 10, 0), (9, 5, 5, 10, 0), (9, 6, 6, 13, 0), (10, 5, 5, 10, 9), (10, 7, 7, 10, 0)]
+    got = ngramjoin.crossed_pairs(spark.createDataFrame(rows, "key long, comp long, node long, n int, at int"))
+    comp = {r[2]: r[1] for r in rows if r[0] == 7}
+    assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in comp for b in comp if a < b and comp[a] != comp[b])

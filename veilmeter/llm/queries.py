@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilmeter.llm import ann, audio, bpe, chat, langid, linededup, packing, quality, resample, simhash, warc
+from veilmeter.llm import ann, audio, bpe, chat, langid, linededup, ngramjoin, packing, phrases, quality, resample, simhash, warc
 from veilmeter.llm.common import table
 
 QUERIES = {
@@ -16,9 +16,13 @@ QUERIES = {
     "op8_chat_format": lambda spark, d: chat.op8(table(spark, d, "conversations")),
     "op9_line_dedup": lambda spark, d: linededup.line_report(table(spark, d, "documents")),
     "op10_warc": lambda spark, d: warc.op10(table(spark, d, "pages")),
+    "op11_phrases": lambda spark, d: phrases.mine(table(spark, d, "documents")),
+    "op12_ngram_join": lambda spark, d: ngramjoin.components(table(spark, d, "documents")),
     "op13_resample": lambda spark, d: resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
+AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 ORACLE_SQL = {
     "op9_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
@@ -36,4 +40,28 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
         FROM r""",
+    "op11_phrases": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m)),
+        f AS (SELECT lang, m, w[i : i + m - 1] AS p, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT lang, m, p, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+        s AS (SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+              FROM c JOIN n USING (lang) JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 : m]),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+        h AS (SELECT lang, p[1 : m - 1] AS p, f FROM f WHERE m > 2 UNION ALL SELECT lang, p[2 : m], f FROM f WHERE m > 2),
+        o AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lang = b.lang AND h.p = b.p AND h.f >= b.a)),
+        t AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score::BIGINT AS score FROM o)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM t
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
+    "op12_ngram_join": rf"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {AZ}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT row, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))
+              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+        e AS (SELECT row, len(s) AS n, unnest(s) AS t FROM s),
+        l AS (SELECT x.row AS a, y.row AS b FROM e x JOIN e y ON x.t = y.t AND x.row <> y.row GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+        r AS (SELECT row AS a, row AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+        c AS (SELECT r.a AS row, min(s.doc_id) AS component_id FROM r JOIN s ON s.row = r.b GROUP BY r.a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN c USING (row)""",
 }
