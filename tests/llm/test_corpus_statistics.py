@@ -139,7 +139,7 @@ def test_phrases_in_rounds_and_long_texts_in_spans(spark, monkeypatch):
     want = plain_phrases(rows, 100, 2000)
     w = words.Words(pa.array([t for _, t in rows]), phrases.KINDS)
     monkeypatch.setattr(phrases, "SCAN", 200)
-    spans = list(phrases._spans(w, w.pieces()))
+    spans = list(phrases._spans(w.ends, w.starts, w.pieces(), w.first))
     assert len(spans) > 20 and sum(z - a for _, a, z in spans) == len(w.starts)
     monkeypatch.setattr(phrases, "FEWEST", 12)
     assert sorted(map(tuple, phrases.mine(df, widest=12).collect())) == want

@@ -1,12 +1,12 @@
 """Phrase mining: candidates from a sketch's upper bounds, exact counts by guarded automata, thresholds at the end.
 
-1. Every run of 1 to LONGEST words inside a piece is hashed and counted in an array of counters, as wide as the corpus asks for up
-   to 2**WIDEST. A counter is never less than the count of any run that falls into it, so runs under a counter below `least` are
-   out. Tasks send their counters as short binary rows, which are added up by range of counters; what goes on is a bit each.
+1. Every word and pair of words inside a piece is hashed and counted in an array of counters, as wide as the corpus asks for up
+   to 2**WIDEST; then so is every longer run, up to LONGEST words, all of whose pairs passed. A counter is never less than the count of
+   any run that falls into it, so runs under a counter below `least` are out, and longer ones that hold such a pair. Tasks send their counters as short binary rows, which are added up by range of counters; what goes on is a bit each.
    Where the widest array would be too full, the runs are dealt to rounds by their hash, each with an array of its own.
 2. What passes is written once as (lang, phrase) with an id. It is a superset of the frequent runs, whatever the sketch's width.
 3. Candidates are compiled into pyahocorasick automata, one a language: a phrase is guarded by a blank on both sides, texts hold one blank
-   between words and a line break between blanks where a piece ends, so only whole words of one piece match, overlaps included. At
+   between words and a line break between blanks where a piece ends, or a word was that the sketch shut out, so only whole words of one piece match, overlaps included. At
    most MOST candidates are in one automaton set; further ones take further passes over the texts. Tasks send a count for each
    candidate that they met; the sums are exact.
 4. Single words are counted with the phrases, which gives both sides of every cut. Products are decimals of 38 digits.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmeter.llm.common import dropped, slices, written
+from veilmeter.llm.common import slices, written
 from veilmeter.llm.words import Words, kinds, mixed
 
 LONGEST = 5
@@ -52,16 +52,49 @@ def _seeds(langs: pa.Array) -> np.ndarray:
     return own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.uint64)
 
 
-def run_hashes(words: Words, langs: pa.Array, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length: the first word of each run inside a piece, and the run's hash, which depends on its language too."""
-    piece = words.pieces()
-    own = words.hashes() ^ _seeds(langs)[words.texts()]
-    runs = mixed(own)
-    for size in range(1, longest + 1):
-        if size > 1:
-            runs = mixed(runs[:-1] * np.uint64(0xD6E8FEB86659FD93) + own[size - 1 :])
-        first = np.flatnonzero(piece[: len(runs)] == piece[size - 1 :])
-        yield size, first, runs[first]
+class Runs:
+    """The hashes of runs inside pieces, which depend on their language too: of single words, of pairs, and of longer runs all of whose pairs pass."""
+
+    def __init__(self, words: Words, langs: pa.Array):
+        self.piece = words.pieces()
+        self.own = words.hashes() ^ _seeds(langs)[words.texts()]
+        self.single = mixed(self.own)
+        self.inside = self.piece[:-1] == self.piece[1:]
+        self.pair = self._longer(self.single[:-1], self.own[1:])
+
+    @staticmethod
+    def _longer(runs: np.ndarray, more: np.ndarray) -> np.ndarray:
+        return mixed(runs * np.uint64(0xD6E8FEB86659FD93) + more)
+
+    def short(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """size, first word, hash."""
+        yield 1, np.arange(len(self.single)), self.single
+        first = np.flatnonzero(self.inside)
+        yield 2, first, self.pair[first]
+
+    def long(self, known: Known, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        ok = self.inside & known.passes(self.pair)
+        first = np.flatnonzero(ok[:-1] & ok[1:])
+        runs = self.pair[first]
+        for size in range(3, longest + 1):
+            if size > 3:
+                on = first + size - 2 < len(ok)
+                on[on] = ok[first[on] + size - 2]
+                first, runs = first[on], runs[on]
+            runs = self._longer(runs, self.own[first + size - 1])
+            yield size, first, runs
+
+
+class Known:
+    """A bit for each counter of each round: whether it reached the threshold."""
+
+    def __init__(self, bits: int, rounds: int, packed: np.ndarray):
+        self.bits, self.rounds, self.packed = bits, rounds, packed  # packed: round x byte
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        row = self.packed[0][at >> 3] if self.rounds == 1 else self.packed[(h % np.uint64(self.rounds)).astype(np.int64), at >> 3]
+        return (row >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Words]]:
@@ -74,22 +107,25 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def frequent_bits(docs: DataFrame, bits: int, least: int, rounds: int = 1, turn: int = 0) -> np.ndarray:
-    """Packed bits: whether each of 2**bits counters, of the runs whose turn it is, reached `least`."""
+def frequent_bits(docs: DataFrame, bits: int, least: int, rounds: int, turn: int, shorter: Known | None = None) -> np.ndarray:
+    """Packed bits: whether each of 2**bits counters reached `least`, of the runs whose turn it is: words and pairs, or the longer ones
+    that pass by what is known of the shorter."""
     shift = np.uint64(64 - bits)
+    sent = None if shorter is None else docs.sparkSession.sparkContext.broadcast(shorter)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << bits, np.uint32)
         for langs, words in _batches(batches):
-            for _, _, h in run_hashes(words, langs):
+            runs = Runs(words, langs)
+            for _, _, h in runs.short() if sent is None else runs.long(sent.value):
                 h = h if rounds == 1 else h[h % np.uint64(rounds) == turn]
                 np.add.at(counters, (h >> shift).astype(np.int64), np.uint32(1))
         parts = counters.reshape(-1, SEGMENT)
         own = np.flatnonzero(parts.any(axis=1))
         for at in range(0, len(own), 1000):
             some = own[at : at + 1000]
-            sent = [(x if x.max() > 65535 else x.astype(np.uint16) if x.max() > 255 else x.astype(np.uint8)).tobytes() for x in parts[some]]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sent, pa.binary())], ["segment", "data"])
+            data = [(x if x.max() > 65535 else x.astype(np.uint16) if x.max() > 255 else x.astype(np.uint8)).tobytes() for x in parts[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(data, pa.binary())], ["segment", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = {SEGMENT: np.uint8, 2 * SEGMENT: np.uint16, 4 * SEGMENT: np.uint32}
@@ -109,75 +145,77 @@ def frequent_bits(docs: DataFrame, bits: int, least: int, rounds: int = 1, turn:
             yield out()
 
     schema = "segment long, data binary"
-    sent = _own(docs).mapInArrow(count, schema).repartition("segment").sortWithinPartitions("segment")
+    parts = _own(docs).mapInArrow(count, schema).repartition("segment").sortWithinPartitions("segment")
     out = np.zeros(((1 << bits) // SEGMENT, SEGMENT // 8), np.uint8)
-    for r in sent.mapInArrow(add, schema).toLocalIterator():  # 2**bits / 8 bytes at most
+    for r in parts.mapInArrow(add, schema).toLocalIterator():  # 2**bits / 8 bytes at most
         out[r["segment"]] = np.frombuffer(r["data"], np.uint8)
     return out.ravel()
 
 
-def candidates(docs: DataFrame, least: int = LEAST, widest: int = WIDEST) -> DataFrame:
-    """id, lang, phrase: every run that may occur `least` times in its language, once."""
+def sketch(docs: DataFrame, least: int = LEAST, widest: int = WIDEST) -> tuple[Known, Known]:
+    """What is known of words and pairs, and of longer runs."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(widest, max(FEWEST, int(max(1, size // FILL)).bit_length()))
     rounds = max(1, -(-size // (FILL << bits)))
-    found = []
-    for turn in range(rounds):
-        known = docs.sparkSession.sparkContext.broadcast(frequent_bits(docs, bits, least, rounds, turn))
+    short = Known(bits, rounds, np.stack([frequent_bits(docs, bits, least, rounds, k) for k in range(rounds)]))
+    return short, Known(bits, rounds, np.stack([frequent_bits(docs, bits, least, rounds, k, short) for k in range(rounds)]))
 
-        def pick(batches: Iterator[pa.RecordBatch], known=known, turn=turn) -> Iterator[pa.RecordBatch]:
-            bitmap, seen = known.value, set()
-            for langs, words in _batches(batches):
-                text = words.texts()
-                own_langs, phrases = [], []
-                for k, first, h in run_hashes(words, langs):
-                    at = (h >> np.uint64(64 - bits)).astype(np.int64)
-                    hit = (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                    if rounds > 1:
-                        hit &= h % np.uint64(rounds) == turn
+
+def candidates(docs: DataFrame, known: tuple[Known, Known]) -> DataFrame:
+    """id, lang, phrase: every run that may occur often enough in its language, once."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (short, long), seen = sent.value, set()
+        for langs, words in _batches(batches):
+            text, runs = words.texts(), Runs(words, langs)
+            own_langs, phrases = [], []
+            for known, found in ((short, runs.short()), (long, runs.long(short))):
+                for k, first, h in found:
+                    hit = known.passes(h)
                     own, where = np.unique(h[hit], return_index=True)
                     for x, i in zip(own.tolist(), first[hit][where].tolist()):
                         if x not in seen:
                             seen.add(x)
-                            own_langs.append(langs[int(text[i])])
+                            own_langs.append(langs[int(text[i])].as_py())
                             phrases.append(b" ".join(words.word(j) for j in range(i, i + k)).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in own_langs], pa.string()), pa.array(phrases, pa.string())], ["lang", "phrase"])
-                if len(seen) > SEEN:
-                    seen = set()
+            yield pa.RecordBatch.from_arrays([pa.array(own_langs, pa.string()), pa.array(phrases, pa.string())], ["lang", "phrase"])
+            if len(seen) > SEEN:
+                seen = set()
 
-        found.append(written(_own(docs).mapInArrow(pick, "lang string, phrase string").distinct(), "candidates"))
-    out = written(reduce(DataFrame.unionByName, found).withColumn("id", F.monotonically_increasing_id()), "phrases")
-    dropped(*found)
-    return out
+    return written(_own(docs).mapInArrow(pick, "lang string, phrase string").distinct().withColumn("id", F.monotonically_increasing_id()), "phrases")
 
 
-def guarded(words: Words, pieces: np.ndarray, a: int, z: int) -> str:
-    """Words a to z, with a blank before and after each, and a line break between the blanks where a piece ends."""
-    size = words.ends[a:z] - words.starts[a:z] + 1
+def guarded(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: np.ndarray) -> str:
+    """Words, with a blank before and after each, and a line break between the blanks where a piece ends."""
+    size = ends - starts + 1
     end = size.cumsum()
-    source = np.arange(end[-1]) + np.repeat(words.starts[a:z] - (end - size), size)
+    source = np.arange(end[-1]) + np.repeat(starts - (end - size), size)
     source[end - 1] = 0
-    out = words.lower[source]
+    out = lower[source]
     out[end - 1] = 32
-    out[(end - 1)[:-1][pieces[a + 1 : z] != pieces[a : z - 1]]] = 10
+    out[(end - 1)[:-1][pieces[1:] != pieces[:-1]]] = 10
     return " " + out.tobytes().decode("utf-8", "replace").replace("\n", " \n ")
 
 
-def _spans(words: Words, pieces: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """text, first word, end: whole texts, long ones cut at the ends of pieces."""
-    for t, (a, z) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
+def _spans(ends: np.ndarray, starts: np.ndarray, pieces: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """text, first word, end: whole texts, long ones cut at the ends of pieces. first: of each text, its first word."""
+    for t, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
         while a < z:
-            to = int(np.searchsorted(words.ends[a:z], words.starts[a] + SCAN, side="right")) + a
+            to = int(np.searchsorted(ends[a:z], starts[a] + SCAN, side="right")) + a
             if to < z:
-                more = np.flatnonzero(pieces[max(a, to - 1) + 1 : z] != pieces[max(a, to - 1)])
-                to = max(a, to - 1) + 1 + int(more[0]) if len(more) else z
-            yield t, a, min(to, z)
+                at = max(a, to - 1)
+                more = np.flatnonzero(pieces[at + 1 : z] != pieces[at])
+                to = at + 1 + int(more[0]) if len(more) else z
+            yield t, a, to
             a = to
 
 
-def counts(docs: DataFrame, found: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(id, f): how often each candidate that occurs does; (lang, n): the words of each language."""
+def counts(docs: DataFrame, found: DataFrame, short: Known, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """(id, f): how often each candidate that occurs does; (lang, n): the words of each language. A word that the sketch shuts out is in no
+    candidate and ends a piece."""
     spark = docs.sparkSession
+    sketched = spark.sparkContext.broadcast(short)
     sets = max(1, -(-found.count() // most))
     tables = []
     for k in range(sets):
@@ -191,19 +229,23 @@ def counts(docs: DataFrame, found: DataFrame, most: int = MOST) -> tuple[DataFra
 
             built, met, held, value = {}, {}, Counter(), itemgetter(1)
             for langs, words in _batches(batches):
-                pieces, names = words.pieces(), langs.to_pylist()
-                for t, a, z in _spans(words, pieces):
+                names, size = langs.to_pylist(), words.counts.tolist()
+                for lang, n in zip(names, size):
+                    held[lang] += n
+                stay = sketched.value.passes(mixed(words.hashes() ^ _seeds(langs)[words.texts()]))
+                pieces = (words.pieces() + (~stay).cumsum())[stay]
+                starts, ends, first = words.starts[stay], words.ends[stay], np.r_[0, stay.cumsum()][words.first]
+                for t, a, z in _spans(ends, starts, pieces, first):
                     lang = names[t]
-                    held[lang] += z - a
                     if lang not in sent.value:
                         continue
                     if lang not in built:
                         built[lang], met[lang] = ahocorasick.Automaton(), Counter()
-                        for phrase, ident in sent.value[lang]:
-                            built[lang].add_word(f" {phrase} ", ident)
+                        for k, (phrase, _) in enumerate(sent.value[lang]):
+                            built[lang].add_word(f" {phrase} ", k)
                         built[lang].make_automaton()
-                    met[lang].update(map(value, built[lang].iter(guarded(words, pieces, a, z))))
-            ids = np.fromiter((i for m in met.values() for i in m), np.int64)
+                    met[lang].update(map(value, built[lang].iter(guarded(words.lower, starts[a:z], ends[a:z], pieces[a:z]))))
+            ids = np.fromiter((sent.value[lang][k][1] for lang, m in met.items() for k in m), np.int64)
             sums = np.fromiter((n for m in met.values() for n in m.values()), np.int64)
             none = np.full(len(ids), None, object)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(none, pa.string()), pa.array(sums)], ["id", "lang", "f"])
@@ -242,8 +284,9 @@ def closed(counted: DataFrame) -> DataFrame:
 
 def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, most: int = MOST, widest: int = WIDEST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases."""
-    found = candidates(docs, least, widest)
-    own, totals = counts(docs, found, most)
+    known = sketch(docs, least, widest)
+    found = candidates(docs, known)
+    own, totals = counts(docs, found, known[0], most)
     counted = written(found.join(own.filter(F.col("f") >= least), "id").select("lang", "phrase", "f"), "frequent")
     each = scored(counted, totals).join(closed(counted), ["lang", "phrase"])
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

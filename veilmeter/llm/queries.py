@@ -47,8 +47,8 @@ ORACLE_SQL = {
         g AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m)),
         f AS (SELECT lang, m, w[i : i + m - 1] AS p, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
         c AS (SELECT lang, m, p, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
-        s AS (SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
-              FROM c JOIN n USING (lang) JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 : m]),
+        s AS (SELECT c.lang, c.p, c.a, c.k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+              FROM c JOIN n USING (lang) JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 : c.m]),
         b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
         h AS (SELECT lang, p[1 : m - 1] AS p, f FROM f WHERE m > 2 UNION ALL SELECT lang, p[2 : m], f FROM f WHERE m > 2),
         o AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lang = b.lang AND h.p = b.p AND h.f >= b.a)),
