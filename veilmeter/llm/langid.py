@@ -9,8 +9,8 @@ there; then each is parsed again from the state in which its predecessor ended,
 from where they agree. So phrases are those of the whole text.
 
 Text is taken in lower case, letters only, with one space between words; every letter of a sample has a code of its own. The
-fitting sample is bounded: of rows of at most LONGEST characters, by a hash of the row, as many whole ones as reach SAMPLE
-characters, of about ROWS a language. Everything else covers all rows and whole texts.
+fitting sample is bounded: by a hash of the row, as many whole ones as reach SAMPLE characters, of about ROWS a language. Rows of over LONGEST
+characters come last, are looked at only where a language's others don't reach SAMPLE, and then give 4 * SAMPLE characters at most. Everything else covers all rows and whole texts.
 
 Defined cases: `und` with score 0 for a null text, one without a letter, or when no language could be learned; equal rates go
 to the first language in order of names; rows without a label aren't learned from; repeated rows count once in the sample, and
@@ -43,16 +43,22 @@ def _held_out():
 
 def learn(docs: DataFrame, rows: int = ROWS) -> list[tuple[str, list[str]]]:
     """Per language, in order of names, its sample texts."""
-    own = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.coalesce(~_held_out(), F.lit(False)) & F.length("text").between(1, LONGEST))
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
-    if not counts:
+    own = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.coalesce(~_held_out(), F.lit(False)) & (F.length("text") > 0))
+    own = own.withColumn("long", F.length("text") > LONGEST)
+    short = F.sum((~F.col("long")).cast("long"))
+    found = own.groupBy("lang").agg(short.alias("short"), F.count("*").alias("n"), F.sum(F.when(~F.col("long"), F.length("text"))).alias("held")).collect()  # a row a language
+    if not found:
         return []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows / n))])
-    picked = own.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)) / 1e9).filter(F.col("h") < share[F.col("lang")]).distinct()
+    least = {r["lang"]: 0.0 if (r["held"] or 0) >= SAMPLE or r["n"] == r["short"] else rows / (r["n"] - r["short"]) for r in found}
+    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, rows / max(1, r["short"])))])
+    share_long = F.create_map(*[F.lit(x) for k, s in least.items() for x in (k, min(1.0, s))])
+    hashed = own.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)) / 1e9)
+    picked = hashed.filter(F.col("h") < F.when(F.col("long"), share_long[F.col("lang")]).otherwise(share[F.col("lang")]))
+    picked = picked.select("lang", "long", "h", "doc_id", F.substring("text", 1, 4 * SAMPLE).alias("text")).distinct()
     by: dict[str, list[tuple]] = {}
-    for r in picked.orderBy("h", "doc_id").limit(4 * rows * len(counts)).collect():
-        by.setdefault(r["lang"], []).append((r["h"], r["doc_id"], r["text"]))
-    return [(lang, [x[2] for x in sorted(by[lang])]) for lang in sorted(by)]
+    for r in picked.orderBy("long", "h", "doc_id").limit(4 * rows * len(found)).collect():
+        by.setdefault(r["lang"], []).append((r["long"], r["h"], r["doc_id"], r["text"]))
+    return [(lang, [x[3] for x in sorted(by[lang], key=lambda x: (x[0], x[1], x[2] is None, x[2] or 0, x[3]))]) for lang in sorted(by)]
 
 
 def letters(text: str) -> str:
