@@ -1,8 +1,8 @@
 """Packing: token sequences of at most 2048 ids from documents, by first-fit decreasing in randomised groups.
 
 A document's ids and a closing id 1 are cut into pieces of 2048 and a rest. Where the text lies, a task encodes it and sends
-on only (doc_id, start, length, checksum) of each piece. Pieces fall at random into groups of about GROUP documents' pieces,
-whose number grows with the table. In a group, pieces go by falling length each into the first sequence with room, which a
+on only (doc_id, start, length, checksum) of each piece. Pieces fall at random into groups of about GROUP pieces at most, as a
+token is of a byte at least; their number grows with the rows and the bytes of the table. In a group, pieces go by falling length each into the first sequence with room, which a
 tournament tree of the sequences' free room finds in logarithmic time.
 
 The encoder works on words between white space, which are independent of one another under this vocabulary's rules; a worker
@@ -136,7 +136,8 @@ def first_fit(lengths: list[int], room: int = LENGTH) -> tuple[list[int], list[i
 
 def pack(docs: DataFrame, vocabulary: str | None = None, group: int = GROUP) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
-    groups = max(1, -(-docs.count() // group))
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, -(-(rows + size // LENGTH) // group))
     # The row number spreads copies of one document over the groups, the start equal pieces of one text.
     pieces = cut(docs, vocabulary).withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(groups)))
 
