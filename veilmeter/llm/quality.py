@@ -5,12 +5,12 @@ marks, the marks at its end, and its shape. One weight a feature serves all grad
 score s: P(grade <= k) = 1 / (1 + exp(s - t_k)). A document gets its expected grade and the tail probability of the best grade,
 by which it is selected.
 
-Fitting uses a bounded sample: about MOST labelled rows a grade, by a hash of doc_id, of at most LONGEST characters; their
-features are made on the executors. Scoring covers all documents and whole texts.
+Fitting uses a bounded sample: about MOST labelled rows a grade, by a hash of doc_id, and never more than twice as many; texts of over
+LONGEST characters are among them only where a grade has less than FEW others. Their features are made on the executors. Scoring covers all documents and whole texts.
 
 Defined cases: a null or blank text has no features, and is not kept; contradicting labels of one document count as the lowest grade;
 null labels are left out; without labels of at least two grades all documents get probability 1; equal texts give equal
-results, so ties and repeated rows need no rule; rows that repeat a labelled doc_id are each in the sample; very long texts are
+results, so ties and repeated rows need no rule; rows that repeat a labelled doc_id are each in the sample, up to its bound; very long texts are
 scored whole; an empty table gives an empty table; only doc_id and text of documents, and doc_id, quality, toxic of labels are
 read, other columns of any name are kept as they are.
 """
@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmeter.llm.common import Known, slices
 
 MOST = 2500
 LONGEST = 40_000
+FEW = 32
 BITS = 18
 GRADES = 3
 ROUNDS = 200
@@ -76,11 +77,16 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[np.ndar
         known = Known(WORDS)
         for big in batches:
             for b in slices(big, 2):
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(features(b.column(2).to_pylist(), known), pa.list_(pa.int32()))], ["doc_id", "grade", "f"])
+                found = pa.array(features(b.column(2).to_pylist(), known), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), found], ["doc_id", "grade", "long", "h", "f"])
 
     # picked holds about MOST rows a grade at any size of the tables.
-    texts = docs.select("doc_id", "text").filter(F.length("text").between(1, LONGEST)).join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text")
-    got = texts.mapInArrow(run, "doc_id long, grade int, f array<int>").toPandas().sort_values(["doc_id", "grade"], kind="stable")
+    texts = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(picked), "doc_id")
+    texts = texts.select("doc_id", "grade", "text", (F.length("text") > LONGEST).alias("long"), F.xxhash64("doc_id", "text").alias("h"))
+    found = texts.mapInArrow(run, "doc_id long, grade int, long boolean, h long, f array<int>")
+    place = F.row_number().over(Window.partitionBy("grade").orderBy("long", "h"))
+    found = found.withColumn("place", place).filter(F.col("place") <= 2 * MOST).filter(~F.col("long") | (F.col("place") <= FEW))
+    got = found.select("doc_id", "grade", "h", "f").toPandas().sort_values(["doc_id", "grade", "h"], kind="stable")
     return got["grade"].to_numpy(), list(got["f"]), np.array([counts.get(k, 0) for k in range(GRADES)], dtype=float)
 
 
