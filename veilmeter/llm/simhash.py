@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmeter.llm.common import text_or_empty, written
+from veilmeter.llm.common import dropped, text_or_empty, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -172,7 +172,8 @@ def classes(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = written(small, "edges")
+        old, edges = edges, written(small, "edges")
+        dropped(old)
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 31)), F.lit(0))).first()
         if state == before:
             return edges.select(F.col("a").alias("point"), F.col("b").alias("root"))
