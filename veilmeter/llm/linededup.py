@@ -8,8 +8,8 @@ rows share the doc_id, place in the text), has the same words or a Jaccard simil
    order gives exact results.
 2. Each line becomes one row: its set's key, size, a parity signature (each word flips one of 128 bits), and its prefix, the
    rarest n - ceil(4n/5) + 1 words, in which two similar sets must share one. Equal sets fall together to their first line,
-   a head. Keys have 128 bits and words 59 besides their rarity: of 1e12 different lines, two share a key with a chance of
-   about 1e-15; two words that share a code only make candidates, which are verified on the words themselves.
+   a head. Keys are made from the words, by two hashes of each of them, of 64 and of 32 bits, and not from their codes of 59 bits: words
+   that share a code only make candidates, which are verified on the words themselves.
 3. Heads that are much alike in crowds are settled first: dealt out by a few of their words, each is held against the
    first head of a word or else the last few before it. Codes that are common everywhere are salted here.
 4. Prefix words of heads are dealt out by word and joined with themselves: an earlier head with a later one that isn't settled,
@@ -119,11 +119,14 @@ def line_rows(docs: DataFrame, h: Column, buckets: int = BUCKETS) -> DataFrame:
         return F.aggregate("c", F.lit(0).cast("long"), lambda sig, x: sig.bitwiseXOR(_shift("shiftleft", one(x), x.bitwiseAND(F.lit(63)).cast("int"))))
 
     hashed = F.array_remove(F.array_distinct(F.transform(_parts(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    coded = lines(docs, h).filter(has_word(F.col("line"))).select(*ROW, F.sort_array(F.transform(hashed, code)).alias("c"))
+    other = F.array_distinct(F.transform(F.array_remove(_parts(F.col("line")), ""), lambda w: F.hash(w)))
+    k2 = F.aggregate(other, F.lit(0).cast("long"), lambda total, x: total.bitwiseXOR(F.xxhash64(x)))
+    own = lines(docs, h).filter(has_word(F.col("line"))).select(*ROW, F.sort_array(hashed).alias("x"), k2.alias("k2"))
+    coded = own.select(*ROW, F.xxhash64("x").alias("k1"), "k2", F.sort_array(F.transform("x", code)).alias("c"))
     n = F.size("c")
     own = (n - F.ceil(n * F.lit(NUM) / F.lit(DEN)) + 1).cast("int")
     return coded.select(
-        *ROW, F.xxhash64("c").alias("k1"), F.xxhash64(F.lit(1), "c").alias("k2"), n.alias("n"), parity(lambda x: F.lit(1).cast("long")).alias("sig"),
+        *ROW, "k1", F.xxhash64("k2", n).alias("k2"), n.alias("n"), parity(lambda x: F.lit(1).cast("long")).alias("sig"),
         parity(lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(1))).alias("odd"), F.slice("c", F.lit(1), own).alias("prefix")
     )
 
