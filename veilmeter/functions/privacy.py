@@ -106,9 +106,9 @@ def advice() -> Column:
     return F.when(F.col("risk") == "LOW", low).when(F.col("risk") == "MEDIUM", medium).otherwise(high)
 
 
-def interpretation(epsilon: Column) -> Column:
-    """What an epsilon means for an adversary's odds; e counts as 2.718. The text is a fixed value."""
-    return F.concat(F.lit("an adversary gains at most e^"), epsilon.cast("string"), F.lit(" = "), F.format_string("%.2f", F.pow(F.lit(2.718), epsilon)), F.lit("x odds advantage"))
+def interpretation(epsilon: Column, shown: Column | None = None) -> Column:
+    """What an epsilon means for an adversary's odds; e counts as 2.718; shown: how epsilon is printed. The text is a fixed value."""
+    return F.concat(F.lit("an adversary gains at most e^"), epsilon.cast("string") if shown is None else shown, F.lit(" = "), F.format_string("%.2f", F.pow(F.lit(2.718), epsilon)), F.lit("x odds advantage"))
 
 
 def log_floor(p: Column, floor: float = 1e-12) -> Column:

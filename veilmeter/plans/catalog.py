@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmeter.functions import privacy, risk
+from veilmeter.functions import privacy
 from veilmeter.operators import defenses, extraction, membership, models, preprocess, roc
 from veilmeter.plans import reports
 from veilmeter.sources import tables
@@ -364,54 +364,6 @@ def mink_members_vs_benchmark(spark, d):
     return found.select(F.col("doc_id").alias("item_id"), "n_tokens", F.round("score", 6).alias("score"))
 
 
-# --- accounting --------------------------------------------------------------------------------------------------------
-CONFIGS = "cf(run_id, sigma, q, steps, delta) AS (VALUES ('a', 4e0, 0.01e0, 1000, 1e-5), ('b', 2e0, 0.01e0, 1000, 1e-5), ('c', 1e0, 0.01e0, 1000, 1e-5), ('d', 4e0, 0.005e0, 2000, 1e-5))"
-SQL_CURVE = f"""WITH {CONFIGS}, al AS (SELECT unnest(range(2, 513))::DOUBLE AS alpha UNION ALL SELECT unnest([1.5e0, 1.25e0, 1.1e0])),
-    x AS (SELECT *, alpha/(2*sigma*sigma) AS x FROM cf, al),
-    c AS (SELECT run_id, alpha, (CASE WHEN alpha < 2 THEN q*q*alpha/(sigma*sigma) ELSE ln(1+q*q*(exp(x)-1))*alpha/(alpha-1) END)*steps + (ln(1/delta)+ln(alpha/(alpha-1))-1/alpha)/(alpha-1) AS eps FROM x)"""
-
-
-@query("rdp_curve", f"{SQL_CURVE} SELECT run_id, alpha, round(eps, 6) AS epsilon FROM c")
-def rdp_curve(spark, d):
-    return privacy.rdp_curve(tables.configs(spark)).select("run_id", "alpha", F.round("epsilon", 6).alias("epsilon"))
-
-
-@query("rdp_epsilon_sweep", f"{SQL_CURVE} SELECT run_id, round(min(eps), 4) AS epsilon, arg_min(alpha, eps) AS alpha FROM c GROUP BY run_id")
-def rdp_epsilon_sweep(spark, d):
-    return privacy.compute_epsilon(tables.configs(spark)).withColumn("epsilon", F.round("epsilon", 4))
-
-
-@query("epsilon_report", f"""{SQL_CURVE}, b AS (SELECT run_id, round(min(eps), 4) AS epsilon, arg_min(alpha, eps) AS alpha FROM c GROUP BY run_id)
-    SELECT *, printf('an adversary gains at most e^%s = %.2fx odds advantage', epsilon::VARCHAR, 2.718e0**epsilon) AS interpretation FROM b""")
-def epsilon_report(spark, d):
-    found = privacy.compute_epsilon(tables.configs(spark)).withColumn("epsilon", F.bround("epsilon", 4))
-    return found.withColumn("interpretation", privacy.interpretation(F.col("epsilon")))
-
-
-@query("simple_rdp_epsilon", f"""WITH {CONFIGS}, al AS (SELECT 1 + unnest(range(1, 100))/10e0 AS a UNION ALL SELECT unnest(range(12, 64))::DOUBLE)
-    SELECT run_id, round(min((a-1)/(2*sigma*sigma) + ln(1+q*(exp((a-1)/(2*sigma*sigma))-1)) - ln(delta)/(a-1)), 6) AS epsilon FROM cf, al GROUP BY run_id""")
-def simple_rdp_epsilon(spark, d):
-    return privacy.simple_epsilon(tables.configs(spark)).withColumn("epsilon", F.round("epsilon", 6))
-
-
-@query("gdp_epsilon", f"WITH {CONFIGS} SELECT run_id, round(sqrt(steps)*q/sigma*4.264890793922825e0 + (sqrt(steps)*q/sigma)**2/2, 6) AS epsilon FROM cf")
-def gdp_epsilon(spark, d):
-    return privacy.gdp_epsilon(tables.configs(spark), 1e-5).withColumn("epsilon", F.round("epsilon", 6))
-
-
-@query("budget_table", """WITH c AS (SELECT n, e, b, s, 1e-5 AS d, b/n::DOUBLE AS q, ceil(e*n/b::DOUBLE) AS t FROM (SELECT unnest([10000, 50000]) AS n), (SELECT unnest([1, 10]) AS e), (SELECT unnest([64, 256]) AS b), (SELECT unnest([0.5e0, 1e0, 2e0]) AS s)),
-    x AS (SELECT *, greatest(0, q*sqrt(2*t*ln(1/d))/s) AS eps FROM c)
-    SELECT n::BIGINT AS n, e::BIGINT AS epochs, b::BIGINT AS batch, s AS sigma, t::BIGINT AS steps, round(eps, 6) AS epsilon, round(q*sqrt(2*t*ln(1/d)), 6) AS required_sigma,
-    CASE WHEN eps<=1 THEN 'LOW' WHEN eps<=3 THEN 'MEDIUM' WHEN eps<=10 THEN 'HIGH' ELSE 'CRITICAL' END AS risk,
-    CASE WHEN eps<=1 THEN printf('Epsilon = %.2f meets the recommended threshold of <= 1.0. Current sigma = %.1f provides strong differential privacy guarantees.', eps, s)
-    WHEN eps<=3 THEN printf('Epsilon = %.2f is acceptable for non-sensitive data. To reach epsilon <= 1.0 (LOW risk), increase sigma to >= %.1f. Note: higher sigma reduces model utility.', eps, q*sqrt(2*t*ln(1/d)))
-    ELSE printf('Epsilon = %.2f provides weak privacy guarantees. To reach epsilon <= 1.0, increase sigma to >= %.1f or reduce epochs (current: %d). Consider reducing epochs to %d and re-evaluating.', eps, q*sqrt(2*t*ln(1/d)), e, greatest(1, e//2)) END AS advice FROM x""")
-def budget_table(spark, d):
-    rows = [(n, e, b, s, 1e-5) for n in (10000, 50000) for e in (1, 10) for b in (64, 256) for s in (0.5, 1.0, 2.0)]
-    out = privacy.budget(spark.createDataFrame(rows, "n long, epochs long, batch long, sigma double, delta double"))
-    return out.select("n", "epochs", "batch", "sigma", "steps", F.round("epsilon", 6).alias("epsilon"), F.round("required_sigma", 6).alias("required_sigma"), "risk", "advice")
-
-
 # --- defenses ----------------------------------------------------------------------------------------------------------
 @query("dpsgd_first_step", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, CASE WHEN label=0 THEN 1e0 ELSE 0e0 END AS y FROM embeddings),
     g AS (SELECT vec_id, list_transform(v, lambda x: (0.5e0-y)*x) AS g FROM e), n AS (SELECT g, sqrt(list_sum(list_transform(g, lambda x: x*x))) AS nm FROM g),
@@ -473,113 +425,6 @@ def batch_clip_step(spark, d):
     return defenses.batch_step(tables.embedding_samples(spark, d)).withColumn("gradient", F.round("gradient", 6))
 
 
-# --- scales, reports, mapping ------------------------------------------------------------------------------------------
-@query("risk_scales_grid", """WITH g AS (SELECT unnest(range(0, 101)) AS i), v AS (SELECT i, i/100e0 AS a, i/8e0 AS e FROM g)
-    SELECT i::BIGINT AS i, CASE WHEN a<0.55 THEN 'low' WHEN a<0.6 THEN 'medium' ELSE 'high' END AS k1, CASE WHEN a/0.1e0<2 THEN 'LOW' WHEN a/0.1e0<3 THEN 'MEDIUM' WHEN a/0.1e0<5 THEN 'HIGH' ELSE 'CRITICAL' END AS k2,
-    CASE WHEN a-0.1e0>=0.3e0 THEN 'CRITICAL' WHEN a-0.1e0>=0.2e0 THEN 'HIGH' WHEN a-0.1e0>=0.1e0 THEN 'MEDIUM' ELSE 'LOW' END AS k3, CASE WHEN e>10 THEN 'CRITICAL' WHEN e>3 THEN 'HIGH' WHEN e>1 THEN 'MEDIUM' ELSE 'LOW' END AS k4,
-    CASE WHEN e<=1 THEN 'LOW' WHEN e<=3 THEN 'MEDIUM' WHEN e<=10 THEN 'HIGH' ELSE 'CRITICAL' END AS k5, CASE WHEN e<=1 THEN 'LOW' WHEN e<=3 THEN 'MEDIUM' ELSE 'HIGH' END AS k6, CASE WHEN i>=75 THEN 'red' WHEN i>=58 THEN 'amber' ELSE 'green' END AS k8 FROM v""")
-def risk_scales_grid(spark, d):
-    i, a, e = F.col("i"), F.col("i") / F.lit(100.0), F.col("i") / F.lit(8.0)
-    return spark.range(101).select(F.col("id").alias("i")).select("i", risk.by_auc(a).alias("k1"), risk.by_ratio(a, F.lit(0.1)).alias("k2"), risk.by_excess(a - F.lit(0.1)).alias("k3"), risk.by_epsilon(e).alias("k4"), risk.by_budget(e).alias("k5"), risk.by_epsilon_report(e).alias("k6"), risk.colour(i).alias("k8"))
-
-
-CASES = [
-    ("a", 0.42, 0.10, 0.10, 1.16, False, 4.0), ("b", 0.05, 0.10, 0.0, None, False, None), ("c", 0.3, 0.1, 0.05, 4.0, True, None), ("d", 0.25, 0.2, 0.0, 12.0, True, 0.5),
-    ("e", 0.9, 0.1, 0.1, None, True, None), ("f", 0.35, 0.1, 0.2, 0.8, False, 6.0),
-]
-
-
-def _cases(spark):
-    return spark.createDataFrame(CASES, "model_id string, advantage double, threshold double, baseline double, epsilon double, inversion boolean, sigma double")
-
-
-def _value(x) -> str:
-    return "NULL::DOUBLE" if x is None else f"{x}::DOUBLE"
-
-
-MORE = [("b", "attribute_inference", "CRITICAL", "Art. 9", "MAP 1.1", "Remove the attribute."), ("e", "own_test", None, None, None, reports.EPOCHS)]
-SQL_CASES = "cs(model_id, advantage, threshold, baseline, epsilon, inversion, sigma) AS (VALUES " + ", ".join(f"('{m}', {a}::DOUBLE, {t}::DOUBLE, {b}::DOUBLE, {_value(e)}, {i}, {_value(s)})" for m, a, t, b, e, i, s in CASES) + ")"
-SQL_FIND = f"""WITH {SQL_CASES}, l AS (SELECT *, CASE WHEN advantage/threshold<2 THEN 'LOW' WHEN advantage/threshold<3 THEN 'MEDIUM' WHEN advantage/threshold<5 THEN 'HIGH' ELSE 'CRITICAL' END AS lv,
-    concat_ws(',', CASE WHEN advantage>threshold THEN 'Art. 10' END, CASE WHEN inversion THEN 'Art. 15' END) AS art FROM cs),
-    fi AS (SELECT model_id, 'membership_inference' AS attack, lv AS severity, art AS articles, 'MANAGE 2.2' AS function, CASE WHEN advantage <= threshold THEN '{reports.IN_RANGE}' ELSE concat_ws('; ',
-        CASE WHEN epsilon IS NULL OR epsilon > 3 THEN '{reports.APPLY}' WHEN epsilon > 1 THEN printf('Current epsilon %.2f exceeds target 1.0  --  increase sigma', epsilon) END, '{reports.EPOCHS}', '{reports.PERTURB}') END AS hint FROM l
-    UNION ALL SELECT model_id, 'dp_sgd_defense_assessment', CASE WHEN epsilon<=1 THEN 'LOW' WHEN epsilon<=3 THEN 'MEDIUM' ELSE 'HIGH' END, 'Art. 10', 'GOVERN 1.1',
-        CASE WHEN epsilon>1 THEN printf('Epsilon = %.2f. Target epsilon <= 1.0 for strong privacy guarantees. Increase sigma (current: %s) or reduce training epochs.', epsilon, coalesce(sigma::VARCHAR, 'None'))
-        ELSE printf('Epsilon = %.2f meets the recommended threshold of <= 1.0.', epsilon) END FROM l WHERE epsilon IS NOT NULL
-    UNION ALL SELECT model_id, 'model_inversion', 'HIGH', 'Art. 15', 'MANAGE 4.1', '{reports.INVERTED}' FROM l WHERE inversion)"""
-
-
-@query("report_document", SQL_FIND + ", af AS (SELECT * FROM fi UNION ALL VALUES " + ", ".join("(" + ", ".join("NULL::VARCHAR" if x is None else f"'{x}'" for x in r) + ")" for r in MORE) + """),
-    su AS (SELECT model_id, count(*) AS n_findings, string_agg(DISTINCT hint, ' | ' ORDER BY hint) AS hints, count(*) FILTER (coalesce(severity, 'LOW')='LOW') AS low, count(*) FILTER (severity='MEDIUM') AS medium, count(*) FILTER (severity='HIGH') AS high, count(*) FILTER (severity='CRITICAL') AS critical FROM af GROUP BY 1)
-    SELECT model_id, advantage, epsilon, lv AS risk_level, art AS articles, CASE WHEN advantage <= threshold THEN 'No defense required  --  MIA advantage within acceptable range' WHEN epsilon IS NULL THEN 'DP-SGD with epsilon <= 1.0 (not currently applied)'
-    WHEN epsilon > 3 THEN printf('Increase DP-SGD sigma to achieve epsilon <= 1.0 (current epsilon: %.2f)', epsilon) WHEN epsilon > 1 THEN printf('Tune DP-SGD: increase sigma to reach epsilon <= 1.0 (current: %.2f)', epsilon)
-    ELSE printf('DP-SGD applied with epsilon = %.2f  --  meets target', epsilon) END AS recommended_defense, n_findings, hints, low, medium, high, critical FROM l JOIN su USING (model_id)""")
-def report_document(spark, d):
-    more = spark.createDataFrame(MORE, reports.FINDING)
-    return reports.report(_cases(spark), more).drop("findings").withColumn("hints", F.array_join("hints", " | "))
-
-
-@query("report_findings", f"{SQL_FIND} SELECT * FROM fi")
-def report_findings(spark, d):
-    return reports.findings(_cases(spark))
-
-
-@query("severity_summary", f"{SQL_FIND} SELECT model_id, count(*) FILTER (severity='LOW') AS low, count(*) FILTER (severity='MEDIUM') AS medium, count(*) FILTER (severity='HIGH') AS high, count(*) FILTER (severity='CRITICAL') AS critical FROM fi GROUP BY 1")
-def severity_summary(spark, d):
-    return reports.severity_summary(reports.findings(_cases(spark)))
-
-
-SQL_COMPLY = f"""WITH {SQL_CASES}, x AS (SELECT *, round(advantage-baseline, 4) AS excess FROM cs), r AS (SELECT *, CASE WHEN excess>=0.3e0 THEN 3 WHEN excess>=0.2e0 THEN 2 WHEN excess>=0.1e0 THEN 1 ELSE 0 END AS m,
-    CASE WHEN epsilon IS NULL THEN -1 WHEN epsilon>10 THEN 3 WHEN epsilon>3 THEN 2 WHEN epsilon>1 THEN 1 ELSE 0 END AS e FROM x), nm AS (SELECT ['UNKNOWN','LOW','MEDIUM','HIGH','CRITICAL'] AS nm),
-    cm AS (SELECT model_id, excess, excess>0.05e0 AS meaningful, nm[m+2] AS mia_risk, nm[e+2] AS dp_risk, nm[greatest(m,e)+2] AS overall, CASE WHEN epsilon IS NULL THEN 'none' WHEN epsilon<2 THEN 'strong' WHEN epsilon<5 THEN 'moderate' ELSE 'weak' END AS dp_strength,
-    ['','Article 9','Article 10,Article 9','Article 10,Article 13,Article 72'][greatest(m,e)+1] AS articles FROM r, nm)"""
-
-
-@query("compliance_rows", f"{SQL_COMPLY} SELECT * FROM cm")
-def compliance_rows(spark, d):
-    return reports.compliance(_cases(spark))
-
-
-def _sql_mitigations() -> str:
-    rows = [(part, k, text.replace("'", "''")) for part, texts in reports.MITIGATE.items() for k, text in enumerate(texts)]
-    place = {"base": 0, "high": 1, "critical": 2, "no_epsilon": 3}
-    return "mt(part, k, mitigation) AS (VALUES " + ", ".join(f"({place[p]}, {k}, '{t}')" for p, k, t in rows) + ")"
-
-
-@query("mitigations", f"""{SQL_COMPLY}, {_sql_mitigations()} SELECT model_id, (row_number() OVER (PARTITION BY model_id ORDER BY part, k) - 1)::BIGINT AS place, mitigation FROM cm, mt
-    WHERE part = 0 OR (part = 1 AND overall IN ('HIGH','CRITICAL')) OR (part = 2 AND overall = 'CRITICAL') OR (part = 3 AND dp_strength = 'none')""")
-def mitigations(spark, d):
-    return reports.mitigations(reports.compliance(_cases(spark)))
-
-
-FOUND = [(1, "membership_inference_success", 0.29), (2, "model_inversion_pii", None), (3, "unknown", 0.9), (4, "model_stealing_detected", 0.75), (5, "attribute_inference", 0.1), (6, "gradient_leakage", 1.0),
-         (7, "differential_privacy_bypass", 0.5), (8, "federated_learning_poisoning", 0.61), (9, "api_probing_extraction", 0.33)]
-
-
-def _enriched(spark):
-    return reports.enrich(spark.createDataFrame(FOUND, "finding_id long, finding_type string, confidence double"), reports.techniques(spark))
-
-
-SQL_TECH = """WITH ix(ft, k, t) AS (VALUES """ + ", ".join(f"('{x}', {k}, '{t}')" for x, v in reports.TECHNIQUES.items() for k, t in enumerate(v)) + "), fd(id, ft, c) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{t}', {'NULL' if c is None else c}::DOUBLE)" for i, t, c in FOUND) + "), en AS (SELECT id, k, t, coalesce(c, 0.5e0) AS c FROM fd JOIN ix USING (ft))"
-
-
-@query("technique_map", f"{SQL_TECH} SELECT id AS finding_id, t AS technique, c AS confidence FROM en")
-def technique_map(spark, d):
-    return _enriched(spark).drop("place")
-
-
-@query("navigator_techniques", f"{SQL_TECH} SELECT t AS technique, floor(arg_min(c, id)*100)::BIGINT AS score FROM en GROUP BY t")
-def navigator_techniques(spark, d):
-    return reports.navigator(_enriched(spark))
-
-
-@query("navigator_layer", f"""{SQL_TECH}, ft AS (SELECT t, floor(arg_min(c, id*10+k)*100)::BIGINT AS s, min(id*10+k) AS o FROM en GROUP BY t)
-    SELECT '{{"name":"audit ATT&CK Coverage","versions":{{"attack":"19","navigator":"4.9","layer":"4.5"}},"domain":"enterprise-attack","techniques":[' ||
-    string_agg('{{"techniqueID":"' || t || '","score":' || s || ',"comment":"audit detection","enabled":true}}', ',' ORDER BY o) || ']}}' AS layer FROM ft""")
-def navigator_layer(spark, d):
-    return reports.layer(_enriched(spark), "audit")
-
-
 # --- preprocessing and data quality ------------------------------------------------------------------------------------
 @query("label_encode", "SELECT o_orderkey, o_orderpriority, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::BIGINT AS code FROM orders")
 def label_encode(spark, d):
@@ -706,3 +551,6 @@ def shadow_mllib_eval(spark, d):
     seen = sort(target.transform(rows.filter("sample_id % 4 <> 1"))).select("sample_id", "is_member", array_to_vector(size).alias("features"))
     found = attack.transform(seen).select(F.lit("run").alias("run_id"), "is_member", F.round(vector_to_array("probability")[1], 9).alias("score"))
     return roc.summary(roc.curve(found)).drop("run_id")
+
+
+from veilmeter.plans import measured  # noqa: E402, F401  registers the queries over measured runs
