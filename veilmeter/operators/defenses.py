@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmeter.functions import privacy
+from veilmeter.operators import ranks
+from veilmeter.sources.shared import dropped, written
 
 
 def clip(values: Column, low: float, high: float) -> Column:
@@ -106,48 +108,69 @@ def batch_step(samples: DataFrame, most: float = 0.01, noise: float = 0.0, seed:
     return g.select(F.col("coordinate").cast("long").alias("coordinate"), out.alias("gradient"))
 
 
-def dp_sgd(samples: DataFrame, configs: DataFrame, epochs: int = 2, batch: int = 64, rate: float = 0.1, most: float = 1.0, seed: int = 42, batches: int = 16) -> DataFrame:
-    """run_id, accuracy, steps, sigma, sample_rate, delta: a logistic fit for each setting, all in one pass a step. Weights and noise stay on
-    the driver; clipped gradients are summed where the samples lie. An epoch has at most `batches` steps, so a batch grows with the table
-    beyond `batch` rows and the number of passes does not."""
+def dealt_batches(own: DataFrame, n: int, epochs: list[int], batch: int, seed: int, chunk: int) -> DataFrame:
+    """own for each epoch with step (its batch of exactly `batch` rows, the last one less) and chunk (steps that one task runs through), in a folder each."""
+    each = own.withColumn("epoch", F.explode(F.array(*map(F.lit, epochs)))).withColumn("h", F.xxhash64("sample_id", "epoch", F.lit(seed)))
+    placed = ranks.ranked(each, [F.col("epoch"), F.col("h"), F.col("sample_id")], "place", within="epoch")
+    placed = placed.withColumn("step", F.floor(F.col("place") / batch)).withColumn("chunk", F.floor(F.col("step") / chunk))
+    return written(placed.drop("h").repartition("epoch", "chunk").sortWithinPartitions("epoch", "chunk", "place"), "batches", by=("epoch", "chunk"))
+
+
+def dp_sgd(samples: DataFrame, configs: DataFrame, epochs: int = 10, batch: int = 64, rate: float = 0.1, most: float = 1.0, seed: int = 42, chunk: int = 64) -> DataFrame:
+    """run_id, accuracy, steps, sigma, sample_rate, delta: a logistic fit for each setting from weights 0, all settings in each step. An epoch deals
+    the rows into ceil(n / batch) batches of exactly `batch` rows, the last one less; each is read once. Steps depend on one another, so a job
+    takes `chunk` of them, one after the other in one task that holds a batch; weights go from job to job through the driver. A step's
+    noise depends on seed, epoch and step alone, so a lost task repeats it."""
     spark, rows = samples.sparkSession, [r.asDict() for r in configs.select("run_id", "sigma", "delta").collect()]
     own = samples.select("sample_id", "features", (F.col("label") == 0).cast("double").alias("y"))
     n, dim = own.agg(F.count("*"), F.max(F.size("features"))).first()
-    parts = max(1, min(batches, (n or 0) // batch))
-    rng, weights = np.random.default_rng(seed), np.zeros((len(rows), dim or 0))
-
-    def sums(each: DataFrame, f, width: int) -> np.ndarray:
-        """f(x, y) -> a row of numbers for each setting, summed over all samples."""
-
-        def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(rows), width))
-            for b in found:
-                if b.num_rows:
-                    total += f(b.column(0).flatten().to_numpy().reshape(b.num_rows, -1), b.column(1).to_numpy())
-            k, j = np.divmod(np.arange(total.size), max(1, width))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(j), pa.array(total.ravel())], ["k", "j", "x"])
-
-        out = np.zeros((len(rows), width))
-        for r in each.select("features", "y").mapInArrow(run, "k long, j long, x double").groupBy("k", "j").agg(F.sum("x").alias("x")).collect():  # settings x width numbers
-            out[r["k"], r["j"]] = r["x"]
-        return out
-
-    steps = 0
-    for epoch in range(epochs if n else 0):
-        part = F.pmod(F.xxhash64("sample_id", F.lit(epoch), F.lit(seed)), F.lit(parts))
-        for k in range(parts):
-
-            def clipped_sums(x: np.ndarray, y: np.ndarray, w=weights.copy()) -> np.ndarray:
-                p = 1 / (1 + np.exp(-np.clip(x @ w.T, -500, 500)))
-                g = p - y[:, None]
-                size = np.abs(g) * np.linalg.norm(x, axis=1)[:, None]
-                g = g * np.minimum(1, most / np.maximum(size, 1e-12))
-                return np.concatenate([g.T @ x, np.full((len(w), 1), len(x))], axis=1)
-
-            got = sums(own.filter(part == k), clipped_sums, dim + 1)
-            noise = np.stack([rng.normal(0, r["sigma"] * most, dim) for r in rows])
-            weights -= rate * (got[:, :dim] + noise) / np.maximum(got[:, dim:], 1)
-            steps += 1
-    hits = sums(own, lambda x, y, w=weights.copy(): ((x @ w.T > 0) == (y[:, None] == 1)).sum(axis=0)[:, None].astype(float), 1) if n else np.zeros((len(rows), 1))
-    out = [(r["run_id"], float(h / n) if n else None, steps, r["sigma"], 1.0 / parts, r["delta"]) for r, h in zip(rows, hits[:, 0])]
+    steps = -(-(n or 0) // batch)
+    weights, sigma = np.zeros((len(rows), dim or 0)), np.array([r["sigma"] for r in rows])
+    at_once = max(1, min(epochs, 2_000_000 // max(1, n or 1)))  # epochs that are dealt out together
+    for start in range(0, epochs if n else 0, at_once):
+        turn = list(range(start, min(epochs, start + at_once)))
+        dealt = dealt_batches(own, n, turn, batch, seed, chunk)
+        for epoch in turn:
+            for k in range(-(-steps // chunk)):
+
+                def run(found: Iterator[pa.RecordBatch], now=weights, epoch=epoch) -> Iterator[pa.RecordBatch]:
+                    w, x, y, step = now.copy(), [], [], None
+
+                    def update() -> None:
+                        rng, xs, ys = np.random.default_rng([seed, epoch, step]), np.stack(x), np.array(y)
+                        g = 1 / (1 + np.exp(-np.clip(xs @ w.T, -500, 500))) - ys[:, None]
+                        g *= np.minimum(1, most / np.maximum(np.abs(g) * np.linalg.norm(xs, axis=1)[:, None], 1e-12))
+                        w[:] -= rate * (g.T @ xs + rng.normal(0, 1, w.shape) * (sigma * most)[:, None]) / len(ys)
+
+                    for b in found:
+                        values = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                        for s, v, own_y in zip(b.column(0).to_pylist(), values, b.column(2).to_pylist()):
+                            if s != step:
+                                if x:
+                                    update()
+                                x, y, step = [], [], s
+                            x.append(v)
+                            y.append(own_y)
+                    if x:
+                        update()
+                    i, j = np.divmod(np.arange(w.size), max(1, w.shape[1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(w.ravel())], ["k", "j", "w"])
+
+                some = dealt.filter((F.col("epoch") == epoch) & (F.col("chunk") == k)).select("step", "features", "y", "place").coalesce(1).sortWithinPartitions("place")
+                found = some.mapInArrow(run, "k long, j long, w double").collect()  # settings x width numbers
+                weights = np.zeros_like(weights)
+                for r in found:
+                    weights[r["k"], r["j"]] = r["w"]
+        dropped(dealt)
+
+    def hits(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(rows), np.int64)
+        for b in found:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
+                total += ((x @ weights.T > 0) == (b.column(1).to_numpy()[:, None] == 1)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(total)], ["k", "hits"])
+
+    right = {r["k"]: r["n"] for r in own.select("features", "y").mapInArrow(hits, "k long, hits long").groupBy("k").agg(F.sum("hits").alias("n")).collect()} if n else {}
+    out = [(r["run_id"], right[k] / n if n else None, epochs * steps, r["sigma"], min(1.0, batch / n) if n else None, r["delta"]) for k, r in enumerate(rows)]
     return spark.createDataFrame(out, "run_id string, accuracy double, steps long, sigma double, sample_rate double, delta double")

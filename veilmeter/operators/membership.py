@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmeter.operators import models, roc
+from veilmeter.operators import models, roc, selection
 
 
 def confidence_scores(preds: DataFrame, run_id: str | Column = "run", use_true_label: bool = True) -> DataFrame:
@@ -99,9 +99,17 @@ def resistance(preds: DataFrame, attack=None) -> DataFrame:
 
 
 def drawn(samples: DataFrame, seed: int = 42) -> DataFrame:
-    """Half of the samples, n // 2 exactly, without replacement: the first in a fixed hash order."""
-    half = samples.count() // 2
-    return samples.orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id").limit(half)
+    """Half of the samples, n // 2 exactly, without replacement: the first in a fixed mixed order, told by a cut and not by a sort."""
+    half = samples.agg(F.lit(1).alias("_all"), F.floor(F.count("*") / 2).alias("k"))
+    own = samples.withColumns({"_all": F.lit(1), "_key": selection.mixed(F.col("sample_id"), seed)})
+    return selection.drawn(own, ["_all"], "_key", "sample_id", half, "_in").filter("_in").select(samples.columns)
+
+
+def with_exact_shadows(samples: DataFrame, shadows: int) -> DataFrame:
+    """samples for each shadow with is_in: n // 2 of them exactly, drawn anew for each."""
+    each = samples.withColumn("shadow", F.explode(F.sequence(F.lit(0), F.lit(shadows - 1)))).withColumn("_key", selection.mixed(F.col("sample_id"), F.col("shadow")))
+    half = samples.agg(F.floor(F.count("*") / 2).alias("k")).withColumn("shadow", F.explode(F.sequence(F.lit(0), F.lit(shadows - 1))))
+    return selection.drawn(each, ["shadow"], "_key", "sample_id", half, "is_in").drop("_key")
 
 
 def capped(samples: DataFrame, most: int) -> DataFrame:

@@ -40,3 +40,39 @@ def token_log_probs(all_tokens: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, pos, logp = ln((count + 1) / (total + vocabulary + 1))."""
     size = model.agg((F.sum("c") + F.count("*") + 1).cast("double").alias("size")).scalar()
     return all_tokens.join(model, "token", "left").select("doc_id", "pos", F.log((F.coalesce("c", F.lit(0)) + 1).cast("double") / size).alias("logp"))
+
+
+def grams(docs: DataFrame, order: int, id_name: str = "doc_id") -> DataFrame:
+    """doc_id, pos, gram: each word with up to order - 1 words before it; the words are those of `tokens`."""
+    words = F.filter(F.split(F.lower("text"), "[ \\t\\n\\r]+"), lambda w: w != "")
+    own = docs.select(F.col(id_name).alias("doc_id"), words.alias("w")).filter(F.size("w") > 0)
+    each = F.transform("w", lambda w, i: F.slice("w", F.greatest(i - (order - 2), F.lit(1)), F.least(i + 1, F.lit(order))))
+    return own.select("doc_id", F.posexplode(each).alias("pos", "gram"))
+
+
+def ngram_levels(member_grams: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame | None]]:
+    """From level 1 to `order`: (gram, c), and (context, total, kinds) but for level 1. The highest level counts grams; each lower one
+    counts in how many different words' company a gram is found, from the level above."""
+    level = member_grams.filter(F.size("gram") == order).groupBy("gram").agg(F.count("*").alias("c"))
+    out: list[tuple[DataFrame, DataFrame | None]] = []
+    for k in range(order, 1, -1):
+        context = level.groupBy(F.slice("gram", 1, k - 1).alias("context")).agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+        out.append((level, context))
+        level = level.groupBy(F.slice("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("c"))
+    return [(level, None), *reversed(out)]
+
+
+def ngram_log_probs(eval_grams: DataFrame, levels: list[tuple[DataFrame, DataFrame | None]], discount: float = 0.75) -> DataFrame:
+    """doc_id, pos, logp of every word but a text's first, by interpolation with an absolute discount: each level backs off to the next lower one, the
+    lowest, with one added, knows every word. Different grams are looked up once, and texts join what was found."""
+    lowest = levels[0][0]
+    size = lowest.agg((F.sum("c") + F.count("*") + 1).cast("double").alias("size")).scalar()
+    scored = eval_grams.filter("pos > 0").select("gram").distinct().withColumn("word", F.slice("gram", -1, 1))
+    scored = scored.join(lowest.withColumnRenamed("gram", "word"), "word", "left").select("gram", ((F.coalesce("c", F.lit(0)) + 1).cast("double") / size).alias("p"))
+    for k, (level, context) in enumerate(levels[1:], 2):
+        long = F.size("gram") >= k
+        keyed = scored.withColumns({"own": F.when(long, F.slice("gram", -k, k)), "context": F.when(long, F.slice(F.slice("gram", -k, k), 1, k - 1))})
+        both = keyed.join(level.withColumnRenamed("gram", "own"), "own", "left").join(context, "context", "left")
+        p = F.greatest(F.coalesce("c", F.lit(0)) - discount, F.lit(0.0)) / F.col("total") + discount * F.col("kinds") / F.col("total") * F.col("p")
+        scored = both.select("gram", F.when(F.col("total").isNotNull(), p).otherwise(F.col("p")).alias("p"))
+    return eval_grams.filter("pos > 0").join(scored, "gram").select("doc_id", "pos", F.log("p").alias("logp"))

@@ -9,13 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilmeter.operators import ranks
+
 
 def bucket(score: Column, parts: int = 256) -> Column:
-    """A number that never falls as the score rises: `parts` of them to each power of two."""
+    """A number that never falls as the score rises: `parts` of them to each power of two, and between one half and 1, where probabilities
+    crowd, to each power of two of what is left to 1."""
+    half, one = 1999 * parts, 2000 * parts  # where one half and 1 lie on the first scale
+
+    def place(x: Column) -> Column:
+        octave = F.floor(F.log2(x))
+        return (octave + 2000) * parts + F.floor((x / F.pow(F.lit(2.0), octave) - 1) * parts)
+
     size = F.least(F.abs(score), F.lit(1e300))
-    octave = F.floor(F.log2(size))
-    place = (octave + 2000) * parts + F.floor((size / F.pow(F.lit(2.0), octave) - 1) * parts)
-    return F.when(score == 0, F.lit(0)).otherwise(F.signum(score) * place).cast("long")
+    near = half + (half - place(1 - score))  # from one half on, rising as what is left falls
+    far = F.when(size >= 1, place(size) + 2 * half - one + parts).otherwise(place(size))
+    own = F.when((score > 0.5) & (score < 1), near).otherwise(F.signum(score) * far)
+    return F.when(score == 0, F.lit(0)).otherwise(own).cast("long")
 
 
 def curve(scores: DataFrame) -> DataFrame:
@@ -58,6 +68,17 @@ def _points(roc: DataFrame) -> DataFrame:
     return roc.select("run_id", F.col("score").alias("threshold"), _rate("tp", "pos").alias("tpr"), _rate("fp", "neg").alias("fpr"))
 
 
+def dropped_points(roc: DataFrame) -> DataFrame:
+    """points without those on a line with both neighbours: a score stays if the next lower one has other counts, and so do the first and the
+    last. Neighbours meet by their rank, so no window runs over a whole curve."""
+    order = [F.col("run_id"), F.desc("score")]
+    placed = ranks.ranked(roc, order, "place", within="run_id")
+    later = placed.select("run_id", (F.col("place") - 1).alias("place"), F.col("p").alias("next_p"), F.col("n").alias("next_n"))
+    both = placed.join(later, ["run_id", "place"], "left")
+    kept = both.filter((F.col("place") == 0) | F.col("next_p").isNull() | (F.col("p") != F.col("next_p")) | (F.col("n") != F.col("next_n")))
+    return points(kept)
+
+
 def tpr_at(limit: float) -> Column:
     return F.coalesce(F.max(F.when(_rate("fp", "neg") <= limit, _rate("tp", "pos"))), F.lit(0.0))
 

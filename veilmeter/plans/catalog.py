@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmeter.functions import privacy
-from veilmeter.operators import defenses, extraction, membership, models, preprocess, roc
+from veilmeter.operators import defenses, extraction, membership, models, preprocess, retrained, roc
 from veilmeter.plans import reports
 from veilmeter.sources import tables
 from veilmeter.streaming import state
@@ -103,6 +103,12 @@ def roc_points(spark, d):
     return roc.points(curve(spark, d)).drop("run_id")
 
 
+@query("roc_points_dropped", f"""{WR}, nx AS (SELECT *, lead(p) OVER (ORDER BY score DESC) AS np, lead(n) OVER (ORDER BY score DESC) AS nn, row_number() OVER (ORDER BY score DESC) AS i FROM roc)
+    SELECT score AS threshold, tp/pos::DOUBLE AS tpr, fp/neg::DOUBLE AS fpr FROM nx WHERE i = 1 OR np IS NULL OR np <> p OR nn <> n UNION ALL SELECT 'inf'::DOUBLE, 0::DOUBLE, 0::DOUBLE""")
+def roc_points_dropped(spark, d):
+    return roc.dropped_points(curve(spark, d)).drop("run_id")
+
+
 @query("roc_summary", f"{WR} SELECT {SQL_SUMMARY} FROM roc")
 def roc_summary(spark, d):
     return roc.summary(curve(spark, d)).drop("run_id")
@@ -239,6 +245,32 @@ def shadow_evaluate(spark, d):
     return membership.shadow_evaluate(membership.shadow_attack(_shadows(spark, d), target), 4).withColumn("accuracy", F.bround("accuracy", 9)).drop("run_id")
 
 
+@query("shadow_halves", """SELECT o_orderkey AS sample_id, shadow::BIGINT AS shadow, row_number() OVER (PARTITION BY shadow ORDER BY (o_orderkey*7919 + 104729*shadow) % 1000003, o_orderkey) <= count(*) OVER (PARTITION BY shadow)//2 AS is_in
+    FROM orders, (SELECT unnest(range(4)) AS shadow)""")
+def shadow_halves(spark, d):
+    out = membership.with_exact_shadows(tables.order_samples(spark, d).select("sample_id"), 4)
+    return out.select("sample_id", F.col("shadow").cast("long").alias("shadow"), "is_in")
+
+
+def _retrained(spark, d):
+    own = tables.embedding_samples(spark, d)
+    return retrained.lira_retrained(own.filter("sample_id % 4 = 1"), own.filter("sample_id % 4 <> 1"))
+
+
+@query("lira_retrained")
+def lira_retrained(spark, d):
+    return _retrained(spark, d).select("sample_id", "is_member", *[F.round(c, 6).alias(c) for c in ("mean_in", "sd_in", "mean_out", "sd_out", "seen", "score")])
+
+
+@query("lira_retrained_metrics")
+def lira_retrained_metrics(spark, d):
+    found = _retrained(spark, d)
+    c = roc.curve(found)
+    at = roc.at_threshold(found, roc.median_threshold(c, False)).select("run_id", "advantage")
+    low = roc.tpr_by_order(c).select("run_id", F.col("tpr").alias("tpr_at_01pct"))
+    return roc.summary(c).select("run_id", "auc", "n_members", "n_nonmembers").join(at, "run_id").join(low, "run_id").drop("run_id")
+
+
 SQL_LIRA = f"""WITH {sql_samples()}, e AS (SELECT s.*, shadow, {IN_SHADOW} AS isin FROM s, (SELECT unnest(range(16)) AS shadow)),
     sc AS (SELECT shadow, k, count(*) FILTER (isin AND y=0) n0, count(*) FILTER (isin AND y=1) n1, count(*) FILTER (isin AND y=2) n2, count(*) FILTER (isin) n FROM e GROUP BY ALL),
     j AS (SELECT id, mem, CASE y WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END - isin::INT AS c, n - isin::INT AS n FROM e JOIN sc USING (shadow, k)),
@@ -350,6 +382,35 @@ def mink_evaluate(spark, d):
     return found.withColumns({"method": F.lit("min_k_prob"), "dataset": F.lit("documents")})
 
 
+SQL_NGRAM = """WITH l AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda w: w <> '') AS w FROM documents),
+    b AS (SELECT id, unnest(list_zip(w[1:-2], w[2:])) AS z FROM l WHERE len(w) > 1), g AS (SELECT id, z[1] AS v, z[2] AS w FROM b),
+    c2 AS (SELECT v, w, count(*) AS c FROM g WHERE id % 2 = 0 GROUP BY ALL), cx AS (SELECT v, sum(c) AS total, count(*) AS kinds FROM c2 GROUP BY v), c1 AS (SELECT w, count(*) AS k FROM c2 GROUP BY w),
+    sz AS (SELECT (sum(k) + count(*) + 1)::DOUBLE AS size FROM c1),
+    lp AS (SELECT g.id, ln(CASE WHEN total IS NULL THEN (coalesce(k, 0)+1)/size ELSE greatest(coalesce(c, 0) - 0.75e0, 0)/total::DOUBLE + 0.75e0*kinds/total::DOUBLE*((coalesce(k, 0)+1)/size) END) AS lp
+      FROM g LEFT JOIN c1 USING (w) LEFT JOIN cx USING (v) LEFT JOIN c2 USING (v, w), sz),
+    o AS (SELECT id, lp, row_number() OVER (PARTITION BY id ORDER BY lp) AS i, count(*) OVER (PARTITION BY id) AS n FROM lp),
+    mk AS (SELECT id, n AS n_tokens, greatest(1, ceil(0.2e0*n))::BIGINT AS n_min, avg(lp) AS score FROM o WHERE n >= 10 AND i <= greatest(1, ceil(0.2e0*n)) GROUP BY id, n)"""
+
+
+def _ngram(spark, d, order=2):
+    """Scores under a model of word pairs, fitted on the members."""
+    own = tables.read(spark, d, "documents")
+    levels = models.ngram_levels(models.grams(own.filter("doc_id % 2 = 0"), order), order)
+    return membership.min_k(models.ngram_log_probs(models.grams(own, order), levels))
+
+
+@query("mink_ngram_scores", f"{SQL_NGRAM} SELECT id AS doc_id, n_tokens, n_min, round(score, 6) AS score FROM mk")
+def mink_ngram_scores(spark, d):
+    return _ngram(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query("mink_ngram_evaluate", f"{SQL_NGRAM}, pp AS (SELECT id % 2 = 0 AS mem, round(score, 6) AS score FROM mk), {SQL_ROC}, t AS (SELECT quantile_cont(score, 0.99) AS thr FROM pp WHERE NOT mem) SELECT (SELECT sum(n*(2*(tp-p)+p))::DOUBLE/(2*max(pos)::DOUBLE*max(neg)::DOUBLE) FROM roc) AS auc, round(avg(CASE WHEN mem THEN (score >= thr)::INT::DOUBLE END), 9) AS tpr_at_1pct, count(*) FILTER (mem) AS n_members, count(*) FILTER (NOT mem) AS n_nonmembers FROM pp, t")
+def mink_ngram_evaluate(spark, d):
+    c = roc.curve(_mink_scores(_ngram(spark, d)))
+    at = roc.tpr_by_quantile(c, 0.01).select("run_id", F.round("tpr", 9).alias("tpr_at_1pct"))
+    return roc.summary(c).select("run_id", "auc", "n_members", "n_nonmembers").join(at, "run_id").drop("run_id")
+
+
 KS = (0.1, 0.2, 0.3, 0.5)
 
 
@@ -439,6 +500,14 @@ def median_impute(spark, d):
     return preprocess.median_impute(tables.read(spark, d, "customer").select("c_custkey", F.expr(NULLED).alias("b")), "b").withColumn("b", F.round("b", 6))
 
 
+@query("impute_columns", """WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END AS a, CASE WHEN l_orderkey % 5 <> 0 THEN l_extendedprice END AS b, CASE WHEN l_orderkey % 3 <> 0 THEN l_discount END AS c FROM lineitem)
+    SELECT l_orderkey, l_linenumber, round(coalesce(a, (SELECT quantile_cont(a, 0.5) FROM c)), 6) AS a, round(coalesce(b, (SELECT quantile_cont(b, 0.5) FROM c)), 6) AS b, round(coalesce(c, (SELECT quantile_cont(c, 0.5) FROM c)), 6) AS c FROM c""")
+def impute_columns(spark, d):
+    gap = lambda k, c: F.when(F.col("l_orderkey") % k != 0, F.col(c).cast("double"))
+    own = tables.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", gap(7, "l_quantity").alias("a"), gap(5, "l_extendedprice").alias("b"), gap(3, "l_discount").alias("c"))
+    return preprocess.median_impute_columns(own, ["a", "b", "c"]).select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in "abc"])
+
+
 @query("standard_scale", "WITH f AS (SELECT avg(c_acctbal) m, stddev_pop(c_acctbal) s FROM customer WHERE c_custkey % 2 = 0) SELECT c_custkey, round((c_acctbal - m)/s, 6) AS z FROM customer, f")
 def standard_scale(spark, d):
     return preprocess.standard_scale(tables.read(spark, d, "customer"), "c_acctbal", F.col("c_custkey") % 2 == 0, "z").select("c_custkey", F.round("z", 6).alias("z"))

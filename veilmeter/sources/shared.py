@@ -27,24 +27,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/veilmeter/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """df as a Parquet table in the shared folder. Its shuffle files go once it is written."""
+def written(df: DataFrame, name: str, by: tuple[str, ...] = (), **options) -> DataFrame:
+    """df as a Parquet table in the shared folder, in a folder for each value of `by`. Its shuffle files go once it is written."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.options(**options).parquet(path)
+        df.write.partitionBy(*by).options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _root(path: str) -> str:
+    """A table's folder, from one of its files; folders of partitions are called name=value."""
+    folder = path.rpartition("/")[0]
+    while "=" in folder.rpartition("/")[2]:
+        folder = folder.rpartition("/")[0]
+    return folder
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables made by `written` that nothing will read again."""
     from pyarrow import fs
 
     for t in tables:
-        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+        for folder in {_root(f) for f in t.inputFiles()}:
             system, path = fs.FileSystem.from_uri(folder)
             system.delete_dir(path)
