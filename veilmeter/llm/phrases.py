@@ -2,7 +2,7 @@
 
 1. Every word and pair of words inside a piece is hashed and counted in an array of counters, as wide as the corpus asks for up
    to 2**WIDEST; then so is every longer run, up to LONGEST words, all of whose pairs passed. A counter is never less than the count of
-   any run that falls into it, so runs under a counter below `least` are out, and longer ones that hold such a pair. Tasks send their counters as short binary rows, which are added up by range of counters; what goes on is a bit each.
+   any run that falls into it, so runs with one of their two counters below `least` are out, and longer ones that hold such a pair. Tasks send their counters as short binary rows, which are added up by range of counters; what goes on is a bit each.
    Where the widest array would be too full, the runs are dealt to rounds by their hash, each with an array of its own.
 2. What passes is written once as (lang, phrase) with an id. It is a superset of the frequent runs, whatever the sketch's width.
 3. Candidates are compiled into pyahocorasick automata, one a language: a phrase is guarded by a blank on both sides, texts hold one blank
@@ -36,7 +36,8 @@ LEAST = 100
 TOP = 2000
 FEWEST, WIDEST = 18, 24  # the counters, as a power of two
 FILL = 64  # bytes of text to a counter
-MOST = 250_000  # candidates in a set of automata
+TASKS = 3  # for each core
+MOST = 350_000  # candidates in a set of automata
 SEGMENT = 1 << 11  # counters in a row
 SCAN = 1 << 20  # bytes of a text that are scanned at once, or a longer piece
 SEEN = 1_000_000  # hashes of candidates that a task remembers having sent
@@ -72,8 +73,13 @@ class Runs:
         first = np.flatnonzero(self.inside)
         yield 2, first, self.pair[first]
 
+    def frequent(self, known: Known) -> np.ndarray:
+        """Whether each pair passes, and both of its words."""
+        single = known.passes(self.single)
+        return self.inside & single[:-1] & single[1:] & known.passes(self.pair)
+
     def long(self, known: Known, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        ok = self.inside & known.passes(self.pair)
+        ok = self.frequent(known)
         first = np.flatnonzero(ok[:-1] & ok[1:])
         runs = self.pair[first]
         for size in range(3, longest + 1):
@@ -85,6 +91,12 @@ class Runs:
             yield size, first, runs
 
 
+def places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The two counters of each hash, one in each half of 2**bits."""
+    half = 1 << (bits - 1)
+    return [(h >> np.uint64(65 - bits)).astype(np.int64), ((h >> np.uint64(8)) & np.uint64(half - 1)).astype(np.int64) + half]
+
+
 class Known:
     """A bit for each counter of each round: whether it reached the threshold."""
 
@@ -92,9 +104,11 @@ class Known:
         self.bits, self.rounds, self.packed = bits, rounds, packed  # packed: round x byte
 
     def passes(self, h: np.ndarray) -> np.ndarray:
-        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        row = self.packed[0][at >> 3] if self.rounds == 1 else self.packed[(h % np.uint64(self.rounds)).astype(np.int64), at >> 3]
-        return (row >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        out = np.ones(len(h), bool)
+        for at in places(h, self.bits):
+            row = self.packed[0][at >> 3] if self.rounds == 1 else self.packed[(h % np.uint64(self.rounds)).astype(np.int64), at >> 3]
+            out &= (row >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return out
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Words]]:
@@ -104,13 +118,14 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Word
 
 
 def _own(docs: DataFrame) -> DataFrame:
+    """What is read, in some tasks for each core: each sends what it has found of all candidates, so their number isn't to grow with the table."""
+    docs = docs.coalesce(TASKS * docs.sparkSession.sparkContext.defaultParallelism)
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def frequent_bits(docs: DataFrame, bits: int, least: int, rounds: int, turn: int, shorter: Known | None = None) -> np.ndarray:
     """Packed bits: whether each of 2**bits counters reached `least`, of the runs whose turn it is: words and pairs, or the longer ones
     that pass by what is known of the shorter."""
-    shift = np.uint64(64 - bits)
     sent = None if shorter is None else docs.sparkSession.sparkContext.broadcast(shorter)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +134,8 @@ def frequent_bits(docs: DataFrame, bits: int, least: int, rounds: int, turn: int
             runs = Runs(words, langs)
             for _, _, h in runs.short() if sent is None else runs.long(sent.value):
                 h = h if rounds == 1 else h[h % np.uint64(rounds) == turn]
-                np.add.at(counters, (h >> shift).astype(np.int64), np.uint32(1))
+                for at in places(h, bits):
+                    np.add.at(counters, at, np.uint32(1))
         parts = counters.reshape(-1, SEGMENT)
         own = np.flatnonzero(parts.any(axis=1))
         for at in range(0, len(own), 1000):
@@ -172,7 +188,7 @@ def candidates(docs: DataFrame, known: tuple[Known, Known]) -> DataFrame:
             own_langs, phrases = [], []
             for known, found in ((short, runs.short()), (long, runs.long(short))):
                 for k, first, h in found:
-                    hit = known.passes(h)
+                    hit = runs.frequent(known)[first] if k == 2 else known.passes(h)
                     own, where = np.unique(h[hit], return_index=True)
                     for x, i in zip(own.tolist(), first[hit][where].tolist()):
                         if x not in seen:
