@@ -199,7 +199,7 @@ def near_texts(seed, n=500):
 def test_ngram_join_equals_all_pairs(spark, monkeypatch, classes):
     monkeypatch.setattr(ngramjoin, "CLASSES", classes)
     if classes[0] < 4:  # so that the prefix join finds what stars would settle
-        monkeypatch.setattr(ngramjoin, "stars", lambda nodes: nodes.sparkSession.createDataFrame([], "a long, b long"))
+        monkeypatch.setattr(ngramjoin, "settle", lambda nodes: nodes.sparkSession.createDataFrame([], "a long, b long"))
     rows = near_texts(int(classes[0] * 10))
     assert rows_of(ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string"))) == plain_components(rows)
 

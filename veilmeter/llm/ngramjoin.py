@@ -4,14 +4,16 @@
 2. Tokens (n-grams) are counted in counters by hash, some for each FILL tokens up to 2**WIDEST. A token's class comes from how far its counter
    lies above the mean: rare tokens are taken alone, more frequent ones in pairs, the most frequent ones in threes. Order: class, then
    hash. Any fixed order and classes give exact results.
-3. Groups of near copies are settled first. Each node is paired with the least node that shares one of its STARS least tokens (under as many
-   permutations), so a group of any size has pairs linear in it; those verified give first components.
+3. Groups of near copies are settled first. A node has STARS keys, each made of its least tokens under two permutations. It is paired with the
+   least node that shares a key; what isn't verified to be similar to any is paired with BACK other nodes of each key, and what is left with
+   the node of each key that has the most links by then. So a group of any size has pairs linear in it, and those verified give first components.
 4. A node's prefix is extended until it holds as many tokens as two sets of the least similarity must then share there: n - t + 1
    beyond what each class of k tokens may share without sharing a combination of k, at most k - 1. By the pigeonhole principle two similar
    sets have a single rare token or a combination of one class in common. Sets of less than 8 tokens are too small for this, and take all
    tokens alone. Pairs and threes are formed within subclasses (by hash, more of
    them for larger sets, so combinations grow with the prefix and not with its square), under the set's octave of size and the one below.
-5. Inside a posting list, pairs of different components are compared by length and position, in tiles. Nodes of one component are never
+5. Inside a posting list, pairs of different components are compared by length and position (for combinations, by the number of tokens that
+   aren't rare), in tiles. Nodes of one component are never
    paired, so a crowded list of near copies costs nothing.
 6. Candidates pass an exact bound, the overlap of histograms of both sets' hashes, and are then verified on the whole sets. Verified links
    and those of step 3 give the components, by star contraction.
@@ -32,7 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmeter.llm.common import dropped, slices, written
@@ -48,7 +50,8 @@ PLAIN = 3  # octaves of sizes below which all tokens are taken alone
 SEGMENT = 1 << 11  # counters in a row
 CLASSES = (4, 64)  # times the mean counter from which tokens are taken in pairs, and in threes
 OWN = 8  # tokens of a prefix in a subclass
-STARS = 4
+STARS, BACK, HUBS = 4, 4, 2
+GROUP = 500  # nodes of a key that are put in one order
 TILE = 1024
 SMALL = 2_000_000  # rows of a side of a join that is broadcast
 SETS = "row long, doc_id long, k1 long, k2 long, n int, tokens binary"
@@ -131,21 +134,59 @@ def token_levels(nodes: DataFrame, total: int) -> np.ndarray:
     return level.ravel()
 
 
-def stars(nodes: DataFrame) -> DataFrame:
-    """a, b: each node with the least of those that share one of its least tokens under STARS permutations."""
+def star_keys(nodes: DataFrame) -> DataFrame:
+    """node, key: STARS keys of each node, each made of its least tokens under two permutations, where another node has the key too; first, the least
+    such node, and m, how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own, keys = [], []
             for node, data in zip(b.column(0).to_pylist(), b.column(1)):
                 t = np.frombuffer(data.as_buffer(), np.uint64)
+                least = np.array([mixed(t ^ np.uint64(k * 0xA0761D6478BD642F % 2**64)).min() for k in range(1, 2 * STARS + 1)])
                 own += [node] * STARS
-                keys += [int(mixed(t ^ np.uint64(k * 0xA0761D6478BD642F % 2**64)).min().astype(np.int64)) for k in range(1, STARS + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(keys, pa.int64())], ["b", "key"])
+                keys += mixed(least[::2] * np.uint64(0xD6E8FEB86659FD93) + least[1::2]).astype(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(keys, pa.int64())], ["node", "key"])
 
-    keyed = nodes.select("row", "tokens").mapInArrow(run, "b long, key long")
-    least = keyed.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("m")).filter("m > 1").select("key", "a")
-    return keyed.join(least, "key").filter("a <> b").select("a", "b").distinct()
+    keyed = nodes.select("row", "tokens").mapInArrow(run, "node long, key long")
+    least = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("m")).filter("m > 1")
+    return written(keyed.join(least, "key"), "star-keys")
+
+
+def stars(keys: DataFrame) -> DataFrame:
+    """a, b: each node with the least of those that share a key with it."""
+    return keys.filter("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def neighbours(keys: DataFrame, settled: DataFrame) -> DataFrame:
+    """a, b: each node that no star has settled with the BACK nodes before it, in an order by hash, that share a key. Large groups are cut, so that none
+    meets in one task."""
+    cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / GROUP))
+    order = Window.partitionBy("key", "cut").orderBy(F.xxhash64("node", "key"), "node")
+    done = settled.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("done", F.lit(True))
+    each = keys.withColumn("cut", cut).join(small(done), "node", "left")
+    before = each.select("node", "done", F.array(*[F.lag("node", k).over(order) for k in range(1, BACK + 1)]).alias("x"))
+    pairs = before.filter("done IS NULL").select("node", F.explode("x").alias("x")).filter("x IS NOT NULL")
+    return pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+
+
+def hubs(keys: DataFrame, settled: DataFrame) -> DataFrame:
+    """a, b: each node that nothing has settled with the node of each of its keys that has the most links, as the original among its copies has."""
+    degree = settled.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    each = keys.join(small(degree), "node", "left")
+    best = each.filter("links IS NOT NULL").groupBy("key").agg(F.max(F.struct("links", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    pairs = each.filter("links IS NULL").join(best, "key")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def settle(nodes: DataFrame) -> DataFrame:
+    """a, b: verified links that settle most of each group of near copies, in number linear in it."""
+    keys = star_keys(nodes)
+    found = verified(stars(keys), nodes, "stars")
+    for step in (neighbours, *[hubs] * HUBS):
+        found = found.unionByName(verified(step(keys, found), nodes, step.__name__))
+    dropped(keys)
+    return found
 
 
 def prefix(tokens: np.ndarray, level: np.ndarray, octave: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +211,10 @@ def prefix(tokens: np.ndarray, level: np.ndarray, octave: int) -> tuple[np.ndarr
 
 
 def signatures(tokens: np.ndarray, level: np.ndarray) -> tuple[list[int], list[int]]:
-    """Keys of a set's posting lists, and the place of each in the prefix, or -1 of a combination."""
+    """Keys of a set's posting lists, and the place of each in the prefix, or, of a combination, -1 less the number of tokens that aren't rare: a set
+    with combinations has all its rare tokens in its prefix, so what meets it in a combination alone shares none of them."""
     n = len(tokens)
+    rest = -1 - int((level[(tokens >> np.uint64(65 - len(level).bit_length())).astype(np.int64)] > 0).sum())
     octaves = {n.bit_length() - 1, required(n).bit_length() - 1}
     keys, places = {}, []
     for octave in octaves:
@@ -187,7 +230,7 @@ def signatures(tokens: np.ndarray, level: np.ndarray) -> tuple[list[int], list[i
                 for j in range(k):
                     h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + cells[:, j])
                 for x in h.astype(np.int64).tolist():
-                    keys.setdefault(x, -1)
+                    keys.setdefault(x, rest)
     places = list(keys.values())
     return list(keys), places
 
@@ -220,7 +263,8 @@ def _crossed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     ok = (x[:, None, 0] != y[None, :, 0]) & (x[:, None, 1] < y[None, :, 1]) & (xn * DEN >= yn * NUM) & (yn * DEN >= xn * NUM)
     # Shared besides the common token: before it, and after it, no more than the shorter part.
     most = np.minimum(xa, ya) + 1 + np.minimum(xn - xa, yn - ya) - 1
-    ok &= (xa < 0) | (ya < 0) | (most * (NUM + DEN) >= (xn + yn) * NUM)
+    most = np.where((xa < 0) & (ya < 0), np.minimum(-1 - xa, -1 - ya), most)  # a pair that shares a rare token meets by that, too
+    ok &= most * (NUM + DEN) >= (xn + yn) * NUM
     i, j = np.nonzero(ok)
     return np.stack([x[i, 1], y[j, 1]], axis=1)
 
@@ -328,7 +372,7 @@ def components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     rows = sets(docs, size)
     least = written(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.first("n").cast("long").alias("n")), "nodes")
     nodes = rows.join(small(least.select("row")), "row", "left_semi").select("row", "tokens")
-    settled = verified(stars(nodes), nodes, "stars")
+    settled = settle(nodes)
     first = classes(settled)
     placed = nodes.join(small(first.select(F.col("point").alias("row"), F.col("root").alias("comp"))), "row", "left")
     level = token_levels(nodes, least.agg(F.sum("n")).first()[0] or 0)
