@@ -189,15 +189,13 @@ def settle(nodes: DataFrame) -> DataFrame:
     return found
 
 
-def prefix(tokens: np.ndarray, level: np.ndarray, octave: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens in order, class and hash, up to the extended prefix's end; and each one's group: 0 of rare ones, else its subclass."""
+def prefix(tokens: np.ndarray, own: np.ndarray, octave: int) -> np.ndarray:
+    """For tokens in order of their class (own), then hash: the group of each up to the extended prefix's end, 0 of rare ones, else its subclass."""
     n, groups = len(tokens), max(1, (1 << (octave + 1)) * (DEN - NUM) // DEN // OWN)
-    own = level[(tokens >> np.uint64(65 - len(level).bit_length())).astype(np.int64)]
-    order = np.lexsort((tokens, own))
-    tokens, own = tokens[order], own[order].astype(np.int64)
     base = n - required(n) + 1
-    if octave < PLAIN or not own[:base].any():
-        return tokens[:base], np.zeros(base, np.int64)
+    if octave < PLAIN or not own[base - 1]:
+        return np.zeros(base, np.int64)
+    own = own.astype(np.int64)
     group = np.where(own > 0, own + 2 * ((tokens >> np.uint64(8)) % np.uint64(groups)).astype(np.int64), 0)
     # What may be shared before a combination is: of a group of k-token combinations, k - 1 or all it has so far.
     place = np.zeros(n, np.int64)
@@ -206,33 +204,32 @@ def prefix(tokens: np.ndarray, level: np.ndarray, octave: int) -> tuple[np.ndarr
     place[by] = np.arange(n) - np.repeat(start, np.diff(np.r_[start, n]))
     slack = ((own > 0) & (place < own)).cumsum()
     enough = np.flatnonzero(np.arange(1, n + 1) - slack >= base)
-    end = int(enough[0]) + 1 if len(enough) else n
-    return tokens[:end], group[:end]
+    return group[: int(enough[0]) + 1 if len(enough) else n]
 
 
-def signatures(tokens: np.ndarray, level: np.ndarray) -> tuple[list[int], list[int]]:
+def signatures(tokens: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of a set's posting lists, and the place of each in the prefix, or, of a combination, -1 less the number of tokens that aren't rare: a set
-    with combinations has all its rare tokens in its prefix, so what meets it in a combination alone shares none of them."""
-    n = len(tokens)
-    rest = -1 - int((level[(tokens >> np.uint64(65 - len(level).bit_length())).astype(np.int64)] > 0).sum())
-    octaves = {n.bit_length() - 1, required(n).bit_length() - 1}
-    keys, places = {}, []
-    for octave in octaves:
-        own, group = prefix(tokens, level, octave)
-        for i in np.flatnonzero(group == 0).tolist():
-            keys.setdefault(int(own[i].astype(np.int64)), i)
+    with combinations has all its rare tokens in its prefix, so what meets it in a combination alone shares none of them. tokens: rising."""
+    n, own = len(tokens), level[(tokens >> np.uint64(65 - len(level).bit_length())).astype(np.int64)]
+    if common := int((own > 0).sum()):
+        order = np.argsort(own, kind="stable")
+        tokens, own = tokens[order], own[order]
+    single, cells = 0, {}
+    for octave in {n.bit_length() - 1, required(n).bit_length() - 1}:
+        group = prefix(tokens, own, octave)
+        single = max(single, int((group == 0).sum()))
+        if not group[-1]:
+            continue
         for g in np.unique(group[group > 0]).tolist():
-            members = own[group == g].tolist()
-            k = 2 if g % 2 else 3
+            k, members = (2 if g % 2 else 3), tokens[: len(group)][group == g]
             if len(members) >= k:
-                cells = np.array(list(combinations(members, k)), np.uint64)
-                h = np.full(len(cells), octave * 131 + k, np.uint64)
+                x = members[np.array(list(combinations(range(len(members)), k)))]
+                h = np.full(len(x), octave * 131 + k, np.uint64)
                 for j in range(k):
-                    h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + cells[:, j])
-                for x in h.astype(np.int64).tolist():
-                    keys.setdefault(x, rest)
-    places = list(keys.values())
-    return list(keys), places
+                    h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + x[:, j])
+                cells.update(dict.fromkeys(h.astype(np.int64).tolist()))
+    keys = np.concatenate([tokens[:single].astype(np.int64), np.fromiter(cells, np.int64, len(cells))])
+    return keys, np.concatenate([np.arange(single), np.full(len(cells), -1 - common)])
 
 
 def postings(nodes: DataFrame, level: np.ndarray) -> DataFrame:
@@ -242,30 +239,29 @@ def postings(nodes: DataFrame, level: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in slices(big, 2, 500, 8 << 20):
-                keys, places, sizes, n = [], [], [], []
-                for data in b.column(2):
-                    t = np.frombuffer(data.as_buffer(), np.uint64)
-                    own, at = signatures(t, sent.value)
-                    keys += own
-                    places += at
-                    sizes.append(len(own))
-                    n.append(len(t))
+                own = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(2)]
+                keys, places = zip(*(signatures(t, sent.value) for t in own))
+                sizes = list(map(len, keys))
                 each = lambda x: pa.array(np.repeat(np.asarray(x), sizes))
-                columns = [pa.array(keys, pa.int64()), each(b.column(1).to_numpy()), each(b.column(0).to_numpy()), each(np.array(n, np.int32)), pa.array(places, pa.int32())]
+                columns = [pa.array(np.concatenate(keys)), each(b.column(1).to_numpy()), each(b.column(0).to_numpy()), each(np.array(list(map(len, own)), np.int32)), pa.array(np.concatenate(places).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "comp", "node", "n", "at"])
 
     return nodes.select("row", "comp", "tokens").mapInArrow(run, "key long, comp long, node long, n int, at int")
 
 
-def _crossed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Pairs (a, b) of rows (comp, node, n, at) of x and y that may be similar, of different components."""
-    xn, yn, xa, ya = x[:, None, 2], y[None, :, 2], x[:, None, 3], y[None, :, 3]
-    ok = (x[:, None, 0] != y[None, :, 0]) & (x[:, None, 1] < y[None, :, 1]) & (xn * DEN >= yn * NUM) & (yn * DEN >= xn * NUM)
+def _may(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Whether rows (comp, node, n, at) of x and y are of different components and may be similar."""
+    (xc, _, xn, xa), (yc, _, yn, ya) = x, y
+    ok = (xc != yc) & (xn * DEN >= yn * NUM) & (yn * DEN >= xn * NUM)
     # Shared besides the common token: before it, and after it, no more than the shorter part.
     most = np.minimum(xa, ya) + 1 + np.minimum(xn - xa, yn - ya) - 1
     most = np.where((xa < 0) & (ya < 0), np.minimum(-1 - xa, -1 - ya), most)  # a pair that shares a rare token meets by that, too
-    ok &= most * (NUM + DEN) >= (xn + yn) * NUM
-    i, j = np.nonzero(ok)
+    return ok & (most * (NUM + DEN) >= (xn + yn) * NUM)
+
+
+def _crossed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs (a, b), a < b, of rows of x and y that may be similar."""
+    i, j = np.nonzero(_may([c[:, None] for c in x.T], [c[None, :] for c in y.T]) & (x[:, None, 1] < y[None, :, 1]))
     return np.stack([x[i, 1], y[j, 1]], axis=1)
 
 
@@ -291,8 +287,14 @@ def crossed_pairs(entries: DataFrame) -> DataFrame:
         for b in batches:
             out, key, rows = [], b.column(0).to_numpy(), np.stack([c.to_numpy().astype(np.int64) for c in b.columns[1:]], axis=1)
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, int)
-            # Lists of one entry, which most are, are passed over at once; the batch's first and last may go on elsewhere.
-            whole = np.flatnonzero((np.diff(cuts) > 1) | np.isin(np.arange(len(cuts) - 1), [0, len(cuts) - 2]))
+            # Lists of one entry, which most are, are passed over at once, those of two are compared at once; the batch's first and last may go on
+            # elsewhere.
+            size = np.diff(cuts)
+            edge = np.isin(np.arange(len(size)), [0, len(size) - 1])
+            two = cuts[:-1][(size == 2) & ~edge]
+            own = two[_may(list(rows[two].T), list(rows[two + 1].T))]
+            out.append(np.sort(np.stack([rows[own, 1], rows[own + 1, 1]], axis=1), axis=1))
+            whole = np.flatnonzero((size > 2) | edge)
             for a, z in zip(cuts[whole].tolist(), cuts[whole + 1].tolist()):
                 if key[a] != now:
                     out += take()
