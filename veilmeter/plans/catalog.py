@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmeter.functions import privacy
-from veilmeter.operators import defenses, extraction, membership, models, preprocess, retrained, roc
+from veilmeter.functions import privacy, risk
+from veilmeter.operators import boosting, defenses, extraction, membership, models, preprocess, retrained, roc, selection
 from veilmeter.plans import reports
 from veilmeter.sources import tables
+from veilmeter.sources.shared import written
 from veilmeter.streaming import state
 
 FINE = "o_custkey"
@@ -579,25 +580,77 @@ def extraction_mlp(spark, d):
     return said.agg(F.count("*").alias("n"), F.avg((F.col("target") == F.col("prediction")).cast("double")).alias("agreement"))
 
 
-@query("boosted_benchmark")
-def boosted_benchmark(spark, d):
-    """run_id, train and test accuracy, gap, AUC, threshold, accuracy and seconds of the direct test on boosted targets, from one that generalises on."""
-    import time
+def _tabular(spark, d):
+    """Orders as sample_id, label (0, 1, 2), features and side: 0 to 5 train, 6 and 7 public, 8 and 9 held out."""
+    day = F.datediff("o_orderdate", F.lit("1990-01-01")).cast("double")
+    features = F.array(F.col("o_custkey").cast("double"), F.col("o_totalprice").cast("double"), day, F.expr(PRIORITY).cast("double"))
+    return tables.order_samples(spark, d, FINE, features.alias("features")).withColumn("side", F.pmod(F.shiftright(selection.mixed(F.col("sample_id")), 4), F.lit(10)))
 
-    from pyspark.ml.functions import vector_to_array
 
+def _boosted_settings():
     from veilmeter.operators import trained
 
-    rows, out = _vectors(spark, d).withColumn("label", (F.col("label") == 0).cast("int")), None
-    for name in ("generalised", "default"):
-        fitted = trained.boosted(name).setMaxIter(10).fit(rows.filter("is_member"))
-        began = time.perf_counter()
-        seen = fitted.transform(rows).select("sample_id", "is_member", "label", F.transform(vector_to_array("probability"), lambda p: F.round(p, 9)).alias("proba"), F.col("prediction").cast("int").alias("pred"))
-        gap = reports.generalization_gap(seen.withColumn("run_id", F.lit(name)), "run_id")
-        one = membership.direct_evaluate(membership.confidence_scores(seen, name)).join(gap, "run_id").collect()
-        one = spark.createDataFrame([(*r, time.perf_counter() - began) for r in one], "run_id string, auc double, n_members long, n_nonmembers long, threshold double, accuracy double, train_accuracy double, test_accuracy double, gap double, seconds double")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return {name: {"kind": "boosted", "trees": t, "depth": depth, "rate": rate, "leaf": leaf} for name, (t, depth, rate, leaf) in trained.BOOSTED.items()}
+
+
+def _rounded(seen):
+    return seen.withColumn("proba", F.transform("proba", lambda p: F.round(p, 9)))
+
+
+def _shadow_scores(spark, own, target_rows, shadows=4):
+    """Scores of the target's rows (run_id, is_member, proba) by forests: the shadows' sorted probabilities, in and out, train the attack."""
+    forest = {"kind": "forest", "trees": 100, "depth": 30}
+    pool = membership.with_exact_shadows(own.filter("side IN (6, 7)"), shadows).withColumn("run_id", F.concat(F.lit("shadow-"), "shadow"))
+    fitted = boosting.fit_models(pool.filter("is_in"), {f"shadow-{k}": forest | {"seed": 42 + k} for k in range(shadows)}, 3)
+    sort = lambda rows: F.sort_array("proba", asc=False).alias("features")
+    seen = _rounded(boosting.predict(pool.select("run_id", "sample_id", "features", "is_in"), fitted))
+    train = seen.select(F.lit("attack").alias("run_id"), F.xxhash64("run_id", "sample_id").alias("sample_id"), sort(seen), F.col("is_in").cast("int").alias("label"))
+    attack = boosting.fit_models(train, {"attack": forest | {"seed": 42}}, 2)
+    asked = target_rows.select(F.col("run_id").alias("target"), F.lit("attack").alias("run_id"), "sample_id", "is_member", sort(target_rows))
+    return _rounded(boosting.predict(asked, attack)).select(F.col("target").alias("run_id"), "sample_id", "is_member", F.get("proba", F.lit(1)).alias("score"))
+
+
+def _targets(own, settings, most=boosting.ROWS):
+    """What boosted targets say of the rows that they were fitted on, and of those held out: run_id, sample_id, is_member, label, proba, pred."""
+    runs = F.explode(F.array(*map(F.lit, settings))).alias("run_id")
+    columns = ["run_id", "sample_id", "features", "label"]
+    members = boosting.sampled(own.filter("side < 6").select("*", runs), most).select(columns)
+    fitted = boosting.fit_models(members, settings, 3, most)
+    others = own.filter("side > 7").select("*", runs).select(columns)
+    return _rounded(boosting.predict(members.withColumn("is_member", F.lit(True)).unionByName(others.withColumn("is_member", F.lit(False))), fitted))
+
+
+@query("boosted_benchmark")
+def boosted_benchmark(spark, d):
+    """A row for each boosted setting, its published trees and all, and attack: direct, and by four shadow forests and an attack forest."""
+    own = _tabular(spark, d)
+    seen = written(_targets(own, _boosted_settings()), "targets")
+    gap = reports.generalization_gap(seen, "run_id")
+    direct = membership.confidence_scores(seen, F.col("run_id"))
+    shadow = written(_shadow_scores(spark, own, seen), "shadow-scores")
+    best = roc.at_threshold(direct, roc.best_threshold(roc.curve(direct))).select("run_id", "threshold", "accuracy").withColumn("attack", F.lit("direct"))
+    half = membership.at_half(shadow).groupBy("run_id").agg(F.lit(0.5).alias("threshold"), F.avg((F.col("is_member_pred") == F.col("is_member")).cast("double")).alias("accuracy")).withColumn("attack", F.lit("shadow"))
+    both = roc.summary(roc.curve(direct)).withColumn("attack", F.lit("direct")).unionByName(roc.summary(roc.curve(shadow)).withColumn("attack", F.lit("shadow")))
+    return both.join(best.unionByName(half), ["run_id", "attack"]).join(gap, "run_id")
+
+
+@query("assess_chain")
+def assess_chain(spark, d):
+    """The whole assessment of a table: encode, impute, split by label, scale by the training rows, fit the default target, attack it, report."""
+    raw = tables.order_samples(spark, d, FINE, F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice").cast("double")).alias("price"), "o_orderpriority", F.datediff("o_orderdate", F.lit("1990-01-01")).cast("double").alias("day"))
+    table = preprocess.median_impute(preprocess.label_encode(raw, "o_orderpriority", "code"), "price")
+    table = written(preprocess.stratified_split(table, "label", "sample_id", 0.3), "assessed")
+    names = ["k", "price", "day", "code"]
+    for name in names:
+        table = preprocess.standard_scale(table, name, ~F.col("is_test"), f"z_{name}")
+    rows = table.select(F.lit("default").alias("run_id"), "sample_id", "label", (~F.col("is_test")).alias("is_member"), F.array(*[f"z_{n}" for n in names]).alias("features"))
+    member = boosting.sampled(rows.filter("is_member"))
+    fitted = boosting.fit_models(member, {"default": _boosted_settings()["default"]}, 3)
+    seen = written(_rounded(boosting.predict(member.unionByName(rows.filter("NOT is_member")), fitted)), "targets")
+    found = roc.summary(roc.curve(membership.confidence_scores(seen, F.col("run_id")))).join(reports.generalization_gap(seen, "run_id"), "run_id")
+    size = table.agg(F.count("*").alias("n_samples"))
+    four = lambda c: F.bround(c, 4).alias(c)
+    return found.select(F.lit("orders").alias("dataset"), four("train_accuracy"), four("test_accuracy"), four("gap"), four("auc"), four("advantage"), risk.by_auc(F.col("auc")).alias("risk_level"), "n_members", "n_nonmembers").withColumns({"n_samples": size.select("n_samples").scalar(), "n_features": F.lit(len(names)).cast("long")})
 
 
 @query("shadow_mllib_eval")
