@@ -142,27 +142,35 @@ def lira_scores(pool: DataFrame, targets: DataFrame, shadows: int = 16, classes:
     return by.select(F.lit("run").alias("run_id"), "*", (log_of("mean_in", "sd_in") - log_of("mean_out", "sd_out")).alias("score"))
 
 
+def _by_document(log_probs: DataFrame, min_tokens: int) -> DataFrame:
+    """doc_id, n_tokens, lp: each document's different log-probabilities in rising order and how often it has each, counted before they are shuffled."""
+    counted = log_probs.groupBy("doc_id", "logp").agg(F.count("*").alias("n"))
+    by = counted.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("logp", "n"))).alias("lp"), F.sum("n").alias("n_tokens"))
+    return by.filter(F.col("n_tokens") >= min_tokens)
+
+
+def _least(k: float) -> tuple[Column, Column]:
+    """How many tokens are the least ones, and the sum of their log-probabilities."""
+    n = F.greatest(F.lit(1), F.ceil(F.lit(k) * F.col("n_tokens"))).cast("long")
+    start = F.struct(n.alias("left"), F.lit(0.0).alias("total"))
+    take = lambda a, x: F.least(a["left"], x["n"])
+    return n, F.aggregate("lp", start, lambda a, x: F.struct((a["left"] - take(a, x)).alias("left"), (a["total"] + take(a, x) * x["logp"]).alias("total")), lambda a: a["total"])
+
+
 def min_k(log_probs: DataFrame, k: float = 0.2, min_tokens: int = 10) -> DataFrame:
     """doc_id, n_tokens, n_min, score: the mean of the ceil(k * n) least log-probabilities; documents with fewer tokens are left out."""
     if not 0 < k <= 1:
         raise ValueError("k must be in (0, 1]")
     if min_tokens < 1:
         raise ValueError("min_tokens must be at least 1")
-    by = log_probs.groupBy("doc_id").agg(F.array_sort(F.collect_list("logp")).alias("lp")).withColumn("n_tokens", F.size("lp").cast("long")).filter(F.col("n_tokens") >= min_tokens)
-    by = by.withColumn("n_min", F.greatest(F.lit(1), F.ceil(F.lit(k) * F.col("n_tokens"))).cast("int"))
-    total = F.aggregate(F.slice("lp", F.lit(1), F.col("n_min")), F.lit(0.0), lambda a, x: a + x)
-    return by.select("doc_id", "n_tokens", F.col("n_min").cast("long").alias("n_min"), (total / F.col("n_min")).alias("score"))
+    n, total = _least(k)
+    return _by_document(log_probs, min_tokens).select("doc_id", "n_tokens", n.alias("n_min"), (total / n).alias("score"))
 
 
 def min_k_sweep(log_probs: DataFrame, ks: tuple[float, ...], min_tokens: int = 10) -> DataFrame:
     """k, n_docs, mean_score: the mean of min_k's scores for each k, from one pass over the tokens."""
-    by = log_probs.groupBy("doc_id").agg(F.array_sort(F.collect_list("logp")).alias("lp")).filter(F.size("lp") >= min_tokens)
-
-    def score(k: float) -> Column:
-        n = F.greatest(F.lit(1), F.ceil(F.lit(k) * F.size("lp"))).cast("int")
-        return F.aggregate(F.slice("lp", F.lit(1), n), F.lit(0.0), lambda a, x: a + x) / n
-
-    each = by.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), score(k).alias("score")) for k in ks])).alias("x")).select("x.*")
+    score = lambda k: _least(k)[1] / _least(k)[0]
+    each = _by_document(log_probs, min_tokens).select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), score(k).alias("score")) for k in ks])).alias("x")).select("x.*")
     return each.groupBy("k").agg(F.count("*").alias("n_docs"), F.avg("score").alias("mean_score"))
 
 

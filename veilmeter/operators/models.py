@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilmeter.sources.shared import small, written
+
 CLASSES = 3
 
 
@@ -37,9 +39,10 @@ def unigram(member_tokens: DataFrame) -> DataFrame:
 
 
 def token_log_probs(all_tokens: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, pos, logp = ln((count + 1) / (total + vocabulary + 1))."""
+    """doc_id, pos, logp = ln((count + 1) / (total + vocabulary + 1)). The vocabulary is written once, and broadcast where it is small."""
+    model = written(model, "unigram")
     size = model.agg((F.sum("c") + F.count("*") + 1).cast("double").alias("size")).scalar()
-    return all_tokens.join(model, "token", "left").select("doc_id", "pos", F.log((F.coalesce("c", F.lit(0)) + 1).cast("double") / size).alias("logp"))
+    return all_tokens.join(small(model), "token", "left").select("doc_id", "pos", F.log((F.coalesce("c", F.lit(0)) + 1).cast("double") / size).alias("logp"))
 
 
 def grams(docs: DataFrame, order: int, id_name: str = "doc_id") -> DataFrame:

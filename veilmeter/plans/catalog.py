@@ -306,7 +306,7 @@ def lira_scores_pooled(spark, d):
     SELECT (SELECT sum(n*(2*(tp-p)+p))::DOUBLE/(2*max(pos)::DOUBLE*max(neg)::DOUBLE) FROM roc) AS auc, round(avg(CASE WHEN mem THEN (score>=m)::INT::DOUBLE END) - avg(CASE WHEN NOT mem THEN (score>=m)::INT::DOUBLE END), 9) AS advantage,
     round(avg(CASE WHEN mem THEN (score>=s)::INT::DOUBLE END), 9) AS tpr_at_01pct, count(*) FILTER (mem) AS n_members, count(*) FILTER (NOT mem) AS n_nonmembers FROM pp, md, th""")
 def lira_metrics(spark, d):
-    found = _lira(spark, d)
+    found = written(_lira(spark, d), "lira")
     c = roc.curve(found)
     at = roc.at_threshold(found, roc.median_threshold(c, False)).select("run_id", F.round("advantage", 9).alias("advantage"))
     low = roc.tpr_by_order(c).select("run_id", F.round("tpr", 9).alias("tpr_at_01pct"))

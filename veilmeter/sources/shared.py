@@ -40,6 +40,20 @@ def written(df: DataFrame, name: str, by: tuple[str, ...] = (), **options) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, splits: int = 4) -> DataFrame:
+    """A table of fewer files than cores, and of few splits, dealt out over the cores: a small file is one task else. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < splits * cores
+    return df.repartition(cores) if few and cores > 1 else df
+
+
+def small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """df, to be broadcast where it has at most so many rows (of a few short columns each), by count; shuffled else."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _root(path: str) -> str:
     """A table's folder, from one of its files; folders of partitions are called name=value."""
     folder = path.rpartition("/")[0]

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilmeter.sources.shared import spread
+
 STATUS = ["F", "O", "P"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name == "documents" else found
 
 
 def order_samples(spark: SparkSession, sf_dir: str, key: str = "o_custkey", *more) -> DataFrame:
