@@ -10,13 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmeter.sources.shared import dropped, shared_dir, shared_path, written
+from veilmeter.sources.shared import dropped, shared_dir, shared_path, spread, written
 
 __all__ = ["Known", "dropped", "shared_dir", "shared_path", "slices", "table", "text_or_empty", "tokenizer_path", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer_path(name: str) -> str:
