@@ -57,8 +57,21 @@ def test_factories(spark, sf_dir):
     assert trained.boosted("moderate").getMaxIter() == 200 and trained.substitute("mlp", 4, 3).getLayers() == [4, 100, 3]
     (copied,) = QUERIES["extraction_mlp"](spark, sf_dir).collect()
     assert copied["n"] > 0 and copied["agreement"] > 0.7
-    rows = {r["run_id"]: r for r in QUERIES["boosted_benchmark"](spark, sf_dir).collect()}
-    assert set(rows) == {"generalised", "default"} and rows["default"]["gap"] > rows["generalised"]["gap"] - 0.05 and rows["default"]["auc"] >= 0.5
+
+
+def test_boosted_benchmark_of_all_settings(spark, sf_dir):
+    rows = {(r["run_id"], r["attack"]): r for r in QUERIES["boosted_benchmark"](spark, sf_dir).collect()}
+    settings = ("default", "generalised", "moderate", "overfitted")
+    assert set(rows) == {(s, a) for s in settings for a in ("direct", "shadow")}
+    assert rows["overfitted", "direct"]["train_accuracy"] > 0.99 and rows["overfitted", "direct"]["auc"] > rows["generalised", "direct"]["auc"] + 0.1
+    assert all(0 <= r["tpr_at_01pct"] <= r["tpr_at_1pct"] <= 1 and r["n_members"] > r["n_nonmembers"] > 0 for r in rows.values())
+    assert rows["overfitted", "shadow"]["auc"] > 0.5
+
+
+def test_assessment_chain(spark, sf_dir):
+    (r,) = QUERIES["assess_chain"](spark, sf_dir).collect()
+    assert r["n_members"] + r["n_nonmembers"] == r["n_samples"] and r["n_features"] == 4 and r["train_accuracy"] > r["test_accuracy"]
+    assert r["risk_level"] == ("low" if r["auc"] < 0.55 else "medium" if r["auc"] < 0.6 else "high") and 0 <= r["advantage"] <= 1
 
 
 def test_curve_of_odd_scores(spark):
