@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 22
+CHUNK = 1 << 17
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 #: A-Z as a-z, every other byte as it is.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
