@@ -56,6 +56,8 @@ def simple_epsilon(configs: DataFrame) -> DataFrame:
 
 
 def gdp_epsilon(configs: DataFrame, delta: float) -> DataFrame:
+    """The central-limit accountant, of which the same holds."""
+    warnings.warn("the central-limit accountant is an approximation and may give too low an epsilon", stacklevel=2)
     mu = F.sqrt(F.col("steps").cast("double")) * F.col("sample_rate") / F.col("sigma")
     return configs.select("run_id", (mu * NormalDist().inv_cdf(1 - delta) + mu * mu / 2).alias("epsilon"))
 

@@ -16,8 +16,10 @@ def extract(queries: DataFrame, key: str) -> DataFrame:
     return counts.groupBy(key).agg(F.max(F.struct("count", (-F.col("pred")).alias("low"))).alias("b")).select(key, (-F.col("b.low")).cast("int").alias("substitute"))
 
 
-def agreement(rows: DataFrame, substitute: DataFrame, key: str) -> DataFrame:
-    """n, agreement of target and substitute on the same rows; an unseen key counts as class 0."""
+def agreement(rows: DataFrame, substitute: DataFrame | None, key: str) -> DataFrame:
+    """n, agreement of target and substitute on the same rows; an unseen key counts as class 0. Without a substitute it raises."""
+    if substitute is None:
+        raise RuntimeError("no substitute has been extracted yet")
     both = rows.join(substitute, key, "left").withColumn("substitute", F.coalesce("substitute", F.lit(0)))
     return both.agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("substitute")).cast("double")).alias("agreement"))
 
@@ -65,3 +67,11 @@ def best_restart(climbs: DataFrame) -> DataFrame:
     """restart, confidence, x: the surest of all restarts, the first of equal ones."""
     best = F.max(F.struct("confidence", (-F.col("restart")).alias("low"), "x")).alias("b")
     return climbs.agg(best).select((-F.col("b.low")).alias("restart"), F.col("b.confidence").alias("confidence"), F.col("b.x").alias("x"))
+
+
+def inversion_report(best: DataFrame, target: int, restarts: int, steps: int) -> DataFrame:
+    """attack, target_class, confidence (four digits), n_features, restarts, steps, reconstructed, of the surest restart."""
+    return best.select(
+        F.lit("model_inversion").alias("attack"), F.lit(target).cast("long").alias("target_class"), F.bround("confidence", 4).alias("confidence"), F.size("x").cast("long").alias("n_features"),
+        F.lit(restarts).cast("long").alias("restarts"), F.lit(steps).cast("long").alias("steps"), F.transform("x", lambda v: F.bround(v, 4)).alias("reconstructed")
+    )

@@ -84,6 +84,15 @@ def shadow_evaluate(scores: DataFrame, shadows: int) -> DataFrame:
     return found.join(right, "run_id").withColumn("n_shadow", F.lit(shadows).cast("long"))
 
 
+def fitted_threshold(scores: DataFrame, fixed: float | None = None, reference: bool = True) -> DataFrame:
+    """run_id, threshold: a fixed one, for which no score is looked at, or else the best against non-members, or without reference ones
+    the members' median."""
+    if fixed is not None:
+        return scores.select("run_id").distinct().withColumn("threshold", F.lit(float(fixed)))
+    found = roc.curve(scores)
+    return roc.best_threshold(found).select("run_id", "threshold") if reference else roc.median_threshold(found, True)
+
+
 def direct_evaluate(scores: DataFrame) -> DataFrame:
     """run_id, auc, threshold (the best), accuracy, n_members, n_nonmembers."""
     c = roc.curve(scores)

@@ -9,8 +9,8 @@ from veilmeter.functions import privacy, risk
 from veilmeter.operators import boosting, defenses, extraction, membership, models, preprocess, retrained, roc, selection
 from veilmeter.plans import reports
 from veilmeter.sources import tables
-from veilmeter.sources.shared import written
-from veilmeter.streaming import state
+from veilmeter.sources.shared import shared_path, written
+from veilmeter.streaming import ordered, state
 
 FINE = "o_custkey"
 PRIORITY = "cast(substring(o_orderpriority, 1, 1) as bigint)"
@@ -93,6 +93,13 @@ def direct_evaluate(spark, d):
     return membership.direct_evaluate(scores(spark, d)).withColumn("accuracy", F.bround("accuracy", 9)).drop("run_id")
 
 
+@query("direct_fixed_threshold", f"""{W} SELECT 0.6e0 AS threshold, round(avg(((score >= 0.6e0) = mem)::INT::DOUBLE), 9) AS accuracy, round(avg(CASE WHEN mem THEN (score >= 0.6e0)::INT::DOUBLE END), 9) AS tpr,
+    round(avg(CASE WHEN NOT mem THEN (score >= 0.6e0)::INT::DOUBLE END), 9) AS fpr FROM pp""")
+def direct_fixed_threshold(spark, d):
+    found = scores(spark, d)
+    return roc.at_threshold(found, membership.fitted_threshold(found, fixed=0.6)).select("threshold", *[F.bround(c, 9).alias(c) for c in ("accuracy", "tpr", "fpr")])
+
+
 @query("mi_resistance", f"""{WR}, t AS ({BEST}), a AS (SELECT round(avg(((pp.score >= (SELECT score FROM t)) = mem)::INT::DOUBLE), 9) AS acc FROM pp)
     SELECT (SELECT sum(n*(2*(tp-p)+p))::DOUBLE/(2*max(pos)::DOUBLE*max(neg)::DOUBLE) FROM roc) AS attack_auc, acc AS attack_accuracy, round(abs(acc-0.5e0), 9) AS advantage, (SELECT score FROM t) AS threshold FROM a""")
 def mi_resistance(spark, d):
@@ -338,6 +345,11 @@ def inversion_hillclimb(spark, d):
     return extraction.hill_climb(centroids, 0)
 
 
+@query("inversion_report")
+def inversion_report(spark, d):
+    return extraction.inversion_report(inversion_best(spark, d), 0, 5, 500)
+
+
 @query("inversion_best")
 def inversion_best(spark, d):
     return extraction.best_restart(inversion_hillclimb(spark, d))
@@ -468,19 +480,60 @@ def label_smoothing_loss(spark, d):
     return e.select("sample_id", F.round(defenses.smoothed_loss(F.slice("features", 1, 10), F.col("label"), 0.1, 10), 6).alias("loss"))
 
 
-@query("early_stopping", """WITH RECURSIVE v AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+SQL_STOPPING = """WITH RECURSIVE v AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     f(user_id, i, best, counter, stopped) AS (SELECT DISTINCT user_id, 0::BIGINT, 'inf'::DOUBLE, 0::BIGINT, false FROM v
       UNION ALL SELECT f.user_id, v.i, CASE WHEN value < best-0.5 THEN value ELSE best END, CASE WHEN value < best-0.5 THEN 0 ELSE counter+1 END, stopped OR (NOT value < best-0.5 AND counter+1 >= 3) FROM f JOIN v ON v.user_id=f.user_id AND v.i=f.i+1)
-    SELECT user_id, best, counter::BIGINT AS counter, stopped, i AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS r FROM f) WHERE r=1""")
+    SELECT user_id, best, counter::BIGINT AS counter, stopped, i AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS r FROM f) WHERE r=1"""
+
+
+@query("early_stopping", SQL_STOPPING)
 def early_stopping(spark, d):
     return defenses.early_stopping(tables.read(spark, d, "events"), "user_id", ["ts", "event_id"], "value", patience=3, min_delta=0.5)
 
 
-@query("accountant_running", """SELECT user_id, event_id, step, round(sqrt(step)*0.01e0/2e0*4.264890793922825e0 + (sqrt(step)*0.01e0/2e0)**2/2, 6) AS epsilon FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)""")
+SQL_RUNNING = """SELECT user_id, event_id, step, round(sqrt(step)*0.01e0/2e0*4.264890793922825e0 + (sqrt(step)*0.01e0/2e0)**2/2, 6) AS epsilon FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)"""
+
+
+@query("accountant_running", SQL_RUNNING)
 def accountant_running(spark, d):
     return state.running_accountant(tables.read(spark, d, "events"), 2.0, 500, 1e-5).withColumn("epsilon", F.round("epsilon", 6))
 
 
+FILES, LATE = 6, 3600
+
+
+def _streamed(spark, d, plan):
+    """plan over the events as a stream that comes in FILES files, each event up to LATE seconds late, then two events that move the watermark past all; what
+    it gives is written by a streaming sink and read back."""
+    events = tables.read(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    comes = F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(LATE))
+    low, high = events.agg(F.min(comes), F.max(comes)).first()
+    place = F.floor((comes - low) * FILES / (high - low + 1)) if low is not None else F.lit(0)
+    source, sink, state_dir = (shared_path(spark, f"stream-{x}") for x in ("events", "out", "state"))
+    for k in range(FILES):  # one after another, as they would come
+        events.filter(place == k).coalesce(1).write.mode("append").parquet(source)
+    for k in (1, 2):
+        late = F.timestamp_seconds(F.lit((high or 0) + k * 10**8))
+        spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), late.cast(events.schema["ts"].dataType).alias("ts"), F.lit(-k).cast("long").alias("event_id"), F.lit(0.0).alias("value")).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = plan(stream)
+    run = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state_dir).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink).filter("user_id >= 0")
+
+
+@query("early_stopping_stream", SQL_STOPPING)
+def early_stopping_stream(spark, d):
+    each = _streamed(spark, d, lambda s: ordered.early_stopping(s, patience=3, min_delta=0.5, delay="2 hours"))
+    last = F.max_by(F.struct("best", "counter", "stopped", "n"), "n").alias("b")
+    return each.groupBy("user_id").agg(last).select("user_id", "b.*")
+
+
+@query("accountant_stream", SQL_RUNNING)
+def accountant_stream(spark, d):
+    return _streamed(spark, d, lambda s: ordered.running_accountant(s, 2.0, 500, 1e-5, delay="2 hours")).withColumn("epsilon", F.round("epsilon", 6))
+
+
 @query("batch_clip_step", """WITH e AS (SELECT embedding::DOUBLE[] AS v, CASE WHEN label=0 THEN 1e0 ELSE 0e0 END AS y FROM embeddings), u AS (SELECT unnest(range(len(v))) AS j, unnest(list_transform(v, lambda x: (0.5e0-y)*x)) AS x FROM e),
     g AS (SELECT j, avg(x) AS g FROM u GROUP BY j) SELECT j::BIGINT AS coordinate, round(g*least(1e0, 0.01e0/(sqrt((SELECT sum(g*g) FROM g))+1e-6)), 6) AS gradient FROM g""")
 def batch_clip_step(spark, d):
@@ -634,6 +687,33 @@ def boosted_benchmark(spark, d):
     return both.join(best.unionByName(half), ["run_id", "attack"]).join(gap, "run_id")
 
 
+@query("direct_by_source")
+def direct_by_source(spark, d):
+    """The direct test on one logistic target whose answers come from a table, from MLlib, and from a function that a task loads."""
+    import numpy as np
+
+    from veilmeter.operators import trained
+    from veilmeter.sources import predictions
+
+    rows = _vectors(spark, d).withColumn("label", (F.col("label") == 0).cast("int"))
+    member = rows.filter("is_member")
+    model = trained.shadow("logistic_regression", rows=member.count()).fit(member)
+    weights, start = model.coefficients.toArray(), model.intercept
+
+    def load():
+        def answer(x):
+            p = 1 / (1 + np.exp(-(x @ weights + start)))
+            return np.stack([1 - p, p], axis=1)
+
+        return answer
+
+    own = predictions.from_mllib(rows, model)
+    plain = tables.embedding_samples(spark, d).withColumn("label", (F.col("label") == 0).cast("int"))
+    each = {"mllib": own, "table": predictions.from_table(written(own, "answers")), "function": predictions.from_function(plain, load)}
+    found = [membership.confidence_scores(_rounded(x), name) for name, x in each.items()]
+    return roc.summary(roc.curve(found[0].unionByName(found[1]).unionByName(found[2])))
+
+
 @query("assess_chain")
 def assess_chain(spark, d):
     """The whole assessment of a table: encode, impute, split by label, scale by the training rows, fit the default target, attack it, report."""
