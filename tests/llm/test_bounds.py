@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from veilmeter.llm import langid, linededup, packing, quality
+from veilmeter.llm import ann, langid, linededup, packing, quality
 
 
 def test_a_language_of_long_texts_only_is_learned(spark):
@@ -51,3 +51,37 @@ def test_a_word_that_all_lines_have_and_a_text_of_many_lines(spark):
     got = {r["doc_id"]: r for r in linededup.line_report(docs).collect()}
     assert got[1]["n_lines"] == 20_000 and got[1]["n_kept"] == len({" ".join(sorted(set(x.split()))) for x in own})
     assert got[2]["text"] == "the end of it all"
+
+
+def recall(spark, x, k=10):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(np.float32).astype(float)
+    found = {}
+    for r in ann.search(df).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 100):
+        far = ((x - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(found[q] & set(np.argpartition(far, k - 1)[:k].tolist()))
+    return hits / (k * len(range(0, len(x), 100)))
+
+
+def test_recall_over_many_lists_without_clusters(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_LIST", 16)  # 1,250 lists
+    assert recall(spark, np.random.default_rng(6).normal(size=(20_000, 12))) >= 0.95
+
+
+def test_lists_of_more_vectors_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CHUNK", 60)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 6))
+    x[:900] = x[0] + rng.normal(size=(900, 6)) * 1e-3  # one list's worth of near copies, and many that ask for it
+    assert recall(spark, x) >= 0.95
+
+
+def test_calibration_of_small_and_equal_samples():
+    for x in (np.ones((5, 3)), np.random.default_rng(0).normal(size=(40, 2)), np.eye(3)):
+        index = ann.Index(x, max(1, len(x) // 4))
+        probes, reach = ann.calibrated(index, x)
+        assert probes >= 1 and reach >= ann.REACH

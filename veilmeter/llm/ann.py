@@ -3,8 +3,9 @@
 Fitting takes a bounded sample and halves it by the median along the line between two means, again and again, so lists come out
 of equal size; a list is known by its mean. A graph that links each mean to its nearest others is searched in memory, best
 first. Every vector is posted to its nearest list and, near a border, to up to REPLICAS lists whose distance is within a ratio
-of the nearest's. A query reads the lists whose distance is within a ratio of its nearest list's (at most PROBES of them, or
-a SHARE-th of the lists where that is more; the ratio is REACH, and wider where lists are many, so small), and distances to what is posted there are exact. With probes=MOST_LISTS and an
+of the nearest's. A query reads the lists whose distance is within a ratio of its nearest list's, up to a number of them, and distances to
+what is posted there are exact. Ratio and number are measured on rows of the sample, so that FOUND of their neighbours are found, and are at least REACH, PROBES
+and a SHARE-th of the lists. With probes=MOST_LISTS and an
 infinite reach a query reads every list, which gives the exact neighbours.
 
 The number of lists grows with the table up to MOST_LISTS, so the means and their graph stay small. A list that holds more than
@@ -35,6 +36,7 @@ PER_LIST = 128
 MOST_LISTS = 4096
 REPLICAS, BORDER = 4, 1.1
 PROBES, SHARE, REACH = 96, 16, 1.15
+FOUND = 0.95
 DEGREE = 24
 CHUNK = 4096
 
@@ -115,6 +117,32 @@ class Index:
         return row, lists[row, place]
 
 
+def calibrated(index: Index, sample: np.ndarray, k: int = K, share: float = FOUND, rows: int = 256, seed: int = 42) -> tuple[int, float]:
+    """probes, reach: how many lists, and up to which ratio, must be read so that `share` of the k nearest neighbours that some rows of the
+    sample have in it are found. In the whole table neighbours are nearer, so less would do there. Never less than PROBES, or a SHARE-th of the
+    lists, and REACH."""
+    lists = len(index.means)
+    least = max(PROBES, lists // SHARE)
+    k = min(k, len(sample) - 1)
+    if lists == 1 or k < 1:
+        return least, REACH
+    asked = np.random.default_rng(seed).choice(len(sample), min(rows, len(sample)), replace=False)
+    q, square = sample[asked], (sample**2).sum(axis=1)
+    far = square[None, :] - 2 * q @ sample.T
+    far[np.arange(len(q)), asked] = np.inf
+    near = np.argpartition(far, k - 1, axis=1)[:, :k]
+    found, distance = index.search(q, max(least, lists // 2))
+    at = {(i, c): r for i, own in enumerate(found.tolist()) for r, c in enumerate(own) if c >= 0}
+    row, place = index.pick(sample[near.ravel()], 2 * REPLICAS + 8, REPLICAS, BORDER)
+    rank = np.full(near.size, lists)
+    np.minimum.at(rank, row, [at.get((r // k, c), lists) for r, c in zip(row.tolist(), place.tolist())])
+    ratio = np.where(rank < found.shape[1], distance[np.arange(near.size) // k, np.minimum(rank, found.shape[1] - 1)] / np.maximum(distance[np.arange(near.size) // k, 0], 1e-300), np.inf)
+    # Each may lose half of what may be lost; a walk that hasn't come by a list counts as any number of lists.
+    most = 1 - (1 - share) / 2
+    probes, reach = int(np.quantile(rank, most, method="higher")) + 1, float(np.quantile(ratio, most, method="higher"))
+    return min(lists, max(least, probes)), max(REACH, reach)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array of double) of the vectors that take part."""
     v = F.col("embedding").cast("array<double>")
@@ -181,9 +209,9 @@ def search(vectors: DataFrame, query_ids=None, k: int = K, probes: int | None =
     dim = int(picked["v"].map(len).mode()[0])
     sample = np.stack([v for v in picked["v"] if len(v) == dim])
     index = spark.sparkContext.broadcast(Index(sample, max(1, min(MOST_LISTS, total // PER_LIST, len(sample) // 4))))
-    lists = len(index.value.means)
-    probes = max(PROBES, lists // SHARE) if probes is None else probes
-    reach = REACH + 0.05 * max(0.0, np.log2(lists / 512)) if reach is None else reach
+    if probes is None or reach is None:
+        own = calibrated(index.value, sample, k)
+        probes, reach = own[0] if probes is None else probes, own[1] if reach is None else reach
     points = written(_posted(ready, index, dim, 2 * REPLICAS + 8, REPLICAS, BORDER), "postings")
     asked = F.pmod("vec_id", F.lit(100)) == 0 if query_ids is None else query_ids
     queries = written(_posted(ready.filter(asked), index, dim, probes, probes, reach), "probes")
