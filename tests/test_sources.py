@@ -46,3 +46,25 @@ def test_thresholds_and_errors(spark):
 def test_inversion_report(spark, sf_dir):
     (r,) = QUERIES["inversion_report"](spark, sf_dir).collect()
     assert r["confidence"] == round(r["confidence"], 4) and r["n_features"] == len(r["reconstructed"]) and r["target_class"] == 0
+
+
+def test_documents_are_written_whole_or_not_at_all(spark, sf_dir, tmp_path):
+    import json
+
+    from veilmeter.plans import measured, reports
+    from veilmeter.sources.documents import Documents
+
+    spark.dataSource.register(Documents)
+    inputs = measured.cases(spark, sf_dir)
+    own = reports.report(inputs, measured.own_findings(inputs))
+    write = lambda df, mode: df.write.format("documents").option("path", str(tmp_path)).option("name", "model_id").mode(mode).save()
+    write(own, "append")
+    rows = {r["model_id"]: r for r in own.collect()}
+    files = {p.stem: json.loads(p.read_text()) for p in tmp_path.glob("*.json")}
+    assert files.keys() == rows.keys() and not (tmp_path / "_parts").exists()
+    assert all(f["n_findings"] == rows[k]["n_findings"] and [x["attack"] for x in f["findings"]] == [x["attack"] for x in rows[k]["findings"]] for k, f in files.items())
+    with pytest.raises(Exception, match="one name"):
+        write(own.unionByName(own), "append")
+    assert len(list(tmp_path.glob("*.json"))) == len(rows)
+    write(own.limit(2), "overwrite")
+    assert len(list(tmp_path.glob("*.json"))) == 2
