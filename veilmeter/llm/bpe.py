@@ -30,7 +30,7 @@ LARGEST = 64  # bytes of a piece that shares an array
 KEPT = 150_000  # pieces in each of the two generations that a worker keeps
 NONE = np.int64(1) << 40
 #: White space of the Unicode standard; a piece never reaches over the border before a run of it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Fixed value: the pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
