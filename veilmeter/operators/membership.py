@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +55,7 @@ def shadow_counts(each: DataFrame, classes: int = models.CLASSES) -> DataFrame:
 def shadow_features(pool: DataFrame, shadows: int = 4, classes: int = models.CLASSES) -> DataFrame:
     """shadow, sample_id, is_in, label, proba, features (probabilities in falling order, so no class is told apart)."""
     each = with_shadows(pool, shadows)
-    joined = each.join(shadow_counts(each, classes), ["shadow", "k"])
+    joined = each.join(shadow_counts(each, classes).hint("merge"), ["shadow", "k"])  # as many rows as shadows and keys, never broadcast
     out = joined.withColumn("proba", F.transform("counts", lambda c: (c + 1).cast("double") / (F.col("total") + classes).cast("double")))
     return out.select("shadow", "sample_id", "is_in", "label", "proba", F.sort_array("proba", asc=False).alias("features"))
 
@@ -132,20 +135,61 @@ def logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
+def _counts_by_key(pool: DataFrame, shadows: int, classes: int) -> DataFrame:
+    """k, counts: for each shadow a row of a class's counts each and the total. A row a key, so samples meet it once and not once a shadow; it is never
+    broadcast, as what the planner takes for its size is that of the pool's file, and keys may be as many as samples."""
+    one = lambda s, j: F.sum((in_shadow(F.col("sample_id"), F.lit(s)) & (F.col("label") == j)).cast("long"))
+    all_of = lambda s: F.sum(in_shadow(F.col("sample_id"), F.lit(s)).cast("long"))
+    return pool.groupBy("k").agg(F.array(*[F.array(*[one(s, j) for j in range(classes)], all_of(s)) for s in range(shadows)]).alias("counts")).hint("merge")
+
+
+def _logits(joined: DataFrame, shadows: int, classes: int) -> DataFrame:
+    """sample_id, is_member, m, inn, out: for each shadow the logit with and without the sample itself. Null without a label."""
+    row = lambda s: F.element_at("counts", s + 1)
+    own = lambda s: in_shadow(F.col("sample_id"), F.lit(s)).cast("long")
+    c, n = F.array(*[row(s)[F.col("label")] - own(s) for s in range(shadows)]), F.array(*[row(s)[classes] - own(s) for s in range(shadows)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log = lambda p: np.log((q := np.clip(p, 1e-7, 1 - 1e-7)) / (1 - q))
+        for b in batches:
+            c, n = (b.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.float64) for k in (3, 4))
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * shadows)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(log(x), from_pandas=True)) for x in ((c + 2) / (n + 1 + classes), (c + 1) / (n + classes))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], ["sample_id", "is_member", "m", "inn", "out"])
+
+    kind = joined.schema["sample_id"].dataType.simpleString()
+    return joined.select("sample_id", "is_member", "m", c.alias("c"), n.alias("n")).mapInArrow(run, f"sample_id {kind}, is_member boolean, m int, inn array<double>, out array<double>")
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+
+
+def _deviation(values: Column, mean: Column) -> Column:
+    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(values))
+
+
+def _middle(values: Column) -> Column:
+    """The median, by linear interpolation."""
+    s, n = F.array_sort(values), F.size(values)
+    low, high = F.element_at(s, F.floor((n - 1) / 2).cast("int") + 1), F.element_at(s, F.floor(n / 2).cast("int") + 1)
+    return low + (high - low) * 0.5
+
+
 def lira_scores(pool: DataFrame, targets: DataFrame, shadows: int = 16, classes: int = models.CLASSES, pooled: bool = False) -> DataFrame:
     """run_id, sample_id, is_member, mean and deviation with and without the target, score. A count model with the target differs from
     one without by one count, so nothing is fitted again; what is observed is the median without it. Deviations are rounded, so that
     equal values have none. pooled: one deviation for all, that of all values without the target."""
-    counts = shadow_counts(with_shadows(pool, shadows), classes)
-    each = with_shadows(targets, shadows).join(counts, ["shadow", "k"])
-    own = F.col("is_in").cast("long")
-    c, n = F.col("counts")[F.col("label")] - own, F.col("total") - own
-    each = each.withColumns({"out": logit((c + 1).cast("double") / (n + classes).cast("double")), "inn": logit((c + 2).cast("double") / (n + 1 + classes).cast("double"))})
-    by = each.groupBy("sample_id", "is_member").agg(
-        F.avg("inn").alias("mean_in"), (F.round(F.stddev_pop("inn"), 9) + 1e-9).alias("sd_in"), F.avg("out").alias("mean_out"), (F.round(F.stddev_pop("out"), 9) + 1e-9).alias("sd_out"), F.percentile("out", 0.5).alias("seen")
+    counts = _counts_by_key(pool, shadows, classes)
+    own = targets.groupBy("sample_id", "is_member").agg(F.collect_list(F.struct("k", "label")).alias("own")).select("sample_id", "is_member", F.size("own").alias("m"), F.explode("own").alias("o"))
+    logits = lambda m: _logits(own.filter(m).select("sample_id", "is_member", "m", "o.*").join(counts, "k"), shadows, classes)
+    more = logits("m > 1").groupBy("sample_id", "is_member").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("inn", "out")])  # rows of one id are one sample
+    each = logits("m = 1").drop("m").unionByName(more)
+    by = each.withColumns({"mean_in": _mean(F.col("inn")), "mean_out": _mean(F.col("out"))}).select(
+        "sample_id", "is_member", "mean_in", (F.round(_deviation(F.col("inn"), F.col("mean_in")), 9) + 1e-9).alias("sd_in"), "mean_out", (F.round(_deviation(F.col("out"), F.col("mean_out")), 9) + 1e-9).alias("sd_out"), _middle(F.col("out")).alias("seen")
     )
     if pooled:
-        one = each.agg(F.stddev_pop("out") + 1e-9).scalar()
+        one = each.select(F.explode("out").alias("out")).agg(F.stddev_pop("out") + 1e-9).scalar()
         by = by.withColumns({"sd_in": one, "sd_out": one})
     log_of = lambda m, s: -0.5 * ((F.col("seen") - F.col(m)) / F.col(s)) ** 2 - F.log(s)
     return by.select(F.lit("run").alias("run_id"), "*", (log_of("mean_in", "sd_in") - log_of("mean_out", "sd_out")).alias("score"))
