@@ -37,3 +37,14 @@ def test_likelihood_ratio_of_repeated_rows_is_of_one_sample(spark):
                 out.append(log((c + 1) / (n + 3)))
         want = [statistics.fmean(inn), statistics.pstdev(inn), statistics.fmean(out), statistics.pstdev(out), statistics.median(out)]
         assert all(abs(a - b) < 1e-8 for a, b in zip(want, [found[i][c] for c in ("mean_in", "sd_in", "mean_out", "sd_out", "seen")]))
+
+
+def test_figures_in_reports_are_printed_as_sql_prints_them(spark, duck):
+    from veilmeter.plans import reports
+
+    values = [1.005, 2.675, 0.125, 0.375, 1.115, 3.0, 1234567.5, 0.0049, 9.995]
+    inputs = spark.createDataFrame([(str(i), 0.5, 0.1, e, 1.0, False) for i, e in enumerate(values)], "model_id string, advantage double, threshold double, epsilon double, sigma double, inversion boolean")
+    hints = {r["model_id"]: r["hint"] for r in reports.findings(inputs).filter("attack = 'dp_sgd_defense_assessment'").collect()}
+    for i, e in enumerate(values):
+        (shown,) = duck.execute(f"SELECT printf('Epsilon = %.2f', {e!r}::DOUBLE)").fetchone()
+        assert hints[str(i)].startswith(shown + (". Target" if e > 1 else " meets"))

@@ -95,11 +95,17 @@ def budget(configs: DataFrame) -> DataFrame:
     return out.withColumn("advice", advice())
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many digits, as C and SQL print it: by its exact binary value, ties to even. format_string would round its shortest
+    decimal form, half up, so that 1.005, which is below that, became 1.01."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
+
+
 def advice() -> Column:
     """What to do about a budget, with its figures. The texts are fixed values."""
-    e, need = F.format_string("%.2f", F.col("epsilon")), F.format_string("%.1f", F.col("required_sigma"))
+    e, need = fixed(F.col("epsilon"), 2), fixed(F.col("required_sigma"), 1)
     fewer = F.greatest(F.lit(1), F.floor(F.col("epochs") / 2)).cast("string")
-    low = F.concat(F.lit("Epsilon = "), e, F.lit(" meets the recommended threshold of <= 1.0. Current sigma = "), F.format_string("%.1f", F.col("sigma")), F.lit(" provides strong differential privacy guarantees."))
+    low = F.concat(F.lit("Epsilon = "), e, F.lit(" meets the recommended threshold of <= 1.0. Current sigma = "), fixed(F.col("sigma"), 1), F.lit(" provides strong differential privacy guarantees."))
     medium = F.concat(F.lit("Epsilon = "), e, F.lit(" is acceptable for non-sensitive data. To reach epsilon <= 1.0 (LOW risk), increase sigma to >= "), need, F.lit(". Note: higher sigma reduces model utility."))
     high = F.concat(
         F.lit("Epsilon = "), e, F.lit(" provides weak privacy guarantees. To reach epsilon <= 1.0, increase sigma to >= "), need, F.lit(" or reduce epochs (current: "), F.col("epochs").cast("string"),
@@ -110,7 +116,7 @@ def advice() -> Column:
 
 def interpretation(epsilon: Column, shown: Column | None = None) -> Column:
     """What an epsilon means for an adversary's odds; e counts as 2.718; shown: how epsilon is printed. The text is a fixed value."""
-    return F.concat(F.lit("an adversary gains at most e^"), epsilon.cast("string") if shown is None else shown, F.lit(" = "), F.format_string("%.2f", F.pow(F.lit(2.718), epsilon)), F.lit("x odds advantage"))
+    return F.concat(F.lit("an adversary gains at most e^"), epsilon.cast("string") if shown is None else shown, F.lit(" = "), fixed(F.pow(F.lit(2.718), epsilon), 2), F.lit("x odds advantage"))
 
 
 def log_floor(p: Column, floor: float = 1e-12) -> Column:

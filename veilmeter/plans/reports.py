@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilmeter.functions import risk
+from veilmeter.functions import privacy, risk
 from veilmeter.operators import membership, models, roc
 
 #: Articles by level, technique ids by finding type, texts of hints and mitigations.
@@ -59,7 +59,7 @@ def _list(*items: Column) -> Column:
 
 
 def _two(x: Column) -> Column:
-    return F.format_string("%.2f", x)
+    return privacy.fixed(x, 2)
 
 
 def remediation() -> Column:
