@@ -48,3 +48,34 @@ def test_figures_in_reports_are_printed_as_sql_prints_them(spark, duck):
     for i, e in enumerate(values):
         (shown,) = duck.execute(f"SELECT printf('Epsilon = %.2f', {e!r}::DOUBLE)").fetchone()
         assert hints[str(i)].startswith(shown + (". Target" if e > 1 else " meets"))
+
+
+def test_large_vocabularies_are_looked_up_in_two_parts(spark):
+    from pyspark.sql import functions as F
+
+    from veilmeter.operators import models
+
+    words = [f"w{i % (1 + i % 37)}" for i in range(2000)] + [f"rare{i}" for i in range(50)]
+    tokens = spark.createDataFrame([(i % 20, i, w) for i, w in enumerate(words + ["new"])], "doc_id long, pos int, token string")
+    model = models.unigram(tokens.filter("token <> 'new'"))
+    rows = lambda most: sorted(map(tuple, models.token_log_probs(tokens, model, most).collect()))
+    assert len(rows(10)) == 2051 and rows(10) == rows(10**6) == rows(1)
+    often = models.looked_up(tokens, model, "token", "c", 10).filter(F.col("c") > 100)
+    assert often.count() == sum(words.count(w) for w in set(words) if words.count(w) > 100)
+
+
+def test_hashes_stand_for_words_only_if_no_two_are_alike(spark):
+    from pyspark.sql import functions as F
+
+    from veilmeter.operators import models
+
+    docs = spark.createDataFrame([("a b c",), ("b a",), (None,)], "text string")
+    few = lambda w, s: F.when(s < 2, F.lit(0).cast("long")).otherwise(F.xxhash64(w, s))
+    assert models.word_salt(docs) == 0 and models.word_salt(docs, few) == 2
+
+
+def test_token_scores_are_computed_once_for_all_figures(spark, sf_dir):
+    from veilmeter.plans.catalog import QUERIES
+
+    for name in ("mink_evaluate", "mink_ngram_evaluate"):
+        assert "Generate" not in _plan(QUERIES[name](spark, sf_dir))
