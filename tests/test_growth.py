@@ -79,3 +79,9 @@ def test_token_scores_are_computed_once_for_all_figures(spark, sf_dir):
 
     for name in ("mink_evaluate", "mink_ngram_evaluate"):
         assert "Generate" not in _plan(QUERIES[name](spark, sf_dir))
+
+
+def test_retrained_models_are_fitted_once_for_all_figures(spark, sf_dir):
+    from veilmeter.plans.catalog import QUERIES
+
+    assert "MapInArrow" not in _plan(QUERIES["lira_retrained_metrics"](spark, sf_dir))
