@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from veilmeter.operators import selection
 
 POOL = 20_000  # rows of the pool at most, which every task holds; a larger pool is drawn from first
-TOGETHER = 16  # targets whose models are fitted side by side
+TOGETHER = 32  # targets whose models are fitted side by side
 BLOCK = 512  # rows of the pool whose outer products are in memory at once
 RIDGE = 1.0
 
@@ -27,7 +27,7 @@ def halves(n: int, seed: int, target: int, shadows: int) -> np.ndarray:
     """side (1: with the target) x shadow x row: whether the row is drawn, n // 2 of them exactly."""
     keys = np.random.default_rng([seed, target & (2**63 - 1), int(target < 0)]).random((2, shadows, n))
     out = np.zeros(keys.shape, bool)
-    np.put_along_axis(out, np.argsort(keys, axis=2)[:, :, : n // 2], True, axis=2)
+    np.put_along_axis(out, np.argpartition(keys, max(0, n // 2 - 1), axis=2)[:, :, : n // 2], True, axis=2)
     return out
 
 
@@ -37,12 +37,19 @@ def confidences(pool: np.ndarray, labels: np.ndarray, x: np.ndarray, y: np.ndarr
     t, sides, shadows, n = drawn.shape
     d, rows = pool.shape[1], drawn.reshape(-1, n).astype(np.float64)
     one = np.eye(classes)
-    gram, right = np.zeros((len(rows), d * d)), np.zeros((len(rows), d * classes))
+    upper, half = np.triu_indices(d), d * (d + 1) // 2
+    sums, parts = np.zeros((len(rows), half + d * classes)), np.empty((min(n, BLOCK), half + d * classes))
     for at in range(0, n, BLOCK):
         p, q = pool[at : at + BLOCK], one[labels[at : at + BLOCK]]
-        gram += rows[:, at : at + BLOCK] @ (p[:, :, None] * p[:, None, :]).reshape(len(p), -1)
-        right += rows[:, at : at + BLOCK] @ (p[:, :, None] * q[:, None, :]).reshape(len(p), -1)
-    gram, right = gram.reshape(t, sides, shadows, d, d), right.reshape(t, sides, shadows, d, classes)
+        own, to = parts[: len(p)], 0
+        for i in range(d):  # outer products are symmetric, so half of them will do
+            np.multiply(p[:, i : i + 1], p[:, i:], out=own[:, to : to + d - i])
+            to += d - i
+        own[:, half:] = (p[:, :, None] * q[:, None, :]).reshape(len(p), -1)
+        sums += rows[:, at : at + BLOCK] @ own
+    gram, right = np.empty((len(rows), d, d)), sums[:, half:].reshape(t, sides, shadows, d, classes)
+    gram[:, upper[0], upper[1]] = gram[:, upper[1], upper[0]] = sums[:, :half]
+    gram = gram.reshape(t, sides, shadows, d, d)
     gram[:, 1] += (x[:, :, None] * x[:, None, :])[:, None]
     right[:, 1] += (x[:, :, None] * one[y][:, None, :])[:, None]
     z = np.einsum("tsmdc,td->tsmc", np.linalg.solve(gram + ridge * np.eye(d), right), x)
