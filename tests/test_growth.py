@@ -85,3 +85,17 @@ def test_retrained_models_are_fitted_once_for_all_figures(spark, sf_dir):
     from veilmeter.plans.catalog import QUERIES
 
     assert "MapInArrow" not in _plan(QUERIES["lira_retrained_metrics"](spark, sf_dir))
+
+
+def test_a_sample_of_rows_is_cut_before_it_meets_in_one_task(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from veilmeter.operators import boosting
+
+    rows = spark.range(0, 30000, 1, 12).select(F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("run_id"), F.col("id").alias("sample_id"))
+    order = Window.partitionBy("run_id").orderBy(F.xxhash64("sample_id", F.lit(42)), "sample_id")
+    want = {tuple(r) for r in rows.withColumn("n", F.row_number().over(order)).filter("n <= 3500").select("run_id", "sample_id").collect()}
+    found = boosting.sampled(rows, 3500)
+    assert len(want) == 6500 and {tuple(r) for r in found.collect()} == want and boosting._narrowed(rows, 3500, 42).count() < 6510
+    assert boosting.sampled(rows.filter("false"), 10).count() == 0
