@@ -147,6 +147,33 @@ def test_phrases_in_rounds_and_long_texts_in_spans(spark, monkeypatch):
     assert sorted(map(tuple, phrases.mine(df, widest=14).collect())) == want
 
 
+def test_phrases_of_many_candidates_are_counted_in_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(300)], 400)) for _ in range(50)] + ["w1 w2. w3, w1 w2 w3"]
+    w = words.Words(pa.array(texts), phrases.KINDS)
+    runs = sorted({(i, k) for i in range(0, len(w.starts) - 5, 2) for k in range(1, 6) if w.texts()[i] == w.texts()[i + k - 1]})
+    found = sorted({b" ".join(w.word(i + j) for j in range(n)).decode() for i, k in runs for n in range(1, k + 1)})
+    table = pa.table({"id": pa.array(range(10, 10 + len(found)), pa.int64()), "lang": pa.array(["en"] * len(found)), "phrase": pa.array(found)})
+    want = Counter(" ".join(x) for t in texts for piece in re.split("[.,]", t) for own in [piece.split()] for k in range(1, 6) for i in range(len(own) - k + 1) for x in [own[i : i + k]])
+    for mask in (2**64 - 1, 7):  # then words of one hash, which are told by their bytes
+        monkeypatch.setattr(phrases.Words, "hashes", lambda self, f=words.Words.hashes, mask=mask: f(self) & np.uint64(mask))
+        own = phrases.compiled(table)
+        got = Counter()
+        for m, at in own.walk(np.zeros(len(w.starts), np.int64), w.pieces(), own.words(w, 0, len(w.starts), w.hashes())):
+            got.update(found[k - 10] for k in own.ids[m][at].tolist())
+        assert got == Counter({x: want[x] for x in found})
+        monkeypatch.undo()
+    size = sum(x.nbytes for x in [*own.steps, *own.ids])
+    assert size <= 16 * len(found) and phrases.MOST >= 2_000_000  # what a task holds of 6 GB's candidates fits one pass
+
+
+def test_counters_of_two_bytes_stay_at_a_bound():
+    counters = np.zeros(4, np.uint16)
+    for _ in range(3):
+        phrases.raised(counters, np.r_[np.zeros(70_000, np.int64), np.ones(99, np.int64)])
+    assert counters.tolist() == [phrases.ENOUGH, 297, 0, 0] and phrases.ENOUGH >= phrases.LEAST
+
+
 def plain_components(rows, num=80, den=100):
     sets = []
     for d, t in rows:

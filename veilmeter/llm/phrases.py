@@ -5,10 +5,11 @@
    any run that falls into it, so runs with one of their two counters below `least` are out, and longer ones that hold such a pair. Tasks send their counters as short binary rows, which are added up by range of counters; what goes on is a bit each.
    Where the widest array would be too full, the runs are dealt to rounds by their hash, each with an array of its own.
 2. What passes is written once as (lang, phrase) with an id. It is a superset of the frequent runs, whatever the sketch's width.
-3. Candidates are compiled into pyahocorasick automata, one a language: a phrase is guarded by a blank on both sides, texts hold one blank
-   between words and a line break between blanks where a piece ends, or a word was that the sketch shut out, so only whole words of one piece match, overlaps included. At
-   most MOST candidates are in one automaton set; further ones take further passes over the texts. Tasks send a count for each
-   candidate that they met; the sums are exact.
+3. Candidates are compiled into an automaton over words, as arrays: a state is a candidate, or a language to begin with, and a sorted array
+   tells to which one a word leads on. Each word of a text begins a walk, all walks of a batch take their steps together, and none leaves
+   its piece, so overlaps count. Words are told by their hash and then by their bytes, so counts are exact. A candidate that goes on from none is not
+   frequent, as what it begins with isn't. At most MOST candidates, all those that begin with the same word among them, are in one automaton; further ones take
+   further passes over the texts. Tasks send a count for each candidate that they met.
 4. Single words are counted with the phrases, which gives both sides of every cut. Products are decimals of 38 digits.
 
 Defined cases: null text is empty, null lang is `und`, the same as a lang of that name; a text without words counts for nothing;
@@ -20,8 +21,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,15 @@ from veilmeter.llm.words import Words, kinds, mixed
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-FEWEST, WIDEST = 18, 24  # the counters, as a power of two
+FEWEST, WIDEST = 18, 25  # the counters, as a power of two
 FILL = 64  # bytes of text to a counter
 TASKS = 3  # for each core
-MOST = 350_000  # candidates in a set of automata
+SMALL = 24  # up to so many counters, as a power of two, have four bytes each; more have two
+ENOUGH = 20_000  # what a counter of two bytes is kept at; thresholds above it take four bytes
+MOST = 2_000_000  # candidates in an automaton
 SEGMENT = 1 << 11  # counters in a row
-SCAN = 1 << 20  # bytes of a text that are scanned at once, or a longer piece
-SEEN = 1_000_000  # hashes of candidates that a task remembers having sent
+SCAN = 1 << 20  # bytes of a long text that are scanned at once, or a longer piece
+SEEN, FRESH = 4_000_000, 100_000  # hashes of candidates that a task remembers having sent, and how many of them in a set
 #: Blanks and tabs stand between words; stops, commas, signs and line ends part pieces.
 KINDS = kinds([32, 9], [*b".,;:!?", *range(10, 14)])
 
@@ -123,19 +126,28 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def raised(counters: np.ndarray, at: np.ndarray) -> None:
+    """Adds one at each place; counters of two bytes stay at ENOUGH, which reaches every threshold that they are for."""
+    for k in range(0, len(at), 2 * ENOUGH):
+        some = at[k : k + 2 * ENOUGH]
+        np.add.at(counters, some, counters.dtype.type(1))
+        if counters.dtype == np.uint16:
+            counters[some] = np.minimum(counters[some], ENOUGH)
+
+
 def frequent_bits(docs: DataFrame, bits: int, least: int, rounds: int, turn: int, shorter: Known | None = None) -> np.ndarray:
     """Packed bits: whether each of 2**bits counters reached `least`, of the runs whose turn it is: words and pairs, or the longer ones
     that pass by what is known of the shorter."""
     sent = None if shorter is None else docs.sparkSession.sparkContext.broadcast(shorter)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << bits, np.uint32)
+        counters = np.zeros(1 << bits, np.uint32 if bits <= SMALL or least > ENOUGH else np.uint16)
         for langs, words in _batches(batches):
             runs = Runs(words, langs)
             for _, _, h in runs.short() if sent is None else runs.long(sent.value):
                 h = h if rounds == 1 else h[h % np.uint64(rounds) == turn]
                 for at in places(h, bits):
-                    np.add.at(counters, at, np.uint32(1))
+                    raised(counters, at)
         parts = counters.reshape(-1, SEGMENT)
         own = np.flatnonzero(parts.any(axis=1))
         for at in range(0, len(own), 1000):
@@ -177,12 +189,19 @@ def sketch(docs: DataFrame, least: int = LEAST, widest: int = WIDEST) -> tuple[K
     return short, Known(bits, rounds, np.stack([frequent_bits(docs, bits, least, rounds, k, short) for k in range(rounds)]))
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is in an array in rising order."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def candidates(docs: DataFrame, known: tuple[Known, Known]) -> DataFrame:
     """id, lang, phrase: every run that may occur often enough in its language, once."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (short, long), seen = sent.value, set()
+        (short, long), seen, fresh = sent.value, np.zeros(0, np.uint64), set()
         for langs, words in _batches(batches):
             text, runs = words.texts(), Runs(words, langs)
             own_langs, phrases = [], []
@@ -190,28 +209,118 @@ def candidates(docs: DataFrame, known: tuple[Known, Known]) -> DataFrame:
                 for k, first, h in found:
                     hit = runs.frequent(known)[first] if k == 2 else known.passes(h)
                     own, where = np.unique(h[hit], return_index=True)
-                    for x, i in zip(own.tolist(), first[hit][where].tolist()):
-                        if x not in seen:
-                            seen.add(x)
+                    new = ~_among(own, seen)
+                    for x, i in zip(own[new].tolist(), first[hit][where[new]].tolist()):
+                        if x not in fresh:
+                            fresh.add(x)
                             own_langs.append(langs[int(text[i])].as_py())
                             phrases.append(b" ".join(words.word(j) for j in range(i, i + k)).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(own_langs, pa.string()), pa.array(phrases, pa.string())], ["lang", "phrase"])
-            if len(seen) > SEEN:
-                seen = set()
+            if len(fresh) > FRESH:
+                seen = np.union1d(seen if len(seen) < SEEN else seen[:0], np.fromiter(fresh, np.uint64, len(fresh)))
+                fresh = set()
 
     return written(_own(docs).mapInArrow(pick, "lang string, phrase string").distinct().withColumn("id", F.monotonically_increasing_id()), "phrases")
 
 
-def guarded(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: np.ndarray) -> str:
-    """Words, with a blank before and after each, and a line break between the blanks where a piece ends."""
-    size = ends - starts + 1
-    end = size.cumsum()
-    source = np.arange(end[-1]) + np.repeat(starts - (end - size), size)
-    source[end - 1] = 0
-    out = lower[source]
-    out[end - 1] = 32
-    out[(end - 1)[:-1][pieces[1:] != pieces[:-1]]] = 10
-    return " " + out.tobytes().decode("utf-8", "replace").replace("\n", " \n ")
+def _alike(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether words are the same bytes, one by one. a, b: bytes, starts, ends."""
+    size = a[2] - a[1]
+    same = size == b[2] - b[1]
+    some = np.flatnonzero(same)
+    for at in range(0, len(some), 1 << 16):
+        own = some[at : at + (1 << 16)]
+        n = size[own]
+        inside = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+        differ = a[0][inside + np.repeat(a[1][own], n)] != b[0][inside + np.repeat(b[1][own], n)]
+        same[own[np.repeat(np.arange(len(own)), n)[differ]]] = False
+    return same
+
+
+@dataclass
+class Automaton:
+    """Candidates by their words. hashes, starts, ends: of each different word, in layers (words of one hash are in layers of their own), whose bytes are lower;
+    steps: for each length, state * size + word in rising order; a state's number is its place there after all shorter ones; ids: of each state."""
+
+    langs: dict[str, int]
+    lower: np.ndarray
+    layers: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]
+    size: int
+    steps: list[np.ndarray]
+    ids: list[np.ndarray]
+
+    def words(self, words: Words, a: int, z: int, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word from a to z, -1 for those of no candidate."""
+        out = np.full(z - a, -1, np.int64)
+        for known, starts, ends, before in self.layers:
+            at = np.minimum(np.searchsorted(known, hashes[a:z]), len(known) - 1)
+            hit = np.flatnonzero(known[at] == hashes[a:z])
+            at = at[hit]
+            same = _alike((words.lower, words.starts[a + hit], words.ends[a + hit]), (self.lower, starts[at], ends[at]))
+            out[hit[same]] = at[same] + before
+        return out
+
+    def walk(self, langs: np.ndarray, pieces: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """length, and the place among the candidates of that length, of each candidate met. langs, pieces, own: of each word, its language's number (-1: none), piece, number."""
+        first = np.flatnonzero((own >= 0) & (langs >= 0))
+        state, before = langs[first], len(self.langs)
+        for k, steps in enumerate(self.steps):
+            if not len(first) or not len(steps):
+                return
+            if k:
+                on = first + k < len(own)
+                first, state = first[on], state[on]
+                on = (pieces[first + k] == pieces[first]) & (own[first + k] >= 0)
+                first, state = first[on], state[on]
+            key = state * self.size + own[first + k]
+            at = np.minimum(np.searchsorted(steps, key), len(steps) - 1)
+            hit = steps[at] == key
+            first, at = first[hit], at[hit]
+            yield k, at
+            state, before = at + before, before + len(steps)
+
+
+def compiled(found: pa.Table, longest: int = LONGEST) -> Automaton:
+    """found: id, lang, phrase."""
+    coded = found.column("lang").combine_chunks().dictionary_encode()
+    words = Words(found.column("phrase").combine_chunks(), KINDS)
+    hashes, own = words.hashes(), np.full(len(words.starts), -1, np.int64)
+    layers, rest, size = [], np.arange(len(own)), 0
+    while len(rest):
+        known, where, number = np.unique(hashes[rest], return_index=True, return_inverse=True)
+        starts, ends = words.starts[rest[where]], words.ends[rest[where]]
+        same = _alike((words.lower, words.starts[rest], words.ends[rest]), (words.lower, starts[number], ends[number]))
+        own[rest[same]] = number[same] + size
+        layers.append((known, starts, ends, size))
+        rest, size = rest[~same], size + len(known)
+    lower, layers = _packed(words.lower, layers)
+    langs, ids = coded.dictionary.to_pylist(), found.column("id").to_numpy()
+    rows, state, before = np.flatnonzero(words.counts > 0), coded.indices.to_numpy().astype(np.int64), len(langs)
+    steps, out = [], []
+    for k in range(longest):
+        key = state[rows] * size + own[words.first[rows] + k]
+        ends = words.counts[rows] == k + 1
+        order = np.argsort(key[ends])
+        steps.append(key[ends][order])
+        out.append(ids[rows[ends]][order])
+        rows, key = rows[~ends], key[~ends]
+        on = _among(key, steps[-1])
+        rows = rows[on]
+        state[rows] = np.searchsorted(steps[-1], key[on]) + before
+        before += len(steps[-1])
+    return Automaton({x: j for j, x in enumerate(langs)}, lower, layers, size, steps, out)
+
+
+def _packed(lower: np.ndarray, layers: list) -> tuple[np.ndarray, list]:
+    """The bytes of the layers' words alone, and the layers with their places there."""
+    out, parts, at = [], [], 0
+    for known, starts, ends, before in layers:
+        n = ends - starts
+        to = at + n.cumsum()
+        parts.append(lower[np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(starts, n)])
+        out.append((known, to - n, to, before))
+        at = int(to[-1])
+    return np.concatenate(parts) if parts else lower[:0], out
 
 
 def _spans(ends: np.ndarray, starts: np.ndarray, pieces: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -227,48 +336,39 @@ def _spans(ends: np.ndarray, starts: np.ndarray, pieces: np.ndarray, first: np.n
             a = to
 
 
-def counts(docs: DataFrame, found: DataFrame, short: Known, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(id, f): how often each candidate that occurs does; (lang, n): the words of each language. A word that the sketch shuts out is in no
-    candidate and ends a piece."""
+def counts(docs: DataFrame, found: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """(id, f): how often each candidate that occurs does; (lang, n): the words of each language."""
     spark = docs.sparkSession
-    sketched = spark.sparkContext.broadcast(short)
     sets = max(1, -(-found.count() // most))
+    begins = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 1)), F.lit(sets))
     tables = []
     for k in range(sets):
-        own: dict[str, list] = {}
-        for r in found.filter(F.pmod("id", F.lit(sets)) == k).toLocalIterator():  # about `most` phrases
-            own.setdefault(r["lang"], []).append((r["phrase"], r["id"]))
-        sent = spark.sparkContext.broadcast(own)
+        sent = spark.sparkContext.broadcast(compiled(found.filter(begins == k).select("id", "lang", "phrase").toArrow()))  # about `most` phrases
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, totals=k == 0) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            built, met, held, value = {}, {}, Counter(), itemgetter(1)
+            own, held = sent.value, Counter()
+            sums = [np.zeros(len(x), np.int64) for x in own.ids]
             for langs, words in _batches(batches):
-                names, size = langs.to_pylist(), words.counts.tolist()
-                for lang, n in zip(names, size):
+                names = langs.to_pylist()
+                for lang, n in zip(names, words.counts.tolist()):
                     held[lang] += n
-                stay = sketched.value.passes(mixed(words.hashes() ^ _seeds(langs)[words.texts()]))
-                pieces = (words.pieces() + (~stay).cumsum())[stay]
-                starts, ends, first = words.starts[stay], words.ends[stay], np.r_[0, stay.cumsum()][words.first]
-                for t, a, z in _spans(ends, starts, pieces, first):
-                    lang = names[t]
-                    if lang not in sent.value:
-                        continue
-                    if lang not in built:
-                        built[lang], met[lang] = ahocorasick.Automaton(), Counter()
-                        for k, (phrase, _) in enumerate(sent.value[lang]):
-                            built[lang].add_word(f" {phrase} ", k)
-                        built[lang].make_automaton()
-                    met[lang].update(map(value, built[lang].iter(guarded(words.lower, starts[a:z], ends[a:z], pieces[a:z]))))
-            ids = np.fromiter((sent.value[lang][k][1] for lang, m in met.items() for k in m), np.int64)
-            sums = np.fromiter((n for m in met.values() for n in m.values()), np.int64)
-            none = np.full(len(ids), None, object)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(none, pa.string()), pa.array(sums)], ["id", "lang", "f"])
+                if not own.size:
+                    continue
+                numbers = np.array([own.langs.get(x, -1) for x in names], np.int64)[words.texts()]
+                hashes, pieces = words.hashes(), words.pieces()
+                long = len(words.lower) > 2 * SCAN
+                for _, a, z in _spans(words.ends, words.starts, pieces, words.first) if long else [(0, 0, len(hashes))]:
+                    for m, at in own.walk(numbers[a:z], pieces[a:z], own.words(words, a, z, hashes)):
+                        np.add.at(sums[m], at, 1)
+            for ids, n in zip(own.ids, sums):
+                met = np.flatnonzero(n)
+                none = np.full(len(met), None, object)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(none, pa.string()), pa.array(n[met])], ["id", "lang", "f"])
             if totals:
                 yield pa.RecordBatch.from_arrays([pa.array([None] * len(held), pa.int64()), pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["id", "lang", "f"])
 
         tables.append(written(_own(docs).mapInArrow(scan, "id long, lang string, f long").groupBy("id", "lang").agg(F.sum("f").alias("f")), "counts"))
+        sent.unpersist()
     both = reduce(DataFrame.unionByName, tables)
     return both.filter("id IS NOT NULL").select("id", "f"), both.filter("id IS NULL").select("lang", F.col("f").alias("n"))
 
@@ -302,7 +402,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, most: int = MOST,
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases."""
     known = sketch(docs, least, widest)
     found = candidates(docs, known)
-    own, totals = counts(docs, found, known[0], most)
+    own, totals = counts(docs, found, most)
     counted = written(found.join(own.filter(F.col("f") >= least), "id").select("lang", "phrase", "f"), "frequent")
     each = scored(counted, totals).join(closed(counted), ["lang", "phrase"])
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
