@@ -64,6 +64,24 @@ def test_large_vocabularies_are_looked_up_in_two_parts(spark):
     assert often.count() == sum(words.count(w) for w in set(words) if words.count(w) > 100)
 
 
+def test_words_are_looked_up_where_their_text_lies(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from veilmeter.operators import models
+    from veilmeter.sources import tables
+
+    rows = [(1, "A a\tb\u00c9 b\u00e9"), (2, None), (3, " \n"), (4, "new a\x0ba word \u0130"), (1, "a c"), (6, "z " * 30)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").unionByName(tables.read(spark, sf_dir, "documents").select((F.col("doc_id") + 10).alias("doc_id"), "text"))
+    counts = models.word_counts(odd.filter("doc_id % 2 = 0"))
+    plain = models.unigram(models.tokens(odd.filter("doc_id % 2 = 0")))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, plain.collect()))
+    want = sorted(map(tuple, membership.min_k(models.token_log_probs(models.tokens(odd), plain), 0.3, 1).collect()))
+    for most in (10**6, 50, 1):  # all words are sent, some, and none
+        found = sorted(map(tuple, membership.min_k(models.document_log_probs(odd, counts, most=most), 0.3, 1).collect()))
+        assert [r[:3] for r in found] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-12 for a, b in zip(found, want))
+    assert "Generate" not in _plan(models.document_log_probs(odd, counts)) and models.document_log_probs(odd.filter("false"), counts.filter("false")).count() == 0
+
+
 def test_hashes_stand_for_words_only_if_no_two_are_alike(spark):
     from pyspark.sql import functions as F
 

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilmeter.operators.words import slices
 from veilmeter.sources.shared import dropped, shared_dir, shared_path, spread, written
 
 __all__ = ["Known", "dropped", "shared_dir", "shared_path", "slices", "table", "text_or_empty", "tokenizer_path", "written"]
@@ -29,17 +25,6 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 
 
-def slices(batch: pa.RecordBatch, column: int, rows: int = 500, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of at most `rows` rows and `size` bytes of a text column, so that a worker's memory is bounded; a longer text is a part of its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at = 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 class Known:
     """What a worker keeps of words that it has met: a generation that fills, and the one before it, so memory is bounded."""
 

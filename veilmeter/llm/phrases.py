@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmeter.llm.common import slices, written
-from veilmeter.llm.words import Words, kinds, mixed
+from veilmeter.llm.words import Lookup, Words, kinds, looked_for, mixed
 
 LONGEST = 5
 LEAST = 100
@@ -223,42 +223,19 @@ def candidates(docs: DataFrame, known: tuple[Known, Known]) -> DataFrame:
     return written(_own(docs).mapInArrow(pick, "lang string, phrase string").distinct().withColumn("id", F.monotonically_increasing_id()), "phrases")
 
 
-def _alike(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Whether words are the same bytes, one by one. a, b: bytes, starts, ends."""
-    size = a[2] - a[1]
-    same = size == b[2] - b[1]
-    some = np.flatnonzero(same)
-    for at in range(0, len(some), 1 << 16):
-        own = some[at : at + (1 << 16)]
-        n = size[own]
-        inside = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
-        differ = a[0][inside + np.repeat(a[1][own], n)] != b[0][inside + np.repeat(b[1][own], n)]
-        same[own[np.repeat(np.arange(len(own)), n)[differ]]] = False
-    return same
-
-
 @dataclass
 class Automaton:
-    """Candidates by their words. hashes, starts, ends: of each different word, in layers (words of one hash are in layers of their own), whose bytes are lower;
-    steps: for each length, state * size + word in rising order; a state's number is its place there after all shorter ones; ids: of each state."""
+    """Candidates by their words. steps: for each length, state * (words) + word in rising order; a state's number is its place there after all shorter
+    ones; ids: of each state."""
 
     langs: dict[str, int]
-    lower: np.ndarray
-    layers: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]
-    size: int
+    known: Lookup
     steps: list[np.ndarray]
     ids: list[np.ndarray]
 
     def words(self, words: Words, a: int, z: int, hashes: np.ndarray) -> np.ndarray:
         """The number of each word from a to z, -1 for those of no candidate."""
-        out = np.full(z - a, -1, np.int64)
-        for known, starts, ends, before in self.layers:
-            at = np.minimum(np.searchsorted(known, hashes[a:z]), len(known) - 1)
-            hit = np.flatnonzero(known[at] == hashes[a:z])
-            at = at[hit]
-            same = _alike((words.lower, words.starts[a + hit], words.ends[a + hit]), (self.lower, starts[at], ends[at]))
-            out[hit[same]] = at[same] + before
-        return out
+        return self.known.find(words, a, z, hashes)
 
     def walk(self, langs: np.ndarray, pieces: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """length, and the place among the candidates of that length, of each candidate met. langs, pieces, own: of each word, its language's number (-1: none), piece, number."""
@@ -272,7 +249,7 @@ class Automaton:
                 first, state = first[on], state[on]
                 on = (pieces[first + k] == pieces[first]) & (own[first + k] >= 0)
                 first, state = first[on], state[on]
-            key = state * self.size + own[first + k]
+            key = state * self.known.size + own[first + k]
             at = np.minimum(np.searchsorted(steps, key), len(steps) - 1)
             hit = steps[at] == key
             first, at = first[hit], at[hit]
@@ -284,21 +261,12 @@ def compiled(found: pa.Table, longest: int = LONGEST) -> Automaton:
     """found: id, lang, phrase."""
     coded = found.column("lang").combine_chunks().dictionary_encode()
     words = Words(found.column("phrase").combine_chunks(), KINDS)
-    hashes, own = words.hashes(), np.full(len(words.starts), -1, np.int64)
-    layers, rest, size = [], np.arange(len(own)), 0
-    while len(rest):
-        known, where, number = np.unique(hashes[rest], return_index=True, return_inverse=True)
-        starts, ends = words.starts[rest[where]], words.ends[rest[where]]
-        same = _alike((words.lower, words.starts[rest], words.ends[rest]), (words.lower, starts[number], ends[number]))
-        own[rest[same]] = number[same] + size
-        layers.append((known, starts, ends, size))
-        rest, size = rest[~same], size + len(known)
-    lower, layers = _packed(words.lower, layers)
+    known, own = looked_for(words)
     langs, ids = coded.dictionary.to_pylist(), found.column("id").to_numpy()
     rows, state, before = np.flatnonzero(words.counts > 0), coded.indices.to_numpy().astype(np.int64), len(langs)
     steps, out = [], []
     for k in range(longest):
-        key = state[rows] * size + own[words.first[rows] + k]
+        key = state[rows] * known.size + own[words.first[rows] + k]
         ends = words.counts[rows] == k + 1
         order = np.argsort(key[ends])
         steps.append(key[ends][order])
@@ -308,19 +276,7 @@ def compiled(found: pa.Table, longest: int = LONGEST) -> Automaton:
         rows = rows[on]
         state[rows] = np.searchsorted(steps[-1], key[on]) + before
         before += len(steps[-1])
-    return Automaton({x: j for j, x in enumerate(langs)}, lower, layers, size, steps, out)
-
-
-def _packed(lower: np.ndarray, layers: list) -> tuple[np.ndarray, list]:
-    """The bytes of the layers' words alone, and the layers with their places there."""
-    out, parts, at = [], [], 0
-    for known, starts, ends, before in layers:
-        n = ends - starts
-        to = at + n.cumsum()
-        parts.append(lower[np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(starts, n)])
-        out.append((known, to - n, to, before))
-        at = int(to[-1])
-    return np.concatenate(parts) if parts else lower[:0], out
+    return Automaton({x: j for j, x in enumerate(langs)}, known, steps, out)
 
 
 def _spans(ends: np.ndarray, starts: np.ndarray, pieces: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -352,7 +308,7 @@ def counts(docs: DataFrame, found: DataFrame, most: int = MOST) -> tuple[DataFra
                 names = langs.to_pylist()
                 for lang, n in zip(names, words.counts.tolist()):
                     held[lang] += n
-                if not own.size:
+                if not own.known.size:
                     continue
                 numbers = np.array([own.langs.get(x, -1) for x in names], np.int64)[words.texts()]
                 hashes, pieces = words.hashes(), words.pieces()

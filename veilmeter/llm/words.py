@@ -1,120 +1,7 @@
-"""Words of many texts at once, by numpy on an Arrow column's bytes.
+"""The module of words, which other operators use too."""
 
-Separators are ASCII bytes, so a word is a run of other bytes inside one text, whatever letters it is made of. A word's hash is a
-polynomial of its bytes, each exchanged for a fixed random number, times powers of an odd number modulo 2**64, mixed at the
-end; it depends on the word alone. Texts are taken in chunks of CHUNK bytes, so memory is bounded but for a longer single word.
-"""
+import sys
 
-from __future__ import annotations
+from veilmeter.operators import words
 
-import numpy as np
-import pyarrow as pa
-
-CHUNK = 1 << 17
-MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-#: A-Z as a-z, every other byte as it is.
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
-_LETTER = np.random.Generator(np.random.PCG64(42)).integers(1, 2**64, 256, dtype=np.uint64)
-WORD, BLANK, CUT = 0, 1, 2  # kinds of bytes: of a word, between words, and one that also parts pieces of a text
-
-
-def kinds(blank, cut=()) -> np.ndarray:
-    """The kind of each byte, from those that stand between words and those that part pieces."""
-    out = np.zeros(256, np.uint8)
-    out[list(blank)] = BLANK
-    out[list(cut)] = CUT
-    return out
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """The bits of 64-bit numbers, well mixed; one to one."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of MULTIPLIER and of its inverse, as many as were asked for so far."""
-
-    def __init__(self):
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            size = 1 << int(n - 1).bit_length()
-            for name, base in (("up", MULTIPLIER), ("down", pow(MULTIPLIER, -1, 2**64))):
-                factors = np.full(size, base, np.uint64)
-                factors[0] = 1
-                setattr(self, name, np.multiply.accumulate(factors))
-
-
-_POWERS = _Powers()
-
-
-class Words:
-    """Of a text column: lower (its bytes, A-Z in lower case), starts and ends of words there, the text of each, and the first word of each text."""
-
-    def __init__(self, column: pa.Array, kind: np.ndarray):
-        column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
-        rows = len(column)
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + rows + 1] if rows else np.zeros(1, np.int64)
-        if column.null_count:  # a null's bytes, if it has any, are no text's
-            column = column.fill_null("")
-            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + rows + 1]
-        first, last = int(offsets[0]), int(offsets[-1])
-        data = column.buffers()[2] if rows else None
-        raw = np.frombuffer(data, np.uint8)[first:last] if data is not None and last > first else np.zeros(0, np.uint8)
-        self.rows, self.offsets = rows, offsets - first
-        self.lower = LOWER[raw]
-        self.kind = kind[self.lower]
-        inside = self.kind == WORD
-        at = self.offsets[1:-1]
-        at = at[(at > 0) & (at < len(inside))]
-        begin, end = inside.copy(), inside.copy()
-        begin[1:] &= ~inside[:-1]
-        end[:-1] &= ~inside[1:]
-        begin[at] = inside[at]
-        end[at - 1] = inside[at - 1]
-        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        self.first = np.searchsorted(self.starts, self.offsets)  # of each text, its first word; at the end the number of all
-        self.counts = np.diff(self.first)
-
-    def texts(self) -> np.ndarray:
-        """Of each word, the number of its text."""
-        return np.repeat(np.arange(self.rows), self.counts)
-
-    def pieces(self) -> np.ndarray:
-        """Of each word, the number of its piece; pieces of different texts have different numbers."""
-        cuts = np.flatnonzero(self.kind == CUT)
-        return np.searchsorted(cuts, self.starts) + self.texts()
-
-    def word(self, k: int) -> bytes:
-        return self.lower[self.starts[k] : self.ends[k]].tobytes()
-
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        out, at = np.zeros(len(self.starts), np.uint64), 0
-        while at < len(self.starts):
-            low = int(self.starts[at])
-            to = max(at + 1, int(np.searchsorted(self.ends, low + CHUNK, side="right")))
-            high = int(self.ends[to - 1])
-            _POWERS.grow(high - low + 1)
-            total = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_LETTER[self.lower[low:high]] * _POWERS.up[: high - low], out=total[1:])
-            s, e = self.starts[at:to] - low, self.ends[at:to] - low
-            out[at:to] = mixed((total[e] - total[s]) * _POWERS.down[s])
-            at = to
-        return out
-
-
-def runs(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """A hash of each run of `size` neighbours; none where there are fewer."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return hashes[:0]
-    out = np.full(n, (seed * 0x5851F42D4C957F2D + size) % 2**64, np.uint64)
-    for j in range(size):
-        out = mixed(out * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + n])
-    return out
+sys.modules[__name__] = words

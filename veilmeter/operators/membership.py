@@ -196,7 +196,11 @@ def lira_scores(pool: DataFrame, targets: DataFrame, shadows: int = 16, classes:
 
 
 def _by_document(log_probs: DataFrame, min_tokens: int) -> DataFrame:
-    """doc_id, n_tokens, lp: each document's different log-probabilities in rising order and how often it has each, counted before they are shuffled."""
+    """doc_id, n_tokens, lp: each document's different log-probabilities in rising order and how often it has each, counted before they are shuffled.
+    log_probs: doc_id and logp, or lp, such pairs of a part of the document."""
+    if "lp" in log_probs.columns:
+        whole = log_probs.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("lp"))).alias("lp"))
+        return whole.withColumn("n_tokens", F.aggregate("lp", F.lit(0).cast("long"), lambda a, x: a + x["n"])).filter(F.col("n_tokens") >= min_tokens)
     counted = log_probs.groupBy("doc_id", "logp").agg(F.count("*").alias("n"))
     by = counted.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("logp", "n"))).alias("lp"), F.sum("n").alias("n_tokens"))
     return by.filter(F.col("n_tokens") >= min_tokens)

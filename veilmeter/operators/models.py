@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilmeter.operators.words import Words, kinds, looked_for, slices
 from veilmeter.sources.shared import dropped, written
 
 CLASSES = 3
+#: White space between tokens.
+BLANKS = kinds([32, 9, 10, 13])
 
 
 def count_model(samples: DataFrame, classes: int = CLASSES) -> DataFrame:
@@ -38,17 +45,84 @@ def unigram(member_tokens: DataFrame) -> DataFrame:
     return member_tokens.groupBy("token").agg(F.count("*").alias("c"))
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, most: int = 1_000_000) -> DataFrame:
-    """rows with the columns of table, null where it has no such key, a left join. table is small or written: a large one is parted by weight, which says how often
-    a key is met. Its heaviest keys, `most` at most, are broadcast, so that most rows stay where they are, and only the others are shuffled."""
+def _lowered(docs: DataFrame, id_name: str = "doc_id") -> DataFrame:
+    return docs.select(F.col(id_name).alias("doc_id"), F.coalesce(F.lower("text"), F.lit("")).alias("text"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """token, c of the words of `tokens`: counted by parts of a task's texts before they are rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in slices(big, 0, big.num_rows):
+                known, own = looked_for(Words(b.column(0), BLANKS))
+                yield pa.RecordBatch.from_arrays([known.column(), pa.array(np.bincount(own, minlength=known.size))], ["token", "c"])
+
+    return _lowered(docs.withColumn("_", F.lit(0)), "_").select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+
+
+def document_log_probs(docs: DataFrame, model: DataFrame, id_name: str = "doc_id", most: int = 1_000_000) -> DataFrame:
+    """doc_id, lp: for each text, the different logp = ln((count + 1) / (total + vocabulary + 1)) of its words and how often it has each, in one row or two. The
+    vocabulary's most frequent words, `most` at most, are sent to the tasks, so most words are looked up where the text lies; only others are rows."""
+    model = written(model, "unigram")
+    size = F.lit(model.agg((F.sum("c") + F.count("*") + 1).cast("double")).first()[0]).cast("double")
+    least = _cut(model, "c", most)
+    heavy = (model if least is None else model.filter(F.col("c") >= 2**least)).toArrow()
+    known, own = looked_for(Words(heavy.column("token").combine_chunks(), BLANKS))
+    counts = np.zeros(known.size, np.int64)
+    counts[own] = heavy.column("c").to_numpy()
+    sent, kind = docs.sparkSession.sparkContext.broadcast((known, counts)), docs.schema[id_name].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = sent.value
+        for big in batches:
+            for b in slices(big, 1, big.num_rows):
+                words = Words(b.column(1), BLANKS)
+                own, text = known.find(words, 0, len(words.starts), words.hashes()), words.texts()
+                met = own >= 0
+                other = np.flatnonzero(~met) if least is not None else np.zeros(0, np.int64)
+                c = np.where(met, counts[np.where(met, own, 0)], 0) if len(counts) else np.zeros(len(own), np.int64)
+                if least is not None:
+                    c, text = c[met], text[met]
+                key = np.sort(text << 40 | c)  # counts are below 2**40
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+                text, c = key[first] >> 40, key[first] & ((1 << 40) - 1)
+                pairs = pa.StructArray.from_arrays([pa.array(c), pa.array(np.diff(np.r_[first, len(key)]))], ["c", "n"])
+                ends = pa.array(np.searchsorted(text, np.arange(b.num_rows + 1)).astype(np.int32))
+                rest = pa.array([words.word(k).decode() for k in other.tolist()], pa.string())
+                rest_ends = pa.array(np.searchsorted(words.texts()[other], np.arange(b.num_rows + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pairs), pa.ListArray.from_arrays(rest_ends, rest)], ["doc_id", "lp", "rest"])
+
+    found = _lowered(docs, id_name).mapInArrow(run, f"doc_id {kind}, lp array<struct<c:bigint,n:bigint>>, rest array<string>")
+    each = found.select("doc_id", "lp")
+    if least is not None:
+        found = written(found, "found")
+        light = model.filter(F.col("c") < 2**least).hint("merge")
+        rest = found.select("doc_id", F.explode("rest").alias("token")).groupBy("doc_id", "token").count().join(light, "token", "left")
+        rows = F.collect_list(F.struct(F.coalesce("c", F.lit(0).cast("long")).alias("c"), F.col("count").alias("n"))).alias("lp")
+        each = found.select("doc_id", "lp").unionByName(rest.groupBy("doc_id").agg(rows))
+    return each.select("doc_id", F.transform("lp", lambda x: F.struct(F.log((x["c"] + 1).cast("double") / size).alias("logp"), x["n"].alias("n"))).alias("lp"))
+
+
+def _cut(table: DataFrame, weight: str, most: int) -> int | None:
+    """The least power of two of weight from which on a table has at most `most` rows; None where it has no more in all."""
     if table.count() <= most:
-        return rows.join(F.broadcast(table), key, "left")
+        return None
     sizes = table.groupBy(F.floor(F.log2(F.col(weight))).cast("int").alias("b")).count().collect()  # a row a power of two
     above, least = 0, max(r["b"] for r in sizes) + 1
     for r in sorted(sizes, key=lambda r: -r["b"]):
         if (above := above + r["count"]) > most:
             break
         least = r["b"]
+    return least
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, most: int = 1_000_000) -> DataFrame:
+    """rows with the columns of table, null where it has no such key, a left join. table is small or written: a large one is parted by weight, which says how often
+    a key is met. Its heaviest keys, `most` at most, are broadcast, so that most rows stay where they are, and only the others are shuffled."""
+    least = _cut(table, weight, most)
+    if least is None:
+        return rows.join(F.broadcast(table), key, "left")
     heavy, light = table.filter(F.col(weight) >= 2**least), table.filter(F.col(weight) < 2**least)
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light.hint("merge"), key, "left")
     return rows.join(F.broadcast(heavy), key).unionByName(rest)

@@ -370,8 +370,7 @@ def _sql_mink(k: str = "0.2E0", source: str = "documents", ident: str = "doc_id"
 
 def _token_log_probs(spark, d, docs=None, id_name="doc_id"):
     own = tables.read(spark, d, "documents")
-    model = models.unigram(models.tokens(own.filter("doc_id % 2 = 0")))
-    return models.token_log_probs(models.tokens(own if docs is None else docs, id_name), model)
+    return models.document_log_probs(own if docs is None else docs, models.word_counts(own.filter("doc_id % 2 = 0")), id_name)
 
 
 def _mink(spark, d, k=0.2, docs=None, id_name="doc_id"):
