@@ -117,3 +117,18 @@ def test_a_sample_of_rows_is_cut_before_it_meets_in_one_task(spark):
     found = boosting.sampled(rows, 3500)
     assert len(want) == 6500 and {tuple(r) for r in found.collect()} == want and boosting._narrowed(rows, 3500, 42).count() < 6510
     assert boosting.sampled(rows.filter("false"), 10).count() == 0
+
+
+def test_parts_of_a_stream_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from veilmeter.plans import catalog
+
+    monkeypatch.setattr(catalog, "shared_path", lambda spark, name: str(tmp_path / name))
+    ts = F.timestamp_seconds(1_700_000_000 + F.col("id") * 600).cast("timestamp_ntz").alias("ts")
+    rows = spark.range(0, 400, 1, 4).select((F.col("id") % 5).alias("user_id"), ts, F.col("id").alias("event_id"), (F.col("id") % 7).cast("double").alias("value"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(catalog.tables, "read", lambda spark, d, name: spark.read.parquet(f"{d}/{name}.parquet").repartition(4))
+    found = catalog.QUERIES["accountant_stream"](spark, str(tmp_path))
+    assert sorted((r["event_id"], r["step"]) for r in found.collect()) == [(k, k // 5 + 1) for k in range(400)]
+    assert len(list((tmp_path / "stream-events").glob("part-*"))) >= 4 * catalog.FILES

@@ -504,22 +504,24 @@ FILES, LATE = 6, 3600
 
 
 def _streamed(spark, d, plan):
-    """plan over the events as a stream that comes in FILES files, each event up to LATE seconds late, then two events that move the watermark past all; what
-    it gives is written by a streaming sink and read back."""
+    """plan over the events as a stream that comes in FILES parts, each event up to LATE seconds late, then two events that move the watermark past all; what
+    it gives is written by a streaming sink and read back. A part is written by as many tasks as the table has splits, and the stream takes up what
+    has come since it last ran."""
     events = tables.read(spark, d, "events").select("user_id", "ts", "event_id", "value")
     comes = F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(LATE))
     low, high = events.agg(F.min(comes), F.max(comes)).first()
     place = F.floor((comes - low) * FILES / (high - low + 1)) if low is not None else F.lit(0)
     source, sink, state_dir = (shared_path(spark, f"stream-{x}") for x in ("events", "out", "state"))
-    for k in range(FILES):  # one after another, as they would come
-        events.filter(place == k).coalesce(1).write.mode("append").parquet(source)
-    for k in (1, 2):
+
+    def later(k):
         late = F.timestamp_seconds(F.lit((high or 0) + k * 10**8))
-        spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), late.cast(events.schema["ts"].dataType).alias("ts"), F.lit(-k).cast("long").alias("event_id"), F.lit(0.0).alias("value")).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    out = plan(stream)
-    run = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state_dir).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+        return spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), late.cast(events.schema["ts"].dataType).alias("ts"), F.lit(-k).cast("long").alias("event_id"), F.lit(0.0).alias("value"))
+
+    for part in [*[events.filter(place == k) for k in range(FILES)], later(1), later(2)]:  # one after another, as they would come
+        part.write.mode("append").parquet(source)
+        out = plan(spark.readStream.schema(events.schema).parquet(source))
+        run = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state_dir).outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.schema(out.schema).parquet(sink).filter("user_id >= 0")
 
 
