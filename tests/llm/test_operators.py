@@ -553,3 +553,13 @@ def test_packing_spreads_equal_pieces(spark):
     assert len(rows) >= 40
     pieces = packing.cut(df).select("doc_id", "start", "ids_crc32", "row").withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(8)))
     assert pieces.select("g").distinct().count() == 8
+
+
+def test_packing_encodes_words_apart_from_marks_once(monkeypatch):
+    own = packing.WordEncoder(packing.tokenizer_path(packing.VOCABULARY))
+    sent, plain = [], own._encode_plain
+    monkeypatch.setattr(own, "_encode_plain", lambda words: sent.extend(words) or plain(words))
+    texts = ["Word. word, wOrd! (word) word:word 'word's. 3.5 été, é× été.", "<|ENDOFTEXT|> <|endoftext|>. a\x1cb a\x0bb á, .́ ,'s"]
+    want = [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.encode_batch(texts[:1]) == want[:1] and sent.count("word") == 1 and len(sent) == len(set(sent)) and not [w for w in sent if w.startswith("word") and w != "word"]
+    assert own.encode_batch(texts) == want

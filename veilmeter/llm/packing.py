@@ -5,8 +5,9 @@ on only (doc_id, start, length, checksum) of each piece. Pieces fall at random i
 token is of a byte at least; their number grows with the rows and the bytes of the table. In a group, pieces go by falling length each into the first sequence with room, which a
 tournament tree of the sequences' free room finds in logarithmic time.
 
-The encoder works on words between white space, which are independent of one another under this vocabulary's rules; a worker
-keeps the ids of words that it has met, up to a bound.
+The encoder works on words between blanks, tabs and line ends, which are independent of one another under this vocabulary's rules. A part
+of a task's texts is split, also between marks and letters or digits, and its different words are told by numpy; only these are looked up or encoded,
+and their ids are dealt out to all. A task keeps the ids of words that it has met, up to a bound.
 
 Defined cases: null text counts as empty and has one id; equal rows are packed each; very long texts have many pieces;
 pieces of equal length go by (doc_id, start); an empty table gives an empty table; only doc_id and text are read.
@@ -23,20 +24,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmeter.llm.common import Known, slices, text_or_empty, tokenizer_path
+from veilmeter.llm.words import Words, kinds, looked_for
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 CLOSING = 1
 GROUP = 8192
 KEPT = 150_000
-#: Characters that Python takes for white space and the vocabulary's rules do not.
-ODD = re.compile("[\x1c-\x1f]")
-#: Letters that are composed and have one lower-case letter, then marks that join no contraction: two words to the vocabulary.
-PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]*)([.,;:!?()%&*#$|-]*)")
+#: Other white space, and what only Python takes for it, stays inside a word, which the library encodes.
+BLANKS = kinds([32, 9, 10, 13])
+#: Marks that join no contraction and begin or end no token of the vocabulary's own.
+SIGNS = ".,;:!?()%&*#$-"
+MARKS = np.array([chr(b) in SIGNS for b in range(256)])
+#: Letters that are composed and have one lower-case letter, or marks: one word to the vocabulary.
+PLAIN = re.compile(f"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+|[{re.escape(SIGNS)}]+")
 
 
 class WordEncoder:
@@ -67,24 +73,30 @@ class WordEncoder:
 
     def encode_batch(self, texts: list[str], known: Known | None = None) -> list[bytes]:
         """known: what a task keeps of words between calls; it goes with the task."""
-        words = [None if ODD.search(t) else t.split() for t in texts]
-        known, met = Known(KEPT) if known is None else known, set()
+        return self.encode_column(pa.array(texts, pa.string()), known)
+
+    def encode_column(self, texts: pa.Array, known: Known | None = None) -> list[bytes]:
+        """encode_batch of a column without nulls."""
+        known = Known(KEPT) if known is None else known
+        own_case = pc.any(pc.match_substring(texts, "<|")).as_py()  # the vocabulary's own tokens are told by case
+        words = Words(texts, BLANKS, not own_case, MARKS)
+        found, number = looked_for(words)
+        met = found.column().to_pylist()
         known.turn()
-        for own in words:
-            met.update(own or ())
-        plain, other = {}, []
-        for w in known.missing(met):
-            if m := PLAIN.fullmatch(w):
-                plain[w] = [x for x in (m[1].lower(), m[2]) if x]
-            else:
-                other.append(w)
-        parts = known.missing({x for own in plain.values() for x in own})
+        plain, other = [], []
+        for w in known.missing(set(met)):
+            (plain if PLAIN.fullmatch(w) else other).append(w)
         now = known.now
-        now.update(zip(parts, self._encode_plain(parts)))
-        now.update((w, b"".join([now[x] for x in own])) for w, own in plain.items())
+        now.update(zip(plain, self._encode_plain(plain)))
         now.update(zip(other, self._encode(other)))
-        odd = iter(self._encode([t for t, own in zip(texts, words) if own is None]))
-        return [next(odd) if own is None else b"".join(map(now.__getitem__, own)) for own in words]
+        own = [now[w] for w in met]
+        # The ids of the different words one after another; those of all words are taken from there.
+        ids, size = np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
+        n = size[number]
+        ends = np.r_[0, n.cumsum()]
+        flat = ids[np.arange(ends[-1]) + np.repeat((size.cumsum() - size)[number] - ends[:-1], n)].tobytes()
+        cuts = (4 * ends[words.first]).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -102,7 +114,7 @@ def cut(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for big in batches:
             for b in slices(big, 1):
                 out = []
-                for doc, ids in zip(b.column(0).to_pylist(), encoder(path).encode_batch(b.column(1).to_pylist(), known)):
+                for doc, ids in zip(b.column(0).to_pylist(), encoder(path).encode_column(b.column(1), known)):
                     view = memoryview(ids + last)
                     n, row = len(view) // 4, row + 1
                     out += [(doc, s, min(LENGTH, n - s), zlib.crc32(view[4 * s : 4 * (s + LENGTH)]), n, row) for s in range(0, n, LENGTH)]

@@ -19,6 +19,7 @@ MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 #: A-Z as a-z, every other byte as it is.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 _LETTER = np.random.Generator(np.random.PCG64(42)).integers(1, 2**64, 256, dtype=np.uint64)
+_LETTER_OR_DIGIT = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 WORD, BLANK, CUT = 0, 1, 2  # kinds of bytes: of a word, between words, and one that also parts pieces of a text
 
 
@@ -58,9 +59,10 @@ _POWERS = _Powers()
 
 
 class Words:
-    """Of a text column: lower (its bytes, A-Z in lower case), starts and ends of words there, the text of each, and the first word of each text."""
+    """Of a text column: lower (its bytes, A-Z in lower case, or as they are), starts and ends of words there, the text of each, and the first word of each
+    text. marks: bytes that are words apart from an ASCII letter or digit, or a Latin letter of two bytes that begin with C3, beside them."""
 
-    def __init__(self, column: pa.Array, kind: np.ndarray):
+    def __init__(self, column: pa.Array, kind: np.ndarray, lower: bool = True, marks: np.ndarray | None = None):
         column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
         rows = len(column)
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + rows + 1] if rows else np.zeros(1, np.int64)
@@ -71,7 +73,7 @@ class Words:
         data = column.buffers()[2] if rows else None
         raw = np.frombuffer(data, np.uint8)[first:last] if data is not None and last > first else np.zeros(0, np.uint8)
         self.rows, self.offsets = rows, offsets - first
-        self.lower = LOWER[raw]
+        self.lower = LOWER[raw] if lower else raw
         self.kind = kind[self.lower]
         inside = self.kind == WORD
         at = self.offsets[1:-1]
@@ -81,6 +83,12 @@ class Words:
         end[:-1] &= ~inside[1:]
         begin[at] = inside[at]
         end[at - 1] = inside[at - 1]
+        if marks is not None and len(inside):
+            mark, last = marks[self.lower], _LETTER_OR_DIGIT[self.lower]
+            latin = (self.lower[:-1] == 0xC3) & (self.lower[1:] != 0x97) & (self.lower[1:] != 0xB7)  # but the signs of times and division
+            part = (last[:-1] | np.r_[False, latin[:-1]][: len(latin)]) & mark[1:] | mark[:-1] & (last[1:] | np.r_[latin[1:], False][: len(latin)])
+            begin[1:] |= part
+            end[:-1] |= part
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, self.offsets)  # of each text, its first word; at the end the number of all
         self.counts = np.diff(self.first)
