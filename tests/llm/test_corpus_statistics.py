@@ -253,3 +253,16 @@ def test_ngram_join_compares_lists_over_tiles(spark, monkeypatch):
     got = ngramjoin.crossed_pairs(spark.createDataFrame(rows, "key long, comp long, node long, n int, at int"))
     comp = {r[2]: r[1] for r in rows if r[0] == 7}
     assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in comp for b in comp if a < b and comp[a] != comp[b])
+
+
+def test_ngram_join_of_a_shared_line_makes_few_candidates(spark):
+    """Texts of words of their own and one line that all have are no candidates of one another, but for texts that are similar."""
+    line, n = " ".join(f"shared{k}" for k in range(14)), 60
+    texts = [" ".join(f"own{i}x{k}" for k in range(40)) + " " + line for i in range(n)]
+    texts += [texts[0] + " end", texts[1] + " end"]
+    rows = ngramjoin.sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    level = ngramjoin.token_levels(rows, rows.selectExpr("sum(n)").first()[0])
+    got = ngramjoin.crossed_pairs(ngramjoin.postings(rows.selectExpr("row", "row AS comp", "tokens"), level)).collect()
+    docs = {r["row"]: r["doc_id"] for r in rows.collect()}
+    found = {tuple(sorted((docs[r["a"]], docs[r["b"]]))) for r in got}
+    assert {(0, n), (1, n + 1)} <= found and len(found) < 10

@@ -3,7 +3,8 @@
 1. A text's set of hashed n-grams is made once, where the text lies. Equal sets fall together; each different set is a node.
 2. Tokens (n-grams) are counted in counters by hash, some for each FILL tokens up to 2**WIDEST. A token's class comes from how far its counter
    lies above the mean: rare tokens are taken alone, more frequent ones in pairs, the most frequent ones in threes. Order: class, then
-   hash. Any fixed order and classes give exact results.
+   how many deviations the counter lies above the mean, then hash, so that a prefix begins with what a text has of its own and what many share comes
+   last. Any fixed order and classes give exact results.
 3. Groups of near copies are settled first. A node has STARS keys, each made of its least tokens under two permutations. It is paired with the
    least node that shares a key; what isn't verified to be similar to any is paired with BACK other nodes of each key, and what is left with
    the node of each key that has the most links by then. So a group of any size has pairs linear in it, and those verified give first components.
@@ -13,8 +14,8 @@
    tokens alone. Pairs and threes are formed within subclasses (by hash, more of
    them for larger sets, so combinations grow with the prefix and not with its square), under the set's octave of size and the one below.
 5. Inside a posting list, pairs of different components are compared by length and position (for combinations, by the number of tokens that
-   aren't rare), in tiles. Nodes of one component are never
-   paired, so a crowded list of near copies costs nothing.
+   aren't rare), in tiles. A pair counts by the first token of the order that both have, before which they share nothing. Nodes of one component are
+   never paired, so a crowded list of near copies costs nothing.
 6. Candidates pass an exact bound, the overlap of histograms of both sets' hashes, and are then verified on the whole sets. Verified links
    and those of step 3 give the components, by star contraction.
 
@@ -49,11 +50,15 @@ FILL = 16  # tokens to a counter
 PLAIN = 3  # octaves of sizes below which all tokens are taken alone
 SEGMENT = 1 << 11  # counters in a row
 CLASSES = (4, 64)  # times the mean counter from which tokens are taken in pairs, and in threes
+ABOVE = np.r_[np.arange(1, 6, 0.5), np.geomspace(6, 100_000, 50)]  # deviations above the mean counter that part ranks of a class; 63 at most
 OWN = 8  # tokens of a prefix in a subclass
 STARS, BACK, HUBS = 4, 4, 2
 GROUP = 500  # nodes of a key that are put in one order
-TILE = 1024
+TILE = 256
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+HELD = 200_000  # pairs of a task before they are sent on
 SMALL = 2_000_000  # rows of a side of a join that is broadcast
+BATCH = 1000  # rows that a task exchanges with Python at once, as sets are long
 SETS = "row long, doc_id long, k1 long, k2 long, n int, tokens binary"
 
 
@@ -92,7 +97,7 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
 
 
 def token_levels(nodes: DataFrame, total: int) -> np.ndarray:
-    """The class of each counter: 0 (rare), 1, 2. total: the tokens of all nodes."""
+    """The class of each counter, 0 (rare), 1 or 2, in two bits, and its rank in the others. total: the tokens of all nodes."""
     bits = min(WIDEST, max(FEWEST, (total // FILL).bit_length()))
     shift, mean = np.uint64(64 - bits), max(1.0, total / (1 << bits))
 
@@ -113,7 +118,8 @@ def token_levels(nodes: DataFrame, total: int) -> np.ndarray:
         kind, now, counters = {SEGMENT: np.uint8, 2 * SEGMENT: np.uint16, 4 * SEGMENT: np.uint32}, None, None
 
         def out() -> pa.RecordBatch:
-            level = sum((counters >= c * mean).astype(np.uint8) for c in CLASSES)
+            rank = np.searchsorted(mean + ABOVE * np.sqrt(mean), counters, side="right").astype(np.uint8)
+            level = sum((counters >= c * mean).astype(np.uint8) for c in CLASSES) + 4 * rank
             return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([level.tobytes()], pa.binary())], ["segment", "data"])
 
         for b in batches:
@@ -211,9 +217,10 @@ def signatures(tokens: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.nd
     """Keys of a set's posting lists, and the place of each in the prefix, or, of a combination, -1 less the number of tokens that aren't rare: a set
     with combinations has all its rare tokens in its prefix, so what meets it in a combination alone shares none of them. tokens: rising."""
     n, own = len(tokens), level[(tokens >> np.uint64(65 - len(level).bit_length())).astype(np.int64)]
-    if common := int((own > 0).sum()):
-        order = np.argsort(own, kind="stable")
-        tokens, own = tokens[order], own[order]
+    if own.any():
+        order = np.argsort((own & 3) << 6 | own >> 2, kind="stable")
+        tokens, own = tokens[order], own[order] & 3
+    common = int((own > 0).sum())
     single, cells = 0, {}
     for octave in {n.bit_length() - 1, required(n).bit_length() - 1}:
         group = prefix(tokens, own, octave)
@@ -253,8 +260,8 @@ def _may(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Whether rows (comp, node, n, at) of x and y are of different components and may be similar."""
     (xc, _, xn, xa), (yc, _, yn, ya) = x, y
     ok = (xc != yc) & (xn * DEN >= yn * NUM) & (yn * DEN >= xn * NUM)
-    # Shared besides the common token: before it, and after it, no more than the shorter part.
-    most = np.minimum(xa, ya) + 1 + np.minimum(xn - xa, yn - ya) - 1
+    # The first token that both have, which is in both prefixes if any is that both have alone: from it on, no more than the shorter part.
+    most = np.minimum(xn - xa, yn - ya)
     most = np.where((xa < 0) & (ya < 0), np.minimum(-1 - xa, -1 - ya), most)  # a pair that shares a rare token meets by that, too
     return ok & (most * (NUM + DEN) >= (xn + yn) * NUM)
 
@@ -269,23 +276,27 @@ def crossed_pairs(entries: DataFrame) -> DataFrame:
     """a, b: different pairs of nodes of different components that meet in a posting list and may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, fresh = None, [], []  # the list's key; its tiles so far; rows not compared yet
+        now, held, fresh, out = None, [], [], []  # the list's key; its tiles so far; rows not compared yet; pairs not sent yet
 
-        def take() -> list[np.ndarray]:
+        def take() -> None:
             nonlocal held, fresh
-            if not fresh:
-                return []
-            tile = np.concatenate(fresh)
-            fresh = []
-            if not held and len(tile) == 1 or not held and (tile[:, 0] == tile[0, 0]).all():
-                held = [tile]
-                return []
-            both = [_crossed(tile, tile), *(p for t in held for p in (_crossed(tile, t), _crossed(t, tile)))]
-            held = [*held, tile]
-            return both
+            if fresh:
+                tile = np.concatenate(fresh)
+                if held or not (tile[:, 0] == tile[0, 0]).all():
+                    out.extend([_crossed(tile, tile), *(p for t in held for p in (_crossed(tile, t), _crossed(t, tile)))])
+                held, fresh = [*held, tile], []
+
+        def sent(least: int) -> Iterator[pa.RecordBatch]:
+            """The pairs found, if there are so many."""
+            nonlocal out
+            if sum(map(len, out)) >= least:
+                pairs = np.concatenate(out)
+                pairs, out = pairs[np.lexsort(pairs.T)], []
+                pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for b in batches:
-            out, key, rows = [], b.column(0).to_numpy(), np.stack([c.to_numpy().astype(np.int64) for c in b.columns[1:]], axis=1)
+            key, rows = b.column(0).to_numpy(), np.stack([c.to_numpy().astype(np.int64) for c in b.columns[1:]], axis=1)
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, int)
             # Lists of one entry, which most are, are passed over at once, those of two are compared at once; the batch's first and last may go on
             # elsewhere.
@@ -297,19 +308,16 @@ def crossed_pairs(entries: DataFrame) -> DataFrame:
             whole = np.flatnonzero((size > 2) | edge)
             for a, z in zip(cuts[whole].tolist(), cuts[whole + 1].tolist()):
                 if key[a] != now:
-                    out += take()
+                    take()
                     now, held, fresh = key[a], [], []
                 for at in range(a, z, TILE):
                     fresh.append(rows[at : min(z, at + TILE)])
                     if sum(map(len, fresh)) >= TILE:
-                        out += take()
-            if out and sum(map(len, out)):
-                pairs = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-        out = take()
-        if out and sum(map(len, out)):
-            pairs = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                        take()
+                        yield from sent(HELD)
+            yield from sent(1)
+        take()
+        yield from sent(1)
 
     dealt = entries.repartition("key").sortWithinPartitions("key", "comp", "node")
     return dealt.select("key", "comp", "node", "n", "at").mapInArrow(run, "a long, b long").distinct()
@@ -371,6 +379,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
 
 def components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    conf = docs.sparkSession.conf
+    before = conf.get(ROWS)
+    conf.set(ROWS, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:  # steps with sets are written in here
+        return _components(docs, size)
+    finally:
+        conf.set(ROWS, before)
+
+
+def _components(docs: DataFrame, size: int) -> DataFrame:
     rows = sets(docs, size)
     least = written(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.first("n").cast("long").alias("n")), "nodes")
     nodes = rows.join(small(least.select("row")), "row", "left_semi").select("row", "tokens")
