@@ -266,3 +266,12 @@ def test_ngram_join_of_a_shared_line_makes_few_candidates(spark):
     docs = {r["row"]: r["doc_id"] for r in rows.collect()}
     found = {tuple(sorted((docs[r["a"]], docs[r["b"]]))) for r in got}
     assert {(0, n), (1, n + 1)} <= found and len(found) < 10
+
+
+def test_ngram_join_takes_few_jobs_where_little_is_alike(spark):
+    texts = [f"w{k} " + " ".join(f"x{(k * 7 + j) % 301}" for j in range(30)) for k in range(60)]
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    docs, before = spark.createDataFrame([*enumerate(texts), (60, texts[0] + " more"), (61, None)], "doc_id long, text string"), jobs()
+    got = rows_of(ngramjoin.components(docs))
+    assert got == plain_components([*enumerate(texts), (60, texts[0] + " more"), (61, None)])
+    assert jobs() - before <= 110  # each exchange of a job keeps a thread of the driver for a minute

@@ -16,8 +16,10 @@
 5. Inside a posting list, pairs of different components are compared by length and position (for combinations, by the number of tokens that
    aren't rare), in tiles. A pair counts by the first token of the order that both have, before which they share nothing. Nodes of one component are
    never paired, so a crowded list of near copies costs nothing.
-6. Candidates pass an exact bound, the overlap of histograms of both sets' hashes, and are then verified on the whole sets. Verified links
-   and those of step 3 give the components, by star contraction.
+6. Candidates, where they are many, pass an exact bound, the overlap of histograms of both sets' hashes, and are then verified on the whole
+   sets. Verified links and the components of step 3 give the components, by star contraction.
+
+Each exchange of a job takes a thread of the driver for a minute, so steps with nothing to do, and counts that need an exchange, are left out.
 
 Sets are read where they were written; joins to them are broadcast only where the other side has at most SMALL rows, by count, and
 shuffled else. Sets are compared by 64-bit hashes of their n-grams.
@@ -58,6 +60,7 @@ TILE = 256
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 HELD = 200_000  # pairs of a task before they are sent on
 SMALL = 2_000_000  # rows of a side of a join that is broadcast
+DIRECT = 20_000  # pairs that are verified at once, without histograms before
 BATCH = 1000  # rows that a task exchanges with Python at once, as sets are long
 SETS = "row long, doc_id long, k1 long, k2 long, n int, tokens binary"
 
@@ -91,9 +94,9 @@ def sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return written(made.select(F.monotonically_increasing_id().alias("row"), "*"), "sets", **{"parquet.enable.dictionary": "false", "compression": "uncompressed", "parquet.block.size": str(32 << 20)})
 
 
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df, to be broadcast where it has at most so many rows (of a few numbers each)."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = SMALL, rows: int | None = None) -> DataFrame:
+    """df, to be broadcast where it has at most so many rows (of a few numbers each). rows: what it has at most, if known without a job of its own."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
 def token_levels(nodes: DataFrame, total: int) -> np.ndarray:
@@ -135,7 +138,7 @@ def token_levels(nodes: DataFrame, total: int) -> np.ndarray:
     schema = "segment long, data binary"
     summed = nodes.select("tokens").mapInArrow(count, schema).repartition("segment").sortWithinPartitions("segment").mapInArrow(add, schema)
     level = np.zeros(((1 << bits) // SEGMENT, SEGMENT), np.uint8)
-    for r in summed.toLocalIterator():  # 2**bits bytes at most
+    for r in summed.collect():  # 2**bits bytes at most, by one job where an iterator takes one a partition
         level[r["segment"]] = np.frombuffer(r["data"], np.uint8)
     return level.ravel()
 
@@ -170,7 +173,7 @@ def neighbours(keys: DataFrame, settled: DataFrame) -> DataFrame:
     cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / GROUP))
     order = Window.partitionBy("key", "cut").orderBy(F.xxhash64("node", "key"), "node")
     done = settled.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("done", F.lit(True))
-    each = keys.withColumn("cut", cut).join(small(done), "node", "left")
+    each = keys.withColumn("cut", cut).join(small(done, rows=2 * settled.count()), "node", "left")
     before = each.select("node", "done", F.array(*[F.lag("node", k).over(order) for k in range(1, BACK + 1)]).alias("x"))
     pairs = before.filter("done IS NULL").select("node", F.explode("x").alias("x")).filter("x IS NOT NULL")
     return pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
@@ -179,7 +182,7 @@ def neighbours(keys: DataFrame, settled: DataFrame) -> DataFrame:
 def hubs(keys: DataFrame, settled: DataFrame) -> DataFrame:
     """a, b: each node that nothing has settled with the node of each of its keys that has the most links, as the original among its copies has."""
     degree = settled.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    each = keys.join(small(degree), "node", "left")
+    each = keys.join(small(degree, rows=2 * settled.count()), "node", "left")
     best = each.filter("links IS NOT NULL").groupBy("key").agg(F.max(F.struct("links", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
     pairs = each.filter("links IS NULL").join(best, "key")
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
@@ -190,7 +193,12 @@ def settle(nodes: DataFrame) -> DataFrame:
     keys = star_keys(nodes)
     found = verified(stars(keys), nodes, "stars")
     for step in (neighbours, *[hubs] * HUBS):
-        found = found.unionByName(verified(step(keys, found), nodes, step.__name__))
+        more = verified(step(keys, found), nodes, step.__name__)
+        if more.isEmpty():
+            if step is hubs:  # once more would be the same pairs
+                break
+            continue
+        found = found.unionByName(more)
     dropped(keys)
     return found
 
@@ -367,13 +375,20 @@ def verified(pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([histogram(np.frombuffer(x.as_buffer(), np.uint64)) for x in b.column(1)], pa.binary())], ["node", "data"])
 
-    def of(some: DataFrame) -> DataFrame:
-        ends = small(some.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+    def of(some: DataFrame, rows: int) -> DataFrame:
+        ends = small(some.select(F.explode(F.array("a", "b")).alias("row")).distinct(), rows=2 * rows)
         return nodes.join(ends, "row", "left_semi").select(F.col("row").alias("node"), F.col("tokens").alias("data"))
 
-    likely = written(_held(pairs, of(pairs).mapInArrow(bins, "node long, data binary"), may_overlap), f"{name}-likely")
-    out = written(_held(likely, of(likely), similar), f"{name}-links")
-    dropped(pairs, likely)
+    count = pairs.count()
+    if not count:
+        return pairs
+    if count <= DIRECT:
+        out = written(_held(pairs, of(pairs, count), similar), f"{name}-links")
+    else:
+        likely = written(_held(pairs, of(pairs, count).mapInArrow(bins, "node long, data binary"), may_overlap), f"{name}-likely")
+        out = written(_held(likely, of(likely, likely.count()), similar), f"{name}-links")
+        dropped(likely)
+    dropped(pairs)
     return out
 
 
@@ -398,7 +413,9 @@ def _components(docs: DataFrame, size: int) -> DataFrame:
     level = token_levels(nodes, least.agg(F.sum("n")).first()[0] or 0)
     pairs = crossed_pairs(postings(placed.select("row", F.coalesce("comp", "row").alias("comp"), "tokens"), level))
     links = verified(pairs, nodes, "crossed")
-    root = classes(settled.unionByName(links)).select(F.col("point").alias("row"), "root")
+    # The first components stand for the links that made them.
+    root = first if links.isEmpty() else classes(first.select(F.col("point").alias("a"), F.col("root").alias("b")).unionByName(links))
+    root = root.select(F.col("point").alias("row"), "root")
     dropped(settled, links)
     named = least.join(root, "row", "left").withColumn("root", F.coalesce("root", "row"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
