@@ -275,3 +275,14 @@ def test_ngram_join_takes_few_jobs_where_little_is_alike(spark):
     got = rows_of(ngramjoin.components(docs))
     assert got == plain_components([*enumerate(texts), (60, texts[0] + " more"), (61, None)])
     assert jobs() - before <= 110  # each exchange of a job keeps a thread of the driver for a minute
+
+
+def test_ngram_join_verifies_many_pairs_as_it_does_few(spark, monkeypatch):
+    texts = [" ".join(f"x{j}" for j in range(30)), " ".join(f"x{j}" for j in range(31)), " ".join(f"x{j}" for j in range(10, 50)), " ".join(f"y{j}" for j in range(30))]
+    rows = ngramjoin.sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    row = {r["doc_id"]: r["row"] for r in rows.collect()}
+    pairs = spark.createDataFrame([(row[a], row[b]) for a in row for b in row if a < b], "a long, b long")
+    for most in (100, 0):
+        monkeypatch.setattr(ngramjoin, "DIRECT", most)
+        assert [tuple(r) for r in ngramjoin.verified(pairs, rows, "test").collect()] == [(row[0], row[1])]
+    assert ngramjoin.verified(pairs.filter("false"), rows, "test").isEmpty()
