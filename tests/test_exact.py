@@ -139,6 +139,36 @@ def test_a_pool_beyond_its_bound_is_drawn_from_exactly(spark):
     assert len(retrained.pool_rows(pool, 120)) == 120 and len(retrained.pool_rows(pool, 500)) == 500
 
 
+@pytest.mark.parametrize("n", [200, 203])
+def test_a_large_pool_is_used_whole_by_parts(spark, monkeypatch, n):
+    """Models of a pool that no task holds are those of n // 2 of all its rows, as a plain loop fits them; a target's halves of a part differ."""
+    for name, value in (("POOL", 50), ("DEALT", 16), ("PARTS", 4), ("PATTERNS", 12)):
+        monkeypatch.setattr(retrained, name, value)
+    rng = np.random.default_rng(9)
+    make = lambda ids: [(k, rng.normal(size=3).tolist(), int(rng.integers(0, 3)), k % 2 == 0) for k in ids]
+    schema = "sample_id long, features array<double>, label int, is_member boolean"
+    rows, targets = make(range(n)), make(range(1000, 1012))
+    pool = spark.createDataFrame(rows, schema)
+    got = {r["sample_id"]: r for r in retrained.lira_retrained(pool, spark.createDataFrame(targets, schema), shadows=3).collect()}
+    order = [r["sample_id"] for r in pool.orderBy(F.xxhash64("sample_id", F.lit(42)), "sample_id").collect()]
+    blocks = [order[at : at + 16] for at in range(0, n, 16)]
+    x, y, ever = np.array([r[1] for r in rows]), np.eye(3)[[r[2] for r in rows]], set()
+    for ident, own, label, _ in targets:
+        pick, logit = retrained.picked(42, ident, 3, 4, 12), np.zeros(6)
+        assert all(len(set(p)) == 6 for p in pick.tolist())
+        for m in range(6):
+            drawn = [k for b, ids in enumerate(blocks) for k in np.array(ids)[retrained.block_halves(len(ids), 42, b, 12)[pick[b % 4, m]]].tolist()]
+            assert len(drawn) == len(set(drawn)) == n // 2
+            ever |= set(drawn)
+            a, b = (np.vstack([x[drawn], own]), np.vstack([y[drawn], np.eye(3)[label]])) if m >= 3 else (x[drawn], y[drawn])
+            z = np.array(own) @ np.linalg.solve(a.T @ a + np.eye(3), a.T @ b)
+            p = np.exp(z[label]) / np.exp(z).sum()
+            logit[m] = np.log(p / (1 - p))
+        r = got[ident]
+        assert [r["mean_out"], r["mean_in"], r["sd_in"], r["seen"]] == pytest.approx([logit[:3].mean(), logit[3:].mean(), logit[3:].std() + 1e-9, np.median(logit[:3])], rel=1e-6)
+    assert ever == set(range(n))
+
+
 def plain_ngram(members, others, order, d=0.75):
     split = lambda t: [w for w in (t or "").lower().split() if w]
     level = Counter(tuple(w[i : i + order]) for t in members for w in [split(t)] for i in range(len(w) - order + 1))
