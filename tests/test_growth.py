@@ -132,3 +132,31 @@ def test_parts_of_a_stream_are_written_by_many_tasks(spark, tmp_path, monkeypatc
     found = catalog.QUERIES["accountant_stream"](spark, str(tmp_path))
     assert sorted((r["event_id"], r["step"]) for r in found.collect()) == [(k, k // 5 + 1) for k in range(400)]
     assert len(list((tmp_path / "stream-events").glob("part-*"))) >= 4 * catalog.FILES
+
+
+def test_users_of_a_stream_share_calls_and_states(spark, tmp_path):
+    """Late and unordered events, many users, one of them null, over several batches: as a plain fold in order, in far fewer calls than users."""
+    import random
+
+    from veilmeter.streaming import ordered
+
+    rng = random.Random(3)
+    hour, day = 3600, 1_700_000_000
+    events = [(None if u == 7 else u, day + k * hour + rng.randrange(hour), 100 * u + k, float(rng.randrange(5))) for u in range(40) for k in range(6)]
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "user_id long, s long, event_id long, value double"
+    for part in [[e for e in events if (e[1] - day) // (2 * hour) == k] for k in range(3)] + [[(-1, day + 10**7, -1, 0.0)], [(-1, day + 10**8, -2, 0.0)]]:
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).selectExpr("user_id", "timestamp_seconds(s) AS ts", "event_id", "value").coalesce(1).write.mode("append").parquet(source)
+        stream = ordered.early_stopping(spark.readStream.schema("user_id long, ts timestamp, event_id long, value double").parquet(source), patience=2, min_delta=0.5, delay="3 hours")
+        assert "bucket" in stream._jdf.queryExecution().logical().toString()
+        stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    want = {}
+    for u in {e[0] for e in events}:
+        held = (float("inf"), 0, False, 0)
+        for _, _, ident, v in sorted((e for e in events if e[0] == u), key=lambda e: (e[1], e[2])):
+            best, counter = (v, 0) if v < held[0] - 0.5 else (held[0], held[1] + 1)
+            want[ident] = held = (best, counter, held[2] or counter >= 2, held[3] + 1)
+    got = spark.read.parquet(sink).filter("event_id >= 0").collect()
+    assert {r["event_id"]: (r["best"], r["counter"], r["stopped"], r["n"]) for r in got} == want and len(got) == 240
+    assert {r["user_id"] for r in got} == {e[0] for e in events}
