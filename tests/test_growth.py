@@ -160,3 +160,35 @@ def test_users_of_a_stream_share_calls_and_states(spark, tmp_path):
     got = spark.read.parquet(sink).filter("event_id >= 0").collect()
     assert {r["event_id"]: (r["best"], r["counter"], r["stopped"], r["n"]) for r in got} == want and len(got) == 240
     assert {r["user_id"] for r in got} == {e[0] for e in events}
+
+
+def test_pairs_are_looked_up_where_their_text_lies(spark, sf_dir, monkeypatch):
+    """As by rows of grams, whether all pairs are sent to the tasks, some, or none; words that are alike by hash give no counts."""
+    from pyspark.sql import functions as F
+
+    from veilmeter.operators import models
+    from veilmeter.sources import tables
+
+    rows = [(1, "A a\tbÉ bé"), (2, None), (3, " \n"), (4, "new a\x0ba word İ"), (1, "a c"), (6, "z " * 30), (8, "one"), (9, "only here twice only here twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(tables.read(spark, sf_dir, "documents").select((F.col("doc_id") + 10).alias("doc_id"), "text").filter("doc_id < 70"))
+    member = F.col("doc_id") % 2 == 0
+    levels = models.ngram_levels(models.grams(docs.filter(member), 2), 2)
+    want = sorted(map(tuple, membership.min_k(models.ngram_log_probs(models.grams(docs, 2), levels).select("doc_id", "logp"), 0.3, 1).collect()))
+    pairs = models.pair_counts(docs, member)
+    for most in (10**6, 60, 1):
+        found = sorted(map(tuple, membership.min_k(models.pair_log_probs(docs, pairs, most=most), 0.3, 1).collect()))
+        assert [r[:3] for r in found] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-12 for a, b in zip(found, want))
+    empty = docs.filter("false")
+    assert models.pair_log_probs(empty, models.pair_counts(empty, member)).count() == 0
+
+    def one_hash(words):
+        from veilmeter.operators import words as module
+
+        known, own = module.looked_for(words)
+        for hashes, starts, ends, _ in known.layers:
+            hashes.flags.writeable = True
+            hashes[ends - starts == 2] = 7
+        return known, own
+
+    monkeypatch.setattr(models, "looked_for", one_hash)
+    assert models.pair_counts(docs, member) is None
